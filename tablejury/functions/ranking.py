@@ -173,8 +173,16 @@ def _narrow(rows, targets, keys):
         F.sum(F.when(kept, F.col("_c"))).alias("_in"))
 
 
+def digits_for(n_rows, rows_per_bucket=256):
+    """Leading hex digits for the largest group: small groups need few buckets, none needs more than HEX_DIGITS."""
+    digits = 1
+    while digits < HEX_DIGITS and n_rows > rows_per_bucket * 16 ** digits:
+        digits += 1
+    return digits
+
+
 def draw_counts(rows: DataFrame, keys, seeds, digest_of, quota, categories, tie=(), draw="draw",
-                hex_digits=HEX_DIGITS, n_column="n_take"):
+                hex_digits=None, n_column="n_take"):
     """Category counts among the n smallest digests per (key, draw), for many draws at once.
 
     Rows are never shuffled once per draw: each draw is counted per digest
@@ -182,6 +190,9 @@ def draw_counts(rows: DataFrame, keys, seeds, digest_of, quota, categories, tie=
     ``seeds`` is an array column, ``digest_of(draw_column)`` gives the digest.
     """
     keys, categories = list(keys), list(categories)
+    if hex_digits is None:
+        largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+        hex_digits = digits_for(largest or 0)
     every = (rows.withColumn(draw, F.explode(seeds))
              .withColumn("_digest", digest_of(F.col(draw)))
              .withColumn("_bucket", _bucket(F.col("_digest"), hex_digits)))

@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def skewness_adjusted(column):
@@ -111,13 +112,13 @@ def student_two_sided(t, df):
     return incomplete_beta(df / (df + t * t), df / 2.0, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_tail_udf(correct: pd.Series, total: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(k) or pd.isna(n) or n <= 0 else binomial_tail(int(k), int(n))
                       for k, n in zip(correct, total)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_udf(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by the t distribution on n-2 degrees of freedom."""
     out = []

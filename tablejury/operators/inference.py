@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tablejury.functions import scalar as S
 from tablejury.functions.digests import digest, seed_int
@@ -84,7 +85,8 @@ def export_summary(llm, human):
 
 # ---- permutation test ------------------------------------------------------------
 
-_DRAW = "real_correct bigint, real_wrong bigint, syn_correct bigint, syn_wrong bigint"
+_DRAW_FIELDS = ["real_correct", "real_wrong", "syn_correct", "syn_wrong"]
+_DRAW = StructType([StructField(f, LongType()) for f in _DRAW_FIELDS])
 _LIMIT = 1_000_000_000
 
 
@@ -98,7 +100,7 @@ def _shuffled_c1(rc: pd.Series, rw: pd.Series, sc: pd.Series, sw: pd.Series, n_c
             raise ValueError("groups of a billion trials or more need permutation_test(engine='digest')")
         out[i] = np.random.default_rng(int(row[5])).multivariate_hypergeometric(
             np.array(row[:4], dtype=np.int64), int(row[4]))
-    return pd.DataFrame(out, columns=["real_correct", "real_wrong", "syn_correct", "syn_wrong"])
+    return pd.DataFrame(out, columns=_DRAW_FIELDS)
 
 
 def _count(label, correct, condition=None):
@@ -131,7 +133,7 @@ def group_counts(trials, group=GROUP):
         .withColumn("delta", F.col("drs_c2") - F.col("drs_c1"))
 
 
-def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts", hex_digits=3):
+def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts"):
     """Is the C2 - C1 change in DRS larger than under shuffled conditions?
 
     ``counts`` draws the shuffled C1 counts directly from each group's four
@@ -145,13 +147,13 @@ def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="co
         perms = observed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))) \
             .withColumn("_seed", seed_int(F.lit(seed), *group, "perm")) \
             .withColumn("_d", _shuffled_c1(*names, "n_c1", "_seed"))
-        first = [F.col(f"_d.{f}") for f in ("real_correct", "real_wrong", "syn_correct", "syn_wrong")]
+        first = [F.col(f"_d.{f}") for f in _DRAW_FIELDS]
     else:
         drawn = draw_counts(
             trials.filter(F.col("condition").isin("C1", "C2")), group,
             F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: digest(seed, p, "trial_id"),
             observed.select(*group, F.col("n_c1").alias("n_take")), ["true_label", "correct"],
-            tie=["trial_id"], draw="perm", hex_digits=hex_digits)
+            tie=["trial_id"], draw="perm")
         wide = drawn.groupBy(*group, "perm").agg(*[
             F.coalesce(F.sum(F.when((F.col("true_label") == label) & (F.col("correct") == F.lit(ok)), F.col("n"))),
                        F.lit(0)).alias(f"_p_{name}") for name, label, ok in _PARTS])
