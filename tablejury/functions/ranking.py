@@ -34,18 +34,29 @@ def bottom_n(df: DataFrame, keys, quota, digest_column="_digest", tie=(), hex_di
     ``quota`` has one row per key. The big side is filtered against one cut
     bucket per key; only rows of that bucket are shuffled and ranked.
     """
-    columns = df.columns
+    below, edge, _ = _around_cut(df, keys, quota, digest_column, tie, hex_digits, n_column)
+    return below.select(*df.columns).unionByName(edge.filter("_kept").select(*df.columns))
+
+
+def flag_bottom_n(df: DataFrame, keys, quota, flag, digest_column="_digest", tie=(), hex_digits=HEX_DIGITS,
+                  n_column="n_take"):
+    """Every row, with a flag telling the n smallest of its key from the rest."""
+    below, edge, above = _around_cut(df, keys, quota, digest_column, tie, hex_digits, n_column)
+    return (below.select(*df.columns, F.lit(True).alias(flag))
+            .unionByName(edge.select(*df.columns, F.col("_kept").alias(flag)))
+            .unionByName(above.select(*df.columns, F.lit(False).alias(flag))))
+
+
+def _around_cut(df, keys, quota, digest_column, tie, hex_digits, n_column):
     quota, _ = _keyed(quota, keys)
     df, keys = _keyed(df, keys)
     bucketed = df.withColumn("_bucket", _bucket(F.col(digest_column), hex_digits))
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     cuts = shared_table(_cuts(counts, keys, quota, n_column), "cuts")
     tagged = bucketed.join(cuts, keys)
-    below = tagged.filter(F.col("_bucket") < F.col("_cut")).select(*columns)
     edge = (tagged.filter(F.col("_bucket") == F.col("_cut"))
-            .withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(digest_column, *tie)))
-            .filter(F.col("_rn") <= F.col("_rest")).select(*columns))
-    return below.unionByName(edge)
+            .withColumn("_kept", F.row_number().over(W.partitionBy(*keys).orderBy(digest_column, *tie)) <= F.col("_rest")))
+    return tagged.filter(F.col("_bucket") < F.col("_cut")), edge, tagged.filter(F.col("_bucket") > F.col("_cut"))
 
 
 def _cuts(counts, keys, quota, n_column):
@@ -112,18 +123,21 @@ BINS = 1024
 DIRECT_LIMIT = 5_000_000
 
 
-def quantiles(df: DataFrame, keys, value, probs, names, direct_limit=DIRECT_LIMIT):
+def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limit=DIRECT_LIMIT):
     """Exact linearly interpolated quantiles per key, one row per key plus ``n``.
 
+    ``weight`` is a column of row multiplicities.
+
     While a bracket around the wanted ranks still holds more than
     ``direct_limit`` rows, a 1,024-bin histogram (combined map-side) narrows it;
     then only the distinct values left in the bracket are sorted.
     """
     shown = list(keys)
     df, keys = _keyed(df, keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_m")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    span = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     targets = shared_table(
         span.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
         .withColumn("_k", (F.col("n") - 1) * F.col("_p")).withColumn("_in", F.col("n")), "brackets")
@@ -134,12 +148,12 @@ def quantiles(df: DataFrame, keys, value, probs, names, direct_limit=DIRECT_LIMI
         largest = targets.agg(F.max("_in")).first()[0] or 0
         rounds += 1
     if rounds == 0:  # whole range: count distinct values once, not once per probability
-        counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(
+        counted = rows.groupBy(*keys, "_v").agg(F.sum("_m").alias("_c")).join(
             targets.select(*keys, "n", "_p", "_k"), keys)
     else:
         inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
         counted = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
-                   .groupBy(*keys, "n", "_p", "_k", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+                   .groupBy(*keys, "n", "_p", "_k", inside.alias("_v")).agg(F.sum("_m").alias("_c")))
     upto = F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()))
     ranked = counted.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
     picked = ranked.groupBy(*keys, "n", "_p", "_k").agg(
@@ -159,7 +173,7 @@ def _narrow(rows, targets, keys):
     place = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(F.coalesce(
         F.least(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(BINS - 1)), F.lit(0)))
     counts = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
-              .groupBy(*keys, "_p", place.alias("_bin")).agg(F.count(F.lit(1)).alias("_c")))
+              .groupBy(*keys, "_p", place.alias("_bin")).agg(F.sum("_m").alias("_c")))
     ranked = (counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy("_bin")))
               .withColumn("_from", F.col("_upto") - F.col("_c"))
               .join(targets, [*keys, "_p"]).withColumn("_w", width))
