@@ -13,7 +13,7 @@ the rows of one bucket are ever sorted together.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tablejury.session import shared_table
+from tablejury.session import shared_table, spread
 
 HEX_DIGITS = 3
 
@@ -137,23 +137,21 @@ def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limi
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_m")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= direct_limit:
+        return _direct(rows, keys, probs, names).select(*shown, "n", *names)
     targets = shared_table(
-        span.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
+        sizes.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
         .withColumn("_k", (F.col("n") - 1) * F.col("_p")).withColumn("_in", F.col("n")), "brackets")
-    largest = targets.agg(F.max("_in")).first()[0] or 0
     rounds = 0
     while largest > direct_limit and rounds < 12:
         targets = shared_table(_narrow(rows, targets, keys), "brackets")
         largest = targets.agg(F.max("_in")).first()[0] or 0
         rounds += 1
-    if rounds == 0:  # whole range: count distinct values once, not once per probability
-        counted = rows.groupBy(*keys, "_v").agg(F.sum("_m").alias("_c")).join(
-            targets.select(*keys, "n", "_p", "_k"), keys)
-    else:
-        inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-        counted = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
-                   .groupBy(*keys, "n", "_p", "_k", inside.alias("_v")).agg(F.sum("_m").alias("_c")))
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    counted = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
+               .groupBy(*keys, "n", "_p", "_k", inside.alias("_v")).agg(F.sum("_m").alias("_c")))
     upto = F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()))
     ranked = counted.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
     picked = ranked.groupBy(*keys, "n", "_p", "_k").agg(
@@ -164,6 +162,23 @@ def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limi
         for p, name in zip(probs, names)]).select(*shown, "n", *names)
 
 
+def _direct(rows, keys, probs, names):
+    """Quantiles of groups known to be small enough to sort: one count of distinct values, one window."""
+    counted = rows.groupBy(*keys, "_v").agg(F.sum("_m").alias("_c"))
+    ranked = (counted.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy("_v")))
+              .withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
+              .withColumn("_from", F.col("_upto") - F.col("_c")))
+    ends = []
+    for i, p in enumerate(probs):
+        k = (F.col("n") - 1) * F.lit(float(p))
+        ends += [_value_at(F.floor(k), "_v").alias(f"_a{i}"), _value_at(F.ceil(k), "_v").alias(f"_b{i}")]
+    picked = ranked.groupBy(*keys, "n").agg(*ends)
+    shares = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    return picked.select(*keys, "n", *[
+        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (k - F.floor(k))).alias(name)
+        for i, (k, name) in enumerate(zip(shares, names))])
+
+
 def _value_at(rank, column):
     return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col(column)))
 
@@ -201,9 +216,12 @@ def draw_counts(rows: DataFrame, keys, seeds, digest_of, quota, categories, tie=
 
     Rows are never shuffled once per draw: each draw is counted per digest
     bucket on the map side, and only rows of the cut buckets are ranked.
-    ``seeds`` is an array column, ``digest_of(draw_column)`` gives the digest.
+    ``seeds`` is an array column, ``digest_of(draw_column)`` gives the digest of
+    a row from the draw and the ``tie`` columns. The rows are narrowed, spread by
+    ``tie`` and written once, since every draw reads them.
     """
     keys, categories = list(keys), list(categories)
+    rows = shared_table(spread(rows.select(*dict.fromkeys([*keys, *categories, *tie])), *tie), "rows")
     if hex_digits is None:
         largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
         hex_digits = digits_for(largest or 0)

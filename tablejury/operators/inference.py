@@ -11,6 +11,7 @@ from tablejury.functions.ranking import bottom_n, draw_counts
 from tablejury.functions.stats import binomial_tail_udf
 from tablejury.operators import metrics as M
 from tablejury.schema import FAIR_MIN_N, REAL, SYNTHETIC
+from tablejury.session import spread
 
 KEYS = ["dataset", "method", "condition"]
 GROUP = ["dataset", "provider_label", "method"]
@@ -144,7 +145,8 @@ def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="co
     observed = group_counts(trials, group)
     names = [name for name, _, _ in _PARTS]
     if engine == "counts":
-        perms = observed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))) \
+        perms = observed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+        perms = spread(perms, *group, "perm") \
             .withColumn("_seed", seed_int(F.lit(seed), *group, "perm")) \
             .withColumn("_d", _shuffled_c1(*names, "n_c1", "_seed"))
         first = [F.col(f"_d.{f}") for f in _DRAW_FIELDS]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tablejury.session import shared_table
+from tablejury.session import shared_table, spread
 
 SAMPLE_ROWS = 65_536
 LEAF_ROWS = 512
@@ -128,6 +128,7 @@ def _search(queries, blocks, block_rows, width):
     asked = _pack(salted, "leaf", "salt", name="queries")
     offered = blocks.join(sizes, "leaf") \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
+    asked, offered = spread(asked, "leaf", "salt"), spread(offered, "leaf", "salt")
     return asked.join(offered, ["leaf", "salt"]).select("queries", "points") \
         .mapInPandas(_compare(width), "vec array<double>, d2 double")
 
@@ -138,8 +139,8 @@ def nearest_distances(queries, points, leaf_rows=LEAF_ROWS, max_leaves=MAX_LEAVE
     Both inputs have one column ``vec`` of doubles without NULL. The sample only
     places the cuts; every point is searched, so distances are exact.
     """
-    points = shared_table(points.select("vec").distinct(), "points")
-    queries = shared_table(queries.select("vec").distinct(), "queries")
+    points = shared_table(spread(points.select("vec").distinct(), "vec"), "points")
+    queries = spread(queries.select("vec").distinct(), "vec")
     n_points = points.count()
     if n_points == 0:
         raise ValueError("no points to search")

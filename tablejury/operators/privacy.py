@@ -144,7 +144,7 @@ def membership_inference(tables, features, row_id, seed=42, cap=5000, c=1.0, by=
         scale = {f: (row[f"m_{f}"], row[f"s_{f}"] or 1.0) for f in features}
         data = assembler.transform(standardise(sample.filter(F.col("method") == method), features, scale))
         model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1.0 / (c * row["n"]),
-                                   elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8) \
+                                   elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6) \
             .fit(data.filter("is_train"))
         part = model.transform(data.filter("NOT is_train")).select(
             "method", "label", F.col("prediction").cast("int").alias("prediction"),

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W, functions as F
 from tablejury.functions import stats
 from tablejury.functions.digests import digest
 from tablejury.functions.ranking import quantiles, top_k
+from tablejury.functions.stats import shapiro_wilk
 from tablejury.schema import categorical_columns, numeric_columns
 from tablejury.session import shared_table
 
@@ -44,31 +45,65 @@ def value_counts(df, by=(), columns=None):
         .groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+COLUMNS_PER_PASS = 24
+
+
+def _per_column(df, by, columns, measures):
+    """(by, column, measures...) from wide aggregates of a fixed number of columns per pass."""
+    out = None
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        part = columns[start:start + COLUMNS_PER_PASS]
+        named = [(c, measures(c)) for c in part]
+        exprs = [e.alias(f"{m}_{i}") for i, (_, ms) in enumerate(named) for m, e in ms.items()]
+        wide = (df.groupBy(*by) if by else df).agg(*exprs)
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{m}_{i}").alias(m) for m in ms])
+                          for i, (c, ms) in enumerate(named)])
+        rows = wide.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def missing(df, by=(), columns=None):
     columns = columns or [c for c, _ in df.dtypes if c not in by]
-    return _long(df, by, columns, "string").groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.bround(100.0 * F.avg(F.col("value").isNull().cast("int")), 2).alias("missing_pct"))
+    counts = _per_column(df, by, columns, lambda c: {"n_rows": F.count(F.lit(1)),
+                                                     "n_missing": F.count_if(F.col(c).isNull())})
+    return counts.withColumn("missing_pct", F.bround(100.0 * F.col("n_missing") / F.col("n_rows"), 2))
 
 
 def columns_with_missing(df, by=()):
     return missing(df, by).filter(F.col("n_missing") > 0).select(*by, "column", "missing_pct")
 
 
+FLOATING = ("double", "float", "int", "smallint", "tinyint")
+
+
 def distinct_counts(df, by=(), columns=None, approximate=False):
-    """Exact counts from distinct values; the approximate form needs no shuffle of values."""
-    if approximate:
-        columns = columns or [c for c, _ in df.dtypes if c not in by]
-        return _long(df, by, columns, "string").groupBy(*by, "column") \
-            .agg(F.approx_count_distinct("value").alias("n_unique"))
-    return value_counts(df, by, columns).groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n_unique"))
+    """Exact counts from distinct values; the approximate form needs no shuffle of values.
+
+    Types that fit a double are compared as doubles, all others as text.
+    """
+    columns = columns or [c for c, _ in df.dtypes if c not in by]
+    kinds = dict(df.dtypes)
+    parts = [_long(df, by, names, cast) for names, cast in (
+        ([c for c in columns if kinds[c] in FLOATING], "double"),
+        ([c for c in columns if kinds[c] not in FLOATING], "string")) if names]
+    out = None
+    for part in parts:
+        if approximate:
+            counted = part.groupBy(*by, "column").agg(F.approx_count_distinct("value").alias("n_unique"))
+        else:
+            counted = part.filter(F.col("value").isNotNull()).groupBy(*by, "column", "value").agg(
+                F.lit(1).alias("_one")).groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n_unique"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 def numeric_moments(df, by=(), columns=None):
-    v = F.col("value")
-    return numeric_long(df, by, columns).groupBy(*by, "column").agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        stats.skewness_adjusted("value").alias("skewness"), stats.kurtosis_adjusted("value").alias("kurtosis"))
+    columns = columns or numeric_columns(df, by)
+    whole = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    return _per_column(whole, by, columns, lambda c: {
+        "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
+        "skewness": stats.skewness_adjusted(c), "kurtosis": stats.kurtosis_adjusted(c)})
 
 
 def numeric_quantiles(df, by=(), columns=None):
@@ -138,7 +173,7 @@ def shapiro(df, row_id, by=(), columns=None, seed=42, sample=500):
 
     def test(key, rows):
         n = len(rows)
-        w, p = stats.shapiro_wilk(rows["value"]) if n > 8 else (None, None)
+        w, p = shapiro_wilk(rows["value"]) if n > 8 else (None, None)
         return pd.DataFrame([[*key, n, w, p]])
 
     schema = ", ".join([f"`{k}` {dict(df.dtypes).get(k, 'string')}" for k in keys] + ["n int", "w double", "shapiro_p double"])

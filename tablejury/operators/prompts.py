@@ -10,7 +10,9 @@ from tablejury.functions import scalar as S
 from tablejury.functions.digests import digest, seed_int
 from tablejury.functions.ranking import digest_rank
 from tablejury.operators import profile as P
+from tablejury.operators.sampling import number_off
 from tablejury.schema import ROWS_SHOWN
+from tablejury.session import shared_table, spread
 
 SYSTEM_TEXT = (
     "You assess tables. Decide if the rows below were collected from real records (REAL) or produced by a "
@@ -93,30 +95,40 @@ def profile_text(df, by, columns, row_id=None):
         F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n").alias("profile_text"))
 
 
-def indexed_rows(tables, seed, row_id, by="source"):
-    """Every row's position in a shuffled order of its table, made once for all samples."""
-    keyed = tables.withColumn("_digest", digest(seed, by, row_id))
-    return digest_rank(keyed, [by], tie=[row_id], rank_column="_pos").drop("_digest")
+def row_pages(tables, seed, row_id, columns, n_rows=ROWS_SHOWN, by="source"):
+    """Pages of markdown lines in a shuffled order of each table, made once for all samples.
 
-
-def draw_rows(requests, indexed, key, n_rows=ROWS_SHOWN, by="source", seed=42):
-    """n distinct rows of the named table for every request.
+    Page b holds the lines at shuffled positions n*b .. n*b + 2n - 1 (round the
+    end of the table), so any run of n positions that starts in it lies in it.
+    """
+    keyed = tables.select(by, F.struct(F.col(row_id).alias("row"), markdown_row(columns).alias("line")).alias("entry"),
+                          digest(seed, by, row_id).alias("_digest"), F.col(row_id).alias("_tie"))
+    placed = shared_table(digest_rank(keyed, [by], tie=["_tie"], rank_column="_pos")
+                          .select(by, (F.col("_pos") - 1).alias("_pos"), "entry"), "placed-rows")
+    sizes = shared_table(placed.groupBy(by).agg(F.count(F.lit(1)).alias("n_total")), "table-sizes")
+    pages = number_off(sizes, F.ceil(F.col("n_total") / n_rows), "_page").withColumn("page", F.col("_page") - 1)
+    slots = pages.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(2 * n_rows - 1)))) \
+        .withColumn("_pos", (F.col("page") * n_rows + F.col("_slot")) % F.col("n_total"))
+    lines = slots.join(placed, [by, "_pos"]).groupBy(by, "page").agg(  # 2n entries per page
+        F.transform(F.array_sort(F.collect_list(F.struct("_slot", "entry"))), lambda x: x["entry"]).alias("entries"))
+    return sizes, shared_table(lines, "pages")
+
+
+def build_prompts(requests, pages, key, columns, condition, profiles=None, n_rows=ROWS_SHOWN, by="source", seed=42):
+    """One prompt per request; ``condition`` is a column saying C1 (rows) or C2 (rows and profile).
 
     A run of consecutive positions in a shuffled order is a uniform sample
-    without replacement, so a request costs n lookups, not a table scan.
+    without replacement, so a request costs one page lookup, not a table scan.
     """
-    sizes = indexed.groupBy(by).agg(F.max("_pos").alias("n_total"))
+    sizes, lines = pages
     start = seed_int(F.lit(seed), *key) % F.col("n_total")
-    offset = F.explode(F.sequence(F.lit(0), F.least(F.lit(n_rows), F.col("n_total")).cast("int") - 1))
-    wanted = requests.join(sizes, by).withColumn("_o", offset).withColumn("_pos", (start + F.col("_o")) % F.col("n_total") + 1)
-    return wanted.drop("_o").join(indexed, [by, "_pos"]).drop("_pos")
-
-
-def build_prompts(requests, indexed, key, columns, row_id, condition, profiles=None, n_rows=ROWS_SHOWN, by="source"):
-    """One prompt per request; ``condition`` is a column saying C1 (rows) or C2 (rows and profile)."""
-    keep = [c for c in requests.columns]
-    drawn = draw_rows(requests, indexed, key, n_rows, by)
-    text = row_table(drawn, [*keep, "n_total"], columns, row_id)
+    found = requests.join(sizes, by).withColumn("_start", start) \
+        .withColumn("page", F.expr(f"_start div {n_rows}")).join(lines, [by, "page"])
+    shown = F.least(F.lit(n_rows), F.col("n_total")).cast("int")
+    sample = F.array_sort(F.slice("entries", (F.col("_start") % n_rows + 1).cast("int"), shown))
+    body = F.array_join(F.transform(sample, lambda x: x["line"]), "\n")
+    text = found.withColumn("n_shown", shown).withColumn(
+        "table_text", F.concat(F.lit(markdown_head(columns) + "\n"), body))
     if profiles is not None:
         text = text.join(profiles, by, "left")
     else:
@@ -128,7 +140,7 @@ def build_prompts(requests, indexed, key, columns, row_id, condition, profiles=N
         F.when(condition == "C2", F.concat(F.lit("\n\nStatistics of the whole table:\n"),
                                            F.coalesce("profile_text", F.lit("")))).otherwise(F.lit("")),
         F.format_string(f"\n\nTotal rows: %d\nTotal columns: {len(columns)}\nColumns: {names}\n", "n_total"))
-    return text.select(*keep, "n_shown", "n_total", prompt.alias("prompt"))
+    return text.select(*requests.columns, "n_shown", "n_total", prompt.alias("prompt"))
 
 
 # ---- judging -----------------------------------------------------------------------
@@ -146,11 +158,11 @@ def rule_judge(system, prompt):
                        "supporting_evidence": [] if flags else ["short decimals"]})
 
 
-def judge_prompts(prompts, judge=rule_judge, retries=1, system=SYSTEM_TEXT):
+def judge_prompts(prompts, key, judge=rule_judge, retries=1, system=SYSTEM_TEXT):
     """Ask the judge for every prompt; failures become a NULL answer with the error text.
 
     ``judge(system, prompt)`` returns answer text. Batches arrive by Arrow and
-    Spark spreads them, so the number of partitions sets the concurrency.
+    Spark spreads them by ``key``, so the number of partitions sets the concurrency.
     """
     def ask(prompt):
         error = ""
@@ -168,7 +180,7 @@ def judge_prompts(prompts, judge=rule_judge, retries=1, system=SYSTEM_TEXT):
                                error=pd.Series([e for _, e in answers], index=batch.index, dtype="object"))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
-    return prompts.mapInPandas(run, schema + ", raw string, error string")
+    return spread(prompts, *key).mapInPandas(run, schema + ", raw string, error string")
 
 
 def trial_rows(answers, provider, model):

@@ -306,16 +306,16 @@ _C1 = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(c
  || string_agg({_ROW}, chr(10) ORDER BY row_id) || chr(10) || chr(10) || printf('Total rows: %d', n_total) || chr(10) || 'Total columns: 3' || chr(10) || 'Columns: acctbal, nation, segment' || chr(10) AS prompt
  FROM want JOIN idx USING (source, pos) GROUP BY trial_id, condition, source, n_total""")
 def _(spark, sf):
-    indexed = R.indexed_rows(V.micro(spark, sf), 42, "row_id")
-    return R.build_prompts(_requests(spark, sf, "C1"), indexed, ["trial_id"], COLUMNS, "row_id", F.col("condition"))
+    pages = R.row_pages(V.micro(spark, sf), 42, "row_id", COLUMNS)
+    return R.build_prompts(_requests(spark, sf, "C1"), pages, ["trial_id"], COLUMNS, F.col("condition"))
 
 
 @query("x5_c2_prompts")
 def _(spark, sf):
     micro = V.micro(spark, sf)
     profiles = R.profile_text(micro, ["source"], COLUMNS, "row_id")
-    return R.build_prompts(_requests(spark, sf, "C2"), R.indexed_rows(micro, 42, "row_id"), ["trial_id"], COLUMNS,
-                           "row_id", F.col("condition"), profiles)
+    pages = R.row_pages(micro, 42, "row_id", COLUMNS)
+    return R.build_prompts(_requests(spark, sf, "C2"), pages, ["trial_id"], COLUMNS, F.col("condition"), profiles)
 
 
 @query("x6_judged_prompts", V.with_ctes(V.MICRO, _C1) + """, shown AS (SELECT trial_id, source, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{4,}')) AS tails,
@@ -323,10 +323,10 @@ def _(spark, sf):
  SELECT trial_id, source, CASE WHEN tails + repeats > 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS verdict,
  CAST(CASE WHEN tails + repeats > 0 THEN least(95, 55 + 5*(tails + repeats)) ELSE 60 END AS DOUBLE) AS confidence FROM shown""")
 def _(spark, sf):
-    indexed = R.indexed_rows(V.micro(spark, sf), 42, "row_id")
-    prompts = R.build_prompts(_requests(spark, sf, "C1"), indexed, ["trial_id"], COLUMNS, "row_id", F.col("condition"))
+    pages = R.row_pages(V.micro(spark, sf), 42, "row_id", COLUMNS)
+    prompts = R.build_prompts(_requests(spark, sf, "C1"), pages, ["trial_id"], COLUMNS, F.col("condition"))
     v = S.parse_verdict("raw")
-    return R.judge_prompts(prompts).select("trial_id", "source", v["verdict"].alias("verdict"),
+    return R.judge_prompts(prompts, ["trial_id"]).select("trial_id", "source", v["verdict"].alias("verdict"),
                                            v["confidence"].alias("confidence"))
 
 

@@ -19,8 +19,8 @@ def run_experiment(tables, targets, columns, row_id, provider, model, judge=R.ru
     if done is not None:
         queue = B.remaining_queue(queue, done)
     requests = queue.withColumn("source", F.when(F.col("true_label") == REAL, real_source).otherwise(F.col("method")))
-    indexed = shared_table(R.indexed_rows(tables, seed, row_id).select("source", "_pos", row_id, *columns), "indexed")
+    pages = R.row_pages(tables, seed, row_id, columns, n_rows)
     profiles = shared_table(R.profile_text(tables, ["source"], columns, row_id), "profiles")
-    prompts = R.build_prompts(requests, indexed, ["method", "condition", "true_label", "rep"], columns, row_id,
-                              F.col("condition"), profiles, n_rows)
-    return R.trial_rows(R.judge_prompts(prompts, judge), provider, model)
+    slot = ["method", "condition", "true_label", "rep"]
+    prompts = R.build_prompts(requests, pages, slot, columns, F.col("condition"), profiles, n_rows)
+    return R.trial_rows(R.judge_prompts(prompts, slot, judge), provider, model)

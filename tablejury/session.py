@@ -13,6 +13,7 @@ def build_session(app_name="tablejury", cores="*", shuffle_partitions=None, **ex
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
     )
@@ -50,3 +51,14 @@ def shared_table(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Hash-partition into as many parts as the session shuffles into, kept apart by adaptive execution.
+
+    For steps whose work per row far exceeds its size (draws, Python, distance
+    blocks), where merging small partitions would leave one task to do it all.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
