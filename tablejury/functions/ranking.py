@@ -123,10 +123,12 @@ BINS = 1024
 DIRECT_LIMIT = 5_000_000
 
 
-def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limit=DIRECT_LIMIT):
+def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limit=DIRECT_LIMIT,
+              largest=None):
     """Exact linearly interpolated quantiles per key, one row per key plus ``n``.
 
-    ``weight`` is a column of row multiplicities.
+    ``weight`` is a column of row multiplicities; ``largest`` an upper bound on
+    the size of a group, if known, which saves a pass over small tables.
 
     While a bracket around the wanted ranks still holds more than
     ``direct_limit`` rows, a 1,024-bin histogram (combined map-side) narrows it;
@@ -138,7 +140,8 @@ def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limi
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_m")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     sizes = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest is None or largest > direct_limit:
+        largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest <= direct_limit:
         return _direct(rows, keys, probs, names).select(*shown, "n", *names)
     targets = shared_table(
@@ -202,7 +205,7 @@ def _narrow(rows, targets, keys):
         F.sum(F.when(kept, F.col("_c"))).alias("_in"))
 
 
-def digits_for(n_rows, rows_per_bucket=256):
+def digits_for(n_rows, rows_per_bucket=2048):
     """Leading hex digits for the largest group: small groups need few buckets, none needs more than HEX_DIGITS."""
     digits = 1
     while digits < HEX_DIGITS and n_rows > rows_per_bucket * 16 ** digits:

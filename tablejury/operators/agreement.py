@@ -6,6 +6,7 @@ from tablejury.functions import scalar as S
 from tablejury.functions.ranking import prefix_sums, top_k
 from tablejury.functions.stats import correlation_p_udf
 from tablejury.schema import FAIR_MIN_N, REAL, SYNTHETIC
+from tablejury.session import shared_table
 
 ANNOTATION_KEY = ["session_id", "dataset", "method", "pair_id", "condition"]
 CELL = ["dataset", "method", "condition"]
@@ -21,12 +22,12 @@ def dedupe_annotations(annotations, order=("source_path", "annotator_id")):
 def annotator_aliases(annotations):
     """HA1, HA2, ... by sorted annotator id, ranked over the distinct ids."""
     ids = annotations.select("annotator_id").distinct().withColumn("one", F.lit(1).cast("bigint"))
-    return prefix_sums(ids, [], ["annotator_id"], ["one"]).select(
-        "annotator_id", F.concat(F.lit("HA"), F.col("cum_one").cast("string")).alias("annotator"))
+    return shared_table(prefix_sums(ids, [], ["annotator_id"], ["one"]).select(
+        "annotator_id", F.concat(F.lit("HA"), F.col("cum_one").cast("string")).alias("annotator")), "aliases")
 
 
 def with_aliases(deduped):
-    """Left join on the annotator id; the id table is sized and skewed ids are left to adaptive execution."""
+    """Add the alias; the written id table is broadcast while it is small, so busy annotators move no rows."""
     return deduped.join(annotator_aliases(deduped), "annotator_id")
 
 

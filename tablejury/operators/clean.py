@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from tablejury.functions import scalar as S
 from tablejury.schema import APPROVED_MODELS
+from tablejury.session import literal_table
 
 
 def allow_list(spark, models=APPROVED_MODELS):
     """The approved (provider, model) pairs with their display label: a fixed, tiny table."""
-    return spark.createDataFrame(list(models), "provider string, model string, provider_label string")
+    return literal_table(spark, models, ["provider", "model", "provider_label"])
 
 
 def drop_errors(trials):

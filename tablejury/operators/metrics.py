@@ -8,6 +8,7 @@ from pyspark.sql import Window as W, functions as F
 
 from tablejury.functions import scalar as S
 from tablejury.schema import CONDITIONS, FAIR_MIN_N, METHODS, REAL, SYNTHETIC
+from tablejury.session import literal_table
 
 CELL = ["dataset", "provider_label", "method", "condition"]
 
@@ -278,7 +279,7 @@ def by_condition_gap(trials):
 
 def full_grid(spark, methods=METHODS, conditions=CONDITIONS):
     """Every method x condition, from two fixed lists."""
-    return spark.createDataFrame([(m, c) for m in methods for c in conditions], "method string, condition string")
+    return literal_table(spark, [(m, c) for m in methods for c in conditions], ["method", "condition"])
 
 
 def fill_grid(grid, counts, keys, columns):

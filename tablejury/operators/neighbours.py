@@ -17,9 +17,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from tablejury.session import shared_table, spread
 
-SAMPLE_ROWS = 65_536
+SAMPLE_ROWS = 131_072
 LEAF_ROWS = 512
-MAX_LEAVES = 4_096
+MAX_LEAVES = 16_384
 PAIR_DOUBLES = 1_536
 
 

@@ -1,5 +1,8 @@
 """Formal privacy risk: record linkage and membership inference."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -139,17 +142,20 @@ def membership_inference(tables, features, row_id, seed=42, cap=5000, c=1.0, by=
         F.count(F.lit(1)).alias("n"), *[e for f in features for e in (
             F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).collect()}  # one row per method
     assembler = VectorAssembler(inputCols=features, outputCol="vector")
-    scored = None
-    for method, row in sorted(stats.items()):
+
+    def attack(method):
+        row = stats[method]
         scale = {f: (row[f"m_{f}"], row[f"s_{f}"] or 1.0) for f in features}
         data = assembler.transform(standardise(sample.filter(F.col("method") == method), features, scale))
         model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1.0 / (c * row["n"]),
                                    elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6) \
             .fit(data.filter("is_train"))
-        part = model.transform(data.filter("NOT is_train")).select(
+        return model.transform(data.filter("NOT is_train")).select(
             "method", "label", F.col("prediction").cast("int").alias("prediction"),
             vector_to_array("probability")[1].alias("score"))
-        scored = part if scored is None else scored.unionByName(part)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:  # the fits are independent Spark jobs, a few at a time
+        scored = reduce(lambda a, b: a.unionByName(b), pool.map(attack, sorted(stats)))
     scored = shared_table(scored, "scored")
     right = (F.col("prediction") == F.col("label")).cast("int")
 

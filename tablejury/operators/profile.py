@@ -7,14 +7,14 @@ columns is one aggregation, and a hot value is folded on the map side.
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from tablejury.functions import stats
 from tablejury.functions.digests import digest
 from tablejury.functions.ranking import quantiles, top_k
 from tablejury.functions.stats import shapiro_wilk
 from tablejury.schema import categorical_columns, numeric_columns
-from tablejury.session import shared_table
+from tablejury.session import literal_table, shared_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 PAIRS_PER_PASS = 60
@@ -24,7 +24,7 @@ def column_types(df, exclude=()):
     """(column, dtype, kind, position) from the schema alone."""
     kinds = {**{c: "numeric" for c in numeric_columns(df)}, **{c: "categorical" for c in categorical_columns(df)}}
     rows = [(c, t, kinds.get(c, "other"), i) for i, (c, t) in enumerate(df.dtypes) if c not in exclude]
-    return df.sparkSession.createDataFrame(rows, "column string, dtype string, kind string, position int")
+    return literal_table(df.sparkSession, rows, ["column", "dtype", "kind", "position"])
 
 
 def _long(df, by, columns, cast, keep=()):
@@ -98,16 +98,24 @@ def distinct_counts(df, by=(), columns=None, approximate=False):
     return out
 
 
+def _numbers(df, by, columns):
+    """The columns as doubles with NaN turned into NULL."""
+    return df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+
+
+def _moments(c):
+    return {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
+            "skewness": stats.skewness_adjusted(c), "kurtosis": stats.kurtosis_adjusted(c)}
+
+
 def numeric_moments(df, by=(), columns=None):
     columns = columns or numeric_columns(df, by)
-    whole = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    return _per_column(whole, by, columns, lambda c: {
-        "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
-        "skewness": stats.skewness_adjusted(c), "kurtosis": stats.kurtosis_adjusted(c)})
+    return _per_column(_numbers(df, by, columns), by, columns, _moments)
 
 
 def numeric_quantiles(df, by=(), columns=None):
-    return quantiles(numeric_long(df, by, columns), [*by, "column"], "value", QUARTILES, ["p25", "median", "p75"])
+    return quantiles(numeric_long(df, by, columns), [*by, "column"], "value", QUARTILES, ["p25", "median", "p75"],
+                     largest=df.count())
 
 
 def numeric_profile(df, by=(), columns=None, places=4):
@@ -117,28 +125,33 @@ def numeric_profile(df, by=(), columns=None, places=4):
     return joined.select(*by, "column", *[F.bround(c, places).alias(c) for c in shown])
 
 
-def category_shares(counts, by=()):
-    """Share of each value within its column, from value counts."""
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*by, "column")))
+def _with_totals(df, by, columns):
+    """Value counts with the number of non-null values of their column.
+
+    Totals come from a plain count, are one row per column and written, so the
+    counts of a column with very many values are not gathered to divide them.
+    """
+    totals = shared_table(_per_column(df, by, columns, lambda c: {"total": F.count(c)}), "totals")
+    return value_counts(df, by, columns).join(totals, [*by, "column"])
+
+
+def category_shares(df, by=(), columns=None):
+    """Every value of each categorical column with its count and share."""
+    counts = _with_totals(df, by, columns or categorical_columns(df, by))
+    return counts.select(*by, "column", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def top_values(df, by=(), columns=None, k=10):
     """The k most frequent values of each categorical column; ties go to the smaller value."""
-    columns = columns or categorical_columns(df, by)
-    counts = value_counts(df, by, columns)
-    total = counts.groupBy(*by, "column").agg(F.sum("n").alias("_all"))
+    counts = _with_totals(df, by, columns or categorical_columns(df, by))
     best = top_k(counts, [*by, "column"], k, F.desc("n"), "value", rank_column="rank")
-    return best.join(total, [*by, "column"]).select(
-        *by, "column", "value", "rank", "n", F.bround(F.col("n") / F.col("_all"), 4).alias("share"))
+    return best.select(*by, "column", "value", "rank", "n", F.bround(F.col("n") / F.col("total"), 4).alias("share"))
 
 
 def entropies(df, by=(), columns=None):
-    """Entropy of each categorical column from its value counts: totals first, then one fold."""
-    counts = value_counts(df, by, columns or categorical_columns(df, by))
-    total = counts.groupBy(*by, "column").agg(F.sum("n").alias("_all"))
-    shares = counts.join(total, [*by, "column"])
-    return shares.groupBy(*by, "column").agg(
-        F.bround(stats.entropy(F.col("n") / F.col("_all")), 4).alias("entropy"))
+    """Entropy of each categorical column from the shares of its values."""
+    shares = category_shares(df, by, columns)
+    return shares.groupBy(*by, "column").agg(F.bround(stats.entropy(F.col("share")), 4).alias("entropy"))
 
 
 def correlations(df, by=(), columns=None, places=4):
@@ -182,13 +195,28 @@ def shapiro(df, row_id, by=(), columns=None, seed=42, sample=500):
 
 
 def table_profile(df, by=(), exclude=()):
-    """One row per column: type, missing share, distinct count, and for numbers moments and quartiles."""
+    """One row per column: type, missing share, distinct count, and for numbers moments and quartiles.
+
+    Missing counts and moments of all columns come from the same pass.
+    """
     data = df.drop(*exclude)
-    joined = missing(data, by).join(distinct_counts(data, by), [*by, "column"], "left").na.fill(0, ["n_unique"])
+    columns = [c for c, _ in data.dtypes if c not in by]
+    numeric = set(numeric_columns(data, by))
+    nothing = F.lit(None).cast("double")
+    absent = {m: nothing for m in ("mean", "std", "min", "max", "skewness", "kurtosis")}
+    ready = data.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                               if c in numeric else F.col(c) for c in columns])
+    scalars = _per_column(ready, by, columns, lambda c: {
+        "n_rows": F.count(F.lit(1)), "n_missing": F.count_if(F.col(c).isNull()),
+        **(_moments(c) if c in numeric else absent)})
+    shown = scalars.select(*by, "column", "n_rows", "n_missing",
+                           F.bround(100.0 * F.col("n_missing") / F.col("n_rows"), 2).alias("missing_pct"),
+                           *[F.bround(m, 4).alias(m) for m in absent])
     types = column_types(data, by).select("column", "dtype", "kind", "position")
-    numbers = numeric_profile(data, by)
-    return (joined.join(F.broadcast(types), "column")  # one row per schema column
-            .join(numbers, [*by, "column"], "left")
+    quartiles = numeric_quantiles(data, by).select(*by, "column", *[F.bround(q, 4).alias(q) for q in ("p25", "median", "p75")])
+    return (shown.join(distinct_counts(data, by), [*by, "column"], "left").na.fill(0, ["n_unique"])
+            .join(F.broadcast(types), "column")  # one row per schema column
+            .join(quartiles, [*by, "column"], "left")
             .join(entropies(data, by), [*by, "column"], "left"))
 
 

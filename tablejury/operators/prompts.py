@@ -130,7 +130,7 @@ def build_prompts(requests, pages, key, columns, condition, profiles=None, n_row
     text = found.withColumn("n_shown", shown).withColumn(
         "table_text", F.concat(F.lit(markdown_head(columns) + "\n"), body))
     if profiles is not None:
-        text = text.join(profiles, by, "left")
+        text = text.join(shared_table(profiles, "profiles"), by, "left")  # one text per table, sized by its file
     else:
         text = text.withColumn("profile_text", F.lit(None).cast("string"))
     names = ", ".join(columns)

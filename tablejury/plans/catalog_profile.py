@@ -67,7 +67,7 @@ _COUNTS = "SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM measured
 
 @query("a28_category_shares", LI + "SELECT *, round(n*1.0/sum(n) OVER (PARTITION BY \"column\"), 6) AS share FROM (" + _each(FLAGS, _COUNTS) + ") c")
 def _(spark, sf):
-    return rounded(P.category_shares(P.value_counts(V.measured_lineitem(spark, sf), columns=FLAGS)))
+    return rounded(P.category_shares(V.measured_lineitem(spark, sf)))
 
 
 @query("a29_entropy", LI + ", shares AS (SELECT *, n*1.0/sum(n) OVER (PARTITION BY \"column\") + 1e-9 AS p FROM (" + _each(FLAGS, _COUNTS) + """) c),

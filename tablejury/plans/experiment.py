@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tablejury.operators import backfill as B, prompts as R, sampling as Q
 from tablejury.schema import REAL, ROWS_SHOWN
-from tablejury.session import shared_table
 
 
 def run_experiment(tables, targets, columns, row_id, provider, model, judge=R.rule_judge, seed=42,
@@ -20,7 +19,7 @@ def run_experiment(tables, targets, columns, row_id, provider, model, judge=R.ru
         queue = B.remaining_queue(queue, done)
     requests = queue.withColumn("source", F.when(F.col("true_label") == REAL, real_source).otherwise(F.col("method")))
     pages = R.row_pages(tables, seed, row_id, columns, n_rows)
-    profiles = shared_table(R.profile_text(tables, ["source"], columns, row_id), "profiles")
+    profiles = R.profile_text(tables, ["source"], columns, row_id)
     slot = ["method", "condition", "true_label", "rep"]
     prompts = R.build_prompts(requests, pages, slot, columns, F.col("condition"), profiles, n_rows)
     return R.trial_rows(R.judge_prompts(prompts, slot, judge), provider, model)

@@ -62,3 +62,12 @@ def spread(df: DataFrame, *columns) -> DataFrame:
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *columns)
+
+
+def literal_table(spark, rows, names) -> DataFrame:
+    """A small fixed table as literal values: planned in the JVM, of known size, without a Python job."""
+    def literal(v):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from tablejury.functions import scalar as S
 from tablejury.operators.clean import allow_list
 from tablejury.schema import APPROVED_MODELS, EXPECTED_SYNTHETIC
+from tablejury.session import literal_table, shared_table
 
 
 def validate_methods(tables, expected=EXPECTED_SYNTHETIC, by="method"):
     """Expected methods against what was found: existence and row count."""
-    wanted = tables.sparkSession.createDataFrame([(m,) for m in expected], "method string")
+    wanted = literal_table(tables.sparkSession, [(m,) for m in expected], ["method"])
     found = tables.groupBy(F.col(by).alias("method")).agg(F.count(F.lit(1)).alias("n_rows"))
     width = len([c for c in tables.columns if c != by])
     return wanted.join(found, "method", "left").select(
@@ -58,7 +59,8 @@ def classify_files(audit, archive_zero_valid=False, models=APPROVED_MODELS):
 
 def split_quarantine(rows, classified):
     """(kept rows, quarantined rows with their reason)."""
-    marked = rows.join(classified.select("source_path", "reason"), "source_path")
+    reasons = shared_table(classified.select("source_path", "reason"), "reasons")  # one row per file
+    marked = rows.join(reasons, "source_path")
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
