@@ -166,20 +166,10 @@ def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limi
 
 
 def _direct(rows, keys, probs, names):
-    """Quantiles of groups known to be small enough to sort: one count of distinct values, one window."""
-    counted = rows.groupBy(*keys, "_v").agg(F.sum("_m").alias("_c"))
-    ranked = (counted.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy("_v")))
-              .withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
-              .withColumn("_from", F.col("_upto") - F.col("_c")))
-    ends = []
-    for i, p in enumerate(probs):
-        k = (F.col("n") - 1) * F.lit(float(p))
-        ends += [_value_at(F.floor(k), "_v").alias(f"_a{i}"), _value_at(F.ceil(k), "_v").alias(f"_b{i}")]
-    picked = ranked.groupBy(*keys, "n").agg(*ends)
-    shares = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    return picked.select(*keys, "n", *[
-        (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (k - F.floor(k))).alias(name)
-        for i, (k, name) in enumerate(zip(shares, names))])
+    """Quantiles of groups whose size is known to be below the limit: the built-in exact aggregate."""
+    values = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_m"))
+    picked = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), values.alias("_q"))
+    return picked.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
 
 
 def _value_at(rank, column):
