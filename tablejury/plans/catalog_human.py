@@ -139,16 +139,22 @@ def _(spark, sf):
     return long(spark, sf)
 
 
-# rank correlation with the t-distribution tail left to a test: SQL has no incomplete beta
-@query("f5_spearman_rho", L + """, scoped AS (SELECT 'overall' AS scope, human_drs AS x, llm_drs AS y FROM long UNION ALL SELECT model, human_drs, llm_drs FROM long),
+_RANKED = """, scoped AS (SELECT 'overall' AS scope, human_drs AS x, llm_drs AS y FROM long UNION ALL SELECT model, human_drs, llm_drs FROM long),
  ranked AS (SELECT scope, rank() OVER (PARTITION BY scope ORDER BY x) + (count(*) OVER (PARTITION BY scope, x) - 1)/2.0 AS rx,
  rank() OVER (PARTITION BY scope ORDER BY y) + (count(*) OVER (PARTITION BY scope, y) - 1)/2.0 AS ry FROM scoped)
- SELECT scope, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM ranked GROUP BY 1""")
+ """
+
+
+@query("f5_spearman_rho", L + _RANKED + "SELECT scope, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM ranked GROUP BY 1")
 def _(spark, sf):
     return rounded(A.agreement_correlation(long(spark, sf)).drop("p_value"))
 
 
-@query("f5_spearman_with_p")
+# the t-distribution tail by Simpson's rule over the angle atan(t / sqrt(df))
+@query("f5_spearman_with_p", L + _RANKED.rstrip() + """, c AS (SELECT scope, count(*) AS n, corr(rx, ry) AS rho, count(*) - 2.0 AS df FROM ranked GROUP BY 1),
+ a AS (SELECT *, atan(abs(rho)/sqrt(1 - rho*rho)) AS lo, (pi()/2 - atan(abs(rho)/sqrt(1 - rho*rho)))/2000 AS h FROM c)
+ SELECT scope, n, round(rho, 6) AS rho, round(max(2*exp(lgamma((df + 1)/2) - lgamma(df/2))/sqrt(pi()))*sum(h/3*(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)*pow(abs(cos(lo + i*h)), df - 1)), 6) AS p_value
+ FROM a, (SELECT unnest(range(2001)) AS i) r GROUP BY scope, n, rho""")
 def _(spark, sf):
     return rounded(A.agreement_correlation(long(spark, sf)))
 

@@ -330,18 +330,29 @@ def _(spark, sf):
                                            v["confidence"].alias("confidence"))
 
 
-@query("x8_experiment")
+_JUDGED = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) AS pos FROM micro),
+ sizes AS (SELECT source, count(*) AS n_total FROM micro GROUP BY 1),
+ req AS (SELECT *, CASE true_label WHEN 'REAL' THEN 'real' ELSE method END AS source FROM numbered),
+ want AS (SELECT r.*, (('0x' || substr(sha256(concat_ws('||', '42', method, condition, true_label, CAST(rep AS VARCHAR))), 1, 8))::BIGINT % n_total + o) % n_total + 1 AS pos
+  FROM req r JOIN sizes USING (source), (SELECT unnest(range(20)) AS o) os WHERE o < n_total),
+ seen AS (SELECT method, trial_id, condition, true_label, rep, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{4,}'))
+  + count(*) - count(DISTINCT concat_ws('|', CAST(acctbal AS VARCHAR), CAST(nation AS VARCHAR), segment)) AS signs FROM want JOIN idx USING (source, pos) GROUP BY ALL),
+ judged AS (SELECT method AS synthetic_method, trial_id, condition, true_label, rep, CASE WHEN signs > 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS predicted_label,
+  (signs > 0) = (true_label = 'SYNTHETIC') AS correct, CAST(CASE WHEN signs > 0 THEN least(95, 55 + 5*signs) ELSE 60 END AS DOUBLE) AS confidence FROM seen)"""
+
+
+@query("x8_experiment", V.with_ctes(V.TRIALS, TARGETS, QUEUE, NUMBERED, V.MICRO, _JUDGED)
+       + "SELECT synthetic_method, trial_id, condition, true_label, predicted_label, correct, confidence FROM judged")
 def _(spark, sf):
-    t = targets(spark, sf)
-    trials = run_experiment(V.micro(spark, sf), t, COLUMNS, "row_id", "offline", "rules")
-    return trials.drop("timestamp")
+    trials = run_experiment(V.micro(spark, sf), targets(spark, sf), COLUMNS, "row_id", "offline", "rules")
+    return trials.select("synthetic_method", "trial_id", "condition", "true_label", "predicted_label", "correct", "confidence")
 
 
-@query("x8_experiment_summary")
+@query("x8_experiment_summary", V.with_ctes(V.TRIALS, TARGETS, QUEUE, NUMBERED, DONE, V.MICRO, _JUDGED) + """SELECT synthetic_method, condition, grouping_id(synthetic_method, condition) AS level,
+ CAST(sum(correct::INT) AS BIGINT) AS n_correct, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM judged j
+ WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.method = j.synthetic_method AND d.condition = j.condition AND d.true_label = j.true_label AND d.rep = j.rep)
+ GROUP BY GROUPING SETS ((synthetic_method), (condition), (synthetic_method, condition), ())""")
 def _(spark, sf):
-    t = targets(spark, sf)
     done = B.completed_slots(raw(spark, sf), 42)
-    trials = run_experiment(V.micro(spark, sf), t, COLUMNS, "row_id", "offline", "rules", done=done)
+    trials = run_experiment(V.micro(spark, sf), targets(spark, sf), COLUMNS, "row_id", "offline", "rules", done=done)
     return rounded(M.accuracy_sets(trials, ["synthetic_method", "condition"], [("synthetic_method", "condition")]))
-
-
