@@ -99,17 +99,35 @@ def _block_min(a, b):
 
 
 def _compare(width):
+    """Fold the blocks offered to one query block into a single minimum per query.
+
+    The join hands over a query block's partners one after another, so the
+    minimum is kept across them and a leaf of many blocks still yields one row
+    per query. Partners that come apart only cost an extra row.
+    """
     def run(batches):
+        key, asked, best, done = None, None, None, []
         for batch in batches:
-            vectors, squares = [], []
-            for q, r in zip(batch["queries"], batch["points"]):
-                a, b = np.asarray(q).reshape(-1, width), np.asarray(r).reshape(-1, width)
-                vectors.extend(a)
-                squares.append(_block_min(a, b))
-            yield pd.DataFrame({"vec": vectors, "d2": np.concatenate(squares) if squares else []})
+            for leaf, salt, q, r in zip(batch["leaf"], batch["salt"], batch["queries"], batch["points"]):
+                if (leaf, salt) != key:
+                    if key is not None:
+                        done.append((asked, best))
+                    key, asked = (leaf, salt), np.asarray(q).reshape(-1, width)
+                    best = np.full(len(asked), np.inf)
+                best = np.minimum(best, _block_min(asked, np.asarray(r).reshape(-1, width)))
+            if done:
+                yield _answers(done)
+                done = []
+        if key is not None:
+            yield _answers([(asked, best)])
     return run
 
 
+def _answers(blocks):
+    return pd.DataFrame({"vec": [v for asked, _ in blocks for v in asked],
+                         "d2": np.concatenate([best for _, best in blocks])})
+
+
 def _salted(points, block_rows):
     """Points with a salt that spreads each leaf over blocks of about block_rows, and the salts per leaf."""
     sizes = points.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_salts"))
@@ -129,7 +147,7 @@ def _search(queries, blocks, block_rows, width):
     offered = blocks.join(sizes, "leaf") \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
     asked, offered = spread(asked, "leaf", "salt"), spread(offered, "leaf", "salt")
-    return asked.join(offered, ["leaf", "salt"]).select("queries", "points") \
+    return asked.join(offered, ["leaf", "salt"]).select("leaf", "salt", "queries", "points") \
         .mapInPandas(_compare(width), "vec array<double>, d2 double")
 
 
