@@ -88,7 +88,34 @@ def export_summary(llm, human):
 
 _DRAW_FIELDS = ["real_correct", "real_wrong", "syn_correct", "syn_wrong"]
 _DRAW = StructType([StructField(f, LongType()) for f in _DRAW_FIELDS])
-_LIMIT = 1_000_000_000
+_LIMIT = 1_000_000_000  # numpy's own sampler stops here
+
+
+def _draw_by_inversion(rng, good, bad, n):
+    """Hypergeometric draw for any population: inverse distribution within 12 sd of the mode."""
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    sd = np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1)))
+    first, last = max(low, mode - int(12 * sd) - 2), min(high, mode + int(12 * sd) + 2)
+    k = np.arange(first, last, dtype=float)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    share = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(share, rng.random() * share[-1], "right"))
+
+
+def _draw_counts(rng, counts, n):
+    """Multivariate hypergeometric draw, one category after the other where numpy's sampler stops."""
+    if sum(counts) < _LIMIT:
+        return rng.multivariate_hypergeometric(np.array(counts, dtype=np.int64), n)
+    out, rest = [], sum(counts)
+    for c in counts:
+        rest -= c
+        x = min(c, n) if rest == 0 else 0 if c == 0 or n == 0 else _draw_by_inversion(rng, c, rest, n)
+        out.append(x)
+        n -= x
+    return out
 
 
 @F.pandas_udf(_DRAW)
@@ -97,10 +124,7 @@ def _shuffled_c1(rc: pd.Series, rw: pd.Series, sc: pd.Series, sw: pd.Series, n_c
     """Category counts that land in C1 when the condition labels of a group are shuffled."""
     out = np.zeros((len(rc), 4), dtype=np.int64)
     for i, row in enumerate(zip(rc, rw, sc, sw, n_c1, seed)):
-        if sum(row[:4]) >= _LIMIT:
-            raise ValueError("groups of a billion trials or more need permutation_test(engine='digest')")
-        out[i] = np.random.default_rng(int(row[5])).multivariate_hypergeometric(
-            np.array(row[:4], dtype=np.int64), int(row[4]))
+        out[i] = _draw_counts(np.random.default_rng(int(row[5])), [int(v) for v in row[:4]], int(row[4]))
     return pd.DataFrame(out, columns=_DRAW_FIELDS)
 
 
@@ -143,7 +167,7 @@ def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="co
 
     ``counts`` draws the shuffled C1 counts directly from each group's four
     counts, at a cost independent of the number of trials. ``digest`` shuffles
-    the trials themselves by keyed digest and has no size limit. Shuffles that
+    the trials themselves by keyed digest, which SQL can repeat. Shuffles that
     leave a class empty give no difference and are not counted.
     """
     observed = group_counts(trials, group)

@@ -150,6 +150,20 @@ def test_permutation_engines_agree(spark):
     assert a["perm_null_q025"] == pytest.approx(b["perm_null_q025"], abs=3.0)
 
 
+def test_draws_from_huge_groups_follow_the_same_law():
+    rng = np.random.default_rng(4)
+    small = np.array([I._draw_by_inversion(rng, 60, 40, 30) for _ in range(6000)])
+    want = rng.hypergeometric(60, 40, 30, 6000)
+    assert small.min() >= 0 and small.max() <= 30
+    assert abs(small.mean() - 18) < 0.15 and abs(small.std() - want.std()) < 0.1
+    counts = [4 * 10 ** 11, 10 ** 11, 3 * 10 ** 11, 2 * 10 ** 11]
+    n = 5 * 10 ** 11
+    got = np.array([I._draw_counts(rng, counts, n) for _ in range(40)], dtype=float)
+    assert (got.sum(axis=1) == n).all()
+    sd = np.sqrt(n * 0.4 * 0.6 * 0.5)
+    assert abs(got[:, 0].mean() - 2 * 10 ** 11) < 5 * sd / np.sqrt(40) and 0.6 * sd < got[:, 0].std() < 1.5 * sd
+
+
 def test_seed_sweep_interval_is_ordered(spark):
     frame = pd.DataFrame([(i, "adult", p, "m", "C1", "REAL" if i % 2 else "SYNTHETIC", i % 3 == 0)
                           for p, n in (("a", 90), ("b", 40)) for i in range(n)],
