@@ -27,7 +27,14 @@ def column_types(df, exclude=()):
     return literal_table(df.sparkSession, rows, ["column", "dtype", "kind", "position"])
 
 
+def _none(df, by, **fields):
+    """No rows, with the given columns: what a table without suitable columns gives."""
+    return df.filter(F.lit(False)).select(*by, *[F.lit(None).cast(t).alias(c) for c, t in fields.items()])
+
+
 def _long(df, by, columns, cast, keep=()):
+    if not columns:
+        return _none(df, [*by, *keep], column="string", value=cast)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value")) for c in columns])
     return df.select(*by, *keep, F.explode(cells).alias("_c")).select(*by, *keep, "_c.column", "_c.value")
 
@@ -110,6 +117,8 @@ def _moments(c):
 
 def numeric_moments(df, by=(), columns=None):
     columns = columns or numeric_columns(df, by)
+    if not columns:
+        return _none(df, by, column="string", **{m: "double" for m in _moments("x")})
     return _per_column(_numbers(df, by, columns), by, columns, _moments)
 
 
@@ -131,6 +140,8 @@ def _with_totals(df, by, columns):
     Totals come from a plain count, are one row per column and written, so the
     counts of a column with very many values are not gathered to divide them.
     """
+    if not columns:
+        return _none(df, by, column="string", value="string", n="bigint", total="bigint")
     totals = shared_table(_per_column(df, by, columns, lambda c: {"total": F.count(c)}), "totals")
     return value_counts(df, by, columns).join(totals, [*by, "column"])
 
@@ -158,6 +169,8 @@ def correlations(df, by=(), columns=None, places=4):
     """Pearson r of every column pair, pairwise complete; a fixed number of pairs per pass."""
     columns = columns or numeric_columns(df, by)
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return _none(df, by, c1="string", c2="string", r="double")
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start:start + PAIRS_PER_PASS]

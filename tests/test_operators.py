@@ -232,6 +232,16 @@ def test_only_c2_prompts_carry_the_profile(spark):
     assert "mean=19.5000" in got[2] and "mean=" not in got[1] and "Rows shown: 20 of 40" in got[1]
 
 
+@pytest.mark.parametrize("schema", ["x double", "c string"])
+def test_profiles_of_tables_with_one_kind_of_column(spark, schema):
+    df = spark.createDataFrame([(v,) for v in ((1.0, 2.0, 3.0) if "double" in schema else ("a", "b", "b"))], schema)
+    row = P.table_profile(df).first()
+    assert row["n_unique"] == (3 if "double" in schema else 2) and row["median"] == (2.0 if "double" in schema else None)
+    assert P.correlations(df).count() == 0
+    assert P.numeric_profile(df).count() + P.entropies(df).count() == 1
+    assert (P.top_values(df).count() > 0) == ("string" in schema)
+
+
 def test_profile_text_mentions_missing_and_correlation(spark):
     df = spark.createDataFrame([("t", i, float(i), float(2 * i) if i % 5 else None, "ab"[i % 2]) for i in range(50)],
                                "source string, row_id int, x double, y double, c string")
