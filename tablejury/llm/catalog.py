@@ -1,6 +1,6 @@
 """The operators' queries, each over its whole table."""
 
-from tablejury.llm import packing
+from tablejury.llm import packing, sharding
 
 QUERIES = {}
 ORACLES = {}
@@ -22,3 +22,8 @@ def table(spark, sf_dir, name):
 @query("op1_packing")
 def op1_packing(spark, sf_dir):
     return packing.pack_digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op2_sharding")
+def op2_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
