@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import packing, sharding, topk
+from tablejury.llm import packing, quality, sharding, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -45,3 +45,8 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def op3_topk(spark, sf_dir):
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
