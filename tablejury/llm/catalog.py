@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import packing, quality, sharding, topk
+from tablejury.llm import near_dedup, packing, quality, sharding, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -50,3 +50,8 @@ def op3_topk(spark, sf_dir):
 @query("op6_quality")
 def op6_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
