@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablejury.llm.common import partition_starts, small, stored
+from tablejury.llm.common import partition_starts, run_hashes, slices, small, stored, text_buffer
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 400_000  # bound of the per-worker memo of encoded words; it is emptied when full
+SLICE = 8_000_000  # bytes of text whose distinct words are encoded together (a longer text is its own slice)
 _ENCODERS = {}
 
 
@@ -31,11 +31,11 @@ def tokenizer_path(name="byte_bpe_50k.tiktoken"):
 
 
 class WordEncoder:
-    """Byte-pair ids of whole texts as little-endian unsigned 32-bit numbers, with a bounded memo of words.
+    """Byte-pair ids of whole texts; each distinct word of a slice of texts is encoded once.
 
-    The tokenizer's pattern never joins a visible character with a space that
-    follows it, so a text without runs of white space around spaces is the
-    concatenation of its words, each with the space before it.
+    The tokenizer's pattern starts a new unit at every space between visible
+    characters, so such a text is the concatenation of its words, each with the
+    space before it. Texts where a space touches other white space are encoded whole.
     """
 
     def __init__(self, path):
@@ -44,27 +44,91 @@ class WordEncoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                        special_tokens={}).encode_to_numpy
-        encode = self.encode
-
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                value = self[word] = encode(" " + word, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
-                return value
-
-        self.memo = Memo()
-
-    def whole(self, text):
-        return self.encode(text, allowed_special=set(), disallowed_special=()).astype("<u4").tobytes()
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.width[rank] = len(token)
 
     def ids(self, text):
-        if "  " in text or text[-1:].isspace():
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self.whole(first), *map(self.memo.__getitem__, rest)])
+        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+
+    def batch(self, data, offsets, end_id):
+        """(all ids with `end_id` after each document, number of ids per document)."""
+        docs, raw = len(offsets) - 1, data.tobytes()
+        whole = _awkward(data, offsets)
+        h, starts, bounds = run_hashes(data, (data != 32).view(np.uint8), offsets)
+        lengths = np.diff(np.append(starts, len(data)))
+        ends = starts + lengths
+        spaces = np.append(np.flatnonzero((data == 32) | _marks(offsets, len(data))), len(data))
+        ends = np.minimum(ends, spaces[np.searchsorted(spaces, starts + 1)])
+        first = np.zeros(len(h), bool)
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+        first &= np.isin(starts, offsets[:-1])
+        doc = np.repeat(np.arange(docs), np.diff(bounds))
+        word = ~first & ~whole[doc]
+        _, at, which = np.unique(h[word], return_index=True, return_inverse=True)
+        begin, stop = starts[word][at].tolist(), ends[word][at].tolist()
+        vocabulary = self.ids((b" " + b" ".join([raw[i:j] for i, j in zip(begin, stop, strict=True)])).decode()) if begin else self.ids("")
+        edge = np.cumsum(self.width[vocabulary])
+        upto = np.searchsorted(edge, np.cumsum(np.array(stop, np.int64) - np.array(begin, np.int64) + 1), side="left") + 1
+        from_ = np.append(0, upto)[:-1]
+        # heads: the first word of ordinary documents, all of the awkward ones; then the words; then the end id
+        head = []
+        first_of = np.full(docs, -1, np.int64)
+        first_of[doc[first]] = np.flatnonzero(first)
+        for d in range(docs):
+            if whole[d]:
+                head.append(self.ids(raw[offsets[d]:offsets[d + 1]].decode()))
+            elif first_of[d] >= 0:
+                head.append(self.ids(raw[starts[first_of[d]]:ends[first_of[d]]].decode()))
+            else:
+                head.append(np.zeros(0, np.uint32))
+        heads = np.array([len(x) for x in head], np.int64)
+        words = np.bincount(doc[word], minlength=docs)
+        piece_count = words + 2
+        piece_end = np.cumsum(piece_count)
+        n_pieces = int(piece_end[-1]) if docs else 0
+        source = np.concatenate([vocabulary, *head, np.array([end_id], np.uint32)])
+        begins, sizes = np.empty(n_pieces, np.int64), np.empty(n_pieces, np.int64)
+        head_at, end_at = piece_end - piece_count, piece_end - 1
+        begins[head_at], sizes[head_at] = len(vocabulary) + np.cumsum(heads) - heads, heads
+        begins[end_at], sizes[end_at] = len(source) - 1, 1
+        middle = np.ones(n_pieces, bool)
+        middle[head_at] = middle[end_at] = False
+        begins[middle], sizes[middle] = from_[which], (upto - from_)[which]
+        total = np.cumsum(sizes)
+        flat = source[np.repeat(begins - (total - sizes), sizes) + np.arange(total[-1] if n_pieces else 0)]
+        return flat, np.diff(np.append(0, total[end_at]))
+
+
+def _marks(offsets, n):
+    """Where documents begin."""
+    out = np.zeros(n, bool)
+    out[offsets[:-1][offsets[:-1] < n]] = True
+    return out
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def _awkward(data, offsets):
+    """Documents where a space stands beside other white space or at the end."""
+    n = len(data)
+    begins, ends = _SPACE[data], _SPACE[data]  # first and last byte of a white-space character
+    for i in np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))).tolist():
+        size = 2 if data[i] == 0xC2 else 3
+        if bytes(data[i:i + size]).decode().isspace():
+            begins[i] = ends[i + size - 1] = True
+    space = data == 32
+    bad = np.zeros(n + 1, bool)
+    if n:
+        inside = ~_marks(offsets, n)[1:]
+        bad[1:n] = ((space[:-1] & begins[1:]) | (ends[:-1] & space[1:])) & inside
+        last = offsets[1:][np.diff(offsets) > 0] - 1
+        bad[last] |= space[last]
+    total = np.append(0, np.cumsum(bad))
+    return total[offsets[1:]] > total[offsets[:-1]]
 
 
 def encoder(path):
@@ -77,22 +141,20 @@ def tokenized(documents: DataFrame, path=None, end_id=END_ID) -> DataFrame:
     """Pass one: (part, local_start, doc_id, n_tokens, ids), written to the shared folder."""
     path = path or tokenizer_path()
     kind = dict(documents.dtypes)["doc_id"]
-    end = np.uint32(end_id).astype("<u4").tobytes()
 
     def encode(batches):
         part, total = TaskContext.get().partitionId(), 0
         bpe = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                texts = piece.column(1).to_pylist()
-                ids = [(bpe.ids(t) if t else b"") + end for t in texts]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            data, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices(offsets, SLICE):
+                flat, n = bpe.batch(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], end_id)
+                where = np.append(0, np.cumsum(n))
+                ids = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(where * 4), pa.py_buffer(flat.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(total + np.cumsum(n) - n), piece.column(0),
-                     pa.array(n), pa.array(ids, pa.binary())],
-                    names=["part", "local_start", "doc_id", "n_tokens", "ids"])
-                total += int(n.sum())
+                    [pa.array(np.full(hi - lo, part, np.int32)), pa.array(total + where[:-1]), batch.column(0).slice(lo, hi - lo),
+                     pa.array(n), ids.cast(pa.binary())], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
+                total += int(where[-1])
 
     rows = documents.select("doc_id", "text").mapInArrow(
         encode, f"part int, local_start long, doc_id {kind}, n_tokens long, ids binary")
