@@ -2,11 +2,15 @@
 
 Every distinct shingle set gets `TREES` chunks of `DEPTH` minimum hashes. In each
 tree the sets are sorted by their chunk, so that sets with the longest common
-prefixes stand side by side. A set's candidates are its `NEAR` next neighbours
-that share a prefix at all: in a thin region that is everyone with one common
-minimum, in a crowded one those that agree deeper, so the depth adapts to the
-region. A sketch of two bits per minimum screens candidates (five standard
-deviations below what a link would show), and full sets confirm them.
+prefixes stand side by side. A set's candidates stand within `NEAR` places and
+share a prefix at all: in a thin region that is everyone with one common minimum,
+in a crowded one those that agree deeper, so the depth adapts to the region. A
+sketch of two bits per minimum screens them (five standard deviations below what
+a link would show); in each tree the `BEST` on either side go on to be confirmed
+on full sets. Sets that stood in a region longer than `BEST` go through another
+round with a wider window, where only candidates of different components count,
+until a round links nothing new: what a crowd hides from one round, the next
+finds once the crowd has become one component.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
@@ -23,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, small, stored, text_buffer
 
-TREES, DEPTH, NEAR = 16, 8, 8
+TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 4
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -111,81 +115,96 @@ def signatures(documents: DataFrame) -> DataFrame:
         sign, f"doc_id {kind}, n_shingles long, set_id binary, signature binary, sketch binary"), "dedup-signatures")
 
 
-def _near(tree, chunk, n, sketch, names, lo_side=None):
-    """Index pairs of rows at most NEAR apart in the order that share a prefix and pass size and sketch."""
-    left, right = [], []
-    for d in range(1, NEAR + 1):
-        if len(tree) <= d:
+def _near(frame, near, across=None):
+    """Pairs at most `near` apart in the order that share a prefix, differ in root and pass size and sketch.
+
+    Of these, the BEST on either side in the view of the row whose component is not the larger one. Also the set
+    ids of crowded regions. `across` marks the rows before the cut, when only pairs over it count.
+    """
+    first = np.frombuffer(b"".join(c[:4] for c in frame["chunk"]), ">u4")
+    sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(len(frame), -1)
+    tree, n, names = frame["tree"].to_numpy(), frame["n_shingles"].to_numpy(), frame["set_id"].to_numpy()
+    root, weight = pd.factorize(frame["root"])[0], frame["weight"].to_numpy()
+    found, live, crowded = [], np.arange(len(frame)), np.zeros(0, np.int64)
+    for d in range(1, near + 1):
+        live = live[live + d < len(frame)]  # in a sorted order, those that share a prefix at d shared it at d - 1
+        live = live[(tree[live] == tree[live + d]) & (first[live] == first[live + d])]
+        if not len(live):
             break
-        ok = (tree[d:] == tree[:-d]) & (chunk[d:, 0] == chunk[:-d, 0])
-        if lo_side is not None:
-            ok &= lo_side[:-d] & ~lo_side[d:]
-        i = np.flatnonzero(ok)
-        small_, large = np.minimum(n[i], n[i + d]), np.maximum(n[i], n[i + d])
-        i = i[small_ * 100 >= large * SIMILARITY]
+        if d == BEST + 1:
+            crowded = np.union1d(live, live + d)
+        i = live[root[live] != root[live + d]]
+        if across is not None:
+            i = i[across[i] & ~across[i + d]]
+        i = i[np.minimum(n[i], n[i + d]) * 100 >= np.maximum(n[i], n[i + d]) * SIMILARITY]
         x = sketch[i] ^ sketch[i + d]
         different = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
-        i = i[different <= _MOST_DIFFERENT]
-        left.append(i)
-        right.append(i + d)
-    if not left:
-        return []
-    return [(min(names[i], names[j]), max(names[i], names[j]))
-            for i, j in zip(np.concatenate(left).tolist(), np.concatenate(right).tolist(), strict=True)]
-
-
-def _columns(frame):
-    chunk = np.frombuffer(b"".join(frame["chunk"]), ">u4").reshape(-1, DEPTH)
-    sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(-1, TREES * DEPTH // 32)
-    return frame["tree"].to_numpy(), chunk, frame["n_shingles"].to_numpy(), sketch, frame["set_id"].tolist()
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of set ids that are neighbours in some tree."""
-    rows = sets.selectExpr("set_id", "n_shingles", "sketch", f"""inline(transform(sequence(0, {TREES - 1}), t ->
+        take = different <= _MOST_DIFFERENT
+        found.append((i[take], i[take] + d, different[take]))
+    pairs = set()
+    if found:
+        i, j, different = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = (_rank(i, different) < BEST) & (weight[i] <= weight[j]) | (_rank(j, different) < BEST) & (weight[j] <= weight[i])
+        pairs.update((min(x, y), max(x, y)) for x, y in zip(names[i[keep]], names[j[keep]], strict=True))
+    return pairs, set(names[crowded])
+
+
+def _rank(group, value):
+    """The place of each row among those of its group, smallest value first."""
+    order = np.lexsort((value, group))
+    ordered = group[order]
+    out = np.empty(len(group), np.int64)
+    out[order] = np.arange(len(group)) - np.searchsorted(ordered, ordered)
+    return out
+
+
+def candidates(sets: DataFrame, near=NEAR):
+    """Distinct pairs (a, b), a < b, of set ids with different roots that are neighbours in some tree, and crowded set ids."""
+    rows = sets.selectExpr("set_id", "n_shingles", "sketch", "root", "weight", f"""inline(transform(sequence(0, {TREES - 1}), t ->
         struct(t AS tree, substring(signature, t * {4 * DEPTH} + 1, {4 * DEPTH}) AS chunk)))""")
-    cuts = max(1, min(parts(sets), sets.count() * TREES // 2000))
+    cuts = max(1, min(parts(sets), sets.count() * TREES // max(2000, 4 * near)))
     ordered = rows.repartitionByRange(cuts, "tree", "chunk", "set_id").sortWithinPartitions("tree", "chunk", "set_id")
-    fields = "tree int, chunk binary, n_shingles long, sketch binary, set_id binary"
+    fields = {"tree": "int", "chunk": "binary", "n_shingles": "long", "sketch": "binary", "set_id": "binary", "root": "binary", "weight": "long"}
+    names = list(fields)
 
     def scan(batches):
-        part, held, first, seen = TaskContext.get().partitionId(), None, None, 0
+        part, held, first = TaskContext.get().partitionId(), None, None
 
-        def edge(frame, side):
-            return pd.DataFrame({"a": None, "b": None, "part": part, "side": side, "tree": frame["tree"], "chunk": frame["chunk"],
-                                 "n_shingles": frame["n_shingles"], "sketch": frame["sketch"], "set_id": frame["set_id"]})
+        def made(n, **columns):
+            return pd.DataFrame({k: columns.get(k, [None] * n) for k in ["a", "b", "part", "side", *names]})
 
         for frame in batches:
             if not len(frame):
                 continue
-            if first is None or len(first) < NEAR:
-                first = frame.head(NEAR) if first is None else pd.concat([first, frame]).head(NEAR)
-            kept = 0 if held is None else len(held)
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            pairs = {p for p in _near(*_columns(frame))}
-            held, seen = frame.tail(NEAR).reset_index(drop=True), seen + len(frame) - kept
+            if first is None or len(first) < near:
+                first = pd.concat([first, frame]).head(near) if first is not None else frame.head(near)
+            frame = pd.concat([held, frame], ignore_index=True) if held is not None else frame
+            pairs, crowded = _near(frame, near)
+            held = frame.tail(near).reset_index(drop=True)
             if pairs:
                 a, b = zip(*pairs, strict=True)
-                yield pd.DataFrame({"a": a, "b": b, "part": part, "side": None, "tree": None, "chunk": None,
-                                    "n_shingles": None, "sketch": None, "set_id": None})
+                yield made(len(a), a=list(a), b=list(b))
+            if crowded:
+                yield made(len(crowded), side=[2] * len(crowded), set_id=list(crowded))
         if held is not None:
-            yield edge(first, 1)
-            yield edge(held, 0)
+            for side, edge in ((1, first), (0, held)):
+                yield made(len(edge), part=[part] * len(edge), side=[side] * len(edge), **{c: edge[c].tolist() for c in names})
 
-    found = stored(ordered.select("tree", "chunk", "n_shingles", "sketch", "set_id").mapInPandas(
-        scan, "a binary, b binary, part int, side int, " + fields), "dedup-candidates")
-    edges = found.where(F.col("side").isNotNull())
+    found = stored(ordered.select(*names).mapInPandas(
+        scan, "a binary, b binary, part int, side int, " + ", ".join(f"{k} {v}" for k, v in fields.items())), "dedup-candidates")
+    edges = found.where(F.col("side") < 2)
     ranks = edges.select("part").distinct().withColumn("rank", F.row_number().over(W.orderBy("part")))  # one row per partition
     cut = edges.join(ranks, "part").withColumn("cut", F.col("rank") - F.col("side"))
 
-    def across(frame):
-        frame = frame.sort_values(["side", "tree", "chunk", "set_id"], ignore_index=True)
-        pairs = set(_near(*_columns(frame), lo_side=frame["side"].to_numpy() == 0))
+    def over(frame):
+        frame = frame.sort_values("side", kind="stable", ignore_index=True)
+        frame = pd.concat([part.sort_values(["tree", "chunk", "set_id"]) for _, part in frame.groupby("side")], ignore_index=True)
+        pairs, _ = _near(frame, near, across=frame["side"].to_numpy() == 0)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
-    joined = cut.select("cut", "side", "tree", "chunk", "n_shingles", "sketch", "set_id").groupBy("cut").applyInPandas(
-        across, "a binary, b binary")  # at most 2 * NEAR rows in a group
-    return found.where(F.col("side").isNull()).select("a", "b").unionByName(joined).distinct()
+    joined = cut.select("cut", "side", *names).groupBy("cut").applyInPandas(over, "a binary, b binary")  # 2 * near rows a group
+    pairs = found.where(F.col("side").isNull()).select("a", "b").unionByName(joined).distinct()
+    return pairs, found.where(F.col("side") == 2).select("set_id").distinct()
 
 
 def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -270,8 +289,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"),
                                              F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
                                              F.first("sketch").alias("sketch")), "dedup-distinct")
-    links = confirmed(documents, sets, candidates(sets))
-    roots = stored(components(links), "dedup-roots")
+    active, near, edges, roots = sets.withColumns({"root": F.col("set_id"), "weight": F.lit(1).cast("long")}), NEAR, None, None
+    while True:
+        pairs, crowded = candidates(active, near)
+        links = confirmed(documents, sets, pairs)
+        if roots is None or not links.isEmpty():
+            edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = stored(components(edges), "dedup-roots")
+        if links.isEmpty():
+            break
+        crowded = stored(crowded, "dedup-crowded")
+        n, near = crowded.count(), near * WIDER
+        if not n:
+            break
+        weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
+        active = (sets.join(small(crowded, n), "set_id", "left_semi")
+                  .join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
+                  .withColumn("root", F.coalesce("root", "set_id")).join(weights, "root", "left")
+                  .withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long")))
     placed = sets.select("set_id", "doc_id", "rows").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     linked = placed.where(F.col("root").isNotNull())
     heads = placed.join(roots.select(F.col("root").alias("set_id")).distinct(), "set_id", "left_semi")

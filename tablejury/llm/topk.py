@@ -179,9 +179,11 @@ def top_k(table: DataFrame, queries: DataFrame, k=K, block=BLOCK, query_block=QU
         return pd.Series((reach >= need[:, None]).sum(1))
 
     def packed(frame, name):
+        """Query blocks, written with the block they meet first."""
         out = blocks(frame.withColumn("norm", norm), width, query_block, order)
         return stored(out.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("bounds").alias("q_bounds"),
-                                 F.col("longest").alias("q_longest"), F.col("least").alias("q_least")), name)
+                                 F.col("longest").alias("q_longest"), F.col("least").alias("q_least"),
+                                 F.lit(lengths[0][0]).cast("long").alias("block")), name)
 
     def meet(pairs):
         return (pairs.join(held, "block").select("q_ids", "q_data", "q_bounds", "ids", "data")
@@ -189,12 +191,12 @@ def top_k(table: DataFrame, queries: DataFrame, k=K, block=BLOCK, query_block=QU
 
     queries = stored(queries.select("vec_id", "v"), "topk-queries")
     start = packed(queries.withColumn("bound", F.lit(least)), "topk-seed-queries")
-    seed = stored(meet(start.withColumn("block", F.lit(lengths[0][0]))), "topk-seed")
+    seed = stored(meet(start), "topk-seed")
     kth = (seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bound"))
            .where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), "bound"))
     again = packed(queries.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(least))), "topk-bounded")
     names = stored(spark.createDataFrame([(i, b) for i, (b, _) in enumerate(lengths)], "at int, block long"), "topk-names")
-    pairs = (again.withColumn("open", open_blocks("q_longest", "q_least")).where("open > 1")
+    pairs = (again.drop("block").withColumn("open", open_blocks("q_longest", "q_least")).where("open > 1")
              .withColumn("at", F.explode(F.expr("sequence(1, open - 1)"))).join(small(names, len(lengths)), "at"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (seed.unionByName(meet(pairs)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
