@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import near_dedup, packing, quality, sharding, topk
+from tablejury.llm import near_dedup, packing, pii, quality, sharding, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +55,8 @@ def op6_quality(spark, sf_dir):
 @query("op8_near_dedup")
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pii")
+def op5_pii(spark, sf_dir):
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
