@@ -318,3 +318,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     out = done.select("doc_id", "n_shingles", "component_id").unionByName(
         rows.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """The rows of `documents`, all columns, without the doc_ids of which no row was kept."""
+    seen = stored(near_duplicates(documents).groupBy("doc_id").agg(F.max("kept").alias("kept")), "dedup-kept")
+    dropped = seen.where(~F.col("kept")).select("doc_id")
+    return documents.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*documents.columns)

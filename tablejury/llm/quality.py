@@ -180,6 +180,16 @@ def train(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labe
     return Network(np.vstack(rows["x"].to_numpy()), y)
 
 
+def _scorer(documents: DataFrame, labels: DataFrame, max_labelled):
+    """A function from an Arrow column of texts to scores."""
+    vectors = word_vectors(documents)
+    model = train(documents, labels, vectors, max_labelled)
+    if not isinstance(model, Network):
+        return lambda column: np.full(len(column), model)
+    table, rest = model.folded(vectors)
+    return lambda column: model.scores(pooled(column, table), rest)
+
+
 def score(documents: DataFrame, labels: DataFrame, max_labelled=MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `documents`.
 
@@ -189,18 +199,22 @@ def score(documents: DataFrame, labels: DataFrame, max_labelled=MAX_LABELLED) ->
     the score is the smoothed share of label 1 (0.5 without labels). Rows with a
     NULL or repeated doc_id are scored one by one. Other columns are ignored.
     """
-    vectors = word_vectors(documents)
-    model = train(documents, labels, vectors, max_labelled)
-    kind = dict(documents.dtypes)["doc_id"]
-    if isinstance(model, Network):
-        table, rest = model.folded(vectors)
-    else:
-        table, rest = None, None
+    scorer, kind = _scorer(documents, labels, max_labelled), dict(documents.dtypes)["doc_id"]
 
     def apply(batches):
         for batch in batches:
-            s = np.full(batch.num_rows, model) if table is None else model.scores(pooled(batch.column(1), table), rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
 
     return (documents.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, max_labelled=MAX_LABELLED) -> DataFrame:
+    """The rows of `documents`, all columns, whose score is at least 0.5."""
+    scorer, at = _scorer(documents, labels, max_labelled), documents.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at)) >= 0.5))
+
+    return documents.mapInArrow(keep, documents.schema)
