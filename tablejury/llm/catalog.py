@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import near_dedup, packing, pii, quality, sharding, topk
+from tablejury.llm import fingerprints, near_dedup, packing, pii, quality, sharding, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -60,3 +60,8 @@ def op8_near_dedup(spark, sf_dir):
 @query("op5_pii")
 def op5_pii(spark, sf_dir):
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
