@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import fingerprints, near_dedup, packing, pii, quality, sharding, topk
+from tablejury.llm import chat, fingerprints, lm_scoring, near_dedup, packing, pii, quality, sharding, topk
 
 QUERIES = {}
 ORACLES = {}
@@ -65,3 +65,37 @@ def op5_pii(spark, sf_dir):
 @query("op9_fingerprints")
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+@query("op10_chat", """
+WITH t AS (
+    SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS c
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+last AS (
+    SELECT conv_id AS pair_id, max({'turn': turn, 'text': text}) AS reply
+    FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+swap AS (
+    SELECT a.pair_id, a.reply['turn'] AS spot, b.reply['text'] AS other, b.pair_id IS NOT NULL AS has_other
+    FROM last a LEFT JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+r AS (
+    SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(CASE WHEN turn = spot THEN other ELSE text END, '')}) AS r
+    FROM conversations LEFT JOIN swap ON pair_id = conv_id
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND (spot IS NULL OR turn <> spot OR has_other) GROUP BY ALL),
+b AS (SELECT pair_id, turn, c, r FROM t FULL JOIN r USING (pair_id, turn)),
+cut AS (SELECT pair_id, min(turn) AS cut FROM b WHERE c IS DISTINCT FROM r GROUP BY ALL),
+rows AS (
+    SELECT pair_id, 'prompt' AS part, turn, c AS said FROM b LEFT JOIN cut USING (pair_id) WHERE cut IS NULL OR turn < cut
+    UNION ALL SELECT pair_id, 'chosen', turn, c FROM b JOIN cut USING (pair_id) WHERE turn >= cut AND c IS NOT NULL
+    UNION ALL SELECT pair_id, 'rejected', turn, r FROM b JOIN cut USING (pair_id) WHERE turn >= cut AND r IS NOT NULL)
+SELECT pair_id, part, turn, said['role'] AS role,
+       '<|' || said['role'] || '|>' || chr(10) || said['text'] || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND said['role'] = 'assistant' AS trained
+FROM rows""")
+def op10_chat(spark, sf_dir):
+    return chat.preference_pairs(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
