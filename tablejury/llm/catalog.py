@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from tablejury.llm import chat, fingerprints, lm_scoring, near_dedup, packing, pii, quality, sharding, topk
+from tablejury.llm import (
+    chat,
+    fingerprints,
+    lm_scoring,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    sentencepiece_fst,
+    sharding,
+    topk,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -99,3 +110,9 @@ SELECT pair_id, part, turn, said['role'] AS role,
 FROM rows""")
 def op10_chat(spark, sf_dir):
     return chat.preference_pairs(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    encoded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
+    return sentencepiece_fst.digest(sentencepiece_fst.decode(encoded))

@@ -164,10 +164,14 @@ def run_hashes(data, kinds, offsets):
     ends = np.append(edges[1:], n)
     keep = kinds[edges] != 0
     starts, ends = edges[keep], ends[keep]
+    return span_hashes(data, starts, ends), starts, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data, starts, ends):
+    """Hashes of the byte strings data[start:end]; equal strings have equal hashes wherever they stand."""
+    n = len(data)
     power, inverse = _powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts]
-        h = mix(h + (ends - starts).astype(np.uint64) * _ODD)
-    return h, starts, np.searchsorted(starts, offsets)
+        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
