@@ -109,8 +109,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _with_spans(documents: DataFrame) -> DataFrame:
+    """(row, text, base, key): all columns in one struct, so that no name can clash."""
     text = F.coalesce("text", F.lit(""))
-    return documents.withColumn("_pii", base_spans(text)).withColumn("_key", F.sha2(text, 256))
+    return documents.select(F.struct("*").alias("row"), text.alias("text"), base_spans(text).alias("base"),
+                            F.sha2(text, 256).alias("key"))
 
 
 def _entity(span):
@@ -125,8 +127,8 @@ def _words(text: Column) -> Column:
 def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) -> DataFrame:
     """(text key, term, share): terms of texts that disclose at least `share` of an entity named in the same text."""
     text = F.coalesce("text", F.lit(""))
-    named = stored(_with_spans(documents.select("text")).where(F.size("_pii") > 0).select(
-        F.col("_key").alias("key"), F.explode(F.array_distinct(F.transform("_pii", _entity))).alias("entity"))
+    named = stored(_with_spans(documents.select("text")).where(F.size("base") > 0).select(
+        "key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
         .groupBy("key", "entity").agg(F.count("*").alias("docs")), "pii-entities")
     known = (named.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
              .where(F.col("texts") >= support).select("entity", "n_e"))
@@ -150,34 +152,44 @@ def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) ->
     return named.select("key", "entity").join(strong, "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
-def detect(documents: DataFrame, share=GENERALISE, remove=REMOVE, support=SUPPORT) -> DataFrame:
-    """All columns of `documents` plus `pii`, the base and term spans: array of (kind, s, e, value, tag).
-
-    Base spans come first, by kind (email, ip, card, phone) and start; then `term`
-    spans, which never overlap a base span. Offsets are code points of the whole
-    text, end exclusive. NULL and empty texts have none. Equal texts have equal
-    spans; repeated rows and NULL ids are kept as they are.
-    """
+def _found(documents: DataFrame, share, remove, support) -> DataFrame:
+    """(row, text, pii) for every row."""
     terms = revealing_terms(documents, share, support).groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))  # at most the words of one text
+        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # at most the words of one text
     terms = stored(terms, "pii-text-terms")
-    rows = _with_spans(documents).join(small(terms.withColumnRenamed("key", "_key"), terms.count()), "_key", "left")
+    rows = _with_spans(documents).join(small(terms, terms.count()), "key", "left")
 
     def term(x):
-        p = F.element_at(F.col("_terms"), F.lower(x["value"]))
+        p = F.element_at(F.col("terms"), F.lower(x["value"]))
         return F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"),
                         F.when(p >= remove, "").otherwise("<TERM>").alias("tag"))
 
     found = F.transform(F.filter(
-        located(F.coalesce("text", F.lit("")), WORD),
-        lambda x: F.map_contains_key(F.col("_terms"), F.lower(x["value"]))
-        & ~F.exists(F.col("_pii"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))), term)
-    extra = F.when(F.col("_terms").isNotNull(), found).otherwise(F.array().cast(SPAN))
-    return rows.withColumn("pii", F.concat("_pii", extra)).drop("_key", "_pii", "_terms")
+        located(F.col("text"), WORD),
+        lambda x: F.map_contains_key(F.col("terms"), F.lower(x["value"]))
+        & ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))), term)
+    extra = F.when(F.col("terms").isNotNull(), found).otherwise(F.array().cast(SPAN))
+    return rows.select("row", "text", F.concat("base", extra).alias("pii"))
+
+
+def detect(documents: DataFrame, share=GENERALISE, remove=REMOVE, support=SUPPORT) -> DataFrame:
+    """All columns of `documents` plus `pii`, the base and term spans: array of (kind, s, e, value, tag).
+
+    Base spans come first, by kind (email, ip, card, phone) and start; then `term`
+    spans, which never overlap a base span. Offsets are code points of the whole
+    text, end exclusive. NULL and empty texts have none. Equal texts have equal
+    spans; repeated rows and NULL ids are kept as they are. A column that is
+    called `pii` already gives way to the spans; other extra columns pass through.
+    """
+    names = [c for c in documents.columns if c != "pii"]
+    return _found(documents, share, remove, support).select(*[F.col("row").getField(c).alias(c) for c in names], "pii")
 
 
-def sanitised(documents: DataFrame, **options) -> DataFrame:
-    """The columns of `documents` with every span of `text` replaced by its tag (removed terms by nothing); n_chars follows."""
+def sanitised(documents: DataFrame, share=GENERALISE, remove=REMOVE, support=SUPPORT) -> DataFrame:
+    """The columns of `documents` with every span of `text` replaced by its tag (removed terms by nothing).
+
+    A column `n_chars` follows the new text. NULL texts stay NULL; all else is as in `detect`.
+    """
     def rewritten(text, spans):
         ends = F.transform(spans, lambda x: x["e"])
         after = F.array_max(ends)
@@ -187,11 +199,10 @@ def sanitised(documents: DataFrame, **options) -> DataFrame:
             F.substring(text, (after + 1).cast("int"), F.length(text))))
 
     ordered = F.array_sort(F.transform("pii", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["tag"].alias("tag"))))
-    text = F.when(F.size("pii") > 0, let(ordered, lambda spans: rewritten(F.col("text"), spans))).otherwise(F.col("text"))
-    out = detect(documents, **options).withColumn("text", text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*documents.columns)
+    text = F.when(F.size("pii") > 0, let(ordered, lambda spans: rewritten(F.col("text"), spans))).otherwise(F.col("row.text"))
+    rows = _found(documents, share, remove, support).select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0))}
+    return rows.select(*[(new[c].cast(kind) if c in new else F.col("row").getField(c)).alias(c) for c, kind in documents.dtypes])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ Differencing keeps partial partitions: tuples of part sizes, largest first. The
 two with the largest spread are combined in opposite order (largest part onto
 smallest) until one is left; walking the combinations back assigns every item.
 
-One heap cannot hold all groups of a large corpus, so cells of a bounded number
-of groups are differenced in parallel into `ways` bundles each, bundles become
-the items of the next level, and the last level, of at most `last_level` items,
-yields the shards. Groups larger than 1/(shards * ways) of all bytes are fewer
+One heap cannot hold all groups of a large corpus. While there are more than
+`last_level` items, cells of a bounded number of them are differenced in parallel
+into `ways` bundles each, which become the items of the next level; the last
+level yields the shards. Groups larger than 1/(shards * ways) of all bytes are fewer
 than shards * ways; they skip the cells and enter the last level on their own, so
 that everything else can be arranged around them.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablejury.llm.common import join_groups, numbered, small, stored
 
-SHARDS, WAYS, GROUPS_PER_CELL, LAST_LEVEL = 8, 64, 50_000, 50_000
+SHARDS, WAYS, GROUPS_PER_CELL, LAST_LEVEL = 8, 64, 50_000, 20_000
 
 
 def difference(sizes, ways):
@@ -78,20 +78,18 @@ def shard_groups(groups: DataFrame, shards=SHARDS, ways=WAYS, per_cell=GROUPS_PE
              .orderBy(F.desc("bytes"), "group_key").collect()]  # fewer than shards * ways
     light = groups.where(F.col("bytes") <= limit)
     levels, items = [], light.select(F.col("group_key").alias("item"), "bytes")
-    while True:
-        level = _bundled(items, ways, per_cell)
-        levels.append(level)
-        items = level.groupBy(F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes"))
-        if level.select("bundle").distinct().count() <= last_level:
-            break
-    last = sorted((-r["bytes"], r["item"]) for r in items.collect())
+    while items.count() > last_level:
+        levels.append(_bundled(items, ways, per_cell))
+        items = levels[-1].groupBy(F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes"))
+    last = sorted((-r["bytes"], r["item"]) for r in items.collect())  # at most last_level
     label = difference([b for _, b in heavy] + [-b for b, _ in last], shards)
     spark = groups.sparkSession
-    up = spark.createDataFrame([(item, s) for (_, item), s in zip(last, label[len(heavy):], strict=True)],
-                               "bundle long, shard int")
-    found = levels[-1].select("item", "bundle").join(small(up, len(last)), "bundle").select("item", "shard")
-    for level in reversed(levels[:-1]):
-        found = level.select("item", "bundle").join(found.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
+    kind = dict(items.dtypes)["item"]
+    found = stored(spark.createDataFrame([(item, s) for (_, item), s in zip(last, label[len(heavy):], strict=True)],
+                                         f"item {kind}, shard int"), "sharding-last")
+    for level in reversed(levels):
+        up = found.withColumnRenamed("item", "bundle")
+        found = level.select("item", "bundle").join(small(up, up.count()), "bundle").select("item", "shard")
     found = found.withColumnRenamed("item", "group_key")
     if heavy:
         found = found.unionByName(spark.createDataFrame(
@@ -99,7 +97,7 @@ def shard_groups(groups: DataFrame, shards=SHARDS, ways=WAYS, per_cell=GROUPS_PE
     return groups.select("group_key", "rows").join(found, "group_key")
 
 
-def shard_documents(documents: DataFrame, shards=SHARDS, ways=WAYS, per_cell=GROUPS_PER_CELL) -> DataFrame:
+def shard_documents(documents: DataFrame, shards=SHARDS, ways=WAYS, per_cell=GROUPS_PER_CELL, last_level=LAST_LEVEL) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (NULL) for every row.
 
     Equal texts share a shard; a NULL text counts as empty. Shard sizes in bytes
@@ -114,7 +112,7 @@ def shard_documents(documents: DataFrame, shards=SHARDS, ways=WAYS, per_cell=GRO
         F.unhex(F.sha2(text, 256)).alias("group_key")), "sharding-rows")
     groups = stored(rows.groupBy("group_key").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")),
                     "sharding-groups")
-    placed = stored(shard_groups(groups, shards, ways, per_cell), "sharding-placed")
+    placed = stored(shard_groups(groups, shards, ways, per_cell, last_level), "sharding-placed")
     out = join_groups(rows, placed, "group_key", "rows").select("doc_id", "size", "text_crc32", "shard")
     return numbered(out, "shard", "slot", "sharding-slots").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
