@@ -15,8 +15,8 @@ def unit(digest_column):
     return F.conv(F.substring(digest_column, 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def seed_int(*parts):
-    """First 8 hex digits of SHA-256 over the parts joined by two bars, as an integer."""
+def seed_int(*parts, digits=8):
+    """First hex digits (8, at most 15) of SHA-256 over the parts joined by two bars, as an integer."""
     joined = F.concat_ws("||", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string")
                                  for p in parts])
-    return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.sha2(joined, 256), 1, digits), 16, 10).cast("bigint")

@@ -196,9 +196,9 @@ def _narrow(rows, targets, keys):
 
 
 def digits_for(n_rows, rows_per_bucket=2048):
-    """Leading hex digits for the largest group: small groups need few buckets, none needs more than HEX_DIGITS."""
+    """Leading hex digits for the largest group: as many buckets as keep each near ``rows_per_bucket`` rows."""
     digits = 1
-    while digits < HEX_DIGITS and n_rows > rows_per_bucket * 16 ** digits:
+    while n_rows > rows_per_bucket * 16 ** digits:
         digits += 1
     return digits
 

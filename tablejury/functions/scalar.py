@@ -123,3 +123,9 @@ def whole_percent(share):
 
 def stamp(ts):
     return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def nan_to_null(df):
+    """NaN counts as missing, as in the sources these tables come from."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])

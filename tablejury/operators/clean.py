@@ -123,8 +123,9 @@ def prepare_census(df, names=CENSUS_NAMES):
 
 
 def impute_with(df, columns, reference):
-    """Fill NULLs with the means of ``reference``: one row of means, held as literals."""
-    means = reference.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    """Fill NULLs and NaNs with the means of ``reference``: one row of means, held as literals."""
+    means = S.nan_to_null(reference.select(*columns)).agg(*[F.avg(c).alias(c) for c in columns]).first()
+    df = S.nan_to_null(df)
     return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) if c in columns else F.col(c)
                        for c in df.columns])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tablejury.functions import scalar as S
-from tablejury.functions.digests import digest, seed_int
+from tablejury.functions.digests import digest, unit
 from tablejury.functions.ranking import bottom_n, draw_counts
 from tablejury.functions.stats import binomial_tail_udf
 from tablejury.operators import metrics as M
@@ -17,6 +17,11 @@ KEYS = ["dataset", "method", "condition"]
 GROUP = ["dataset", "provider_label", "method"]
 
 
+def _row_digest(seed, *more, key=("trial_id",)):
+    """Seeded by the cell and the model as well: trial numbers start again in every run."""
+    return digest(seed, *more, *KEYS, "provider_label", *key)
+
+
 def match_sizes(trials, n_models=2):
     """Per cell: the smaller trial count of the compared models, where all of them have trials."""
     counts = trials.groupBy(*KEYS, "provider_label").agg(F.count(F.lit(1)).alias("n"))
@@ -28,10 +33,13 @@ def fair_quota(trials, min_n=FAIR_MIN_N):
     return match_sizes(trials).filter(F.col("n_match") >= min_n).withColumnRenamed("n_match", "n_take")
 
 
-def matched_sample(trials, seed, min_n=FAIR_MIN_N):
-    """Equal N per model in every fair cell: the rows with the smallest keyed digests."""
-    keyed = trials.withColumn("_digest", digest(seed, "trial_id"))
-    return bottom_n(keyed, M.CELL, fair_quota(trials, min_n), tie=["trial_id"]).drop("_digest")
+def matched_sample(trials, seed, min_n=FAIR_MIN_N, key=("trial_id",)):
+    """Equal N per model in every fair cell: the rows with the smallest keyed digests.
+
+    ``key`` names a row within its cell; where trial numbers repeat, add the file and line order.
+    """
+    keyed = trials.withColumn("_digest", _row_digest(seed, key=key))
+    return bottom_n(keyed, M.CELL, fair_quota(trials, min_n), tie=list(key)).drop("_digest")
 
 
 def matched_check(matched):
@@ -53,15 +61,15 @@ def _class_drs(counts, by, suffix=""):
         F.when(real.isNotNull() & syn.isNotNull(), F.least(real, syn)).alias(f"drs{suffix}"))
 
 
-def seed_sweep(trials, first_seed=1000, n_seeds=50, min_n=FAIR_MIN_N):
+def seed_sweep(trials, first_seed=1000, n_seeds=50, min_n=FAIR_MIN_N, key=("trial_id",)):
     """DRS of every cell over many matched samples: mean and central 95 % range.
 
     The quantiles run over one value per seed, so their input is bounded by n_seeds.
     """
     counts = draw_counts(
         trials, M.CELL, F.sequence(F.lit(first_seed), F.lit(first_seed + n_seeds - 1)),
-        lambda s: digest(s, "trial_id"), fair_quota(trials, min_n), ["true_label", "correct"],
-        tie=["trial_id"], draw="seed")
+        lambda s: _row_digest(s, key=key), fair_quota(trials, min_n), ["true_label", "correct"],
+        tie=list(key), draw="seed")
     per_seed = _class_drs(counts, [*M.CELL, "seed"])
     q = F.percentile("drs", F.array(F.lit(0.025), F.lit(0.975)))
     return per_seed.groupBy(*M.CELL).agg(
@@ -88,11 +96,13 @@ def export_summary(llm, human):
 
 _DRAW_FIELDS = ["real_correct", "real_wrong", "syn_correct", "syn_wrong"]
 _DRAW = StructType([StructField(f, LongType()) for f in _DRAW_FIELDS])
-_LIMIT = 1_000_000_000  # numpy's own sampler stops here
 
 
-def _draw_by_inversion(rng, good, bad, n):
-    """Hypergeometric draw for any population: inverse distribution within 12 sd of the mode."""
+def _inverse(good, bad, n, u):
+    """Hypergeometric draws at the uniform numbers ``u`` by the inverse distribution, for a population of any size.
+
+    Values further than 12 sd from the mode weigh less than a double can hold beside 1.
+    """
     total = good + bad
     low, high = max(0, n - bad), min(n, good)
     mode = (n + 1) * (good + 1) // (total + 2)
@@ -102,29 +112,32 @@ def _draw_by_inversion(rng, good, bad, n):
     steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
     logs = np.concatenate([[0.0], np.cumsum(steps)])
     share = np.cumsum(np.exp(logs - logs.max()))
-    return first + int(np.searchsorted(share, rng.random() * share[-1], "right"))
-
-
-def _draw_counts(rng, counts, n):
-    """Multivariate hypergeometric draw, one category after the other where numpy's sampler stops."""
-    if sum(counts) < _LIMIT:
-        return rng.multivariate_hypergeometric(np.array(counts, dtype=np.int64), n)
-    out, rest = [], sum(counts)
-    for c in counts:
-        rest -= c
-        x = min(c, n) if rest == 0 else 0 if c == 0 or n == 0 else _draw_by_inversion(rng, c, rest, n)
-        out.append(x)
-        n -= x
+    return first + np.searchsorted(share, np.asarray(u) * share[-1], "right")
+
+
+def _draws(good, bad, n, u):
+    """One draw per row; rows with the same parameters share one distribution."""
+    out = np.where(bad == 0, n, 0)
+    open_ = np.flatnonzero((good > 0) & (bad > 0) & (n > 0))
+    keys, which = np.unique(np.stack([good, bad, n], axis=1)[open_], axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    for key, rows in zip(keys, np.split(open_[order], np.cumsum(np.bincount(which.ravel(), minlength=len(keys)))[:-1])):
+        out[rows] = _inverse(*(int(v) for v in key), u[rows])
     return out
 
 
 @F.pandas_udf(_DRAW)
 def _shuffled_c1(rc: pd.Series, rw: pd.Series, sc: pd.Series, sw: pd.Series, n_c1: pd.Series,
-                 seed: pd.Series) -> pd.DataFrame:
-    """Category counts that land in C1 when the condition labels of a group are shuffled."""
-    out = np.zeros((len(rc), 4), dtype=np.int64)
-    for i, row in enumerate(zip(rc, rw, sc, sw, n_c1, seed)):
-        out[i] = _draw_counts(np.random.default_rng(int(row[5])), [int(v) for v in row[:4]], int(row[4]))
+                 u1: pd.Series, u2: pd.Series, u3: pd.Series) -> pd.DataFrame:
+    """Category counts that land in C1 when the condition labels of a group are shuffled; u1 to u3 are uniform."""
+    counts = np.stack([rc, rw, sc, sw], axis=1).astype(np.int64).reshape(-1, 4)
+    out, n = np.zeros_like(counts), n_c1.to_numpy(np.int64).copy()
+    rest = counts.sum(axis=1)
+    for j, u in enumerate((u1, u2, u3)):
+        rest = rest - counts[:, j]
+        out[:, j] = _draws(counts[:, j], rest, n, u.to_numpy(float))
+        n = n - out[:, j]
+    out[:, 3] = n
     return pd.DataFrame(out, columns=_DRAW_FIELDS)
 
 
@@ -162,7 +175,7 @@ def group_counts(trials, group=GROUP):
         .withColumn("delta", F.col("drs_c2") - F.col("drs_c1"))
 
 
-def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts"):
+def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts", key=("trial_id",)):
     """Is the C2 - C1 change in DRS larger than under shuffled conditions?
 
     ``counts`` draws the shuffled C1 counts directly from each group's four
@@ -175,15 +188,14 @@ def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="co
     if engine == "counts":
         perms = observed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
         perms = spread(perms, *group, "perm") \
-            .withColumn("_seed", seed_int(F.lit(seed), *group, "perm")) \
-            .withColumn("_d", _shuffled_c1(*names, "n_c1", "_seed"))
+            .withColumn("_d", _shuffled_c1(*names, "n_c1", *[unit(digest(seed, F.lit(f"u{i}"), *group, "perm")) for i in (1, 2, 3)]))
         first = [F.col(f"_d.{f}") for f in _DRAW_FIELDS]
     else:
         drawn = draw_counts(
             trials.filter(F.col("condition").isin("C1", "C2")), group,
-            F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: digest(seed, p, "trial_id"),
+            F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: _row_digest(seed, p, key=key),
             observed.select(*group, F.col("n_c1").alias("n_take")), ["true_label", "correct"],
-            tie=["trial_id"], draw="perm")
+            tie=["condition", *key], draw="perm")
         wide = drawn.groupBy(*group, "perm").agg(*[
             F.coalesce(F.sum(F.when((F.col("true_label") == label) & (F.col("correct") == F.lit(ok)), F.col("n"))),
                        F.lit(0)).alias(f"_p_{name}") for name, label, ok in _PARTS])

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tablejury.functions import scalar as S
 from tablejury.functions.digests import digest
 from tablejury.functions.ranking import bottom_n, flag_bottom_n, prefix_sums, quantiles
 from tablejury.operators.neighbours import nearest_distances
@@ -19,7 +20,7 @@ REAL_SOURCE = "real"
 
 def real_scale(tables, features, by="source", real=REAL_SOURCE):
     """Mean and population sd of the real table's features after mean imputation: one row to the driver."""
-    row = tables.filter(F.col(by) == real).agg(*[e for c in features for e in (
+    row = S.nan_to_null(tables.filter(F.col(by) == real)).agg(*[e for c in features for e in (
         F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"), F.count(c).alias(f"k_{c}")
     )], F.count(F.lit(1)).alias("n")).first()
     scale = {}
@@ -31,7 +32,7 @@ def real_scale(tables, features, by="source", real=REAL_SOURCE):
 
 def standardise(tables, features, scale):
     """Impute with the real means and scale by the real spread, as literals in one projection."""
-    return tables.select(*[
+    return S.nan_to_null(tables).select(*[
         ((F.coalesce(F.col(c).cast("double"), F.lit(scale[c][0])) - F.lit(scale[c][0])) / F.lit(scale[c][1])).alias(c)
         if c in features else F.col(c) for c in tables.columns])
 

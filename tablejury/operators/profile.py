@@ -9,6 +9,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tablejury.functions import scalar as S
 from tablejury.functions import stats
 from tablejury.functions.digests import digest
 from tablejury.functions.ranking import quantiles, top_k
@@ -72,6 +73,7 @@ def _per_column(df, by, columns, measures):
 
 def missing(df, by=(), columns=None):
     columns = columns or [c for c, _ in df.dtypes if c not in by]
+    df = S.nan_to_null(df)
     counts = _per_column(df, by, columns, lambda c: {"n_rows": F.count(F.lit(1)),
                                                      "n_missing": F.count_if(F.col(c).isNull())})
     return counts.withColumn("missing_pct", F.bround(100.0 * F.col("n_missing") / F.col("n_rows"), 2))
@@ -168,6 +170,7 @@ def entropies(df, by=(), columns=None):
 def correlations(df, by=(), columns=None, places=4):
     """Pearson r of every column pair, pairwise complete; a fixed number of pairs per pass."""
     columns = columns or numeric_columns(df, by)
+    df = S.nan_to_null(df)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return _none(df, by, c1="string", c2="string", r="double")

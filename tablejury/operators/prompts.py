@@ -121,7 +121,7 @@ def build_prompts(requests, pages, key, columns, condition, profiles=None, n_row
     without replacement, so a request costs one page lookup, not a table scan.
     """
     sizes, lines = pages
-    start = seed_int(F.lit(seed), *key) % F.col("n_total")
+    start = seed_int(F.lit(seed), *key, digits=15) % F.col("n_total")  # 60 bits: every row of any table can be shown
     found = requests.join(sizes, by).withColumn("_start", start) \
         .withColumn("page", F.expr(f"_start div {n_rows}")).join(lines, [by, "page"])
     shown = F.least(F.lit(n_rows), F.col("n_total")).cast("int")

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tablejury.functions.digests import digest, unit
 from tablejury.functions.ranking import prefix_sums
+from tablejury.functions.scalar import nan_to_null
 from tablejury.operators.sampling import fraction_samples, number_off
 from tablejury.schema import categorical_columns, numeric_columns
 from tablejury.session import shared_table
@@ -24,7 +25,7 @@ CATEGORIES = {
                    "Without-pay", "Never-worked"], [0.73, 0.05, 0.02, 0.01, 0.02, 0.01, 0.00, 0.00]),
     "education": (["Preschool", "1st-4th", "5th-6th", "7th-8th", "9th", "10th", "11th", "12th", "HS-grad",
                    "Some-college", "Assoc-voc", "Assoc-acdm", "Bachelors", "Masters", "Prof-school", "Doctorate"],
-                  [0.00] * 8 + [0.33, 0.21, 0.07, 0.07, 0.13, 0.05, 0.01, 0.01]),
+                  [0.00, 0.00, 0.00, 0.00, 0.00, 0.00, 0.00, 0.00, 0.33, 0.21, 0.07, 0.07, 0.13, 0.05, 0.01, 0.01]),
     "marital_status": (["Married-civ-spouse", "Married-spouse-absent", "Married-AF-spouse", "Never-married",
                         "Divorced", "Separated", "Widowed"], [0.46, 0.01, 0.00, 0.32, 0.13, 0.04, 0.04]),
     "occupation": (["Tech-support", "Craft-repair", "Other-service", "Sales", "Exec-managerial", "Prof-specialty",
@@ -110,8 +111,6 @@ def _category_scores(real, column):
         "value", ((F.col("cum_n") - F.col("n")) / F.lit(total)).alias("low"), (F.col("cum_n") / F.lit(total)).alias("high"))
 
 
-MAX_CATEGORIES = 100_000
-
 _Z = np.linspace(-8.0, 8.0, 20_001)
 _P = np.array([NormalDist().cdf(z) for z in _Z])
 
@@ -125,39 +124,42 @@ def _normal_share(z):
 
 
 def fit_copula(real, columns=None):
-    """Margins and normal-score correlation of a Gaussian copula over the real table."""
+    """Margins, shares of NULLs and normal-score correlation of a Gaussian copula over the real table.
+
+    Values of categorical columns stay in tables of any size and are joined by
+    value; a column without values has no margin and is generated as NULL.
+    """
     numeric = [c for c in numeric_columns(real) if columns is None or c in columns]
     categories = [c for c in categorical_columns(real) if columns is None or c in columns]
+    real = nan_to_null(real)
+    row = real.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in numeric + categories]).first()
+    filled = {c: row[c] for c in numeric + categories}
+    empty = [c for c in filled if not filled[c]]
+    nulls = {c: 1.0 - filled[c] / row["n"] for c in filled if filled[c]}
+    numeric, categories = [c for c in numeric if c not in empty], [c for c in categories if c not in empty]
     grids = _quantile_grids(real, numeric)
-    tables = {}
-    for c in categories:
-        scores = shared_table(_category_scores(real, c), "category")
-        if scores.count() > MAX_CATEGORIES:
-            warnings.warn(f"column {c} has too many values for a margin and is left out")
-            continue
-        rows = scores.orderBy("low").toPandas()  # size checked above
-        tables[c] = (rows["value"].tolist(), rows["low"].to_numpy(), rows["high"].to_numpy())
-    used = numeric + list(tables)
+    tables = {c: shared_table(_category_scores(real, c), "category") for c in categories}
+    used = numeric + categories
+    placed = real.select(*used)
+    for c, table in tables.items():  # sized by its file: broadcast or shuffled by the planner
+        middle = table.select(F.col("value").alias(c), ((F.col("low") + F.col("high")) / 2).alias(f"_p_{c}"))
+        placed = placed.join(middle, c, "left")
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scores_of(rows: pd.DataFrame) -> pd.Series:
         out = np.zeros((len(rows), len(used)))
         for k, c in enumerate(used):
-            if c in grids:
-                x, g = rows[c].to_numpy(dtype=float), grids[c]
-                rank = (np.searchsorted(g, x, "left") + np.searchsorted(g, x, "right")) / 2.0 / len(g)
-            else:
-                names, low, high = tables[c]
-                middle = dict(zip(names, (low + high) / 2))
-                rank = np.array([middle.get(v, np.nan) for v in rows[c]], dtype=float)
-            rank = np.where(np.isnan(rank), 0.5, np.clip(rank, 1e-6, 1 - 1e-6))
+            x = rows[c].to_numpy(dtype=float)
+            rank = (np.searchsorted(grids[c], x, "left") + np.searchsorted(grids[c], x, "right")) / 2.0 / len(grids[c]) if c in grids else x
+            rank = np.where(np.isnan(x), 0.5, np.clip(rank, 1e-6, 1 - 1e-6))
             out[:, k] = _normal_score(rank)
         return pd.Series(list(out))
 
-    z = real.select(scores_of(F.struct(*used)).alias("z")).select(*[F.col("z")[k].alias(f"z{k}") for k in range(len(used))])
-    pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
     corr = np.eye(len(used))
+    pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
     if pairs:
+        fields = [F.col(c).cast("double").alias(c) if c in grids else F.col(f"_p_{c}").alias(c) for c in used]
+        z = placed.select(scores_of(F.struct(*fields)).alias("z")).select(*[F.col("z")[k].alias(f"z{k}") for k in range(len(used))])
         row = z.agg(*[(F.covar_samp(f"z{i}", f"z{j}") / F.nullif(F.stddev_samp(f"z{i}") * F.stddev_samp(f"z{j}"), F.lit(0.0)))
                       .alias(f"r{i}_{j}") for i, j in pairs]).first()
         for i, j in pairs:
@@ -165,15 +167,35 @@ def fit_copula(real, columns=None):
     values, vectors = np.linalg.eigh(corr)
     root = vectors * np.sqrt(np.clip(values, 0.0, None))  # root @ root.T = nearest positive part
     types = dict(real.dtypes)
-    return {"columns": used, "grids": grids, "tables": tables, "root": root, "types": {c: types[c] for c in used}}
+    return {"columns": used, "empty": empty, "nulls": nulls, "grids": grids, "tables": tables, "root": root,
+            "types": {c: types[c] for c in used + empty}}
+
+
+def _values_at(drawn, column, table):
+    """Replace the share in ``column`` by the value whose range holds it.
+
+    Ranges meet shares in equal buckets, as many as there are values, so a bucket
+    holds two ranges on average, and a frequent value spans many buckets.
+    """
+    n = max(1, table.count())
+    last = F.lit(n - 1).cast("bigint")
+
+    def bucket(x):
+        return F.least(F.floor(x * n), last)
+
+    ranges = table.withColumn("_b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    inside = (F.col(column) >= F.col("low")) & ((F.col(column) < F.col("high")) | (F.col("high") >= 1.0 - 1e-15))
+    return drawn.withColumn("_b", bucket(F.col(column))).join(ranges, "_b").where(inside) \
+        .withColumn(column, F.col("value")).drop("_b", "low", "high", "value")
 
 
 def sample_copula(model, ids, seed=42, row_id="row_id"):
-    """One row per id from a fitted copula; normals come from the id's digest, margins by lookup."""
-    used, root, types = model["columns"], model["root"], model["types"]
+    """One row per id from a fitted copula; normals come from the id's digest, margins by lookup, NULLs by their share."""
+    used, root, types, grids = model["columns"], model["root"], model["types"], model["grids"]
+    if not used:
+        return ids.select(row_id, *[F.lit(None).cast(types[c]).alias(c) for c in model["empty"]])
     normals = F.array(*[F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - unit(digest(seed, F.lit(f"z{k}"), row_id))))
                         * F.cos(F.lit(2 * np.pi) * unit(digest(seed, F.lit(f"w{k}"), row_id))) for k in range(len(used))])
-    grids, tables = model["grids"], model["tables"]
 
     def draw(batches):
         for batch in batches:
@@ -181,18 +203,21 @@ def sample_copula(model, ids, seed=42, row_id="row_id"):
             z = np.stack(batch["_z"].to_numpy()) @ root.T if len(batch) else np.zeros((0, len(used)))
             for k, c in enumerate(used):
                 u = _normal_share(z[:, k])
-                if c in grids:
-                    x = np.interp(u, np.linspace(0, 1, len(grids[c])), grids[c])
-                    whole = types[c] in ("tinyint", "smallint", "int", "bigint")
-                    out[c] = np.rint(x).astype("int64") if whole else x
-                else:
-                    names, _, high = tables[c]
-                    out[c] = np.array(names, dtype=object)[np.minimum(np.searchsorted(high, u, "right"), len(names) - 1)]
+                if c not in grids:
+                    out[c] = np.minimum(u, np.nextafter(1.0, 0.0))
+                    continue
+                x = np.interp(u, np.linspace(0, 1, len(grids[c])), grids[c])
+                out[c] = np.rint(x).astype("int64") if types[c] in ("tinyint", "smallint", "int", "bigint") else x
             yield out
 
     id_type = dict(ids.dtypes)[row_id]
-    schema = ", ".join([f"`{row_id}` {id_type}"] + [f"`{c}` {types[c]}" for c in used])
-    return ids.select(row_id, normals.alias("_z")).mapInPandas(draw, schema)
+    schema = ", ".join([f"`{row_id}` {id_type}"] + [f"`{c}` {types[c] if c in grids else 'double'}" for c in used])
+    made = ids.select(row_id, normals.alias("_z")).mapInPandas(draw, schema)
+    for c, table in model["tables"].items():
+        made = _values_at(made, c, table)
+    filled = [F.when(unit(digest(seed, F.lit(f"n{k}"), row_id)) >= model["nulls"][c], F.col(c)).alias(c) if model["nulls"][c] > 0
+              else F.col(c) for k, c in enumerate(used)]
+    return made.select(row_id, *filled, *[F.lit(None).cast(types[c]).alias(c) for c in model["empty"]])
 
 
 def independent_margins(real, ids, seed=42, row_id="row_id", columns=None):

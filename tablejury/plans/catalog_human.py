@@ -192,7 +192,7 @@ def _(spark, sf):
 QUOTA = """quota AS (SELECT dataset, method, condition, min(n) AS n_take FROM (SELECT dataset, method, condition, provider_label, count(*) AS n
  FROM approved GROUP BY ALL) c GROUP BY 1, 2, 3 HAVING count(*) = 2 AND min(n) >= 8)"""
 MATCHED = """matched AS (SELECT * EXCLUDE (rn, n_take) FROM (SELECT a.*, q.n_take, row_number() OVER (PARTITION BY a.dataset, a.method, a.condition, provider_label
- ORDER BY md5(concat_ws('|', '2026', CAST(trial_id AS VARCHAR))), trial_id) AS rn FROM approved a JOIN quota q USING (dataset, method, condition)) r WHERE rn <= n_take)"""
+ ORDER BY md5(concat_ws('|', '2026', a.dataset, a.method, a.condition, provider_label, CAST(trial_id AS VARCHAR))), trial_id) AS rn FROM approved a JOIN quota q USING (dataset, method, condition)) r WHERE rn <= n_take)"""
 W3 = V.with_ctes(V.TRIALS, V.APPROVED, QUOTA, MATCHED)
 
 
@@ -214,7 +214,7 @@ def _(spark, sf):
 
 
 @query("f2_seed_sweep", V.with_ctes(V.TRIALS, V.APPROVED, QUOTA) + """, drawn AS (SELECT s.seed, a.*, q.n_take, row_number() OVER (
- PARTITION BY a.dataset, a.method, a.condition, provider_label, seed ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), CAST(trial_id AS VARCHAR))), trial_id) AS rn
+ PARTITION BY a.dataset, a.method, a.condition, provider_label, seed ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), a.dataset, a.method, a.condition, provider_label, CAST(trial_id AS VARCHAR))), trial_id) AS rn
  FROM approved a JOIN quota q USING (dataset, method, condition) CROSS JOIN (SELECT unnest(range(1000, 1050)) AS seed) s),
  cell AS (SELECT dataset, provider_label, method, condition, seed, least(100.0*avg(correct::INT) FILTER (true_label='REAL'),
  100.0*avg(correct::INT) FILTER (true_label='SYNTHETIC')) AS drs FROM drawn WHERE rn <= n_take GROUP BY ALL)
@@ -257,7 +257,7 @@ _PERM = """, src AS (SELECT dataset, provider_label, method, condition, trial_id
  least(100.0*avg(correct::INT) FILTER (condition='C1' AND true_label='REAL'), 100.0*avg(correct::INT) FILTER (condition='C1' AND true_label<>'REAL')) AS drs_c1,
  least(100.0*avg(correct::INT) FILTER (condition='C2' AND true_label='REAL'), 100.0*avg(correct::INT) FILTER (condition='C2' AND true_label<>'REAL')) AS drs_c2 FROM src GROUP BY 1, 2, 3),
  shuffled AS (SELECT s.*, p.perm, row_number() OVER (PARTITION BY dataset, provider_label, method, perm
-  ORDER BY md5(concat_ws('|', '20260531', CAST(perm AS VARCHAR), CAST(trial_id AS VARCHAR))), trial_id) AS rn FROM src s CROSS JOIN (SELECT unnest(range(0, 100)) AS perm) p),
+  ORDER BY md5(concat_ws('|', '20260531', CAST(perm AS VARCHAR), dataset, method, condition, provider_label, CAST(trial_id AS VARCHAR))), condition, trial_id) AS rn FROM src s CROSS JOIN (SELECT unnest(range(0, 100)) AS perm) p),
  diffs AS (SELECT s.dataset, s.provider_label, s.method, perm,
  least(100.0*avg(correct::INT) FILTER (rn > n_c1 AND true_label='REAL'), 100.0*avg(correct::INT) FILTER (rn > n_c1 AND true_label<>'REAL'))
  - least(100.0*avg(correct::INT) FILTER (rn <= n_c1 AND true_label='REAL'), 100.0*avg(correct::INT) FILTER (rn <= n_c1 AND true_label<>'REAL')) AS d

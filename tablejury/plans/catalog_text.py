@@ -79,9 +79,9 @@ def _(spark, sf):
     return Q.trial_queue(targets(spark, sf), 42)
 
 
-@query("w9_sequential_trial_ids", QU + "SELECT method, trial_id, condition, true_label FROM numbered WHERE rep = 1")
+@query("w9_sequential_trial_ids", QU + "SELECT method, trial_id, condition, true_label FROM numbered")
 def _(spark, sf):
-    return Q.trial_queue(targets(spark, sf), 42).filter("rep = 1").select("method", "trial_id", "condition", "true_label")
+    return Q.trial_queue(targets(spark, sf), 42).select("method", "trial_id", "condition", "true_label")
 
 
 @query("t4_annotator_queue", """WITH cards AS (SELECT annotator_id, method, card, CASE WHEN card <= 10 THEN 'REAL' ELSE 'SYNTHETIC' END AS true_label,
@@ -297,7 +297,7 @@ def _requests(spark, sf, condition):
 _C1 = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) AS pos FROM micro),
  sizes AS (SELECT source, count(*) AS n_total FROM micro GROUP BY 1),
  req AS (SELECT event_id AS trial_id, 'C1' AS condition, CASE WHEN event_id % 2 = 0 THEN 'real' WHEN event_id % 3 = 0 THEN 'ctgan' ELSE 'tvae' END AS source FROM events),
- want AS (SELECT r.*, n_total, (('0x' || substr(sha256(concat_ws('||', '42', CAST(trial_id AS VARCHAR))), 1, 8))::BIGINT % n_total + o) % n_total + 1 AS pos
+ want AS (SELECT r.*, n_total, (('0x' || substr(sha256(concat_ws('||', '42', CAST(trial_id AS VARCHAR))), 1, 15))::BIGINT % n_total + o) % n_total + 1 AS pos
  FROM req r JOIN sizes USING (source), (SELECT unnest(range(20)) AS o) os WHERE o < n_total)"""
 
 
@@ -333,7 +333,7 @@ def _(spark, sf):
 _JUDGED = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) AS pos FROM micro),
  sizes AS (SELECT source, count(*) AS n_total FROM micro GROUP BY 1),
  req AS (SELECT *, CASE true_label WHEN 'REAL' THEN 'real' ELSE method END AS source FROM numbered),
- want AS (SELECT r.*, (('0x' || substr(sha256(concat_ws('||', '42', method, condition, true_label, CAST(rep AS VARCHAR))), 1, 8))::BIGINT % n_total + o) % n_total + 1 AS pos
+ want AS (SELECT r.*, (('0x' || substr(sha256(concat_ws('||', '42', method, condition, true_label, CAST(rep AS VARCHAR))), 1, 15))::BIGINT % n_total + o) % n_total + 1 AS pos
   FROM req r JOIN sizes USING (source), (SELECT unnest(range(20)) AS o) os WHERE o < n_total),
  seen AS (SELECT method, trial_id, condition, true_label, rep, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{4,}'))
   + count(*) - count(DISTINCT concat_ws('|', CAST(acctbal AS VARCHAR), CAST(nation AS VARCHAR), segment)) AS signs FROM want JOIN idx USING (source, pos) GROUP BY ALL),

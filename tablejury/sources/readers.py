@@ -15,13 +15,13 @@ CORRUPT = "_corrupt_record"
 def read_micro_csv(spark, path, schema=None):
     """CSV with a header; give the schema where it is known, inference scans the data twice."""
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    return S.nan_to_null((reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path))
 
 
 def read_headerless_csv(spark, path, schema, null_value="?"):
     """Headerless CSV with padded commas and a null mark."""
-    return (spark.read.schema(schema).option("nullValue", null_value).option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True).csv(path))
+    return S.nan_to_null(spark.read.schema(schema).option("nullValue", null_value).option("ignoreLeadingWhiteSpace", True)
+                         .option("ignoreTrailingWhiteSpace", True).csv(path))
 
 
 def first_readable(spark, paths, reader, fallback=None):
@@ -41,12 +41,13 @@ def _path():
 
 
 def read_trials(spark, path, schema=TRIAL, bad_lines="skip", name_pattern=None, recursive=False,
-                exclude=EXCLUDED_PATH_MARKERS):
+                exclude=EXCLUDED_PATH_MARKERS, line_order=False):
     """Judged trials from JSON lines with ``source_path``.
 
     ``bad_lines``: ``skip`` drops malformed lines, ``keep`` keeps them in
     ``_corrupt_record``, ``fail`` raises. ``name_pattern`` picks result files of a
     folder by name and ``exclude`` drops files whose path holds a marker.
+    ``line_order`` adds ``line_no``, which sorts the lines of a file by their place in it.
     """
     reader = spark.read
     if name_pattern is not None:
@@ -59,6 +60,9 @@ def read_trials(spark, path, schema=TRIAL, bad_lines="skip", name_pattern=None,
         marked = StructType([*schema.fields, StructField(CORRUPT, StringType())])
         rows = reader.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
     rows = rows.withColumn("source_path", _path())
+    if line_order:  # splits of a file by their offset, lines of a split by their row number
+        rows = rows.withColumn("line_no", F.struct(F.col("_metadata.file_block_start").alias("split"),
+                                                   F.monotonically_increasing_id().alias("row")))
     for marker in exclude if recursive else ():
         rows = rows.filter(~F.col("source_path").contains(marker))
     if bad_lines == "skip":
@@ -75,9 +79,8 @@ def file_name(extension="jsonl"):
 
 def with_provenance(rows):
     """Dataset and provider tags and the file name, read off the path."""
-    return (rows.withColumn("dataset", S.dataset_from_path("source_path"))
-            .withColumn("provider_tag", F.when(F.col("source_path").contains("google"), "google").otherwise("groq"))
-            .withColumn("source_file", file_name()))
+    return (rows.withColumn("dataset", S.dataset_from_path("source_path")).withColumn("source_file", file_name())
+            .withColumn("provider_tag", F.when(F.col("source_file").contains("google"), "google").otherwise("groq")))
 
 
 def without_human_files(rows):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tablejury.functions import scalar as S
 from tablejury.schema import TRIAL
 
-TRIAL_KEY = ["provider", "model", "method", "condition", "true_label", "trial_id"]
+# Trial numbers start again in every run and data set; a record's own time tells runs apart and stays when a file is copied.
+TRIAL_KEY = ["dataset", "provider", "model", "method", "condition", "true_label", "trial_id", "timestamp"]
 
 
 def stream_trials(spark, folder, schema=TRIAL, files_per_trigger=None):
@@ -34,6 +35,7 @@ def first_trials(rows, delay="2 days"):
     """Each trial once: a re-run within the watermark writes the same key again and is dropped."""
     method = F.coalesce("synthetic_method", "method", F.lit("unknown"))
     return (rows.withColumn("timestamp", F.to_timestamp("timestamp")).withColumn("method", method)
+            .withColumn("dataset", S.dataset_from_path("source_path"))
             .filter(F.col("timestamp").isNotNull()).withWatermark("timestamp", delay)
             .dropDuplicatesWithinWatermark(TRIAL_KEY))
 
@@ -50,8 +52,7 @@ def start_live_counts(rows, folder, checkpoint, by=("dataset", "provider", "meth
     def save(batch, batch_id):
         partial_counts(batch, by).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    tagged = first_trials(rows, delay).withColumn("dataset", S.dataset_from_path("source_path"))
-    return (tagged.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (first_trials(rows, delay).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

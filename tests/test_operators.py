@@ -152,13 +152,14 @@ def test_permutation_engines_agree(spark):
 
 def test_draws_from_huge_groups_follow_the_same_law():
     rng = np.random.default_rng(4)
-    small = np.array([I._draw_by_inversion(rng, 60, 40, 30) for _ in range(6000)])
+    small = I._inverse(60, 40, 30, rng.random(6000))
     want = rng.hypergeometric(60, 40, 30, 6000)
     assert small.min() >= 0 and small.max() <= 30
     assert abs(small.mean() - 18) < 0.15 and abs(small.std() - want.std()) < 0.1
     counts = [4 * 10 ** 11, 10 ** 11, 3 * 10 ** 11, 2 * 10 ** 11]
     n = 5 * 10 ** 11
-    got = np.array([I._draw_counts(rng, counts, n) for _ in range(40)], dtype=float)
+    frame = I._shuffled_c1.func(*[pd.Series([c] * 40) for c in [*counts, n]], *[pd.Series(rng.random(40)) for _ in range(3)])
+    got = frame.to_numpy(float)
     assert (got.sum(axis=1) == n).all()
     sd = np.sqrt(n * 0.4 * 0.6 * 0.5)
     assert abs(got[:, 0].mean() - 2 * 10 ** 11) < 5 * sd / np.sqrt(40) and 0.6 * sd < got[:, 0].std() < 1.5 * sd
@@ -338,3 +339,55 @@ def test_stream_equals_batch_over_several_runs(spark):
         .withColumn("confidence", F.lit(1.0)).withColumnRenamed("synthetic_method", "method")
     batch = M.cell_metrics(once, ["method"]).first()
     assert (live["dataset"], live["n_real"], live["n_syn"], live["drs"]) == ("census", batch["n_real"], batch["n_syn"], batch["drs"])
+
+
+def test_equal_trial_numbers_of_two_runs_and_data_sets(spark):
+    """Runs number their trials from 0; a copied file repeats records with their times."""
+    root = tempfile.mkdtemp(prefix="run-")
+    shape = ("trial_id bigint, timestamp string, provider string, model string, synthetic_method string, "
+             "condition string, true_label string, predicted_label string")
+    for name in ("adult", "census"):
+        for day in ("29", "30", "30"):  # the last file is a copy
+            rows = [(i, f"2026-05-{day}T12:00:00", "groq", "m", "ctgan", "C1", "REAL" if i % 2 else "SYNTHETIC", "REAL") for i in range(10)]
+            OUT.append_trials(spark.createDataFrame(rows, shape), f"{root}/{name}")
+    rows = L.stream_trials(spark, root + "/{adult,census}", TRIAL)
+    L.start_live_counts(rows, f"{root}/counts", f"{root}/cp", delay="10 days").awaitTermination()
+    live = {r["dataset"]: (r["n_real"], r["n_syn"]) for r in L.live_drs(spark, f"{root}/counts").collect()}
+    assert live == {"adult": (10, 10), "census": (10, 10)}
+
+
+def test_matched_samples_of_cells_are_drawn_apart(spark):
+    rows = [(i, d, p, "m", c, "REAL" if i % 2 else "SYNTHETIC", i % 3 == 0) for d in ("adult", "census") for c in ("C1", "C2")
+            for p, n in (("a", 400), ("b", 40)) for i in range(n)]
+    t = spark.createDataFrame(rows, "trial_id int, dataset string, provider_label string, method string, condition string, "
+                                    "true_label string, correct boolean")
+    got = I.matched_sample(t, 2026).filter("provider_label = 'a'").groupBy("dataset", "condition").agg(F.collect_set("trial_id").alias("s")).collect()
+    sets = [set(r["s"]) for r in got]
+    assert all(len(s) == 40 for s in sets) and len({frozenset(s) for s in sets}) == 4
+    assert max(len(a & b) for i, a in enumerate(sets) for b in sets[:i]) < 20
+
+
+def test_copula_keeps_nulls_and_many_values(spark):
+    rows = [(i, f"v{i}" if i % 4 else None, float(i % 50) if i % 5 else float("nan"), None) for i in range(2000)]
+    real = spark.createDataFrame(rows, "row_id int, name string, x double, void string")
+    out = G.generate_all(real)
+    assert {r["method"] for r in out.select("method").distinct().collect()} == {"gaussian_copula", "independent_margins", "fraction_sample"}
+    made = out.filter("method = 'gaussian_copula'").agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("name"), F.count("x").alias("x"),
+                                                        F.count("void").alias("void"), F.countDistinct("name").alias("kinds")).first()
+    assert made["n"] == 2000 and made["void"] == 0 and made["kinds"] > 600
+    assert abs(made["name"] - 1500) < 100 and abs(made["x"] - 1600) < 100
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (2.0, 4.0), (3.0, 6.0)], "a double, b double")
+    assert {r["column"]: r["n_missing"] for r in P.missing(df).collect()} == {"a": 1, "b": 0}
+    assert P.correlations(df).first()["r"] == 1.0
+
+
+def test_lines_of_a_file_keep_their_order(spark):
+    root = tempfile.mkdtemp(prefix="run-")
+    with open(root + "/llm_results_x.jsonl", "w") as f:
+        for i, model in enumerate(["m1"] * 3000 + ["m2"]):
+            f.write('{"trial_id": %d, "provider": "groq", "model": "%s", "predicted_label": "REAL"}\n' % (0 if i == 3000 else i, model))
+    rows = IN.read_trials(spark, root, bad_lines="keep", line_order=True)
+    assert U.audit_files(rows).first()["model"] == "m2"
