@@ -7,22 +7,33 @@ from tablejury.functions.digests import digest
 from tablejury.functions.ranking import digest_rank
 from tablejury.operators import metrics as M
 
-SLOT = ["method", "condition", "true_label", "rep"]
+RUN = ["dataset", "provider", "model"]  # each is judged by itself: its successes fill its own queue only
+CELL = ["method", "condition", "true_label"]
 
 
-def completed_slots(trials, seed, keys=("method", "condition", "true_label")):
-    """Successful trials numbered within their cell, so that they fill queue slots 1, 2, ..."""
-    keys = list(keys)
+def completed_slots(trials, seed, keys=None):
+    """Successful trials numbered within their run and cell, so that they fill queue slots 1, 2, ..."""
+    keys = list(keys) if keys else [*[c for c in RUN if c in trials.columns], *CELL]
     good = trials.filter(S.not_error()).withColumn("_digest", digest(seed, "trial_id"))
     return digest_rank(good, keys, tie=["trial_id"], rank_column="rep").select(*keys, "rep", "trial_id")
 
 
-def remaining_queue(queue, completed, slot=SLOT):
+def _slot(queue, completed):
+    """What names a slot: every field of the completed slots but the trial's number; the queue must have them all."""
+    slot = [c for c in completed.columns if c != "trial_id"]
+    if missing := [c for c in slot if c not in queue.columns]:
+        raise ValueError(f"the queue lacks {missing}: name the run, or number the trials without it")
+    return slot
+
+
+def remaining_queue(queue, completed, slot=None):
     """Queue slots without a successful trial."""
+    slot = slot or _slot(queue, completed)
     return queue.join(completed.select(*slot), list(slot), "left_anti")
 
 
-def resume_summary(queue, completed, slot=SLOT):
+def resume_summary(queue, completed, slot=None):
+    slot = slot or _slot(queue, completed)
     keys = [k for k in slot if k != "rep"]
     marked = queue.join(completed.select(*slot, F.lit(1).alias("_done")), list(slot), "left")
     return marked.groupBy(*keys).agg(F.count("_done").alias("n_kept"),

@@ -95,20 +95,31 @@ def _(spark, sf):
     return Q.annotator_queue(sessions, 10, 5)
 
 
+RUN = "dataset, provider, model"
+RUNS = f"""targets AS (SELECT {RUN}, synthetic_method AS method, count(*) AS n_trials FROM trials GROUP BY ALL),
+ queue AS (SELECT {RUN}, method, c AS condition, l AS true_label, rep FROM targets, (SELECT unnest(['C1','C2']) AS c) cs,
+ (SELECT unnest(['REAL','SYNTHETIC']) AS l) ls, LATERAL (SELECT unnest(range(1, n_trials//2 + 1)) AS rep) r),
+ done AS (SELECT {RUN}, synthetic_method AS method, condition, true_label, trial_id, row_number() OVER (PARTITION BY {RUN}, synthetic_method, condition, true_label
+ ORDER BY md5(concat_ws('|', '42', CAST(trial_id AS VARCHAR))), trial_id) AS rep FROM trials WHERE predicted_label <> 'ERROR')"""
 DONE = """done AS (SELECT synthetic_method AS method, condition, true_label, trial_id, row_number() OVER (PARTITION BY synthetic_method, condition, true_label
  ORDER BY md5(concat_ws('|', '42', CAST(trial_id AS VARCHAR))), trial_id) AS rep FROM trials WHERE predicted_label <> 'ERROR')"""
-RES = V.with_ctes(V.TRIALS, TARGETS, QUEUE, DONE)
+RES = V.with_ctes(V.TRIALS, RUNS)
+
+
+def run_queue(spark, sf):
+    """A queue for every run (data set, provider, model), with as many trials per method as its log holds."""
+    return Q.balanced_queue(raw(spark, sf).groupBy(*B.RUN, "method").agg(F.count(F.lit(1)).alias("n_trials")))
 
 
-@query("j10_remaining_queue", RES + "SELECT method, condition, true_label, rep FROM queue ANTI JOIN done USING (method, condition, true_label, rep)")
+@query("j10_remaining_queue", RES + f"SELECT {RUN}, method, condition, true_label, rep FROM queue ANTI JOIN done USING ({RUN}, method, condition, true_label, rep)")
 def _(spark, sf):
-    return B.remaining_queue(Q.balanced_queue(targets(spark, sf)), B.completed_slots(raw(spark, sf), 42))
+    return B.remaining_queue(run_queue(spark, sf), B.completed_slots(raw(spark, sf), 42))
 
 
-@query("x9_resume_summary", RES + """SELECT q.method, q.condition, q.true_label, count(d.rep) AS n_kept, count(*) - count(d.rep) AS n_remaining
- FROM queue q LEFT JOIN done d ON q.method = d.method AND q.condition = d.condition AND q.true_label = d.true_label AND q.rep = d.rep GROUP BY 1, 2, 3""")
+@query("x9_resume_summary", RES + f"""SELECT {RUN}, method, condition, true_label, count(d.trial_id) AS n_kept, count(*) - count(d.trial_id) AS n_remaining
+ FROM queue q LEFT JOIN done d USING ({RUN}, method, condition, true_label, rep) GROUP BY ALL""")
 def _(spark, sf):
-    return B.resume_summary(Q.balanced_queue(targets(spark, sf)), B.completed_slots(raw(spark, sf), 42))
+    return B.resume_summary(run_queue(spark, sf), B.completed_slots(raw(spark, sf), 42))
 
 
 @query("x10_backfill_plan", T + """, counts AS (SELECT provider, model, synthetic_method AS method, condition, count(*) FILTER (predicted_label IN ('REAL','SYNTHETIC')) AS valid FROM trials GROUP BY ALL),
@@ -353,6 +364,6 @@ def _(spark, sf):
  WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.method = j.synthetic_method AND d.condition = j.condition AND d.true_label = j.true_label AND d.rep = j.rep)
  GROUP BY GROUPING SETS ((synthetic_method), (condition), (synthetic_method, condition), ())""")
 def _(spark, sf):
-    done = B.completed_slots(raw(spark, sf), 42)
+    done = B.completed_slots(raw(spark, sf), 42, keys=B.CELL)  # the whole log counts as one earlier run
     trials = run_experiment(V.micro(spark, sf), targets(spark, sf), COLUMNS, "row_id", "offline", "rules", done=done)
     return rounded(M.accuracy_sets(trials, ["synthetic_method", "condition"], [("synthetic_method", "condition")]))

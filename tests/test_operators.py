@@ -391,3 +391,16 @@ def test_lines_of_a_file_keep_their_order(spark):
             f.write('{"trial_id": %d, "provider": "groq", "model": "%s", "predicted_label": "REAL"}\n' % (0 if i == 3000 else i, model))
     rows = IN.read_trials(spark, root, bad_lines="keep", line_order=True)
     assert U.audit_files(rows).first()["model"] == "m2"
+
+
+def test_successes_fill_the_queue_of_their_own_run(spark):
+    rows = [(p, "adult", "m", "ctgan", "C1", "REAL", i, "REAL") for p, n in (("a", 3), ("b", 1)) for i in range(n)]
+    log = spark.createDataFrame(rows, "provider string, dataset string, model string, method string, condition string, true_label string, "
+                                      "trial_id int, predicted_label string")
+    targets = spark.createDataFrame([("adult", p, "m", "ctgan", 8) for p in ("a", "b")],
+                                    "dataset string, provider string, model string, method string, n_trials bigint")
+    left = B.remaining_queue(Q.balanced_queue(targets), B.completed_slots(log, 1))
+    got = {r["provider"]: r["count"] for r in left.groupBy("provider").count().collect()}
+    assert got == {"a": 13, "b": 15}
+    with pytest.raises(ValueError):
+        B.remaining_queue(Q.balanced_queue(targets.drop("provider")), B.completed_slots(log, 1))
