@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from tablejury.llm.common import slices, span_hashes, text_buffer
 
 MARK = "▁"
-SLICE, MEMO = 8_000_000, 2_000_000  # bytes of text encoded together; bound of the memo of adjacent pairs (emptied when full)
+# Bytes of text encoded together; bounds of the memos of adjacent pairs and of words (emptied when full)
+SLICE, MEMO, WORDS = 3_000_000, 500_000, 600_000
 _COMPILED = {}
 
 
@@ -65,7 +66,7 @@ class Transducer:
                 node[""] = i
         self.unknown_weight = max(self.weight.values(), default=0.0) + 10.0
         self.words = not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.pairs = {}
+        self.pairs, self.known = {}, {}
         out = []
         for i, p in enumerate(model.pieces):
             out.append(p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL else
@@ -186,8 +187,17 @@ class Transducer:
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], n)
         _, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw, word = data.tobytes(), self.word
-        found = [word(raw[i:j].decode().replace(" ", MARK)) for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        raw, known, found = data.tobytes(), self.known, []
+        for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+            text = raw[i:j]
+            ids = known.get(text)
+            if ids is None:
+                ids = tuple(self.word(text.decode().replace(" ", MARK)))
+                if j - i <= 64:  # long words are not worth their memory
+                    if len(known) >= WORDS:
+                        known.clear()
+                    known[text] = ids
+            found.append(ids)
         sizes = np.array([len(x) for x in found], np.int64)
         source = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         begins = (np.cumsum(sizes) - sizes)[which]
