@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,14 @@ def _rows(ids, texts, new, own, other, nxt, kind):
         names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _squeezed(batches):
+    """Texts compressed one by one, so that the only shuffle of texts stays small."""
+    press = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+    for batch in batches:
+        z = pa.array([press(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), z], names=["doc_id", "h", "z"])
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
@@ -139,9 +148,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     parsed whole; the pieces of work are runs of whole texts.
     """
     kind = dict(documents.dtypes)["doc_id"]
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order, "text")
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(
+        _squeezed, f"doc_id {kind}, h long, z binary")
+    order = [F.desc_nulls_last("doc_id"), "h"]
+    ordered = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order, "z")
 
     def compare(batches):
         """Rows of a partition in order; its first and last row also go out, to be joined across partitions."""
@@ -158,13 +169,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(n, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                                                         "near_edited", "near_next", *nothing])
 
-        arrow = None
+        arrow, expand = None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             arrow = batch.column(0).type
-            size = np.diff(text_buffer(batch.column(1))[1])
+            every = [expand(z).decode() for z in batch.column(2).to_pylist()]
+            size = np.array([len(t) for t in every], np.int64)
             cuts = np.flatnonzero(np.diff(np.append(-1, np.cumsum(size) // SLICE)))
             for lo, hi in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
-                ids, texts = batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist()
+                ids, texts = batch.column(0)[lo:hi].to_pylist(), every[lo:hi]
                 if head is None and texts:
                     head = (ids[0], texts[0])
                 if held is not None:
