@@ -142,9 +142,8 @@ def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) ->
         .where(F.col("texts") >= support).select("entity", "term", "n_e", "n_et"))
     together = stored(together, "pii-together")
     terms = stored(together.select("term").distinct(), "pii-terms")
-    occurring = documents.select(F.explode(_words(text)).alias("term"))
-    n_terms = terms.count()
-    occurring = occurring.join(small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    occurring = documents.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    occurring = occurring.join(small(terms, terms.count()), "term", "left_semi")
     total = documents.count()
     disclosed = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     strong = stored(together.join(occurring, "term").where(F.col("n_e") < total).withColumn("share", disclosed)
