@@ -7,10 +7,10 @@ share a prefix at all: in a thin region that is everyone with one common minimum
 in a crowded one those that agree deeper, so the depth adapts to the region. A
 sketch of two bits per minimum screens them (five standard deviations below what
 a link would show); in each tree the `BEST` on either side go on to be confirmed
-on full sets. Sets that stood in a region longer than `BEST` go through another
-round with a wider window, where only candidates of different components count,
-until a round links nothing new: what a crowd hides from one round, the next
-finds once the crowd has become one component.
+on full sets. Sets for which that was not all (candidates left out, a region longer
+than the window) go through another round with a wider window and more of the best, where only
+candidates of different components count, until a round links nothing new: what a
+crowd hides from one round, the next finds once the crowd has become one component.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, small, stored, text_buffer
 
-TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 4
+TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 2
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,24 +115,24 @@ def signatures(documents: DataFrame) -> DataFrame:
         sign, f"doc_id {kind}, n_shingles long, set_id binary, signature binary, sketch binary"), "dedup-signatures")
 
 
-def _near(frame, near, across=None):
+def _near(frame, near, best, across=None):
     """Pairs at most `near` apart in the order that share a prefix, differ in root and pass size and sketch.
 
-    Of these, the BEST on either side in the view of the row whose component is not the larger one. Also the set
-    ids of crowded regions. `across` marks the rows before the cut, when only pairs over it count.
+    Of these, the `best` on either side in the view of the row whose component is not the larger one. Also the set
+    ids for which that was not all: candidates left out, or a region longer than the window. `across` marks the rows before the cut, when only pairs over it count.
     """
     first = np.frombuffer(b"".join(c[:4] for c in frame["chunk"]), ">u4")
     sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(len(frame), -1)
     tree, n, names = frame["tree"].to_numpy(), frame["n_shingles"].to_numpy(), frame["set_id"].to_numpy()
     root, weight = pd.factorize(frame["root"])[0], frame["weight"].to_numpy()
-    found, live, crowded = [], np.arange(len(frame)), np.zeros(0, np.int64)
+    found, live, crowded = [], np.arange(len(frame)), []
     for d in range(1, near + 1):
         live = live[live + d < len(frame)]  # in a sorted order, those that share a prefix at d shared it at d - 1
         live = live[(tree[live] == tree[live + d]) & (first[live] == first[live + d])]
         if not len(live):
             break
-        if d == BEST + 1:
-            crowded = np.union1d(live, live + d)
+        if d == near:  # the region goes on beyond the window
+            crowded += [live, live + d]
         i = live[root[live] != root[live + d]]
         if across is not None:
             i = i[across[i] & ~across[i + d]]
@@ -144,9 +144,10 @@ def _near(frame, near, across=None):
     pairs = set()
     if found:
         i, j, different = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = (_rank(i, different) < BEST) & (weight[i] <= weight[j]) | (_rank(j, different) < BEST) & (weight[j] <= weight[i])
+        keep = (_rank(i, different) < best) & (weight[i] <= weight[j]) | (_rank(j, different) < best) & (weight[j] <= weight[i])
+        crowded += [i[~keep], j[~keep]]
         pairs.update((min(x, y), max(x, y)) for x, y in zip(names[i[keep]], names[j[keep]], strict=True))
-    return pairs, set(names[crowded])
+    return pairs, set(names[np.unique(np.concatenate(crowded))]) if crowded else set()
 
 
 def _rank(group, value):
@@ -158,7 +159,7 @@ def _rank(group, value):
     return out
 
 
-def candidates(sets: DataFrame, near=NEAR):
+def candidates(sets: DataFrame, near=NEAR, best=BEST):
     """Distinct pairs (a, b), a < b, of set ids with different roots that are neighbours in some tree, and crowded set ids."""
     rows = sets.selectExpr("set_id", "n_shingles", "sketch", "root", "weight", f"""inline(transform(sequence(0, {TREES - 1}), t ->
         struct(t AS tree, substring(signature, t * {4 * DEPTH} + 1, {4 * DEPTH}) AS chunk)))""")
@@ -179,15 +180,17 @@ def candidates(sets: DataFrame, near=NEAR):
             if first is None or len(first) < near:
                 first = pd.concat([first, frame]).head(near) if first is not None else frame.head(near)
             frame = pd.concat([held, frame], ignore_index=True) if held is not None else frame
-            pairs, crowded = _near(frame, near)
+            pairs, crowded = _near(frame, near, best)
             held = frame.tail(near).reset_index(drop=True)
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield made(len(a), a=list(a), b=list(b))
             if crowded:
                 yield made(len(crowded), side=[2] * len(crowded), set_id=list(crowded))
-        if held is not None:
-            for side, edge in ((1, first), (0, held)):
+        if held is not None:  # of the edges, only the region that touches the cut can meet the other side
+            for side, edge, end in ((1, first, 0), (0, held, -1)):
+                mine = (edge["tree"] == edge["tree"].iloc[end]) & (edge["chunk"].str[:4] == edge["chunk"].iloc[end][:4])
+                edge = edge[mine]
                 yield made(len(edge), part=[part] * len(edge), side=[side] * len(edge), **{c: edge[c].tolist() for c in names})
 
     found = stored(ordered.select(*names).mapInPandas(
@@ -199,7 +202,7 @@ def candidates(sets: DataFrame, near=NEAR):
     def over(frame):
         frame = frame.sort_values("side", kind="stable", ignore_index=True)
         frame = pd.concat([part.sort_values(["tree", "chunk", "set_id"]) for _, part in frame.groupby("side")], ignore_index=True)
-        pairs, _ = _near(frame, near, across=frame["side"].to_numpy() == 0)
+        pairs, _ = _near(frame, near, best, across=frame["side"].to_numpy() == 0)
         return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
     joined = cut.select("cut", "side", *names).groupBy("cut").applyInPandas(over, "a binary, b binary")  # 2 * near rows a group
@@ -289,9 +292,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = stored(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"),
                                              F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
                                              F.first("sketch").alias("sketch")), "dedup-distinct")
-    active, near, edges, roots = sets.withColumns({"root": F.col("set_id"), "weight": F.lit(1).cast("long")}), NEAR, None, None
+    active, near, best, roots = sets.withColumns({"root": F.col("set_id"), "weight": F.lit(1).cast("long")}), NEAR, BEST, None
     while True:
-        pairs, crowded = candidates(active, near)
+        pairs, crowded = candidates(active, near, best)
         links = confirmed(documents, sets, pairs)
         if roots is None or not links.isEmpty():
             edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -299,13 +302,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         crowded = stored(crowded, "dedup-crowded")
-        n, near = crowded.count(), near * WIDER
+        n, near, best = crowded.count(), near * WIDER, best * WIDER
+        linked = roots.count()
         if not n:
             break
         weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
         active = (sets.join(small(crowded, n), "set_id", "left_semi")
-                  .join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-                  .withColumn("root", F.coalesce("root", "set_id")).join(weights, "root", "left")
+                  .join(small(roots.select(F.col("node").alias("set_id"), "root"), linked), "set_id", "left")
+                  .withColumn("root", F.coalesce("root", "set_id")).join(small(weights, linked), "root", "left")
                   .withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long")))
     placed = sets.select("set_id", "doc_id", "rows").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     linked = placed.where(F.col("root").isNotNull())
