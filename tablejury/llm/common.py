@@ -135,7 +135,7 @@ def text_buffer(column):
     return raw[lo:hi], offsets - lo
 
 
-def slices(offsets, target=4_000_000):
+def slices(offsets, target=1_500_000):
     """Cut documents into runs of about `target` bytes (whole documents), to bound memory."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

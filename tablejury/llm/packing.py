@@ -20,7 +20,7 @@ from tablejury.llm.common import partition_starts, run_hashes, slices, small, st
 
 SEQUENCE = 2048
 END_ID = 1
-SLICE = 8_000_000  # bytes of text whose distinct words are encoded together (a longer text is its own slice)
+SLICE = 2_000_000  # bytes of text whose distinct words are encoded together (a longer text is its own slice)
 _ENCODERS = {}
 
 
