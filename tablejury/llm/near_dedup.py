@@ -11,6 +11,8 @@ on full sets. Sets for which that was not all (candidates left out, a region lon
 than the window) go through another round with a wider window and more of the best, where only
 candidates of different components count, until a round links nothing new: what a
 crowd hides from one round, the next finds once the crowd has become one component.
+Sets that are crowded even then are compared by an exact prefix-filter join on their
+rarest shingles, which leaves out no pair of different components.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
@@ -29,6 +31,7 @@ from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, sm
 
 TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 2
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
+MOST_BITS, BLOCK = 20, 1000  # of the exact join: buckets of shingles by commonness, sets a block of a shingle
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -210,10 +213,8 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
     return pairs, found.where(F.col("side") == 2).select("set_id").distinct()
 
 
-def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose full sets overlap enough."""
-    pairs = stored(pairs, "dedup-pairs")
-    names = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(set_id, shingles) of the distinct set ids in `names`, stored: the sorted shingle hashes as bytes."""
     wanted = stored(sets.select("set_id", "doc_id").join(names, "set_id"), "dedup-wanted")
 
     def fetch(batches):
@@ -228,7 +229,15 @@ def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
     full = (documents.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").select("text")
             .mapInArrow(fetch, "set_id binary, shingles binary").join(small(wanted.select("set_id"), wanted.count()), "set_id", "left_semi")
             .dropDuplicates(["set_id"]))
-    full = stored(full, "dedup-sets")
+    return stored(full, "dedup-sets")
+
+
+def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame, full: DataFrame = None) -> DataFrame:
+    """The pairs whose full sets overlap enough."""
+    pairs = stored(pairs, "dedup-pairs")
+    if full is None:
+        names = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        full = full_sets(documents, sets, names)
 
     def overlap(batches):
         for batch in batches:
@@ -245,6 +254,75 @@ def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFr
                   "dedup-links")
 
 
+def _commonness(full: DataFrame, bits: int) -> np.ndarray:
+    """In how many sets a shingle of each hash bucket stands."""
+    shift = np.uint64(64 - bits)
+
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) >> shift).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    rows = full.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << bits, np.uint32)  # at most 2 ** MOST_BITS buckets
+    out[rows["bucket"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), np.iinfo(np.uint32).max)
+    return out
+
+
+def exact_candidates(sets: DataFrame, full: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of different roots that can reach SIMILARITY; none that does is left out.
+
+    Sets of n and m shingles that are similar share `SIMILARITY (n + m) / (100 + SIMILARITY)` at
+    least. In any order of all shingles, the first shared one then has that many
+    places from itself to the end on both sides. The order is by commonness, so
+    the places that count hold the rarest shingles. A shingle all of whose sets
+    are one component needs no comparison; the sets of a common one are dealt
+    over blocks.
+    """
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = min(MOST_BITS, max(16, int(total).bit_length() - 1))
+    common, shift = _commonness(full, bits), np.uint64(64 - bits)
+
+    def prefixes(batches):
+        for batch in batches:
+            keys, places, lengths, rows = [], [], [], []
+            for i, x in enumerate(batch.column(1)):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                at = common[(s >> shift).astype(np.int64)]
+                most = len(s) - -(-SIMILARITY * len(s) // 100) + 1
+                near = np.flatnonzero(at <= np.partition(at, most - 1)[most - 1])
+                first = near[np.lexsort((s[near], at[near]))[:most]]
+                alone = at[first] == 1  # in no other set
+                place = np.flatnonzero(~alone)
+                keys.append(s[first[place]].view(np.int64))
+                places.append(place)
+                lengths.append(np.full(len(place), len(s)))
+                rows.append(np.full(len(place), i))
+            if keys:
+                rows = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int64)),
+                                                  pa.array(np.concatenate(lengths).astype(np.int64)), batch.column(0).take(rows),
+                                                  batch.column(2).take(rows)], names=["shingle", "place", "n", "set_id", "root"])
+
+    shared = f"ceil({SIMILARITY} * (%s) / {100 + SIMILARITY})"
+    entries = stored(full.join(sets.select("set_id", "root"), "set_id").select("set_id", "shingles", "root").mapInArrow(
+        prefixes, "shingle long, place long, n long, set_id binary, root binary")
+        .withColumn("short", F.expr(f"place <= n - {shared % '2 * n'}")), "dedup-prefixes")
+    keys = stored(entries.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count_if("short").alias("shorts"))
+                  .where((F.col("one") != F.col("other")) & (F.col("shorts") > 0))
+                  .select("shingle", F.ceil(F.col("shorts") / BLOCK).cast("int").alias("blocks")), "dedup-keys")
+    entries = stored(entries.join(small(keys, keys.count()), "shingle"), "dedup-shared")
+    x = entries.where("short").select("shingle", F.expr("pmod(hash(set_id), blocks)").alias("block"), "place", "n", "set_id", "root")
+    y = entries.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("place").alias("place_y"),
+                       F.col("n").alias("m"), F.col("set_id").alias("set_y"), F.col("root").alias("root_y"))
+    return x.join(y, ["shingle", "block"]).where(f"""root != root_y AND (n < m OR n = m AND set_id < set_y) AND 100 * n >= {SIMILARITY} * m
+        AND place <= n - {shared % 'n + m'} AND place_y <= m - {shared % 'n + m'}""").select(
+        F.least("set_id", "set_y").alias("a"), F.greatest("set_id", "set_y").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node: alternate large and small stars until the edges are stars.
 
@@ -293,16 +371,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                                              F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
                                              F.first("sketch").alias("sketch")), "dedup-distinct")
     active, near, best, roots = sets.withColumns({"root": F.col("set_id"), "weight": F.lit(1).cast("long")}), NEAR, BEST, None
+    exact = False
     while True:
-        pairs, crowded = candidates(active, near, best)
-        links = confirmed(documents, sets, pairs)
-        if roots is None or not links.isEmpty():
+        if exact:
+            whole = full_sets(documents, sets, active.select("set_id"))
+            links = confirmed(documents, sets, exact_candidates(active, whole), whole)
+        else:
+            pairs, crowded = candidates(active, near, best)
+            links = confirmed(documents, sets, pairs)
+        nothing = links.isEmpty()
+        if roots is None or not nothing:
             edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = stored(components(edges), "dedup-roots")
-        if links.isEmpty():
+        if exact:
             break
         crowded = stored(crowded, "dedup-crowded")
-        n, near, best = crowded.count(), near * WIDER, best * WIDER
+        n, near, best, exact = crowded.count(), near * WIDER, best * WIDER, nothing
         linked = roots.count()
         if not n:
             break

@@ -79,6 +79,25 @@ def test_a_crowd_of_near_copies_around_a_shared_passage(spark, monkeypatch, near
     assert sum(a != b for a, b in zip(got, want, strict=True)) == 0
 
 
+def test_sets_that_the_forest_did_not_search_are_compared_exactly(spark, monkeypatch):
+    """Distinct texts around one passage, alike but below the bound, hide a few links; every set is left as crowded."""
+    def crowd(sets, near, best):
+        return sets.selectExpr("set_id AS a", "set_id AS b").where("false"), sets.select("set_id")
+
+    monkeypatch.setattr(near_dedup, "candidates", crowd)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    passage, rows = rng.choices(words, k=85), [(500, "one"), (501, "two words"), (502, "")]
+    for i in range(60):
+        own = rng.choices(words, k=15)
+        rows.append((i, " ".join(passage + own)))
+        if i % 6 == 0:
+            rows.append((1000 + i, " ".join(passage + own[:7] + rng.choices(words, k=i % 9))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = run(docs), brute(rows)
+    assert sum(not r[3] for r in want) >= 10 and got == want
+
+
 def test_awkward_rows(awkward, empty):
     assert run(awkward) == brute([(r.doc_id, r.text) for r in awkward.collect()])
     assert run(empty) == []
