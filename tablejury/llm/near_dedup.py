@@ -172,14 +172,15 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
     names = list(fields)
 
     def scan(batches):
-        part, held, first = TaskContext.get().partitionId(), None, None
+        part, held, first, total = TaskContext.get().partitionId(), None, None, 0
 
         def made(n, **columns):
-            return pd.DataFrame({k: columns.get(k, [None] * n) for k in ["a", "b", "part", "side", *names]})
+            return pd.DataFrame({k: columns.get(k, [None] * n) for k in ["a", "b", "part", "side", "whole", *names]})
 
         for frame in batches:
             if not len(frame):
                 continue
+            total += len(frame)
             if first is None or len(first) < near:
                 first = pd.concat([first, frame]).head(near) if first is not None else frame.head(near)
             frame = pd.concat([held, frame], ignore_index=True) if held is not None else frame
@@ -194,10 +195,10 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
             for side, edge, end in ((1, first, 0), (0, held, -1)):
                 mine = (edge["tree"] == edge["tree"].iloc[end]) & (edge["chunk"].str[:4] == edge["chunk"].iloc[end][:4])
                 edge = edge[mine]
-                yield made(len(edge), part=[part] * len(edge), side=[side] * len(edge), **{c: edge[c].tolist() for c in names})
+                yield made(len(edge), part=[part] * len(edge), side=[side] * len(edge), whole=[len(edge) == total] * len(edge), **{c: edge[c].tolist() for c in names})
 
     found = stored(ordered.select(*names).mapInPandas(
-        scan, "a binary, b binary, part int, side int, " + ", ".join(f"{k} {v}" for k, v in fields.items())), "dedup-candidates")
+        scan, "a binary, b binary, part int, side int, whole boolean, " + ", ".join(f"{k} {v}" for k, v in fields.items())), "dedup-candidates")
     edges = found.where(F.col("side") < 2)
     ranks = edges.select("part").distinct().withColumn("rank", F.row_number().over(W.orderBy("part")))  # one row per partition
     cut = edges.join(ranks, "part").withColumn("cut", F.col("rank") - F.col("side"))
@@ -205,12 +206,19 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
     def over(frame):
         frame = frame.sort_values("side", kind="stable", ignore_index=True)
         frame = pd.concat([part.sort_values(["tree", "chunk", "set_id"]) for _, part in frame.groupby("side")], ignore_index=True)
-        pairs, _ = _near(frame, near, best, across=frame["side"].to_numpy() == 0)
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
-
-    joined = cut.select("cut", "side", *names).groupBy("cut").applyInPandas(over, "a binary, b binary")  # 2 * near rows a group
-    pairs = found.where(F.col("side").isNull()).select("a", "b").unionByName(joined).distinct()
-    return pairs, found.where(F.col("side") == 2).select("set_id").distinct()
+        left = frame["side"].to_numpy() == 0
+        pairs, crowded = _near(frame, near, best, across=left)
+        region = list(zip(frame["tree"], frame["chunk"].str[:4], strict=True))
+        over_cut = 0 < left.sum() < len(frame) and region[0] == region[-1]  # one region on both sides
+        if over_cut and (len(frame) > near or frame["whole"].any()):  # it goes on beyond the window, or may beyond a short partition
+            crowded |= set(frame["set_id"])
+        return pd.DataFrame([(a, b, None) for a, b in sorted(pairs)] + [(None, None, c) for c in sorted(crowded)], columns=["a", "b", "set_id"])
+
+    joined = stored(cut.select("cut", "side", "whole", *names).groupBy("cut").applyInPandas(over, "a binary, b binary, set_id binary"),
+                    "dedup-cuts")  # 2 * near rows a group
+    pairs = found.where(F.col("side").isNull()).select("a", "b").unionByName(joined.where("a IS NOT NULL").select("a", "b")).distinct()
+    crowded = found.where(F.col("side") == 2).select("set_id").unionByName(joined.where("set_id IS NOT NULL").select("set_id"))
+    return pairs, crowded.distinct()
 
 
 def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:

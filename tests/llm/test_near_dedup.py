@@ -98,6 +98,20 @@ def test_sets_that_the_forest_did_not_search_are_compared_exactly(spark, monkeyp
     assert sum(not r[3] for r in want) >= 10 and got == want
 
 
+def test_a_region_that_a_cut_splits_is_crowded(spark, monkeypatch):
+    """Regions a little longer than the window, some over a partition cut: the ends are too far apart to be compared."""
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    rng, rows = random.Random(3), []
+    for region in range(230):
+        for i in range(70):
+            key = (region * 7919).to_bytes(4) + i.to_bytes(28)
+            rows.append((key, 10, rng.randbytes(32), key, key, 1))
+    sets = spark.createDataFrame(rows, "set_id binary, n_shingles long, sketch binary, signature binary, root binary, weight long")
+    _, crowded = near_dedup.candidates(sets, near=64, best=2)
+    left = {bytes(r.set_id) for r in crowded.collect()}
+    assert not [r[0] for r in rows if int.from_bytes(r[0][4:]) in (0, 1, 2, 3, 4, 5, 64, 65, 66, 67, 68, 69) and r[0] not in left]
+
+
 def test_awkward_rows(awkward, empty):
     assert run(awkward) == brute([(r.doc_id, r.text) for r in awkward.collect()])
     assert run(empty) == []
