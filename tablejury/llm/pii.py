@@ -6,8 +6,11 @@ corpus, PMI(e; t) = log2(n(e,t) N / (n(e) n(t))), which is at most the entity's
 information content IC(e) = log2(N / n(e)), reached when t never occurs without e.
 Their ratio is the disclosed share of the entity. In a document that names e,
 terms of share `GENERALISE` or more are generalised to a tag, and of share
-`REMOVE` or more removed. Counts are over all documents; an entity and a pair
-need `SUPPORT` distinct texts, so that copies of one text prove nothing.
+`REMOVE` or more removed. Counts are over all documents. A pair needs `SUPPORT`
+distinct texts, or from `LEAST` texts on `EVIDENCE` bits against chance: the Chernoff
+bound on a term of its frequency meeting the entity that often. Copies of one text
+prove nothing. Rare entities add up in groups: e-mail owner and domain, network of
+an address, issuer of a card, exchange of a phone number.
 
 Offsets come from splitting a text by the pattern that found the matches: the
 lengths of pieces and matches alternate, and their running sums are the spans.
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablejury.llm.common import small, stored
 
-GENERALISE, REMOVE, SUPPORT, MIN_TERM = 0.9, 0.99, 5, 4
+GENERALISE, REMOVE, SUPPORT, LEAST, EVIDENCE, MIN_TERM = 0.9, 0.99, 5, 2, 10, 4
 BLOCK = 256
 
 # The patterns find the same leftmost matches as the plain forms in the comments, without their backtracking.
@@ -33,7 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-WORD = r"\p{L}+"
+WORD = r"[\p{L}\p{N}]+"
+# Words of MIN_TERM characters, and shorter ones with a capital, a digit or a letter of a script without case
+TERM = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}]{{{MIN_TERM}}}|[\p{{L}}\p{{N}}]*[\p{{Lu}}\p{{Lo}}\p{{N}}])[\p{{L}}\p{{N}}]++"
 SPAN = "array<struct<kind:string,s:bigint,e:bigint,value:string,tag:string>>"
 
 
@@ -115,39 +120,57 @@ def _with_spans(documents: DataFrame) -> DataFrame:
                             F.sha2(text, 256).alias("key"))
 
 
-def _entity(span):
-    plain = F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
-    return F.concat_ws(":", span["kind"], plain)
+def _entities(span):
+    """The entity of a span and the groups it belongs to."""
+    kind = span["kind"]
+    plain = F.when(kind.isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"]))
 
+    def name(group, value):
+        return F.concat_ws(":", F.lit(group), value)
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{MIN_TERM},}}"), F.lit(0)), F.lower))
+    groups = (F.when(kind == "email", F.array(name("owner", F.substring_index(plain, "@", 1)), name("domain", F.substring_index(plain, "@", -1))))
+              .when(kind == "ip", F.array(name("network", F.substring_index(plain, ".", 3))))
+              .when(kind == "card", F.array(name("issuer", F.substring(plain, 1, 6))))
+              .otherwise(F.array(name("exchange", F.substring(plain, F.lit(1), F.length(plain) - 4)))))
+    return F.concat(F.array(F.concat_ws(":", kind, plain)), groups)
+
+
+def _words(text: Column, pattern=WORD) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _evidence(texts, n_et, n_e, n_t, total):
+    """Bits against chance: texts / x trials of which a share x meets an entity of probability p."""
+    x, p = n_et / n_t, n_e / total
+    rest = F.when(x < 1, (1 - x) * F.log2((1 - x) / (1 - p))).otherwise(0.0)
+    return F.when(x > p, texts / x * (x * F.log2(x / p) + rest)).otherwise(0.0)
 
 
 def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) -> DataFrame:
     """(text key, term, share): terms of texts that disclose at least `share` of an entity named in the same text."""
     text = F.coalesce("text", F.lit(""))
     named = stored(_with_spans(documents.select("text")).where(F.size("base") > 0).select(
-        "key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+        "key", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
         .groupBy("key", "entity").agg(F.count("*").alias("docs")), "pii-entities")
     known = (named.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
-             .where(F.col("texts") >= support).select("entity", "n_e"))
+             .where(F.col("texts") >= min(support, LEAST)).select("entity", "n_e"))
     known = stored(known, "pii-known")
     named = stored(named.join(known, "entity"), "pii-named")
     keys = named.select("key").distinct()
     inside = (documents.select(text.alias("text"), F.sha2(text, 256).alias("key")).join(small(keys, named.count()), "key", "left_semi")
-              .dropDuplicates(["key"]).select("key", F.explode(_words(F.col("text"))).alias("term")))
+              .dropDuplicates(["key"]).select("key", F.explode(_words(F.col("text"), TERM)).alias("term")))
     together = (inside.join(named, "key").groupBy("entity", "term").agg(
         F.sum("docs").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
-        .where(F.col("texts") >= support).select("entity", "term", "n_e", "n_et"))
+        .where(F.col("texts") >= min(support, LEAST)))
     together = stored(together, "pii-together")
     terms = stored(together.select("term").distinct(), "pii-terms")
     occurring = documents.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     occurring = occurring.join(small(terms, terms.count()), "term", "left_semi")
     total = documents.count()
     disclosed = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
+    enough = (F.col("texts") >= support) | (_evidence(*map(F.col, ("texts", "n_et", "n_e", "n_t")), total) >= EVIDENCE)
     strong = stored(together.join(occurring, "term").where(F.col("n_e") < total).withColumn("share", disclosed)
-                    .where(F.col("share") >= share).select("entity", "term", "share"), "pii-strong")
+                    .where((F.col("share") >= share) & enough).select("entity", "term", "share"), "pii-strong")
     return named.select("key", "entity").join(strong, "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
 
 

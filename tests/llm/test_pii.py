@@ -82,6 +82,18 @@ def test_share_is_pointwise_information_over_information_content(spark):
         assert abs(terms[term] - math.log2(7 * 37 / (7 * count)) / math.log2(37 / 7)) < 1e-12
 
 
+def test_rare_entities_groups_and_short_terms(spark):
+    """Two texts that name one entity, and two with addresses of one domain, are enough in a corpus of many others."""
+    rows = [(i, f"Plain matter {chr(97 + i // 26) * 4}{chr(97 + i % 26) * 4} goes on.") for i in range(400)]
+    rows += [(500, "Plain matter of Zwiebelfisch, agent X7: call +1 (076) 555-8046."), (501, "X7 goes on, so Zwiebelfisch: +1 076 555 8046 again.")]
+    rows += [(502, "Plain Quastenflosser wrote to one@rare.example.org."), (503, "Quastenflosser goes on to two@rare.example.org.")]
+    found = {r.doc_id: {x.value for x in r.pii if x.kind == "term"}
+             for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[500] == found[501] == {"Zwiebelfisch", "X7"}
+    assert found[502] == found[503] == {"Quastenflosser"}
+    assert not any(found[i] for i in range(400))
+
+
 def test_overlapping_spans_are_rewritten_once(spark):
     docs = spark.createDataFrame([(1, "x +14111111111111111 y a@1.2.3.4 z")], "doc_id long, text string")
     spans = brute("x +14111111111111111 y a@1.2.3.4 z")
