@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablejury.llm import (
+    binpack,
     chat,
     fingerprints,
     lm_scoring,
@@ -116,3 +117,8 @@ def op10_chat(spark, sf_dir):
 def op4_sentencepiece(spark, sf_dir):
     encoded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
     return sentencepiece_fst.digest(sentencepiece_fst.decode(encoded))
+
+
+@query("op11_binpack")
+def op11_binpack(spark, sf_dir):
+    return binpack.pack_digest(binpack.pack(table(spark, sf_dir, "documents")))
