@@ -14,6 +14,7 @@ from tablejury.llm import (
     sentencepiece_fst,
     sharding,
     topk,
+    vector_codes,
 )
 
 QUERIES = {}
@@ -122,3 +123,37 @@ def op4_sentencepiece(spark, sf_dir):
 @query("op11_binpack")
 def op11_binpack(spark, sf_dir):
     return binpack.pack_digest(binpack.pack(table(spark, sf_dir, "documents")))
+
+
+def _codes_sql(rounds=2):
+    """Each round as a pair of tables: parts with their nearest entry (a0, a1, ..), then the next codebooks (c1, c2, ..)."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+    SELECT r, part, min({{'d': CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': entry}}) AS m
+    FROM p JOIN c{k} USING (part) GROUP BY r, part)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+    SELECT part, m['e'] AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+    FROM a{k} JOIN p USING (r, part), range(1, 65) t(i) WHERE i <= len(x) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(any_value(m.c), any_value(o.c)) AS c FROM c{k} o LEFT JOIN (
+        SELECT part, entry, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY ALL) m USING (part, entry) GROUP BY ALL)""")
+    return ",\n".join(steps)
+
+
+@query("op12_vector_codes", f"""
+WITH k AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM k, range(16) t(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 64),
+{_codes_sql()},
+coded AS (
+    SELECT r, string_agg(printf('%02x', m['e']), '' ORDER BY part) AS code, CAST(sum(m['d']) AS BIGINT) AS error FROM a2 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN coded USING (r), books""")
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
