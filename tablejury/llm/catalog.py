@@ -10,6 +10,7 @@ from tablejury.llm import (
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     quality,
     sentencepiece_fst,
     sharding,
@@ -157,3 +158,38 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM k JOIN coded USING (r), books""")
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_prefix_trie", r"""
+WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS tid,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'tid': tid, 'words': words} ORDER BY pos) AS said FROM t GROUP BY c),
+h AS (
+    SELECT c, said, xor(4294967295, list_reduce(
+        list_transform(range(8 * length(CAST(c AS VARCHAR))), lambda k: (ord(CAST(c AS VARCHAR)[k // 8 + 1]) >> (k % 8)) & 1),
+        lambda crc, b: xor(crc >> 1, CASE WHEN xor(crc & 1, b) = 1 THEN 3988292384 ELSE 0 END), 4294967295)) % 4 AS h
+    FROM own),
+seq AS (
+    SELECT a.c, list_concat(coalesce(b.said[1:a.h], []), a.said[a.h + 1:]) AS said
+    FROM h a LEFT JOIN h b ON b.c = a.c - a.c % 20),
+steps AS (
+    SELECT c, d, len(said) AS len, coalesce(said[d]['words'], 0) AS words, array_to_string(list_transform(said[1:d], lambda x: x['tid']), ',') AS path
+    FROM seq, range(0, 10000) r(d) WHERE d <= len(said)),
+node AS (
+    SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '')) AS ends_sha256
+    FROM steps GROUP BY ALL),
+linked AS (SELECT a.*, p.conv_id AS parent_conv_id, p.path AS up FROM node a LEFT JOIN node p ON p.d = a.d - 1 AND p.path = left(a.path, greatest(0, 65 * p.d - 1))),
+kids AS (SELECT d - 1 AS d, up AS path, count(*) AS n FROM linked WHERE d > 0 GROUP BY ALL),
+below AS (
+    SELECT r.d, left(a.path, greatest(0, 65 * r.d - 1)) AS path,
+           count(*) FILTER (k.n IS NULL) AS n_leaves, sum((a.n_convs - 1) * a.words) AS saved
+    FROM node a LEFT JOIN kids k USING (d, path), range(0, 10000) r(d) WHERE r.d <= a.d GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked LEFT JOIN kids USING (d, path) JOIN below USING (d, path)""")
+def op13_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared_heads(turns))
