@@ -12,6 +12,7 @@ then starting points by two-pass prefix sums) and look their slot up.
 """
 
 import bisect
+import itertools
 import math
 import os
 import zlib
@@ -23,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablejury.llm.common import partition_starts, run_hashes, slices, stored, text_buffer
+from tablejury.llm.common import partition_starts, slices, span_hashes, stored, text_buffer
 
 CAPACITY = 4096
 END_ID = 1
 SLICE = 1_000_000  # bytes of text whose distinct words are encoded together (a longer text is its own slice)
-CACHE = 4_000_000  # ids of known words a worker keeps; it starts over beyond them
+CACHE = 8_000_000  # ids of known words a worker keeps; it starts over beyond them
 _ENCODERS = {}
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK, LETTER, MARK = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = BLANK
+_KIND[97:123] = _KIND[65:91] = LETTER
+_KIND[list(b".,;:!?()")] = MARK
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -41,13 +45,19 @@ def tokenizer_path(name="word_bpe_49k.json"):
 
 
 class Words:
-    """Ids of whole texts by a tokenizer whose units never cross white space: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer whose units never cross white space: each distinct word is encoded once.
+
+    A word is also cut between an ASCII letter and sentence punctuation, where the
+    tokenizer's pattern always ends a unit, and its ASCII letters are made lower case,
+    as the tokenizer does itself. Only the strings of special tokens mind the case.
+    """
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self):
@@ -56,27 +66,33 @@ class Words:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, words, hashes):
-        """Encode words whose hashes are new; `known` stays sorted."""
-        if len(self.ids) > CACHE:
-            self.forget()
+        """Encode words whose hashes (ascending) are new; `known` stays sorted."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in encoded], np.int64)
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([i for x in encoded for i in x], np.uint32)])
-        known, begin, size = (np.concatenate(p) for p in ((self.known, hashes), (self.begin, begin), (self.size, size)))
-        order = np.argsort(known)
-        self.known, self.begin, self.size = known[order], begin[order], size[order]
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(size.sum()))])
+        spot = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = np.insert(self.known, spot, hashes), np.insert(self.begin, spot, begin), np.insert(self.size, spot, size)
+
+    def folded(self, data):
+        """ASCII letters in lower case, unless that could make up a special token."""
+        low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        return data if any(t in low.tobytes() for t in self.special) else low
 
     def batch(self, data, offsets, end_id):
         """(all ids with `end_id` after each document, number of ids per document)."""
-        docs = len(offsets) - 1
-        blank = _BLANK[data]
-        h, starts, bounds = run_hashes(data, (~blank).view(np.uint8), offsets)
-        edge = blank.copy()
-        edge[offsets[:-1][offsets[:-1] < len(data)]] = True
-        edges = np.append(np.flatnonzero(edge), len(data))
-        ends = edges[np.searchsorted(edges, starts + 1)]
-        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
+        docs, data = len(offsets) - 1, self.folded(data)
+        kind = _KIND[data]
+        # a word begins after white space, at a document's begin, and between a letter and a sentence mark
+        edge = np.zeros(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] == BLANK) | (kind[:-1] == BLANK) | (kind[1:] + kind[:-1] == LETTER + MARK)
+        edge[offsets] = True
+        edges = np.flatnonzero(edge)
+        starts, ends = edges[:-1], edges[1:]
+        word = kind[starts] != BLANK if len(starts) else np.zeros(0, bool)
+        starts, ends = starts[word], ends[word]
+        bounds = np.searchsorted(starts, offsets)
+        distinct, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.ids) > CACHE:
             self.forget()
         new = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
@@ -84,11 +100,10 @@ class Words:
             raw = data.tobytes()
             self.learn([raw[i:j].decode() for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)], distinct[new])
         spot = np.searchsorted(self.known, distinct)[which]
-        doc = np.repeat(np.arange(docs), np.diff(bounds))
         # every document's words, then its end id, as runs of one source of ids
         source = np.append(self.ids, np.uint32(end_id))
-        place = np.arange(len(h)) + doc
-        begins, sizes = np.full(len(h) + docs, len(self.ids), np.int64), np.ones(len(h) + docs, np.int64)
+        place = np.arange(len(starts)) + np.repeat(np.arange(docs), np.diff(bounds))
+        begins, sizes = np.full(len(starts) + docs, len(self.ids), np.int64), np.ones(len(starts) + docs, np.int64)
         begins[place], sizes[place] = self.begin[spot], self.size[spot]
         total = np.cumsum(sizes)
         n = np.diff(np.append(0, total[bounds[1:] + np.arange(docs)]))

@@ -17,7 +17,7 @@ def library():
 
 
 @pytest.mark.parametrize("text", ["", " ", "Don't we'll 12 3,4", "a\tb\n\nc\x0bd", "É é ÀB ΑΣ ΣΑΣ Σ", "x y　z w", "é ́ a",
-                                  "naïve café 東京 🗼tower", "a <|endoftext|> b<|startoftext|>c", "\x1c \x00 \x85", "İI ıi ß", "한국 각 각"])
+                                  "naïve café 東京 🗼tower", "a <|endoftext|> b<|startoftext|>c", "\x1c \x00 \x85", "İI ıi ß", "Word, (word) .'s it's. 'S.'t a.b,c!? é.É ,é", "<|ENDOFTEXT|> X", "a.<|endoftext|>.B", "e.\u0301 E\u0301, .\u0301", "–.a a.– a,–", "한국 각 각"])
 def test_ids_equal_the_library(library, text):
     import pyarrow as pa
 
