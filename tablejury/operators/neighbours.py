@@ -1,92 +1,174 @@
 """Exact nearest-neighbour distances between two point sets, without a cross join.
 
-A k-d tree drawn from a bounded sample of the searched points cuts space into
-leaves; points travel to their leaf and are packed into small blocks. Each
-query point is first compared with its own leaf, which bounds its distance, and
-then only with leaves whose bounding box is nearer than that bound. Both steps
-are equi-joins of blocks on (leaf, salt): a leaf crowded with query points is
-split over salts, and identical points are folded beforehand, so neither copies
-nor crowding can load one task. Blocks are compared in numpy; only one minimum
-per query point and block leaves a task.
+Space is cut twice, each time by counts of all points. Cells come first: every pass
+counts the oversized cells' points in bins along their widest side and cuts them
+between bins, so a few passes leave no cell above `cell_rows`, which grows with the
+square root of the points. A task then cuts one cell into leaves at exact medians.
+
+Queries go through cells best first, in rounds: a query visits the unvisited cells
+nearest to it whose boxes are nearer than the distance it has, one cell in the first
+round and twice as many in each further one. Within a cell it goes from leaf to leaf in
+the same manner, and every leaf may tighten its bound. Visits are joins of (cell, salt)
+groups: a cell crowded with queries is split over salts, identical points are folded
+beforehand, and one minimum per query and cell leaves a task.
 """
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from tablejury.session import shared_table, spread
 
-SAMPLE_ROWS = 131_072
 LEAF_ROWS = 512
-MAX_LEAVES = 16_384
-PAIR_DOUBLES = 1_536
+CELL_ROWS = 32_768
+BINS = 64
+BATCH = 256
+
+
+def _matrix(column):
+    """Rows of equal length from an Arrow list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _lists(matrix):
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+class Cells:
+    """A binary tree of cuts whose ends are cells with their counts and tight boxes."""
+
+    def __init__(self, count, low, high):
+        self.dim, self.cut, self.child = [0], [np.inf], [(0, 0)]
+        self.ends = {0: (count, np.array(low), np.array(high))}
+
+    def locate(self, x):
+        dim, cut, child = np.array(self.dim), np.array(self.cut), np.array(self.child)
+        node = np.zeros(len(x), np.int64)
+        while len(inner := np.flatnonzero(child[node, 0] > 0)):
+            at = node[inner]
+            node[inner] = child[at, (x[inner, dim[at]] > cut[at]).astype(int)]
+        return node
+
+    def edges(self, node):
+        """The widest side of a cell and the upper ends of its bins, all but the last below the side's end."""
+        _, low, high = self.ends[node]
+        dim = int(np.argmax(high - low))
+        ends = low[dim] + (high[dim] - low[dim]) * (np.arange(1, BINS + 1) / BINS)
+        ends = np.where(ends < high[dim], ends, low[dim])  # a side too narrow for so many bins keeps its lowest value apart
+        return dim, np.append(np.sort(ends[:-1]), high[dim])
+
+    def split(self, node, dim, ends, bins, limit):
+        """Cut a cell between its bins [(bin, count, low, high)] in order until parts are small or widest elsewhere."""
+        count = sum(b[1] for b in bins)
+        low, high = np.min([b[2] for b in bins], axis=0), np.max([b[3] for b in bins], axis=0)
+        self.ends[node] = (count, low, high)
+        if count <= limit or len(bins) < 2 or int(np.argmax(high - low)) != dim:
+            return
+        below = np.cumsum([b[1] for b in bins])[:-1]
+        k = int(np.argmin(np.abs(below - count / 2))) + 1
+        del self.ends[node]
+        self.dim[node], self.cut[node] = dim, ends[bins[k - 1][0]]
+        self.child[node] = (len(self.dim), len(self.dim) + 1)
+        self.dim += [0, 0]
+        self.cut += [np.inf, np.inf]
+        self.child += [(0, 0), (0, 0)]
+        left, right = self.child[node]
+        self.split(left, dim, ends, bins[:k], limit)
+        self.split(right, dim, ends, bins[k:], limit)
+
+
+def _count_bins(points, cells, large):
+    """(node, bin, n, low, high) of the oversized cells' points, added up within tasks and then by Spark."""
+    sides = {node: cells.edges(node) for node in large}
+    width = len(next(iter(cells.ends.values()))[1])
+
+    def run(batches):
+        total = {}
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            node = cells.locate(x) if len(x) else np.zeros(0, np.int64)
+            for n in np.intersect1d(np.unique(node), large).tolist():
+                dim, ends = sides[n]
+                mine = x[node == n]
+                where = np.minimum(np.searchsorted(ends, mine[:, dim], side="left"), BINS - 1)
+                for b in np.unique(where).tolist():
+                    some = mine[where == b]
+                    k, low, high = total.get((n, b), (0, np.inf, -np.inf))
+                    total[n, b] = (k + len(some), np.minimum(low, some.min(axis=0)), np.maximum(high, some.max(axis=0)))
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([n for n, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int32()), pa.array([total[k][0] for k in keys], pa.int64()),
+            pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.float64())), pa.array([total[k][2].tolist() for k in keys], pa.list_(pa.float64()))],
+            names=["node", "bin", "n", "low", "high"])
+
+    def each(f, column):
+        return F.array(*[f(F.element_at(column, k + 1)) for k in range(width)]).alias(column)
+
+    return (points.select("vec").mapInArrow(run, "node long, bin int, n long, low array<double>, high array<double>")
+            .groupBy("node", "bin").agg(F.sum("n").alias("n"), each(F.min, "low"), each(F.max, "high")))
+
+
+def build_cells(points, limit):
+    """Cells of at most `limit` distinct points. The driver holds their boxes; there are about 2 n / limit."""
+    width = points.select(F.size("vec")).first()[0]
+    row = points.agg(F.count(F.lit(1)).alias("n"), *[f(F.element_at("vec", k + 1)).alias(f"{s}{k}") for k in range(width) for s, f in (("lo", F.min), ("hi", F.max))]).first()
+    cells = Cells(row["n"], [row[f"lo{k}"] for k in range(width)], [row[f"hi{k}"] for k in range(width)])
+    while large := [n for n, end in cells.ends.items() if end[0] > limit]:
+        found = {}
+        for r in _count_bins(points, cells, np.array(large)).collect():  # at most BINS rows for each oversized cell
+            found.setdefault(r["node"], []).append((r["bin"], r["n"], np.array(r["low"]), np.array(r["high"])))
+        for node, bins in found.items():
+            cells.split(node, *cells.edges(node), sorted(bins, key=lambda b: b[0]), limit)
+    return cells
+
+
+def _leaf_rows(x, rows):
+    """Row numbers of a cell's leaves: cut at the median of the widest side until `rows` or fewer are left."""
+    todo, leaves = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            leaves.append(at)
+            continue
+        part = x[at]
+        dim = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        values = part[:, dim]
+        cut = np.median(values)
+        if cut == values.max():  # keep both sides non-empty when the top value repeats
+            cut = values[values < cut].max()
+        todo += [at[values <= cut], at[values > cut]]
+    return leaves
+
+
+def build_leaves(points, cells, leaf_rows):
+    """(cell, points, low, high): one row per leaf, its points one after the other."""
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(cells.locate(_matrix(batch.column(0)))), batch.column(0)], names=["cell", "vec"])
 
+    def cut(table):
+        x = _matrix(table.column("vec"))
+        leaves = _leaf_rows(x, leaf_rows)
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()] * len(leaves), pa.int64()),
+                         "points": pa.array([x[at].ravel() for at in leaves], pa.list_(pa.float64())),
+                         "low": _lists(np.stack([x[at].min(axis=0) for at in leaves])), "high": _lists(np.stack([x[at].max(axis=0) for at in leaves]))})
 
-def _build_tree(sample, depth):
-    """Split dimensions and values of a complete binary tree, in heap order."""
-    dims, values = np.zeros(2 ** depth - 1, dtype=int), np.full(2 ** depth - 1, np.inf)
+    return (points.select("vec").mapInArrow(place, "cell long, vec array<double>").groupBy("cell")
+            .applyInArrow(cut, "cell long, points array<double>, low array<double>, high array<double>"))
 
-    def split(node, rows, level):
-        if level == depth or len(rows) < 2:
-            return
-        spread = rows.max(axis=0) - rows.min(axis=0)
-        dim = int(np.argmax(spread))
-        if spread[dim] > 0:
-            cut = np.median(rows[:, dim])
-            if cut == rows[:, dim].max():  # keep both sides non-empty when the top value repeats
-                cut = rows[rows[:, dim] < cut, dim].max()
-            dims[node], values[node] = dim, cut
-            right = rows[:, dim] > cut
-            split(2 * node + 1, rows[~right], level + 1)
-            split(2 * node + 2, rows[right], level + 1)
-
-    split(0, sample, 0)
-    return dims, values
-
-
-def _leaf_of(points, dims, values, depth):
-    node = np.zeros(len(points), dtype=int)
-    rows = np.arange(len(points))
-    for _ in range(depth):
-        right = points[rows, dims[node]] > values[node]
-        node = 2 * node + 1 + right
-    return node - (2 ** depth - 1)
-
-
-def _node_boxes(boxes, depth, width):
-    """Bounding boxes of all nodes from those of the leaves; empty nodes stay infinitely far."""
-    size = 2 ** (depth + 1) - 1
-    low, high = np.full((size, width), np.inf), np.full((size, width), -np.inf)
-    for leaf, (lo, hi) in boxes.items():
-        low[2 ** depth - 1 + leaf], high[2 ** depth - 1 + leaf] = lo, hi
-    for node in range(2 ** depth - 2, -1, -1):
-        low[node] = np.minimum(low[2 * node + 1], low[2 * node + 2])
-        high[node] = np.maximum(high[2 * node + 1], high[2 * node + 2])
-    return low, high
-
-
-def _near_leaves(points, bounds, own, low, high, depth):
-    """For every point the other leaves whose box is nearer than its bound (squared distances)."""
-    found = [[] for _ in points]
-    first_leaf = 2 ** depth - 1
-
-    def visit(node, rows):
-        gap = np.maximum(np.maximum(low[node] - points[rows], points[rows] - high[node]), 0.0)
-        rows = rows[(gap * gap).sum(axis=1) < bounds[rows]]
-        if len(rows) == 0:
-            return
-        if node >= first_leaf:
-            leaf = node - first_leaf
-            for r in rows[own[rows] != leaf]:
-                found[r].append(leaf)
-        else:
-            visit(2 * node + 1, rows)
-            visit(2 * node + 2, rows)
 
-    if len(points):
-        visit(0, np.arange(len(points)))
-    return found
+def _gaps(x, low, high):
+    """Squared distance of every row of x to every box."""
+    total = np.zeros((len(x), len(low)))
+    for k in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[:, k] - x[:, k, None], x[:, k, None] - high[:, k]), 0.0)
+        total += gap * gap
+    return total
 
 
 def _block_min(a, b):
@@ -98,104 +180,98 @@ def _block_min(a, b):
     return total.min(axis=1)
 
 
-def _compare(width):
-    """Fold the blocks offered to one query block into a single minimum per query.
+def _search_cell(x, best, leaves, low, high):
+    """(squared distances, leaves compared) of queries x with bounds `best` in one cell's leaves.
 
-    The join hands over a query block's partners one after another, so the
-    minimum is kept across them and a leaf of many blocks still yields one row
-    per query. Partners that come apart only cost an extra row.
+    Queries are taken in batches of neighbours. Each first visits its nearest leaf, then the
+    batch goes through the other leaves, nearest first, with the queries whose bounds they undercut.
     """
-    def run(batches):
-        key, asked, best, done = None, None, None, []
-        for batch in batches:
-            for leaf, salt, q, r in zip(batch["leaf"], batch["salt"], batch["queries"], batch["points"]):
-                if (leaf, salt) != key:
-                    if key is not None:
-                        done.append((asked, best))
-                    key, asked = (leaf, salt), np.asarray(q).reshape(-1, width)
-                    best = np.full(len(asked), np.inf)
-                best = np.minimum(best, _block_min(asked, np.asarray(r).reshape(-1, width)))
-            if done:
-                yield _answers(done)
-                done = []
-        if key is not None:
-            yield _answers([(asked, best)])
-    return run
-
-
-def _answers(blocks):
-    return pd.DataFrame({"vec": [v for asked, _ in blocks for v in asked],
-                         "d2": np.concatenate([best for _, best in blocks])})
-
-
-def _salted(points, block_rows):
-    """Points with a salt that spreads each leaf over blocks of about block_rows, and the salts per leaf."""
-    sizes = points.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_salts"))
-    sizes = shared_table(sizes, "leaf-sizes")
-    salted = points.join(sizes, "leaf").withColumn("salt", F.pmod(F.xxhash64("vec"), F.col("n_salts")).cast("int"))
-    return salted, sizes
-
-
-def _pack(points, *keys, name):
-    return points.groupBy(*keys).agg(F.flatten(F.collect_list("vec")).alias(name))
-
-
-def _search(queries, blocks, block_rows, width):
-    """(vec, d2): minimum over the blocks of the query's leaf; queries and blocks carry ``leaf``."""
-    salted, sizes = _salted(queries, block_rows)
-    asked = _pack(salted, "leaf", "salt", name="queries")
-    offered = blocks.join(sizes, "leaf") \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
-    asked, offered = spread(asked, "leaf", "salt"), spread(offered, "leaf", "salt")
-    return asked.join(offered, ["leaf", "salt"]).select("leaf", "salt", "queries", "points") \
-        .mapInPandas(_compare(width), "vec array<double>, d2 double")
-
-
-def nearest_distances(queries, points, leaf_rows=LEAF_ROWS, max_leaves=MAX_LEAVES, sample_rows=SAMPLE_ROWS):
-    """(vec, distance) for every distinct query vector: Euclidean distance to its nearest point.
-
-    Both inputs have one column ``vec`` of doubles without NULL. The sample only
-    places the cuts; every point is searched, so distances are exact.
+    found, compared = best.copy(), np.zeros(len(x), np.int64)
+    first = np.concatenate([_gaps(x[i:i + BATCH], low, high).argmin(axis=1) for i in range(0, len(x), BATCH)])
+    order = np.argsort(first, kind="stable")
+    for i in range(0, len(x), BATCH):
+        at = order[i:i + BATCH]
+        mine, gaps, bound = x[at], _gaps(x[at], low, high), found[at]
+        near = first[at]
+
+        def visit(rows, leaf):
+            bound[rows] = np.minimum(bound[rows], _block_min(mine[rows], leaves[leaf]))
+            compared[at[rows]] += 1
+
+        for leaf in np.unique(near).tolist():
+            visit(np.flatnonzero(near == leaf), leaf)
+        gaps[np.arange(len(at)), near] = np.inf
+        least = gaps.min(axis=0)
+        for leaf in np.argsort(least).tolist():
+            if least[leaf] >= bound.max():
+                break
+            rows = np.flatnonzero(gaps[:, leaf] < bound)
+            if len(rows):
+                visit(rows, leaf)
+        found[at] = bound
+    return found, compared
+
+
+def _visit(asked, leaves, block):
+    """(id, d2, leaves) for every (query, cell) pair asked for."""
+    salts = shared_table(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_salts")), "salts")
+    salted = asked.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int")).drop("n_salts")
+    offered = leaves.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
+
+    def compare(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "leaves": pa.array([], pa.int64())})
+        x, best = _matrix(left.column("vec")), left.column("best").to_numpy()
+        points = [np.asarray(p.values).reshape(-1, x.shape[1]) for p in right.column("points")]
+        d2, compared = _search_cell(x, best, points, _matrix(right.column("low")), _matrix(right.column("high")))
+        return pa.table({"id": left.column("id"), "d2": pa.array(d2), "leaves": pa.array(compared)})
+
+    return salted.groupBy("cell", "salt").cogroup(offered.groupBy("cell", "salt")).applyInArrow(compare, "id long, d2 double, leaves long")
+
+
+def search(queries, points, leaf_rows=LEAF_ROWS, cell_rows=None):
+    """(vec, distance, leaves) for every distinct query vector: Euclidean distance to its nearest point, leaves compared.
+
+    Both inputs have one column ``vec`` of doubles without NULL.
     """
     points = shared_table(spread(points.select("vec").distinct(), "vec"), "points")
-    queries = spread(queries.select("vec").distinct(), "vec")
-    n_points = points.count()
-    if n_points == 0:
+    n = points.count()
+    if n == 0:
         raise ValueError("no points to search")
-    sample = np.stack(points.orderBy(F.xxhash64("vec")).limit(sample_rows).toPandas()["vec"].to_numpy())
-    width = sample.shape[1]
-    wanted = min(max_leaves, max(1, n_points // leaf_rows), max(1, len(sample) // 8))
-    depth = int(np.log2(wanted)) if wanted > 1 else 0
-    dims, values = _build_tree(sample, depth)
-    block_rows = max(32, min(256, PAIR_DOUBLES // width))
-
-    @F.pandas_udf(IntegerType())
-    def leaf_of(vec: pd.Series) -> pd.Series:
-        if len(vec) == 0:
-            return pd.Series([], dtype="int32")
-        return pd.Series(_leaf_of(np.stack(vec.to_numpy()), dims, values, depth).astype("int32"))
-
-    placed = shared_table(points.withColumn("leaf", leaf_of("vec")), "placed")
-    per_dim = [f(F.element_at("vec", k + 1)).alias(f"{n}{k}") for k in range(width)
-               for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = {r["leaf"]: ([r[f"lo{k}"] for k in range(width)], [r[f"hi{k}"] for k in range(width)])
-             for r in placed.groupBy("leaf").agg(*per_dim).collect()}  # at most max_leaves rows
-    low, high = _node_boxes(boxes, depth, width)
-    salted, _ = _salted(placed, block_rows)
-    blocks = shared_table(_pack(salted, "leaf", "salt", name="points").drop("salt"), "blocks")
-
-    located = shared_table(queries.withColumn("leaf", leaf_of("vec")), "located")
-    first = _search(located, blocks, block_rows, width).groupBy("vec").agg(F.min("d2").alias("d2"))
-    first = shared_table(first, "first")
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def near_leaves(vec: pd.Series, d2: pd.Series) -> pd.Series:
-        if len(vec) == 0:
-            return pd.Series([], dtype="object")
-        x = np.stack(vec.to_numpy())
-        own = _leaf_of(x, dims, values, depth)
-        return pd.Series(_near_leaves(x, d2.to_numpy(), own, low, high, depth))
-
-    more = first.select("vec", F.explode(near_leaves("vec", "d2")).alias("leaf"))
-    second = _search(shared_table(more, "more"), blocks, block_rows, width)
-    return first.unionByName(second).groupBy("vec").agg(F.sqrt(F.min("d2")).alias("distance"))
+    limit = cell_rows or max(CELL_ROWS, math.isqrt(n * leaf_rows))
+    cells = build_cells(points, limit)
+    leaves = shared_table(build_leaves(points, cells, leaf_rows), "leaves")
+    nodes = np.array(sorted(cells.ends))
+    low, high = (np.stack([cells.ends[n][k] for n in nodes.tolist()]) for k in (1, 2))
+    block = max(2048, limit // 8)
+
+    def agenda(seen, take):
+        """The next `take` cells of every query in order of their distance, as far as they are nearer than its bound."""
+        def run(batches):
+            for batch in batches:
+                x, best = _matrix(batch.column(1)), batch.column(2).to_numpy()
+                for i in range(0, len(x), step := max(1, 4_000_000 // len(nodes))):
+                    gaps = _gaps(x[i:i + step], low, high)
+                    order = np.argsort(gaps, axis=1, kind="stable")[:, seen:seen + take]
+                    row, rank = np.nonzero(np.take_along_axis(gaps, order, axis=1) < best[i:i + step, None])
+                    where = pa.array(row + i)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(where) for c in range(3)], pa.array(nodes[order[row, rank]])], names=["id", "vec", "best", "cell"])
+        return run
+
+    state = shared_table(spread(queries.select("vec").distinct(), "vec").withColumn("id", F.monotonically_increasing_id())
+                         .select("id", "vec", F.lit(math.inf).alias("best"), F.lit(0).cast("long").alias("leaves")), "queries")
+    seen, take = 0, 1
+    while seen < len(nodes):
+        asked = shared_table(state.select("id", "vec", "best").mapInArrow(agenda(seen, take), "id long, vec array<double>, best double, cell long"), "asked")
+        if asked.isEmpty():
+            break
+        got = _visit(asked, leaves, block).groupBy("id").agg(F.min("d2").alias("d2"), F.sum("leaves").alias("more"))
+        state = shared_table(state.join(got, "id", "left").select(
+            "id", "vec", F.least("best", "d2").alias("best"), (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves")), "bounds")
+        seen, take = seen + take, 2 * take
+    return state.select("vec", F.sqrt("best").alias("distance"), "leaves")
+
+
+def nearest_distances(queries, points, leaf_rows=LEAF_ROWS, cell_rows=None):
+    """(vec, distance) for every distinct query vector: Euclidean distance to its nearest point."""
+    return search(queries, points, leaf_rows, cell_rows).drop("leaves")

@@ -48,6 +48,19 @@ def _(spark, sf):
     return rounded(R.record_linkage(V.micro(spark, sf), FEATURES, "mahalanobis"))
 
 
+_WIDE_SCALE = "wsc AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in V.WIDE) + " FROM wide WHERE source = 'real'),\n filled AS (SELECT source, row_id, " + ", ".join(
+    f"coalesce({c}, m_{c}) - m_{c} AS {c}" for c in V.WIDE) + " FROM wide, wsc),\n wsd AS (SELECT " + ", ".join(
+    f"coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in V.WIDE) + " FROM filled WHERE source = 'real'),\n wz AS (SELECT source, row_id, " + ", ".join(
+    f"{c} / s_{c} AS {c}" for c in V.WIDE) + " FROM filled, wsd)"
+_WIDE_DIST = "dist AS (SELECT s.source, s.row_id, sqrt(min(" + " + ".join(f"(s.{c} - r.{c}) * (s.{c} - r.{c})" for c in V.WIDE) + """)) AS d
+ FROM wz s, (SELECT * FROM wz WHERE source = 'real') r WHERE s.source <> 'real' GROUP BY 1, 2)"""
+
+
+@query("g1_linkage_all_columns", V.with_ctes(V.WIDE_SQL, _WIDE_SCALE, _WIDE_DIST) + SUMMARY.format(metric="euclidean"))
+def _(spark, sf):
+    return rounded(R.record_linkage(V.wide(spark, sf), V.WIDE))
+
+
 @query("u6_labelled_union", V.with_ctes(V.MICRO) + """SELECT m AS method, CAST(label AS INT) AS label, count(*) AS n, round(sum(acctbal), 4) AS total FROM (
  SELECT m, 1 AS label, acctbal FROM micro, (SELECT unnest(['ctgan','tvae','gaussian_copula']) AS m) ms WHERE source = 'real'
  UNION ALL SELECT source, 0, acctbal FROM micro WHERE source <> 'real') u GROUP BY 1, 2""")

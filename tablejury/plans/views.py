@@ -175,6 +175,35 @@ MICRO = """micro AS (
  UNION ALL SELECT 'gaussian_copula', c_custkey, CAST(9000 AS DOUBLE) - c_acctbal, CAST(c_nationkey AS DOUBLE), c_mktsegment FROM customer WHERE c_custkey % 10 <> 0)"""
 
 
+WIDE = ["acctbal", "nation", "n_orders", "total", "mean_price", "max_price", "min_price", "n_open", "n_urgent", "span_days"]
+# how a synthetic table changes the real values of a customer, and which customers it has
+WIDE_CHANGES = {"ctgan": ("1 + (row_id % 97 - 48) / CAST(1000 AS DOUBLE)", "row_id >= 0"), "tvae": ("CAST(0.9 AS DOUBLE)", "row_id >= 0"),
+                "gaussian_copula": ("1 + (row_id * 7 % 13 - 6) / CAST(50 AS DOUBLE)", "row_id % 10 <> 0")}
+
+
+def wide(spark, sf_dir):
+    """One real and three synthetic tables of ten numeric columns: customers and their orders, missing where there are none."""
+    price, day = F.col("o_totalprice"), F.to_date("o_orderdate")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.sum(price).alias("total"), F.avg(price).alias("mean_price"), F.max(price).alias("max_price"),
+        F.min(price).alias("min_price"), F.count_if(F.col("o_orderstatus") == "O").cast("double").alias("n_open"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("n_urgent"), F.date_diff(F.max(day), F.min(day)).cast("double").alias("span_days"))
+    real = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select(
+        F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("acctbal"), F.col("c_nationkey").cast("double").alias("nation"), *WIDE[2:])
+    out = real.select(F.lit("real").alias("source"), "*")
+    for source, (factor, rows) in WIDE_CHANGES.items():
+        out = out.unionAll(real.where(rows).select(F.lit(source), "row_id", *[F.col(c) * F.expr(factor) for c in WIDE]))
+    return out
+
+
+WIDE_SQL = f"""facts AS (SELECT o_custkey AS c_custkey, CAST(count(*) AS DOUBLE) AS n_orders, sum(o_totalprice) AS total, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price,
+ min(o_totalprice) AS min_price, CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) AS n_open, CAST(count(*) FILTER (o_orderpriority = '1-URGENT') AS DOUBLE) AS n_urgent,
+ CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS DOUBLE) AS span_days FROM orders GROUP BY 1),
+ own AS (SELECT c_custkey AS row_id, c_acctbal AS acctbal, CAST(c_nationkey AS DOUBLE) AS nation, {", ".join(WIDE[2:])} FROM customer LEFT JOIN facts USING (c_custkey)),
+ wide AS (SELECT 'real' AS source, * FROM own""" + "".join(
+    f" UNION ALL SELECT '{source}', row_id, {', '.join(f'{c} * ({factor})' for c in WIDE)} FROM own WHERE {rows}" for source, (factor, rows) in WIDE_CHANGES.items()) + ")"
+
+
 def measured_lineitem(spark, sf_dir):
     """lineitem measures with injected nulls and a constant column."""
     li = table(spark, sf_dir, "lineitem")

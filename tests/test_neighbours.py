@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablejury.operators import privacy as P
-from tablejury.operators.neighbours import nearest_distances
+from tablejury.operators.neighbours import build_cells, nearest_distances, search
 
 
 def vectors(spark, x):
@@ -15,16 +15,18 @@ def brute(q, p):
     return np.sqrt(((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)).min(axis=1)
 
 
-@pytest.mark.parametrize("width,kind", [(1, "even"), (2, "even"), (3, "tied"), (6, "tailed")])
-def test_equals_brute_force_over_many_leaves(spark, width, kind):
+@pytest.mark.parametrize("width,kind,cell_rows", [(1, "even", 100), (2, "even", None), (3, "tied", 300), (6, "tailed", 200), (9, "grid", 250)])
+def test_equals_brute_force_over_many_leaves(spark, width, kind, cell_rows):
     rng = np.random.default_rng(width)
     p, q = rng.normal(size=(1500, width)), rng.normal(size=(900, width)) * 1.5
     if kind == "tied":  # a third of all points share one value in two columns
         p[:500, :2], q[:300, :2] = 0.0, 0.0
         p, q = np.round(p, 1), np.round(q, 1)
     if kind == "tailed":
-        p[:, 0], q[:, 0] = np.exp(3 * p[:, 0]), np.exp(3 * q[:, 0])
-    got = nearest_distances(vectors(spark, q), vectors(spark, p), leaf_rows=40).toPandas()
+        p[:, 0], q[:, 0] = np.exp(9 * p[:, 0]), np.exp(9 * q[:, 0])
+    if kind == "grid":
+        p, q = np.unique(np.round(p), axis=0), np.unique(np.round(q), axis=0)
+    got = nearest_distances(vectors(spark, q), vectors(spark, p), leaf_rows=40, cell_rows=cell_rows).toPandas()
     want = {tuple(v): d for v, d in zip(q, brute(q, p))}
     assert len(got) == len(want)
     assert np.allclose([want[tuple(v)] for v in got["vec"]], got["distance"], atol=1e-12)
@@ -33,11 +35,34 @@ def test_equals_brute_force_over_many_leaves(spark, width, kind):
 def test_copies_and_a_crowded_leaf(spark):
     p = np.vstack([np.zeros((2000, 2)), np.arange(400).reshape(-1, 2)])
     q = np.vstack([np.zeros((3000, 2)), np.random.default_rng(1).normal(size=(2500, 2)) * 0.01])
-    got = nearest_distances(vectors(spark, q), vectors(spark, p), leaf_rows=20).toPandas()
+    got = nearest_distances(vectors(spark, q), vectors(spark, p), leaf_rows=20, cell_rows=50).toPandas()
     want = {tuple(v): d for v, d in zip(q, brute(q, np.unique(p, axis=0)))}
     assert np.allclose([want[tuple(v)] for v in got["vec"]], got["distance"])
 
 
+def test_cells_hold_every_point_within_the_limit(spark):
+    rng = np.random.default_rng(3)
+    x = np.unique(np.vstack([np.exp(12 * rng.normal(size=(2000, 3))), rng.normal(size=(2000, 3)) * 1e-9, [[0, 0, k * 5e-324] for k in range(50)]]), axis=0)
+    cells = build_cells(vectors(spark, x), 60)
+    node = cells.locate(x)
+    for end, (n, low, high) in cells.ends.items():
+        mine = x[node == end]
+        assert 0 < len(mine) == n <= 60
+        assert (mine.min(axis=0) == low).all() and (mine.max(axis=0) == high).all()
+    assert sum(n for n, _, _ in cells.ends.values()) == len(x)
+
+
+def test_many_columns_leave_most_leaves_out(spark):
+    """14 columns that three measures lie behind, as in a table of people: bounds tighten from leaf to leaf."""
+    rng = np.random.default_rng(14)
+    p, q = (rng.normal(size=(6000, 3)) @ rng.normal(size=(3, 14)) + rng.normal(size=(6000, 14)) * 0.05 for _ in range(2))
+    q = p[:2000] + rng.normal(size=(2000, 14)) * 0.05
+    got = search(vectors(spark, q), vectors(spark, p), leaf_rows=32, cell_rows=500).toPandas()
+    want = {tuple(v): d for v, d in zip(q, brute(q, p))}
+    assert np.allclose([want[tuple(v)] for v in got["vec"]], got["distance"], atol=1e-12)
+    assert got["leaves"].mean() < 0.15 * 6000 / 16
+
+
 def micro(spark, n=600, seed=0):
     rng = np.random.default_rng(seed)
     real = pd.DataFrame({"source": "real", "row_id": range(n), "x": rng.normal(size=n), "y": rng.normal(size=n) * 50, "c": 4.0})
