@@ -7,10 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tablejury.functions import scalar as S
-from tablejury.functions.digests import digest, seed_int
-from tablejury.functions.ranking import digest_rank
 from tablejury.operators import profile as P
-from tablejury.operators.sampling import number_off
+from tablejury.operators.sampling import RowIndex
 from tablejury.schema import ROWS_SHOWN
 from tablejury.session import shared_table, spread
 
@@ -95,42 +93,22 @@ def profile_text(df, by, columns, row_id=None):
         F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n").alias("profile_text"))
 
 
-def row_pages(tables, seed, row_id, columns, n_rows=ROWS_SHOWN, by="source"):
-    """Pages of markdown lines in a shuffled order of each table, made once for all samples.
+def row_index(tables, seed, row_id, columns, by="source"):
+    """Index over the markdown lines of every table, from which prompts take their rows."""
+    lines = tables.select(by, F.col(row_id).alias("_row"), markdown_row(columns).alias("_line"))
+    return RowIndex(lines, by, "_row", ["_line"], seed)
 
-    Page b holds the lines at shuffled positions n*b .. n*b + 2n - 1 (round the
-    end of the table), so any run of n positions that starts in it lies in it.
-    """
-    keyed = tables.select(by, F.struct(F.col(row_id).alias("row"), markdown_row(columns).alias("line")).alias("entry"),
-                          digest(seed, by, row_id).alias("_digest"), F.col(row_id).alias("_tie"))
-    placed = shared_table(digest_rank(keyed, [by], tie=["_tie"], rank_column="_pos")
-                          .select(by, (F.col("_pos") - 1).alias("_pos"), "entry"), "placed-rows")
-    sizes = shared_table(placed.groupBy(by).agg(F.count(F.lit(1)).alias("n_total")), "table-sizes")
-    pages = number_off(sizes, F.ceil(F.col("n_total") / n_rows), "_page").withColumn("page", F.col("_page") - 1)
-    slots = pages.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(2 * n_rows - 1)))) \
-        .withColumn("_pos", (F.col("page") * n_rows + F.col("_slot")) % F.col("n_total"))
-    lines = slots.join(placed, [by, "_pos"]).groupBy(by, "page").agg(  # 2n entries per page
-        F.transform(F.array_sort(F.collect_list(F.struct("_slot", "entry"))), lambda x: x["entry"]).alias("entries"))
-    return sizes, shared_table(lines, "pages")
-
-
-def build_prompts(requests, pages, key, columns, condition, profiles=None, n_rows=ROWS_SHOWN, by="source", seed=42):
+
+def build_prompts(requests, index, key, columns, condition, profiles=None, n_rows=ROWS_SHOWN, seed=42):
     """One prompt per request; ``condition`` is a column saying C1 (rows) or C2 (rows and profile).
 
-    A run of consecutive positions in a shuffled order is a uniform sample
-    without replacement, so a request costs one page lookup, not a table scan.
+    Every request draws its own rows without replacement, by its key; they are shown in table order.
     """
-    sizes, lines = pages
-    start = seed_int(F.lit(seed), *key, digits=15) % F.col("n_total")  # 60 bits: every row of any table can be shown
-    found = requests.join(sizes, by).withColumn("_start", start) \
-        .withColumn("page", F.expr(f"_start div {n_rows}")).join(lines, [by, "page"])
-    shown = F.least(F.lit(n_rows), F.col("n_total")).cast("int")
-    sample = F.array_sort(F.slice("entries", (F.col("_start") % n_rows + 1).cast("int"), shown))
-    body = F.array_join(F.transform(sample, lambda x: x["line"]), "\n")
-    text = found.withColumn("n_shown", shown).withColumn(
-        "table_text", F.concat(F.lit(markdown_head(columns) + "\n"), body))
+    shown = index.sample(requests, key, n_rows, seed).groupBy(*requests.columns, "n_total").agg(
+        F.count(F.lit(1)).cast("int").alias("n_shown"), _joined(F.struct(F.col("_row").alias("pos"), F.col("_line").alias("line"))).alias("_body"))
+    text = shown.withColumn("table_text", F.concat(F.lit(markdown_head(columns) + "\n"), F.col("_body")))
     if profiles is not None:
-        text = text.join(shared_table(profiles, "profiles"), by, "left")  # one text per table, sized by its file
+        text = text.join(shared_table(profiles, "profiles"), index.by, "left")  # one text per table, sized by its file
     else:
         text = text.withColumn("profile_text", F.lit(None).cast("string"))
     names = ", ".join(columns)
@@ -184,7 +162,7 @@ def judge_prompts(prompts, key, judge=rule_judge, retries=1, system=SYSTEM_TEXT)
 
 
 def trial_rows(answers, provider, model):
-    """Trial records from judged prompts: parsed verdicts, or ERROR with confidence -1 and the error as reason."""
+    """Trial records from judged prompts (provider and model are names or columns): parsed verdicts, or ERROR with confidence -1 and the error as reason."""
     parsed = answers.withColumn("_v", S.parse_verdict("raw"))
     empty = F.array().cast("array<string>")
     predicted = F.upper(F.coalesce("_v.verdict", F.lit("ERROR")))

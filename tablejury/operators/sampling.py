@@ -1,10 +1,12 @@
 """Reproducible samples and trial queues, ordered by keyed digests."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tablejury.functions.digests import digest, seed_int, unit
 from tablejury.functions.ranking import bottom_n, digest_rank, top_k
 from tablejury.schema import CONDITIONS, REAL, SYNTHETIC
+from tablejury.session import shared_table
 
 TAKE_LIMIT = 10_000
 
@@ -34,6 +36,77 @@ def fraction_samples(df, methods, fraction, seed, row_id):
     return tagged.filter(unit(digest(seed, "method", *row_id)) < fraction)
 
 
+DIGITS, STEP = 4, 2  # hex digits that a pass over the tables counts by, and that one join descends
+BUCKET_ROWS = 4096  # buckets of more rows are counted by further digits before their rows are sorted
+
+
+def draw_positions(n_total, n, seed, *key):
+    """n distinct positions below n_total (all, if fewer) for every key: uniform, without replacement, by Floyd's method.
+
+    Step j draws below n_total - n + j + 1 and, if that position is taken, takes the last of them.
+    """
+    n = F.least(F.lit(n).cast("bigint"), n_total)
+    steps = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+    draws = F.transform(steps, lambda j: F.struct(
+        (seed_int(F.lit(seed), *key, j, digits=15) % (n_total - n + j + 1)).alias("drawn"), (n_total - n + j).alias("last")))
+    return F.aggregate(draws, F.array().cast("array<bigint>"), lambda taken, d: F.concat(
+        taken, F.array(F.when(F.array_contains(taken, d["drawn"]), d["last"]).otherwise(d["drawn"]))))
+
+
+class RowIndex:
+    """Random access to rows by position in the digest order of their table, without writing or sorting the tables.
+
+    One pass counts each table's rows by the first hex digits of their digests: 16 ** DIGITS
+    numbers a table at most. Running counts turn a position into a bucket and a place in it; only
+    rows of the buckets asked for are read by a semi-join and sorted, bucket by bucket. Where such
+    a bucket is still large, its rows are first counted by further digits.
+    """
+
+    def __init__(self, rows, by, row_id, columns, seed):
+        self.by, self.tie = by, [row_id, *columns]
+        self.rows = rows.select(by, row_id, *columns, digest(seed, by, row_id).alias("_digest"))
+        self.counts = self._count(self.rows, DIGITS)
+        self.sizes = self.counts.groupBy(by).agg(F.sum("_n").alias("n_total"))
+
+    def _count(self, rows, depth):
+        return shared_table(rows.groupBy(self.by, F.substring("_digest", 1, depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
+
+    def _descend(self, wanted, counts, depth):
+        """Move every wanted place from its bucket of `depth` digits to that of DIGITS more."""
+        parent = W.partitionBy(self.by, F.substring("_prefix", 1, depth)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+        starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(parent), F.lit(0)))
+        for upto in range(depth + STEP, depth + DIGITS + 1, STEP):
+            child = F.substring("_prefix", 1, upto)
+            nodes = starts.groupBy(self.by, child.alias("_prefix")).agg(F.min("_start").alias("_start"))
+            children = nodes.groupBy(self.by, F.substring("_prefix", 1, upto - STEP).alias("_prefix")).agg(
+                F.collect_list(F.struct("_start", "_prefix")).alias("_children"))  # at most 16 ** STEP
+            wanted = wanted.join(children, [self.by, "_prefix"]).withColumn(
+                "_child", F.array_max(F.filter("_children", lambda c: c["_start"] <= F.col("_place")))) \
+                .withColumn("_prefix", F.col("_child._prefix")).drop("_children")
+        return shared_table(wanted.withColumn("_place", F.col("_place") - F.col("_child._start")).drop("_child"), "wanted")
+
+    def fetch(self, wanted, position="pos"):
+        """Every row of `wanted` (table, position, ...) with the columns of the row at that position, counted from 0."""
+        wanted = self._descend(wanted.withColumn("_prefix", F.lit("")).withColumn("_place", F.col(position)), self.counts, 0)
+        depth, counts, key = DIGITS, self.counts, [self.by, "_prefix"]
+        while True:
+            asked = wanted.select(*key).distinct()
+            largest = counts.join(asked, key, "left_semi").agg(F.max("_n")).first()[0] or 0
+            rows = self.rows.withColumn("_prefix", F.substring("_digest", 1, depth)).join(asked, key, "left_semi").drop("_prefix")
+            if largest <= BUCKET_ROWS or depth >= 32:
+                break
+            counts = self._count(rows, depth + DIGITS)
+            wanted, depth = self._descend(wanted, counts, depth), depth + DIGITS
+        place = F.row_number().over(W.partitionBy(*key).orderBy("_digest", *self.tie)) - 1
+        rows = rows.withColumn("_prefix", F.substring("_digest", 1, depth)).withColumn("_place", place.cast("bigint")).drop("_digest")
+        return wanted.join(rows, [*key, "_place"]).drop("_prefix", "_place")
+
+    def sample(self, requests, key, n, seed):
+        """n rows for every request, drawn for its key alone: the request's columns, n_total, pos and the row's columns."""
+        drawn = requests.join(self.sizes, self.by).withColumn("pos", F.explode(draw_positions(F.col("n_total"), n, seed, *key)))
+        return self.fetch(drawn)
+
+
 CHUNK = 65_536
 
 

@@ -302,14 +302,20 @@ def _requests(spark, sf, condition):
     e = V.table(spark, sf, "events")
     return e.select(F.col("event_id").alias("trial_id"), F.lit(condition).alias("condition"),
                     F.when(F.col("event_id") % 2 == 0, "real")
-                    .when(F.col("event_id") % 3 == 0, "ctgan").otherwise("tvae").alias("source"))
+                    .when(F.col("event_id") % 3 == 0, "ctgan").when(F.col("event_id") % 5 == 0, "gaussian_copula").otherwise("tvae").alias("source"))
 
 
-_C1 = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) AS pos FROM micro),
- sizes AS (SELECT source, count(*) AS n_total FROM micro GROUP BY 1),
- req AS (SELECT event_id AS trial_id, 'C1' AS condition, CASE WHEN event_id % 2 = 0 THEN 'real' WHEN event_id % 3 = 0 THEN 'ctgan' ELSE 'tvae' END AS source FROM events),
- want AS (SELECT r.*, n_total, (('0x' || substr(sha256(concat_ws('||', '42', CAST(trial_id AS VARCHAR))), 1, 15))::BIGINT % n_total + o) % n_total + 1 AS pos
- FROM req r JOIN sizes USING (source), (SELECT unnest(range(20)) AS o) os WHERE o < n_total)"""
+def _wanted(key):
+    """Every request's own positions, drawn without replacement (Floyd's method), each beside the request's columns."""
+    drawn = f"('0x' || substr(sha256(concat_ws('||', '42', {key}, CAST(j AS VARCHAR))), 1, 15))::BIGINT"
+    return f"""idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) - 1 AS pos FROM micro),
+ sizes AS (SELECT source, count(*) AS n_total, least(20, count(*)) AS k FROM micro GROUP BY 1),
+ want AS (SELECT r.*, n_total, unnest(list_reduce(list_transform(range(k), lambda j: [{drawn} % (n_total - k + j + 1), n_total - k + j]),
+  lambda taken, d: list_append(taken, CASE WHEN list_contains(taken, d[1]) THEN d[2] ELSE d[1] END), []::BIGINT[])) AS pos FROM req r JOIN sizes USING (source))"""
+
+
+_C1 = """req AS (SELECT event_id AS trial_id, 'C1' AS condition, CASE WHEN event_id % 2 = 0 THEN 'real' WHEN event_id % 3 = 0 THEN 'ctgan' WHEN event_id % 5 = 0 THEN 'gaussian_copula' ELSE 'tvae' END AS source FROM events),
+ """ + _wanted("CAST(trial_id AS VARCHAR)")
 
 
 @query("x4_c1_prompts", V.with_ctes(V.MICRO, _C1) + f"""SELECT trial_id, condition, source, CAST(count(*) AS INT) AS n_shown, n_total,
@@ -317,16 +323,16 @@ _C1 = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(c
  || string_agg({_ROW}, chr(10) ORDER BY row_id) || chr(10) || chr(10) || printf('Total rows: %d', n_total) || chr(10) || 'Total columns: 3' || chr(10) || 'Columns: acctbal, nation, segment' || chr(10) AS prompt
  FROM want JOIN idx USING (source, pos) GROUP BY trial_id, condition, source, n_total""")
 def _(spark, sf):
-    pages = R.row_pages(V.micro(spark, sf), 42, "row_id", COLUMNS)
-    return R.build_prompts(_requests(spark, sf, "C1"), pages, ["trial_id"], COLUMNS, F.col("condition"))
+    index = R.row_index(V.micro(spark, sf), 42, "row_id", COLUMNS)
+    return R.build_prompts(_requests(spark, sf, "C1"), index, ["trial_id"], COLUMNS, F.col("condition"))
 
 
 @query("x5_c2_prompts")
 def _(spark, sf):
     micro = V.micro(spark, sf)
     profiles = R.profile_text(micro, ["source"], COLUMNS, "row_id")
-    pages = R.row_pages(micro, 42, "row_id", COLUMNS)
-    return R.build_prompts(_requests(spark, sf, "C2"), pages, ["trial_id"], COLUMNS, F.col("condition"), profiles)
+    index = R.row_index(micro, 42, "row_id", COLUMNS)
+    return R.build_prompts(_requests(spark, sf, "C2"), index, ["trial_id"], COLUMNS, F.col("condition"), profiles)
 
 
 @query("x6_judged_prompts", V.with_ctes(V.MICRO, _C1) + """, shown AS (SELECT trial_id, source, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{4,}')) AS tails,
@@ -334,36 +340,42 @@ def _(spark, sf):
  SELECT trial_id, source, CASE WHEN tails + repeats > 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS verdict,
  CAST(CASE WHEN tails + repeats > 0 THEN least(95, 55 + 5*(tails + repeats)) ELSE 60 END AS DOUBLE) AS confidence FROM shown""")
 def _(spark, sf):
-    pages = R.row_pages(V.micro(spark, sf), 42, "row_id", COLUMNS)
-    prompts = R.build_prompts(_requests(spark, sf, "C1"), pages, ["trial_id"], COLUMNS, F.col("condition"))
+    index = R.row_index(V.micro(spark, sf), 42, "row_id", COLUMNS)
+    prompts = R.build_prompts(_requests(spark, sf, "C1"), index, ["trial_id"], COLUMNS, F.col("condition"))
     v = S.parse_verdict("raw")
     return R.judge_prompts(prompts, ["trial_id"]).select("trial_id", "source", v["verdict"].alias("verdict"),
                                            v["confidence"].alias("confidence"))
 
 
-_JUDGED = """idx AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, CAST(row_id AS VARCHAR))), row_id) AS pos FROM micro),
- sizes AS (SELECT source, count(*) AS n_total FROM micro GROUP BY 1),
- req AS (SELECT *, CASE true_label WHEN 'REAL' THEN 'real' ELSE method END AS source FROM numbered),
- want AS (SELECT r.*, (('0x' || substr(sha256(concat_ws('||', '42', method, condition, true_label, CAST(rep AS VARCHAR))), 1, 15))::BIGINT % n_total + o) % n_total + 1 AS pos
-  FROM req r JOIN sizes USING (source), (SELECT unnest(range(20)) AS o) os WHERE o < n_total),
- seen AS (SELECT method, trial_id, condition, true_label, rep, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{4,}'))
+def _judged(run=""):
+    """Trials of the queue judged by the offline rules; `run` names the columns that tell runs apart."""
+    return f"""req AS (SELECT *, CASE true_label WHEN 'REAL' THEN 'real' ELSE method END AS source FROM numbered),
+ {_wanted(run + "method, condition, true_label, CAST(rep AS VARCHAR)")},
+ seen AS (SELECT {run}method, trial_id, condition, true_label, rep, count(*) FILTER (regexp_matches(CAST(acctbal AS VARCHAR), '[0-9]\\.[0-9]{{4,}}'))
   + count(*) - count(DISTINCT concat_ws('|', CAST(acctbal AS VARCHAR), CAST(nation AS VARCHAR), segment)) AS signs FROM want JOIN idx USING (source, pos) GROUP BY ALL),
- judged AS (SELECT method AS synthetic_method, trial_id, condition, true_label, rep, CASE WHEN signs > 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS predicted_label,
+ judged AS (SELECT {run}method AS synthetic_method, trial_id, condition, true_label, rep, CASE WHEN signs > 0 THEN 'SYNTHETIC' ELSE 'REAL' END AS predicted_label,
   (signs > 0) = (true_label = 'SYNTHETIC') AS correct, CAST(CASE WHEN signs > 0 THEN least(95, 55 + 5*signs) ELSE 60 END AS DOUBLE) AS confidence FROM seen)"""
 
 
-@query("x8_experiment", V.with_ctes(V.TRIALS, TARGETS, QUEUE, NUMBERED, V.MICRO, _JUDGED)
+@query("x8_experiment", V.with_ctes(V.TRIALS, TARGETS, QUEUE, NUMBERED, V.MICRO, _judged())
        + "SELECT synthetic_method, trial_id, condition, true_label, predicted_label, correct, confidence FROM judged")
 def _(spark, sf):
     trials = run_experiment(V.micro(spark, sf), targets(spark, sf), COLUMNS, "row_id", "offline", "rules")
     return trials.select("synthetic_method", "trial_id", "condition", "true_label", "predicted_label", "correct", "confidence")
 
 
-@query("x8_experiment_summary", V.with_ctes(V.TRIALS, TARGETS, QUEUE, NUMBERED, DONE, V.MICRO, _JUDGED) + """SELECT synthetic_method, condition, grouping_id(synthetic_method, condition) AS level,
+_RUNS_NUMBERED = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {RUN}, method ORDER BY md5(concat_ws('|', '42', {RUN}, method, condition, true_label, CAST(rep AS VARCHAR))),
+ condition, true_label, rep) - 1 AS trial_id FROM queue)"""
+
+
+@query("x8_experiment_summary", V.with_ctes(V.TRIALS, RUNS, _RUNS_NUMBERED, V.MICRO, _judged(RUN + ", ")) + f"""SELECT synthetic_method, condition, grouping_id(synthetic_method, condition) AS level,
  CAST(sum(correct::INT) AS BIGINT) AS n_correct, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM judged j
- WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.method = j.synthetic_method AND d.condition = j.condition AND d.true_label = j.true_label AND d.rep = j.rep)
+ WHERE NOT EXISTS (SELECT 1 FROM done d WHERE ({", ".join("d." + c for c in RUN.split(", "))}) = ({", ".join("j." + c for c in RUN.split(", "))})
+ AND d.method = j.synthetic_method AND d.condition = j.condition AND d.true_label = j.true_label AND d.rep = j.rep)
  GROUP BY GROUPING SETS ((synthetic_method), (condition), (synthetic_method, condition), ())""")
 def _(spark, sf):
-    done = B.completed_slots(raw(spark, sf), 42, keys=B.CELL)  # the whole log counts as one earlier run
-    trials = run_experiment(V.micro(spark, sf), targets(spark, sf), COLUMNS, "row_id", "offline", "rules", done=done)
+    """Every run of the log is resumed: its own successes fill its own queue, the rest is judged."""
+    log = raw(spark, sf)
+    wanted = log.groupBy(*B.RUN, "method").agg(F.count(F.lit(1)).alias("n_trials"))
+    trials = run_experiment(V.micro(spark, sf), wanted, COLUMNS, "row_id", done=B.completed_slots(log, 42))
     return rounded(M.accuracy_sets(trials, ["synthetic_method", "condition"], [("synthetic_method", "condition")]))

@@ -6,20 +6,26 @@ from tablejury.operators import backfill as B, prompts as R, sampling as Q
 from tablejury.schema import REAL, ROWS_SHOWN
 
 
-def run_experiment(tables, targets, columns, row_id, provider, model, judge=R.rule_judge, seed=42,
+def run_experiment(tables, targets, columns, row_id, provider=None, model=None, judge=R.rule_judge, seed=42,
                    n_rows=ROWS_SHOWN, done=None, real_source="real"):
     """Trial records for every queued trial of every method.
 
-    ``tables`` is one long table keyed by ``source``; ``targets`` has
-    (method, n_trials). Profiles are computed once per table, samples cost a
-    few lookups per trial, and ``done`` (completed slots) is left out.
+    ``tables`` is one long table keyed by ``source``; ``targets`` has (method, n_trials)
+    and, for several runs at once, any of dataset, provider and model. Profiles are
+    computed once per table, samples cost a few lookups per trial, and ``done``
+    (completed slots of the same runs) is left out.
     """
+    run = [c for c in B.RUN if c in targets.columns]
     queue = Q.trial_queue(targets, seed)
     if done is not None:
         queue = B.remaining_queue(queue, done)
     requests = queue.withColumn("source", F.when(F.col("true_label") == REAL, real_source).otherwise(F.col("method")))
-    pages = R.row_pages(tables, seed, row_id, columns, n_rows)
+    index = R.row_index(tables, seed, row_id, columns)
     profiles = R.profile_text(tables, ["source"], columns, row_id)
-    slot = ["method", "condition", "true_label", "rep"]
-    prompts = R.build_prompts(requests, pages, slot, columns, F.col("condition"), profiles, n_rows)
-    return R.trial_rows(R.judge_prompts(prompts, slot, judge), provider, model)
+    slot = [*run, "method", "condition", "true_label", "rep"]
+    prompts = R.build_prompts(requests, index, slot, columns, F.col("condition"), profiles, n_rows, seed)
+
+    def name(column, value):
+        return F.col(column) if column in run else F.lit(value)
+
+    return R.trial_rows(R.judge_prompts(prompts, slot, judge), name("provider", provider), name("model", model))

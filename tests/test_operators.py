@@ -218,8 +218,8 @@ def test_failing_judge_gives_error_rows(spark):
 def test_prompt_of_a_tiny_table_shows_every_row_once(spark):
     table = spark.createDataFrame([("t", i, float(i)) for i in range(7)], "source string, row_id int, x double")
     requests = spark.createDataFrame([(i, "t") for i in range(30)], "trial_id int, source string")
-    pages = R.row_pages(table, 1, "row_id", ["x"])
-    for r in R.build_prompts(requests, pages, ["trial_id"], ["x"], F.lit("C1")).collect():
+    index = R.row_index(table, 1, "row_id", ["x"])
+    for r in R.build_prompts(requests, index, ["trial_id"], ["x"], F.lit("C1")).collect():
         lines = [line for line in r["prompt"].splitlines() if line.startswith("| ")][1:]
         assert lines == [f"| {float(i)} |" for i in range(7)] and r["n_shown"] == 7
 
@@ -228,7 +228,7 @@ def test_only_c2_prompts_carry_the_profile(spark):
     table = spark.createDataFrame([("t", i, float(i)) for i in range(40)], "source string, row_id int, x double")
     requests = spark.createDataFrame([(1, "t", "C1"), (2, "t", "C2")], "trial_id int, source string, condition string")
     profiles = R.profile_text(table, ["source"], ["x"])
-    built = R.build_prompts(requests, R.row_pages(table, 1, "row_id", ["x"]), ["trial_id"], ["x"], F.col("condition"), profiles)
+    built = R.build_prompts(requests, R.row_index(table, 1, "row_id", ["x"]), ["trial_id"], ["x"], F.col("condition"), profiles)
     got = {r["trial_id"]: r["prompt"] for r in built.collect()}
     assert "mean=19.5000" in got[2] and "mean=" not in got[1] and "Rows shown: 20 of 40" in got[1]
 
