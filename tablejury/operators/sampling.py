@@ -36,7 +36,8 @@ def fraction_samples(df, methods, fraction, seed, row_id):
     return tagged.filter(unit(digest(seed, "method", *row_id)) < fraction)
 
 
-DIGITS, STEP = 4, 2  # hex digits that a pass over the tables counts by, and that one join descends
+DIGITS = 4  # hex digits that a pass over the tables counts by
+SPAN = 8  # average buckets in a block of places
 BUCKET_ROWS = 4096  # buckets of more rows are counted by further digits before their rows are sorted
 
 
@@ -72,18 +73,20 @@ class RowIndex:
         return shared_table(rows.groupBy(self.by, F.substring("_digest", 1, depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
 
     def _descend(self, wanted, counts, depth):
-        """Move every wanted place from its bucket of `depth` digits to that of DIGITS more."""
-        parent = W.partitionBy(self.by, F.substring("_prefix", 1, depth)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
-        starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(parent), F.lit(0)))
-        for upto in range(depth + STEP, depth + DIGITS + 1, STEP):
-            child = F.substring("_prefix", 1, upto)
-            nodes = starts.groupBy(self.by, child.alias("_prefix")).agg(F.min("_start").alias("_start"))
-            children = nodes.groupBy(self.by, F.substring("_prefix", 1, upto - STEP).alias("_prefix")).agg(
-                F.collect_list(F.struct("_start", "_prefix")).alias("_children"))  # at most 16 ** STEP
-            wanted = wanted.join(children, [self.by, "_prefix"]).withColumn(
-                "_child", F.array_max(F.filter("_children", lambda c: c["_start"] <= F.col("_place")))) \
-                .withColumn("_prefix", F.col("_child._prefix")).drop("_children")
-        return shared_table(wanted.withColumn("_place", F.col("_place") - F.col("_child._start")).drop("_child"), "wanted")
+        """Move every wanted place from its bucket of `depth` digits to that of DIGITS more.
+
+        Buckets and places meet in blocks of places, a block being as long as SPAN average buckets.
+        """
+        key = [self.by, "_parent"]
+        earlier = W.partitionBy(*key).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("_parent", F.substring("_prefix", 1, depth)).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        blocks = counts.groupBy(*key).agg((SPAN * F.ceil(F.sum("_n") / F.count(F.lit(1)))).alias("_span"))
+        last = F.col("_start") + F.col("_n") - 1
+        buckets = counts.join(blocks, key).select(
+            *key, "_prefix", "_start", last.alias("_last"), F.explode(F.sequence(F.expr("_start div _span"), F.expr("(_start + _n - 1) div _span"))).alias("_block"))
+        wanted = wanted.withColumnRenamed("_prefix", "_parent").join(blocks, key).withColumn("_block", F.expr("_place div _span")).drop("_span")
+        found = wanted.join(buckets, [*key, "_block"]).where("_place BETWEEN _start AND _last")
+        return shared_table(found.withColumn("_place", F.col("_place") - F.col("_start")).drop("_parent", "_block", "_start", "_last"), "wanted")
 
     def fetch(self, wanted, position="pos"):
         """Every row of `wanted` (table, position, ...) with the columns of the row at that position, counted from 0."""

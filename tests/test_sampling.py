@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tablejury.operators import sampling as Q
 
 
-@pytest.mark.parametrize("digits, step, bucket_rows", [(4, 2, 4096), (1, 1, 3), (2, 1, 1)])
-def test_rows_by_position_equal_the_sorted_table(spark, monkeypatch, digits, step, bucket_rows):
+@pytest.mark.parametrize("digits, span, bucket_rows", [(4, 8, 4096), (1, 1, 3), (2, 3, 1)])
+def test_rows_by_position_equal_the_sorted_table(spark, monkeypatch, digits, span, bucket_rows):
     """Also where buckets are counted by further digits, several times over."""
-    for name, value in (("DIGITS", digits), ("STEP", step), ("BUCKET_ROWS", bucket_rows)):
+    for name, value in (("DIGITS", digits), ("SPAN", span), ("BUCKET_ROWS", bucket_rows)):
         monkeypatch.setattr(Q, name, value)
     rows = [("a", i, f"a{i}") for i in range(900)] + [("b", 0, "b0")] + [("c", i, f"c{i}") for i in range(40)]
     index = Q.RowIndex(spark.createDataFrame(rows, "source string, row int, line string"), "source", "row", ["line"], 5)
