@@ -280,10 +280,10 @@ def _(spark, sf):
  WHEN errors > 0 THEN 'QUOTA HIT' ELSE 'PENDING' END AS status FROM (SELECT synthetic_method, provider, count(*) FILTER (predicted_label <> 'ERROR') AS valid,
  count(*) FILTER (predicted_label = 'ERROR') AS errors FROM trials WHERE {_KEPT} GROUP BY 1, 2) g""")
 def _(spark, sf):
-    name = "progress_" + shared_folder(spark, "x")[-12:]
+    counts = shared_folder(spark, "progress")
     rows = L.stream_trials(spark, trial_folder(spark, sf) + "/{adult,census}/llm_results_*.jsonl", files_per_trigger=4)
-    L.start_progress(rows, name, shared_folder(spark, "progress-checkpoint")).awaitTermination()
-    return spark.table(name)
+    L.start_progress(rows, counts, shared_folder(spark, "progress-checkpoint")).awaitTermination()
+    return L.live_progress(spark, counts)
 
 
 @query("r2_live_drs", T + f"""SELECT dataset, provider, synthetic_method AS method, condition, count(*) FILTER (true_label='REAL') AS n_real, count(*) FILTER (true_label='SYNTHETIC') AS n_syn,
@@ -292,8 +292,9 @@ def _(spark, sf):
  FROM trials WHERE {_KEPT} AND predicted_label <> 'ERROR' GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     root, counts = trial_folder(spark, sf), shared_folder(spark, "live")
-    lines = trial_lines(spark, sf).filter("folder = 'census' AND provider = 'groq'")
-    lines.select("value").write.text(root + "/census/llm_results_again_groq_2.jsonl")  # a re-run writes trials twice
+    again = F.regexp_replace("value", '"timestamp":"2026', '"timestamp":"2027')  # a re-run a year later replaces its trials
+    trial_lines(spark, sf).filter("folder = 'census' AND provider = 'groq'").select(again.alias("value")) \
+        .write.mode("append").text(root + "/census/llm_results_all_groq_1.jsonl")
     rows = L.stream_trials(spark, root + "/{adult,census}/llm_results_*.jsonl", files_per_trigger=4)
-    L.start_live_counts(rows, counts, shared_folder(spark, "live-checkpoint"), delay="60 days").awaitTermination()
+    L.start_live_counts(rows, counts, shared_folder(spark, "live-checkpoint"), delay="1000 days").awaitTermination()
     return rounded(L.live_drs(spark, counts))

@@ -341,21 +341,48 @@ def test_stream_equals_batch_over_several_runs(spark):
     assert (live["dataset"], live["n_real"], live["n_syn"], live["drs"]) == ("census", batch["n_real"], batch["n_syn"], batch["drs"])
 
 
+STREAMED = ("trial_id bigint, timestamp string, provider string, model string, synthetic_method string, "
+            "condition string, true_label string, predicted_label string")
+
+
+def land(spark, folder, records):
+    """Append (trial_id, timestamp, predicted label) records of one run as a new file."""
+    rows = [(i, t, "groq", "m", "ctgan", "C1", "REAL" if i % 2 else "SYNTHETIC", said) for i, t, said in records]
+    OUT.append_trials(spark.createDataFrame(rows, STREAMED), folder)
+
+
 def test_equal_trial_numbers_of_two_runs_and_data_sets(spark):
-    """Runs number their trials from 0; a copied file repeats records with their times."""
+    """Runs number their trials from 0: equal numbers of two runs count apart, a re-run of one run at another time counts once."""
     root = tempfile.mkdtemp(prefix="run-")
-    shape = ("trial_id bigint, timestamp string, provider string, model string, synthetic_method string, "
-             "condition string, true_label string, predicted_label string")
     for name in ("adult", "census"):
-        for day in ("29", "30", "30"):  # the last file is a copy
-            rows = [(i, f"2026-05-{day}T12:00:00", "groq", "m", "ctgan", "C1", "REAL" if i % 2 else "SYNTHETIC", "REAL") for i in range(10)]
-            OUT.append_trials(spark.createDataFrame(rows, shape), f"{root}/{name}")
-    rows = L.stream_trials(spark, root + "/{adult,census}", TRIAL)
+        for run, day in (("llm_results_a.jsonl", "29"), ("llm_results_b.jsonl", "30"), ("llm_results_b.jsonl", "31")):
+            land(spark, f"{root}/{name}/{run}", [(i, f"2026-05-{day}T12:00:00", "REAL") for i in range(10)])
+    rows = L.stream_trials(spark, root + "/{adult,census}/*.jsonl", TRIAL, files_per_trigger=1)
     L.start_live_counts(rows, f"{root}/counts", f"{root}/cp", delay="10 days").awaitTermination()
     live = {r["dataset"]: (r["n_real"], r["n_syn"]) for r in L.live_drs(spark, f"{root}/counts").collect()}
     assert live == {"adult": (10, 10), "census": (10, 10)}
 
 
+def test_a_re_run_corrects_counts_and_late_records_go_aside(spark):
+    root = tempfile.mkdtemp(prefix="run-")
+    folder = f"{root}/adult/llm_results_a.jsonl"
+
+    def live(records):
+        land(spark, folder, records)
+        L.start_live_counts(L.stream_trials(spark, f"{root}/adult/*.jsonl", TRIAL), f"{root}/counts", f"{root}/cp").awaitTermination()
+        r = L.live_drs(spark, f"{root}/counts").first()
+        return r["n_real"], r["n_syn"], r["p_real_correct"]
+
+    first = [(1, "2026-05-01T10:00:00", "SYNTHETIC"), (3, "2026-05-01T10:00:00", "REAL"), (2, "2026-05-01T10:00:00", "ERROR"), (2, "2026-05-01T09:00:00", "REAL")]
+    assert live(first) == (2, 0, 50.0)
+    assert live([(1, "2026-05-01T15:00:00", "REAL"), (2, "2026-05-01T15:00:00", "SYNTHETIC"), (3, "2026-05-01T09:00:00", "SYNTHETIC")]) == (2, 1, 100.0)
+    assert live([(1, "2026-05-02T15:00:00", "ERROR")]) == (1, 1, 100.0)
+    assert live([(9, "2026-05-09T12:00:00", "REAL")]) == (2, 1, 100.0)  # moves the watermark two days behind
+    assert live([(11, "2026-05-02T12:00:00", "SYNTHETIC"), (13, "2026-05-08T12:00:00", "REAL")]) == (3, 1, 100.0)
+    late = [(r["trial_id"], r["predicted_label"], r["run"]) for r in L.late_trials(spark, f"{root}/counts").collect()]
+    assert late == [(11, "SYNTHETIC", "llm_results_a.jsonl")]
+
+
 def test_matched_samples_of_cells_are_drawn_apart(spark):
     rows = [(i, d, p, "m", c, "REAL" if i % 2 else "SYNTHETIC", i % 3 == 0) for d in ("adult", "census") for c in ("C1", "C2")
             for p, n in (("a", 400), ("b", 40)) for i in range(n)]
