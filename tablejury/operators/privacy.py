@@ -1,12 +1,7 @@
 """Formal privacy risk: record linkage and membership inference."""
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablejury.functions import scalar as S
@@ -96,12 +91,18 @@ def record_linkage(tables, features, metric="euclidean", by="source", real=REAL_
 # ---- membership inference ------------------------------------------------------------
 
 def labelled_union(tables, features, by="source", real=REAL_SOURCE, methods=None):
-    """Real rows (label 1) beside each method's rows (label 0), one copy of the real rows per method."""
-    names = methods or [r[0] for r in tables.filter(F.col(by) != real).select(by).distinct().collect()]
+    """Real rows (label 1) beside each method's rows (label 0), one copy of the real rows per method.
+
+    The names of the methods are a table of their own that real rows are joined with.
+    """
     is_real = F.col(by) == real
-    copies = F.when(is_real, F.array(*[F.lit(m) for m in names])).otherwise(F.array(F.col(by)))
-    return tables.withColumn("method", F.explode(copies)) \
-        .withColumn("label", is_real.cast("int"))
+    names = tables.filter(~is_real).select(F.col(by).alias("method")).distinct()
+    if methods:
+        names = names.filter(F.col("method").isin(*methods))
+    names = shared_table(names.withColumn(by, F.lit(real)), "methods")
+    copies = tables.filter(is_real).join(names, by).withColumn("label", F.lit(1))
+    made = tables.filter(~is_real).withColumn("method", F.col(by)).withColumn("label", F.lit(0))
+    return copies.unionByName(made)
 
 
 def attack_sample(tables, features, row_id, seed=42, cap=5000, by="source", real=REAL_SOURCE, methods=None):
@@ -135,29 +136,65 @@ def exact_auc(scores, score, label, by):
                    (pairs / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
+def _dot(w, x, size):
+    return sum((F.element_at(w, i + 1) * F.element_at(x, i + 1) for i in range(1, size)), F.element_at(w, 1) * F.element_at(x, 1))
+
+
+def fit_logistic(rows, by, size, c=1.0, steps=60, tolerance=1e-9):
+    """(by, w): ridge logistic weights of every group at once, from rows (by, label, x) with x[0] = 1 for the intercept.
+
+    A Newton step is one aggregation over all rows: loss, gradient and Hessian of every group,
+    which a small Python function solves group by group. Where a step raised a group's loss, the
+    group goes back half of it. The driver learns only the largest step. The intercept has no ridge.
+    """
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    ridge = np.diag([0.0] + [1.0 / c] * (size - 1))
+    x, y, z = [F.element_at("x", i + 1) for i in range(size)], F.col("label"), F.col("z")
+    p = 1.0 / (1.0 + F.exp(-z))
+
+    @F.pandas_udf("w array<double>, before array<double>, loss double, change double")
+    def step(w: pd.Series, before: pd.Series, last: pd.Series, loss: pd.Series, g: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = []
+        for now, old, was, is_, slope, curve in zip(w, before, last, loss, g, h, strict=True):
+            now, old = np.array(now), np.array(old)
+            value = is_ + 0.5 * now @ ridge @ now
+            if value > was + 1e-9 * abs(was):
+                new, old, value = (now + old) / 2, old, was
+            else:
+                hessian = np.zeros((size, size))
+                for (i, j), v in zip(pairs, curve, strict=True):
+                    hessian[i, j] = hessian[j, i] = v
+                new, old = now - np.linalg.pinv(hessian + ridge) @ (np.array(slope) + ridge @ now), now
+            out.append((new.tolist(), old.tolist(), float(value), float(np.abs(new - now).max())))
+        return pd.DataFrame(out, columns=["w", "before", "loss", "change"])
+
+    zero = F.array(*[F.lit(0.0)] * size)
+    state = rows.select(by).distinct().select(by, zero.alias("w"), zero.alias("before"), F.lit(float("inf")).alias("last"))
+    for _ in range(steps):
+        state = shared_table(state, "weights")
+        sums = rows.join(state.select(by, "w"), by).withColumn("z", _dot("w", "x", size)).groupBy(by).agg(
+            F.sum(F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z).alias("loss"),
+            F.array(*[F.sum((p - y) * v) for v in x]).alias("g"), F.array(*[F.sum(p * (1.0 - p) * x[i] * x[j]) for i, j in pairs]).alias("h"))
+        moved = shared_table(state.join(sums, by).select(by, step("w", "before", "last", "loss", "g", "h").alias("s")), "steps")
+        state = moved.select(by, "s.w", "s.before", F.col("s.loss").alias("last"))
+        if (moved.agg(F.max("s.change")).first()[0] or 0.0) < tolerance:
+            break
+    return shared_table(state.select(by, "w"), "weights")
+
+
 def membership_inference(tables, features, row_id, seed=42, cap=5000, c=1.0, by="source", real=REAL_SOURCE,
                          methods=None):
     """Accuracy, AUC and per-class accuracy of a logistic attack that tells real rows from synthetic ones."""
     sample = shared_table(attack_sample(tables, features, row_id, seed, cap, by, real, methods), "sample")
-    stats = {r["method"]: r for r in sample.filter("is_train").groupBy("method").agg(
-        F.count(F.lit(1)).alias("n"), *[e for f in features for e in (
-            F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]).collect()}  # one row per method
-    assembler = VectorAssembler(inputCols=features, outputCol="vector")
-
-    def attack(method):
-        row = stats[method]
-        scale = {f: (row[f"m_{f}"], row[f"s_{f}"] or 1.0) for f in features}
-        data = assembler.transform(standardise(sample.filter(F.col("method") == method), features, scale))
-        model = LogisticRegression(featuresCol="vector", labelCol="label", regParam=1.0 / (c * row["n"]),
-                                   elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6) \
-            .fit(data.filter("is_train"))
-        return model.transform(data.filter("NOT is_train")).select(
-            "method", "label", F.col("prediction").cast("int").alias("prediction"),
-            vector_to_array("probability")[1].alias("score"))
-
-    with ThreadPoolExecutor(max_workers=4) as pool:  # the fits are independent Spark jobs, a few at a time
-        scored = reduce(lambda a, b: a.unionByName(b), pool.map(attack, sorted(stats)))
-    scored = shared_table(scored, "scored")
+    stats = shared_table(sample.filter("is_train").groupBy("method").agg(*[e for i, f in enumerate(features) for e in (
+        F.avg(f).alias(f"_m{i}"), F.stddev_pop(f).alias(f"_s{i}"))]), "attack-scale")
+    spread_ = [F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) for i in range(len(features))]
+    scaled = shared_table(sample.join(stats, "method").select("method", "label", "is_train", F.array(
+        F.lit(1.0), *[(F.col(f) - F.col(f"_m{i}")) / spread_[i] for i, f in enumerate(features)]).alias("x")), "scaled")
+    weights = fit_logistic(scaled.filter("is_train").drop("is_train"), "method", len(features) + 1, c)
+    z = F.col("z")
+    scored = shared_table(scaled.filter("NOT is_train").join(weights, "method").withColumn("z", _dot("w", "x", len(features) + 1))
+                          .select("method", "label", (z > 0).cast("int").alias("prediction"), z.alias("score")), "scored")
     right = (F.col("prediction") == F.col("label")).cast("int")
 
     def on(label):

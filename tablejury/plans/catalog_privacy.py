@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tablejury.operators import metrics as M, privacy as R
 from tablejury.plans import formal, views as V
-from tablejury.plans.catalog_trials import AP, T, approved, rounded
+from tablejury.plans.catalog_trials import _A9, AP, T, approved, rounded
 from tablejury.plans.registry import query
 
 FEATURES = ["acctbal", "nation"]
@@ -82,12 +82,41 @@ def _(spark, sf):
     return R.attack_sample(V.micro(spark, sf), FEATURES, ["row_id"]).select("method", "label", "row_id", "is_train")
 
 
-@query("g3_membership_inference")
+def _attack(cap=True, steps=12):
+    """(tables, SELECT) of the attack in SQL on two features: Newton steps of a ridge logistic fit, each a table (w0, w1, ..), solved by Cramer's rule."""
+    parts = [_SAMPLE if cap else _SAMPLE.replace("least(min(n), 5000)", "min(n)"), """flagged AS (SELECT d.method, label AS y, row_number() OVER (PARTITION BY d.method ORDER BY
+ md5(concat_ws('|', '43', CAST(label AS VARCHAR), CAST(d.row_id AS VARCHAR))), label, d.row_id) <= floor(k * 2 * 0.7::DOUBLE) AS is_train, m.acctbal AS a0, m.nation AS b0
+ FROM drawn d JOIN micro m ON m.row_id = d.row_id AND m.source = CASE label WHEN 1 THEN 'real' ELSE d.method END)""",
+             """sc3 AS (SELECT method, avg(a0) AS ma, stddev_pop(a0) AS sa, avg(b0) AS mb, stddev_pop(b0) AS sb FROM flagged WHERE is_train GROUP BY 1)""",
+             """x AS MATERIALIZED (SELECT method, y, is_train, (a0 - ma)/sa AS a, (b0 - mb)/sb AS b FROM flagged JOIN sc3 USING (method))""",
+             "w0 AS (SELECT DISTINCT method, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0.0::DOUBLE AS w FROM x)"]
+    for k in range(steps):
+        parts += [f"""s{k} AS MATERIALIZED (SELECT method, any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, sum(p - y) AS g0, sum((p - y)*a) + any_value(v) AS g1, sum((p - y)*b) + any_value(w) AS g2,
+ sum(p*(1-p)) AS h00, sum(p*(1-p)*a) AS h01, sum(p*(1-p)*b) AS h02, sum(p*(1-p)*a*a) + 1 AS h11, sum(p*(1-p)*a*b) AS h12, sum(p*(1-p)*b*b) + 1 AS h22
+ FROM (SELECT *, 1/(1 + exp(-(u + v*a + w*b))) AS p FROM x JOIN w{k} USING (method) WHERE is_train) t GROUP BY 1)""",
+                  f"""w{k + 1} AS MATERIALIZED (SELECT method, u - (g0*(h11*h22 - h12*h12) - h01*(g1*h22 - h12*g2) + h02*(g1*h12 - h11*g2))/d AS u,
+ v - (h00*(g1*h22 - h12*g2) - g0*(h01*h22 - h12*h02) + h02*(h01*g2 - g1*h02))/d AS v, w - (h00*(h11*g2 - g1*h12) - h01*(h01*g2 - g1*h02) + g0*(h01*h12 - h11*h02))/d AS w
+ FROM (SELECT *, h00*(h11*h22 - h12*h12) - h01*(h01*h22 - h12*h02) + h02*(h01*h12 - h11*h02) AS d FROM s{k}) t)"""]
+    parts += [f"z3 AS (SELECT method, y, u + v*a + w*b AS z, (u + v*a + w*b > 0)::INT AS said FROM x JOIN w{steps} USING (method) WHERE NOT is_train)",
+              "r3 AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY z) + (count(*) OVER (PARTITION BY method, z) - 1)/2.0 AS rk FROM z3)"]
+    right = "(said = y)::INT"
+    real, made = (f"coalesce(avg({right}) FILTER (y = {k}), 0)" for k in (1, 0))
+    return parts, f"""SELECT method, round(avg({right}), 6) AS overall_accuracy, round({real}, 6) AS accuracy_on_real, round({made}, 6) AS accuracy_on_synthetic,
+ round(({real} + {made})/2, 6) AS mia_discrimination, count(*) AS n_test, any_value(n_train) AS n_train, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1)*(count(*) FILTER (y = 1) + 1)/2.0)
+ /(count(*) FILTER (y = 1)*1.0*count(*) FILTER (y = 0)), 6) AS auc FROM r3 JOIN (SELECT method, count(*) FILTER (is_train) AS n_train FROM x GROUP BY 1) n USING (method) GROUP BY 1"""
+
+
+def _attack_sql(cap):
+    parts, select = _attack(cap)
+    return V.with_ctes(V.MICRO, *parts) + select
+
+
+@query("g3_membership_inference", _attack_sql(True))
 def _(spark, sf):
     return rounded(R.membership_inference(V.micro(spark, sf), FEATURES, ["row_id"]))
 
 
-@query("g3_membership_inference_uncapped")
+@query("g3_membership_inference_uncapped", _attack_sql(False))
 def _(spark, sf):
     return rounded(R.membership_inference(V.micro(spark, sf), FEATURES, ["row_id"], cap=None))
 
@@ -122,12 +151,24 @@ def _(spark, sf):
     return rounded(formal.measure_correlations(measures))
 
 
-@query("g5_formal_measures")
+def _formal_sql(columns):
+    """Linkage, attack and judge scores of every method; a method's mean score needs both conditions and no zero."""
+    parts, attack = _attack()
+    th, linkage = SUMMARY.format(metric="euclidean").lstrip(", ").split("\n SELECT", 1)
+    return V.with_ctes(V.TRIALS, V.MICRO, SCALE, EUCLID, th, f"link AS (SELECT {linkage})", *parts, f"att AS ({attack})", _A9.strip(),
+                       """judge AS (SELECT m AS name, max(d) FILTER (c = 'C1') AS c1, max(d) FILTER (c = 'C2') AS c2 FROM (SELECT m, c, (rc*1.0/(trials//2) + sc*1.0/(trials - trials//2))/2 AS d FROM counted) s GROUP BY 1)""",
+                       """formal AS (SELECT CASE source WHEN 'ctgan' THEN 'CTGAN' WHEN 'tvae' THEN 'TVAE' WHEN 'gaussian_copula' THEN 'GaussianCopula' ELSE source END AS method, l.* EXCLUDE (source), att.* EXCLUDE (method),
+ round(c1, 6) AS llm_c1, round(c2, 6) AS llm_c2, round(CASE WHEN c1 <> 0 AND c2 <> 0 THEN (c1 + c2)/2 END, 6) AS llm_avg
+ FROM link l JOIN att ON att.method = l.source LEFT JOIN judge ON name = CASE source WHEN 'ctgan' THEN 'CTGAN' WHEN 'tvae' THEN 'TVAE' WHEN 'gaussian_copula' THEN 'GaussianCopula' END)""") \
+        + f"SELECT {columns} FROM formal"
+
+
+@query("g5_formal_measures", _formal_sql("*"))
 def _(spark, sf):
     return rounded(formal.formal_measures(V.micro(spark, sf), FEATURES, ["row_id"], V.trials(spark, sf)))
 
 
-@query("g5_correlation_table")
+@query("g5_correlation_table", _formal_sql("method, nullif(llm_c1, 0) AS llm_c1, nullif(llm_c2, 0) AS llm_c2, nullif(llm_avg, 0) AS llm_avg, mia_discrimination, linkage_success_rate"))
 def _(spark, sf):
     measures = formal.formal_measures(V.micro(spark, sf), FEATURES, ["row_id"], V.trials(spark, sf))
     return rounded(formal.correlation_table(measures))
