@@ -6,8 +6,9 @@ neighbours to its own word vector. Tokens are maximal runs of letters, digits or
 other visible marks; they are hashed into a fixed number of buckets, so the
 table of word vectors has a fixed size whatever the corpus, is summed exactly in
 integers over all documents, and can be broadcast. A document's vector is the
-mean of its tokens' unit word vectors, with the share of immediate repetitions. The network is trained on a bounded sample of
-labelled documents; its temperature is fitted on a part kept out of training.
+mean of its tokens' unit word vectors. The network is trained on a bounded sample of
+labelled documents under a Gaussian prior on its weights, which counts as much as PRIOR rows
+and so matters where labels are few; its temperature is fitted on a part kept out of training.
 """
 
 import numpy as np
@@ -19,7 +20,7 @@ from tablejury.llm.common import mix, run_hashes, slices, stored, text_buffer
 
 BUCKETS, WIDTH, WINDOW, NONZERO = 16_384, 32, 2, 4
 MAX_LABELLED = 20_000  # bound of the labelled sample: the rows with the smallest hash of their id
-HIDDEN, EPOCHS, BATCH, SEED = 24, 60, 256, 7
+HIDDEN, EPOCHS, BATCH, SEED, PRIOR = 24, 60, 256, 7, 2.0
 
 _KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letters (and all bytes beyond ASCII), 2 digits, 3 other marks
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -83,21 +84,15 @@ def word_vectors(documents: DataFrame, buckets=BUCKETS, width=WIDTH, window=WIND
 
 
 def pooled(column, table):
-    """Means of the tokens' rows of `table` for each text of an Arrow column; zeros without tokens.
-
-    The last column is the share of tokens that repeat the token before them.
-    """
+    """Means of the tokens' rows of `table` for each text of an Arrow column; zeros without tokens."""
     data, offsets = text_buffer(column)
-    out = np.zeros((len(offsets) - 1, table.shape[1] + 1))
+    out = np.zeros((len(offsets) - 1, table.shape[1]))
     for lo, hi in slices(offsets, 1_000_000):
         ids, bounds = tokens(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], len(table))
         n = np.diff(bounds)
         full = np.flatnonzero(n)
         if len(full):
-            again = np.r_[False, ids[1:] == ids[:-1]]
-            again[bounds[full]] = False
-            out[lo + full, :-1] = np.add.reduceat(table[ids], bounds[full], axis=0) / n[full, None]
-            out[lo + full, -1] = np.add.reduceat(again.astype(np.float64), bounds[full]) / n[full]
+            out[lo + full] = np.add.reduceat(table[ids], bounds[full], axis=0) / n[full, None]
     return out
 
 
@@ -109,6 +104,7 @@ class Network:
         order = rng.permutation(len(x))
         cut = max(1, len(x) // 5) if len(x) >= 10 else 0
         held, train = order[:cut], order[cut:]
+        self.decay = PRIOR / len(x)
         self.mean, self.scale = x[train].mean(0), x[train].std(0) + 1e-6
         z = (x - self.mean) / self.scale
         self.p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN),
@@ -131,7 +127,7 @@ class Network:
         h = np.tanh(z @ self.p[0] + self.p[1])
         e = (1 / (1 + np.exp(-(h @ self.p[2] + self.p[3]))) - y) / len(y)
         back = np.outer(e, self.p[2]) * (1 - h * h)
-        return [z.T @ back + 1e-4 * self.p[0], back.sum(0), h.T @ e + 1e-4 * self.p[2], e.sum(keepdims=True)]
+        return [z.T @ back + self.decay * self.p[0], back.sum(0), h.T @ e + self.decay * self.p[2], e.sum(keepdims=True)]
 
     @staticmethod
     def _calibrated(logits, y):
@@ -143,12 +139,11 @@ class Network:
     def folded(self, vectors):
         """The first layer applied to every word vector: it is linear, so pooling may follow it."""
         w = self.p[0] / self.scale[:, None]
-        return (vectors @ w[:-1]).astype(np.float32), (self.p[1] - self.mean @ w, w[-1])
+        return (vectors @ w).astype(np.float32), self.p[1] - self.mean @ w
 
-    def scores(self, means, rest):
-        """means: what `pooled` gives for the folded word vectors; rest: the layer's bias and its weights of the last input."""
-        hidden = means[:, :-1] + rest[0] + means[:, -1:] * rest[1]
-        return 1 / (1 + np.exp(-np.clip((np.tanh(hidden) @ self.p[2] + self.p[3]) / self.temperature, -500, 500)))
+    def scores(self, means, bias):
+        """means: what `pooled` gives for the folded word vectors; bias: the layer's."""
+        return 1 / (1 + np.exp(-np.clip((np.tanh(means + bias) @ self.p[2] + self.p[3]) / self.temperature, -500, 500)))
 
 
 def held_out(doc_id="doc_id"):
@@ -186,8 +181,8 @@ def _scorer(documents: DataFrame, labels: DataFrame, max_labelled):
     model = train(documents, labels, vectors, max_labelled)
     if not isinstance(model, Network):
         return lambda column: np.full(len(column), model)
-    table, rest = model.folded(vectors)
-    return lambda column: model.scores(pooled(column, table), rest)
+    table, bias = model.folded(vectors)
+    return lambda column: model.scores(pooled(column, table), bias)
 
 
 def score(documents: DataFrame, labels: DataFrame, max_labelled=MAX_LABELLED) -> DataFrame:

@@ -54,10 +54,10 @@ def test_folding_equals_the_plain_network():
     vectors, texts = rng.normal(size=(50, 6)), pa.array(["a b c", "d d d e", "", "f 1 2 ##"])
     x = quality.pooled(texts, vectors)
     y = np.array([0.0, 1.0] * 20)
-    net = quality.Network(np.vstack([rng.normal(size=7) + 2 * v for v in y]), y)
-    table, rest = net.folded(vectors)
+    net = quality.Network(np.vstack([rng.normal(size=6) + 2 * v for v in y]), y)
+    table, bias = net.folded(vectors)
     plain = 1 / (1 + np.exp(-net._logits((x - net.mean) / net.scale) / net.temperature))
-    assert np.allclose(net.scores(quality.pooled(texts, table), rest), plain, atol=1e-5)
+    assert np.allclose(net.scores(quality.pooled(texts, table), bias), plain, atol=1e-5)
 
 
 def test_awkward_rows(spark, awkward, empty, no_labels):
