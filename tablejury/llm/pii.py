@@ -19,7 +19,7 @@ lengths of pieces and matches alternate, and their running sums are the spans.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablejury.llm.common import small, stored
+from tablejury.llm.common import stored
 
 GENERALISE, REMOVE, SUPPORT, LEAST, EVIDENCE, MIN_TERM = 0.9, 0.99, 5, 2, 10, 4
 BLOCK = 256
@@ -157,21 +157,22 @@ def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) ->
     known = stored(known, "pii-known")
     named = stored(named.join(known, "entity"), "pii-named")
     keys = named.select("key").distinct()
-    inside = (documents.select(text.alias("text"), F.sha2(text, 256).alias("key")).join(small(keys, named.count()), "key", "left_semi")
+    inside = (documents.select(text.alias("text"), F.sha2(text, 256).alias("key")).join(keys, "key", "left_semi")
               .dropDuplicates(["key"]).select("key", F.explode(_words(F.col("text"), TERM)).alias("term")))
-    together = (inside.join(named, "key").groupBy("entity", "term").agg(
+    met = stored(inside.join(named, "key").select("key", "entity", "term", "docs", "n_e"), "pii-met")
+    together = (met.groupBy("entity", "term").agg(
         F.sum("docs").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
         .where(F.col("texts") >= min(support, LEAST)))
     together = stored(together, "pii-together")
     terms = stored(together.select("term").distinct(), "pii-terms")
     occurring = documents.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    occurring = occurring.join(small(terms, terms.count()), "term", "left_semi")
+    occurring = occurring.join(terms, "term", "left_semi")
     total = documents.count()
     disclosed = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
     enough = (F.col("texts") >= support) | (_evidence(*map(F.col, ("texts", "n_et", "n_e", "n_t")), total) >= EVIDENCE)
     strong = stored(together.join(occurring, "term").where(F.col("n_e") < total).withColumn("share", disclosed)
                     .where((F.col("share") >= share) & enough).select("entity", "term", "share"), "pii-strong")
-    return named.select("key", "entity").join(strong, "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
+    return met.select("key", "entity", "term").join(strong, ["entity", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
 
 
 def _found(documents: DataFrame, share, remove, support) -> DataFrame:
@@ -179,7 +180,7 @@ def _found(documents: DataFrame, share, remove, support) -> DataFrame:
     terms = revealing_terms(documents, share, support).groupBy("key").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # at most the words of one text
     terms = stored(terms, "pii-text-terms")
-    rows = _with_spans(documents).join(small(terms, terms.count()), "key", "left")
+    rows = _with_spans(documents).join(terms, "key", "left")
 
     def term(x):
         p = F.element_at(F.col("terms"), F.lower(x["value"]))
