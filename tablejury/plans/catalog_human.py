@@ -62,7 +62,7 @@ JOINED = """joined AS (SELECT p.*, coalesce(g.n, 0) AS groq_n, coalesce(k.n, 0)
  CASE WHEN least(coalesce(g.n, 0), coalesce(k.n, 0)) >= 8 THEN g.drs END AS groq_drs,
  CASE WHEN least(coalesce(g.n, 0), coalesce(k.n, 0)) >= 8 THEN k.drs END AS google_drs FROM pooled p
  LEFT JOIN (SELECT * FROM cells WHERE provider_label LIKE 'Groq%') g USING (dataset, method, condition)
- LEFT JOIN (SELECT * FROM cells WHERE provider_label LIKE 'Google%' AND method <> 'tvae') k USING (dataset, method, condition))"""
+ LEFT JOIN (SELECT * FROM cells WHERE provider_label LIKE 'Google%') k USING (dataset, method, condition))"""
 J = V.with_ctes(V.TRIALS, V.APPROVED, V.ANNOTATIONS, V.DEDUPED, _POOLED, CELLS, JOINED)
 MODELS = {"groq": MODEL_COLUMNS["groq_n"], "google": MODEL_COLUMNS["google_n"]}
 NUMERIC = "round(drs_diff, 6) AS drs_diff"
@@ -73,9 +73,7 @@ def pooled(spark, sf):
 
 
 def joined(spark, sf):
-    """Cells of one model are left out for one method, so the left join meets gaps."""
-    cells = M.cell_metrics(approved(spark, sf)).filter("NOT (method = 'tvae' AND provider_label LIKE 'Google%')")
-    return A.with_judges(pooled(spark, sf), rounded(cells), MODELS)
+    return A.with_judges(pooled(spark, sf), rounded(M.cell_metrics(approved(spark, sf))), MODELS)
 
 
 @query("a44_pooled_with_annotators", P + f"SELECT * REPLACE ({NUMERIC}) FROM pooled")

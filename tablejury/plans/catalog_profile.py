@@ -21,9 +21,12 @@ _TYPES = {"quantity": "double", "price": "double", "discount": "double", "tax":
           "returnflag": "string", "linestatus": "string"}
 
 
-@query("p14_column_types", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', '{t}', '{'numeric' if t == 'double' else 'categorical'}', {i})" for i, (c, t) in enumerate(_TYPES.items()))
-    + ") v(\"column\", dtype, kind, position) WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("p14_column_types", LI + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS dtype, '{'numeric' if t == 'double' else 'categorical'}' AS kind, {i} AS position, count({c}) AS n_values, "
+    + (f"CASE WHEN count({c}) = 0 THEN 'null' WHEN bool_and({c} = floor({c})) THEN 'integral' ELSE 'decimal' END" if t == "double" else
+       f"CASE WHEN count({c}) = 0 THEN 'null' WHEN bool_and(regexp_full_match({c}, '[+-]?[0-9]+')) THEN 'integral' WHEN bool_and(try_cast({c} AS DOUBLE) IS NOT NULL) THEN 'decimal' "
+       f"WHEN bool_and(try_cast({c} AS TIMESTAMP) IS NOT NULL) THEN 'time' ELSE 'text' END")
+    + " AS content FROM measured" for i, (c, t) in enumerate(_TYPES.items())))
 def _(spark, sf):
     return P.column_types(V.measured_lineitem(spark, sf))
 

@@ -196,40 +196,40 @@ def _(spark, sf):
 def audited_rows(spark, sf):
     """Result files with mixed models, read back with the folder of each line as its file."""
     root = shared_folder(spark, "audit")
-    lines = trial_lines(spark, sf)
-    lines.select("value", "dataset", (F.col("trial_id") % 40).cast("string").alias("run")) \
-        .write.partitionBy("dataset", "run").text(root)
-    rows = R.read_trials(spark, root, bad_lines="keep")
+    lines = trial_lines(spark, sf).select("value", "dataset", (F.col("trial_id") % 40).cast("string").alias("run"), F.md5(F.col("trial_id").cast("string")).alias("place"))
+    # one file per run, whose lines do not follow their trial ids
+    lines.repartition("dataset", "run").sortWithinPartitions("dataset", "run", "place").drop("place").write.partitionBy("dataset", "run").text(root)
+    rows = R.read_trials(spark, root, bad_lines="keep", line_order=True)
     return rows.withColumn("source_path", F.regexp_extract("source_path", r"(dataset=[^/]+/run=[^/]+)/", 1))
 
 
-_AUDIT = """audit AS (SELECT 'dataset=' || dataset || '/run=' || (trial_id % 40) AS source_path, coalesce(arg_max(provider, trial_id) FILTER (trial_id % 50 <> 7), '?') AS provider,
- coalesce(arg_max(model, trial_id) FILTER (trial_id % 50 <> 7), '?') AS model, count(*) AS total_lines,
+_AUDIT = """audit AS (SELECT 'dataset=' || dataset || '/run=' || (trial_id % 40) AS source_path, coalesce(arg_max(provider, md5(CAST(trial_id AS VARCHAR))) FILTER (trial_id % 50 <> 7), '?') AS provider,
+ coalesce(arg_max(model, md5(CAST(trial_id AS VARCHAR))) FILTER (trial_id % 50 <> 7), '?') AS model, count(*) AS total_lines,
  count(*) FILTER (trial_id % 50 <> 7 AND predicted_label IN ('REAL','SYNTHETIC')) AS valid_lines FROM trials GROUP BY 1)"""
 _REASON = """CASE WHEN (provider, model) NOT IN (('groq','llama-3.1-8b-instant'),('google','gemini-2.5-flash')) THEN 'unapproved_model' END"""
 
 
 @query("s17_file_audit", V.with_ctes(V.TRIALS, _AUDIT) + "SELECT * FROM audit")
 def _(spark, sf):
-    return A.audit_files(audited_rows(spark, sf), "trial_id")
+    return A.audit_files(audited_rows(spark, sf))
 
 
 @query("w10_last_seen_model", V.with_ctes(V.TRIALS, _AUDIT) + "SELECT source_path, provider, model FROM audit")
 def _(spark, sf):
-    return A.audit_files(audited_rows(spark, sf), "trial_id").select("source_path", "provider", "model")
+    return A.audit_files(audited_rows(spark, sf)).select("source_path", "provider", "model")
 
 
 @query("s18_quarantine_plan", V.with_ctes(V.TRIALS, _AUDIT) + f"SELECT *, {_REASON} AS reason FROM audit WHERE {_REASON} IS NOT NULL")
 def _(spark, sf):
     rows = audited_rows(spark, sf)
-    return A.quarantine(rows, A.classify_files(A.audit_files(rows, "trial_id"), archive_zero_valid=True))
+    return A.quarantine(rows, A.classify_files(A.audit_files(rows), archive_zero_valid=True))
 
 
 @query("s18_quarantine_split", V.with_ctes(V.TRIALS, _AUDIT) + f""", f AS (SELECT source_path, total_lines, {_REASON} AS reason FROM audit)
  SELECT coalesce(reason, 'kept') AS part, count(*) AS n_files, CAST(sum(total_lines) AS BIGINT) AS n_lines FROM f GROUP BY 1""")
 def _(spark, sf):
     rows = audited_rows(spark, sf)
-    kept, bad = A.split_quarantine(rows, A.classify_files(A.audit_files(rows, "trial_id")))
+    kept, bad = A.split_quarantine(rows, A.classify_files(A.audit_files(rows)))
     both = kept.withColumn("part", F.lit("kept")).unionByName(bad.withColumnRenamed("reason", "part"))
     return both.groupBy("part").agg(F.count_distinct("source_path").alias("n_files"), F.count(F.lit(1)).alias("n_lines"))
 

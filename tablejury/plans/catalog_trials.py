@@ -229,12 +229,9 @@ def a6_cell_metrics(spark, sf):
  round(least(p_real, p_syn), 6) AS drs FROM (SELECT method, condition, count(*) FILTER (true_label='REAL') AS n_real,
  count(*) FILTER (true_label<>'REAL') AS n_syn, count(*) AS n,
  coalesce(avg(correct::INT) FILTER (true_label='REAL'), 0)*100.0 AS p_real,
- coalesce(avg(correct::INT) FILTER (true_label<>'REAL'), 0)*100.0 AS p_syn FROM approved
- WHERE provider_label = 'Google (Gemini-2.5-Flash)' AND (true_label = 'REAL' OR condition = 'C1') GROUP BY 1, 2) g""")
+ coalesce(avg(correct::INT) FILTER (true_label<>'REAL'), 0)*100.0 AS p_syn FROM approved GROUP BY 1, 2) g""")
 def _(spark, sf):
-    t = approved(spark, sf).filter(F.col("provider_label") == MODEL_COLUMNS["google_n"]) \
-        .filter("true_label = 'REAL' OR condition = 'C1'")
-    return rounded(M.cell_metrics(t, ["method", "condition"], "zero").select(
+    return rounded(M.cell_metrics(approved(spark, sf), ["method", "condition"], "zero").select(
         "method", "condition", "n_real", "n_syn", "n", F.col("p_real_correct").alias("p_real"),
         F.col("p_syn_correct").alias("p_syn"), "drs"))
 
@@ -411,10 +408,9 @@ def _(spark, sf):
 
 @query("a39_mean_drs_zero", AP + """SELECT method, round((coalesce(max(drs) FILTER (condition='C1'), 0) + coalesce(max(drs) FILTER (condition='C2'), 0))/2, 6) AS mean_drs
  FROM (SELECT method, condition, least(100.0*avg(correct::INT) FILTER (true_label='REAL'),
-  100.0*avg(correct::INT) FILTER (true_label='SYNTHETIC')) AS drs FROM approved WHERE NOT (method='tvae' AND condition='C2') GROUP BY 1, 2) g GROUP BY 1""")
+  100.0*avg(correct::INT) FILTER (true_label='SYNTHETIC')) AS drs FROM approved GROUP BY 1, 2) g GROUP BY 1""")
 def _(spark, sf):
-    t = approved(spark, sf).filter("NOT (method = 'tvae' AND condition = 'C2')")
-    return rounded(M.mean_drs(M.cell_metrics(t, ["method", "condition"]), "zero"))
+    return rounded(M.mean_drs(M.cell_metrics(approved(spark, sf), ["method", "condition"]), "zero"))
 
 
 @query("a42_verdict_breakdown", T + """SELECT provider, round(coalesce(100.0*avg(correct::INT) FILTER (true_label='REAL'), 0), 6) AS real_correct_pct,
@@ -457,9 +453,9 @@ def _(spark, sf):
  c.acc AS census_accuracy, coalesce(c.n, 0) AS census_n FROM
  (SELECT provider_label, round(100.0*avg(correct::INT), 6) AS acc, count(*) AS n FROM approved WHERE dataset='adult' GROUP BY 1) a
  FULL JOIN (SELECT provider_label, round(100.0*avg(correct::INT), 6) AS acc, count(*) AS n FROM approved
- WHERE dataset='census' AND provider='groq' GROUP BY 1) c ON a.provider_label = c.provider_label""")
+ WHERE dataset='census' GROUP BY 1) c ON a.provider_label = c.provider_label""")
 def _(spark, sf):
-    return rounded(M.provider_by_dataset(approved(spark, sf).filter("NOT (dataset = 'census' AND provider <> 'groq')")))
+    return rounded(M.provider_by_dataset(approved(spark, sf)))
 
 
 _DISC = _A9.rstrip() + """, disc AS (SELECT m, c, (rc*1.0/(trials//2) + sc*1.0/(trials - trials//2))/2 AS d FROM counted)
@@ -476,11 +472,9 @@ def _(spark, sf):
 
 @query("j7_grid_with_zeros", T + """SELECT m AS method, c AS condition, coalesce(valid, 0) AS valid FROM
  (SELECT unnest(['ctgan','tvae','gaussian_copula']) AS m) ms CROSS JOIN (SELECT unnest(['C1','C2']) AS c) cs
- LEFT JOIN (SELECT synthetic_method, condition, count(*) FILTER (predicted_label <> 'ERROR') AS valid FROM trials
- WHERE model = 'unapproved-model' AND NOT (synthetic_method='tvae' AND condition='C2') GROUP BY 1, 2) t ON synthetic_method = m AND condition = c""")
+ LEFT JOIN (SELECT synthetic_method, condition, count(*) FILTER (predicted_label <> 'ERROR') AS valid FROM trials GROUP BY 1, 2) t ON synthetic_method = m AND condition = c""")
 def _(spark, sf):
-    t = raw(spark, sf).filter("model = 'unapproved-model' AND NOT (method = 'tvae' AND condition = 'C2')")
-    return M.fill_grid(M.full_grid(spark), M.valid_cell_counts(t, "method", "condition"),
+    return M.fill_grid(M.full_grid(spark), M.valid_cell_counts(raw(spark, sf), "method", "condition"),
                        ["method", "condition"], ["valid"])
 
 
@@ -538,11 +532,11 @@ def _(spark, sf):
     return approved(spark, sf).select("dataset", "method", "condition").distinct()
 
 
-@query("u4_key_union", T + """SELECT synthetic_method AS method, provider FROM trials WHERE condition='C1' AND provider='google'
+@query("u4_key_union", T + """SELECT synthetic_method AS method, provider FROM trials WHERE condition='C1'
  UNION SELECT synthetic_method, provider FROM trials WHERE condition='C2'""")
 def _(spark, sf):
     t = raw(spark, sf)
-    return t.filter("condition = 'C1' AND provider = 'google'").select("method", "provider") \
+    return t.filter("condition = 'C1'").select("method", "provider") \
         .union(t.filter("condition = 'C2'").select("method", "provider")).distinct()
 
 
