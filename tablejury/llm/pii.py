@@ -114,9 +114,9 @@ def base_spans(text: Column) -> Column:
 
 
 def _with_spans(documents: DataFrame) -> DataFrame:
-    """(row, text, base, key): all columns in one struct, so that no name can clash."""
+    """(row, base, key): all columns in one struct, so that no name can clash."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.struct("*").alias("row"), text.alias("text"), base_spans(text).alias("base"),
+    return documents.select(F.struct("*").alias("row"), base_spans(text).alias("base"),
                             F.sha2(text, 256).alias("key"))
 
 
@@ -149,17 +149,16 @@ def _evidence(texts, n_et, n_e, n_t, total):
 def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) -> DataFrame:
     """(text key, term, share): terms of texts that disclose at least `share` of an entity named in the same text."""
     text = F.coalesce("text", F.lit(""))
-    named = stored(_with_spans(documents.select("text")).where(F.size("base") > 0).select(
-        "key", F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity"))
-        .groupBy("key", "entity").agg(F.count("*").alias("docs")), "pii-entities")
+    held = stored(_with_spans(documents.select("text")).where(F.size("base") > 0).groupBy("key").agg(
+        F.count("*").alias("docs"), F.first(F.struct(
+            F.array_distinct(F.flatten(F.transform("base", _entities))).alias("entities"), _words(F.col("row.text"), TERM).alias("terms"))).alias("of"))
+        .select("key", "docs", "of.*"), "pii-texts")  # one row per distinct text that holds a base span
+    named = held.select("key", "docs", F.explode("entities").alias("entity"))
     known = (named.groupBy("entity").agg(F.sum("docs").alias("n_e"), F.count("*").alias("texts"))
              .where(F.col("texts") >= min(support, LEAST)).select("entity", "n_e"))
     known = stored(known, "pii-known")
-    named = stored(named.join(known, "entity"), "pii-named")
-    keys = named.select("key").distinct()
-    inside = (documents.select(text.alias("text"), F.sha2(text, 256).alias("key")).join(keys, "key", "left_semi")
-              .dropDuplicates(["key"]).select("key", F.explode(_words(F.col("text"), TERM)).alias("term")))
-    met = stored(inside.join(named, "key").select("key", "entity", "term", "docs", "n_e"), "pii-met")
+    named = named.join(known, "entity")
+    met = stored(held.select("key", F.explode("terms").alias("term")).join(named, "key").select("key", "entity", "term", "docs", "n_e"), "pii-met")
     together = (met.groupBy("entity", "term").agg(
         F.sum("docs").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
         .where(F.col("texts") >= min(support, LEAST)))
@@ -180,7 +179,10 @@ def _found(documents: DataFrame, share, remove, support) -> DataFrame:
     terms = revealing_terms(documents, share, support).groupBy("key").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))  # at most the words of one text
     terms = stored(terms, "pii-text-terms")
-    rows = _with_spans(documents).join(terms, "key", "left")
+    rows, some = _with_spans(documents), F.size("base") > 0  # without a base span a text names no entity, so it has no terms
+    rows = (rows.where(some).join(terms.hint("shuffle_merge"), "key", "left")
+            .unionByName(rows.where(~some).withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType)))
+            .withColumn("text", F.coalesce("row.text", F.lit(""))))
 
     def term(x):
         p = F.element_at(F.col("terms"), F.lower(x["value"]))
