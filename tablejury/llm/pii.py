@@ -117,7 +117,7 @@ def _with_spans(documents: DataFrame) -> DataFrame:
     """(row, base, key): all columns in one struct, so that no name can clash."""
     text = F.coalesce("text", F.lit(""))
     return documents.select(F.struct("*").alias("row"), base_spans(text).alias("base"),
-                            F.sha2(text, 256).alias("key"))
+                            F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
 
 
 def _entities(span):
@@ -158,7 +158,7 @@ def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) ->
              .where(F.col("texts") >= min(support, LEAST)).select("entity", "n_e"))
     known = stored(known, "pii-known")
     named = named.join(known, "entity")
-    met = stored(held.select("key", F.explode("terms").alias("term")).join(named, "key").select("key", "entity", "term", "docs", "n_e"), "pii-met")
+    met = stored(held.select("key", "terms").join(named, "key").select("key", "entity", F.explode("terms").alias("term"), "docs", "n_e"), "pii-met")
     together = (met.groupBy("entity", "term").agg(
         F.sum("docs").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
         .where(F.col("texts") >= min(support, LEAST)))
