@@ -234,7 +234,10 @@ def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFr
                                                   pa.array([s.tobytes() for s in found], pa.binary())], names=["set_id", "shingles"])
 
     ids = wanted.select("doc_id").distinct()
-    full = (documents.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").select("text")
+    texts = documents.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").select("text")
+    if not wanted.where("doc_id IS NULL").isEmpty():  # sets of which no row has a doc_id
+        texts = texts.unionByName(documents.where("doc_id IS NULL").select("text"))
+    full = (texts
             .mapInArrow(fetch, "set_id binary, shingles binary").join(small(wanted.select("set_id"), wanted.count()), "set_id", "left_semi")
             .dropDuplicates(["set_id"]))
     return stored(full, "dedup-sets")

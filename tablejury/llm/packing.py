@@ -9,6 +9,9 @@ another task's tokens. Only the last sequence is padded.
 """
 
 import base64
+import json
+import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,22 @@ def tokenizer_path(name="byte_bpe_50k.tiktoken"):
     return public_tokenizers.path(name)
 
 
+def special_tokens(path):
+    """String -> id of the special tokens, from the ``.json`` file beside the ranks, if there is one."""
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class WordEncoder:
     """Byte-pair ids of whole texts; each distinct word of a slice of texts is encoded once.
 
     The tokenizer's pattern starts a new unit at every space between visible
     characters, so such a text is the concatenation of its words, each with the
-    space before it. Texts where a space touches other white space are encoded whole.
+    space before it. Texts where a space touches other white space are encoded whole,
+    and so are texts that hold a special token's string, which stands for its id.
     """
 
     def __init__(self, path):
@@ -45,17 +58,25 @@ class WordEncoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = special_tokens(path)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.width[rank] = len(token)
 
     def ids(self, text):
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        if not self.special:
+            return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        parts = [[self.special[x]] if x in self.special else self.encoding.encode_ordinary(x) for x in self.split.split(text)]
+        return np.array([i for part in parts for i in part], np.uint32)
 
     def batch(self, data, offsets, end_id):
         """(all ids with `end_id` after each document, number of ids per document)."""
         docs, raw = len(offsets) - 1, data.tobytes()
         whole = _awkward(data, offsets)
+        for token in self.special:
+            for found in re.finditer(re.escape(token.encode()), raw):
+                whole[np.searchsorted(offsets, found.start(), side="right") - 1] = True
         h, starts, bounds = run_hashes(data, (data != 32).view(np.uint8), offsets)
         lengths = np.diff(np.append(starts, len(data)))
         ends = starts + lengths

@@ -126,3 +126,15 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i.to_bytes(2), (i + 1).to_bytes(2)) for i in range(n)], "a binary, b binary")
     rows = near_dedup.components(links).collect()
     assert len(rows) == n and {bytes(r.root) for r in rows} == {(0).to_bytes(2)}
+
+
+def test_a_document_without_id_links_others(spark):
+    """Two documents that are not alike but both alike to a third one, whose doc_id is NULL."""
+    words = [f"w{i}" for i in range(200)]
+    middle, left, right = words, ["x"] * 20 + words[20:], words[:-20] + ["y"] * 20
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (None, " ".join(middle))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (left, right, middle)]
+    like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert like(sets[0], sets[2]) and like(sets[1], sets[2]) and not like(sets[0], sets[1])
+    assert got == {1: 1, 2: 1, None: 1}

@@ -17,7 +17,8 @@ def reference():
 
 
 @pytest.mark.parametrize("text", ["", "  a  b", "a \n b", "x\n \ny", "a\n  b ", "x   y\n\n z\t\tq ", "don't  we'll 12 3,4", "a b c\xa0 d　 e",
-                                  " ", "  ", " lead", "é à", " \n ", "a\xa0b – c “d”   e", "end\n", "　 x", "naïve café 東京 tower"])
+                                  " ", "  ", " lead", "é à", " \n ", "a\xa0b – c “d”   e", "end\n", "　 x", "naïve café 東京 tower",
+                                  "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y z <|endoftext", "plain <| words"])
 def test_ids_equal_the_tokenizers(reference, text):
     import pyarrow as pa
 
