@@ -88,15 +88,17 @@ def generate_rows(ids, seed=42, row_id="row_id"):
 
 # ---- learned producers -----------------------------------------------------------------
 
-GRID = 1_000
+def _margin(real, column):
+    """(value, next, low, high): the distinct numbers in order, each with the ranks [low, high) it holds.
 
-
-def _quantile_grids(real, columns):
-    """Per numeric column a grid of GRID+1 quantiles (greatest rank error 1/10,000): bounded by the schema."""
-    probs = [i / GRID for i in range(GRID + 1)]
-    row = real.agg(*[F.percentile_approx(c, F.array(*[F.lit(p) for p in probs]), 10_000).alias(c)
-                     for c in columns]).first()
-    return {c: np.array(row[c], dtype=float) for c in columns}
+    Running counts come from range partitions, so a column with very many values is never gathered.
+    """
+    counts = real.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")) \
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    placed = shared_table(prefix_sums(counts, [], ["value"], ["n", "one"]), "margin")
+    after = placed.select((F.col("cum_one") - 1).alias("cum_one"), F.col("value").alias("next"))
+    return shared_table(placed.join(after, "cum_one", "left").select(
+        "value", "next", (F.col("cum_n") - F.col("n")).alias("low"), F.col("cum_n").alias("high")), "margin")
 
 
 def _category_scores(real, column):
@@ -123,11 +125,10 @@ def _normal_share(z):
     return np.interp(z, _Z, _P)
 
 
-def fit_copula(real, columns=None):
-    """Margins, shares of NULLs and normal-score correlation of a Gaussian copula over the real table.
+def fit_margins(real, columns=None):
+    """Exact margins and shares of NULLs of the real table.
 
-    Values of categorical columns stay in tables of any size and are joined by
-    value; a column without values has no margin and is generated as NULL.
+    Values stay in tables of any size; a column without values has no margin and is generated as NULL.
     """
     numeric = [c for c in numeric_columns(real) if columns is None or c in columns]
     categories = [c for c in categorical_columns(real) if columns is None or c in columns]
@@ -137,28 +138,42 @@ def fit_copula(real, columns=None):
     empty = [c for c in filled if not filled[c]]
     nulls = {c: 1.0 - filled[c] / row["n"] for c in filled if filled[c]}
     numeric, categories = [c for c in numeric if c not in empty], [c for c in categories if c not in empty]
-    grids = _quantile_grids(real, numeric)
+    margins = {c: _margin(real, c) for c in numeric}
     tables = {c: shared_table(_category_scores(real, c), "category") for c in categories}
-    used = numeric + categories
+    types = dict(real.dtypes)
+    return {"columns": numeric + categories, "empty": empty, "nulls": nulls, "filled": filled, "margins": margins,
+            "tables": tables, "types": {c: types[c] for c in numeric + categories + empty}}
+
+
+def fit_copula(real, columns=None):
+    """Margins and normal-score correlation of a Gaussian copula over the real table.
+
+    Scores are those of the middle rank of a value; they are joined by value.
+    """
+    model = fit_margins(real, columns)
+    used, margins, tables, filled = model["columns"], model["margins"], model["tables"], model["filled"]
+    real = nan_to_null(real)
     placed = real.select(*used)
     for c, table in tables.items():  # sized by its file: broadcast or shuffled by the planner
         middle = table.select(F.col("value").alias(c), ((F.col("low") + F.col("high")) / 2).alias(f"_p_{c}"))
         placed = placed.join(middle, c, "left")
+    for c, table in margins.items():
+        middle = table.select(F.col("value").alias(f"_v_{c}"), ((F.col("low") + F.col("high")) / 2.0 / filled[c]).alias(f"_p_{c}"))
+        placed = placed.join(middle, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def scores_of(rows: pd.DataFrame) -> pd.Series:
         out = np.zeros((len(rows), len(used)))
         for k, c in enumerate(used):
-            x = rows[c].to_numpy(dtype=float)
-            rank = (np.searchsorted(grids[c], x, "left") + np.searchsorted(grids[c], x, "right")) / 2.0 / len(grids[c]) if c in grids else x
-            rank = np.where(np.isnan(x), 0.5, np.clip(rank, 1e-6, 1 - 1e-6))
+            share = rows[c].to_numpy(dtype=float)
+            rank = np.where(np.isnan(share), 0.5, np.clip(share, 1e-6, 1 - 1e-6))
             out[:, k] = _normal_score(rank)
         return pd.Series(list(out))
 
     corr = np.eye(len(used))
     pairs = [(i, j) for i in range(len(used)) for j in range(i + 1, len(used))]
     if pairs:
-        fields = [F.col(c).cast("double").alias(c) if c in grids else F.col(f"_p_{c}").alias(c) for c in used]
+        fields = [F.col(f"_p_{c}").alias(c) for c in used]
         z = placed.select(scores_of(F.struct(*fields)).alias("z")).select(*[F.col("z")[k].alias(f"z{k}") for k in range(len(used))])
         row = z.agg(*[(F.covar_samp(f"z{i}", f"z{j}") / F.nullif(F.stddev_samp(f"z{i}") * F.stddev_samp(f"z{j}"), F.lit(0.0)))
                       .alias(f"r{i}_{j}") for i, j in pairs]).first()
@@ -166,9 +181,16 @@ def fit_copula(real, columns=None):
             corr[i, j] = corr[j, i] = row[f"r{i}_{j}"] or 0.0
     values, vectors = np.linalg.eigh(corr)
     root = vectors * np.sqrt(np.clip(values, 0.0, None))  # root @ root.T = nearest positive part
-    types = dict(real.dtypes)
-    return {"columns": used, "empty": empty, "nulls": nulls, "grids": grids, "tables": tables, "root": root,
-            "types": {c: types[c] for c in used + empty}}
+    return {**model, "root": root}
+
+
+BUCKETS_AT_ONCE = 4_096  # of a range, spelled out in two steps, so that no array grows with the table
+
+
+def _spread_ranges(table, first, last):
+    """Each range once per bucket ``_b`` it touches, from ``first`` to ``last``."""
+    return (table.withColumn("_last", last).withColumn("_b", F.explode(F.sequence(first, F.col("_last"), F.lit(BUCKETS_AT_ONCE).cast("bigint"))))
+            .withColumn("_b", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + (BUCKETS_AT_ONCE - 1), F.col("_last"))))).drop("_last"))
 
 
 def _values_at(drawn, column, table):
@@ -183,47 +205,66 @@ def _values_at(drawn, column, table):
     def bucket(x):
         return F.least(F.floor(x * n), last)
 
-    ranges = table.withColumn("_b", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
+    ranges = _spread_ranges(table, bucket(F.col("low")), bucket(F.col("high")))
     inside = (F.col(column) >= F.col("low")) & ((F.col(column) < F.col("high")) | (F.col("high") >= 1.0 - 1e-15))
     return drawn.withColumn("_b", bucket(F.col(column))).join(ranges, "_b").where(inside) \
         .withColumn(column, F.col("value")).drop("_b", "low", "high", "value")
 
 
+def _numbers_at(drawn, column, table, total):
+    """Replace the share u in ``column`` by the exact quantile: rank u (total - 1), linear between neighbouring values."""
+    n = max(1, table.count())
+    last = F.lit(n - 1).cast("bigint")
+
+    def bucket(rank):
+        return F.least(F.floor(rank / F.lit(float(total)) * n), last)
+
+    ranges = _spread_ranges(table, bucket(F.col("low")), bucket(F.col("high")))
+    over = F.col("_h") - (F.col("high") - 1)
+    number = F.when(over > 0, F.col("value") + over * (F.col("next") - F.col("value"))).otherwise(F.col("value"))
+    return (drawn.withColumn("_h", F.col(column) * F.lit(float(total - 1))).withColumn("_b", bucket(F.col("_h"))).join(ranges, "_b")
+            .where((F.col("_h") >= F.col("low")) & (F.col("_h") < F.col("high")))
+            .withColumn(column, number).drop("_b", "_h", "low", "high", "value", "next"))
+
+
+def _from_shares(model, made, seed, row_id):
+    """Turn shares into values by exact lookup in the margins, then NULLs by their share."""
+    used, types = model["columns"], model["types"]
+    for c, table in model["margins"].items():
+        made = _numbers_at(made, c, table, model["filled"][c])
+        if types[c] != "double":
+            whole = types[c] in ("tinyint", "smallint", "int", "bigint")
+            made = made.withColumn(c, (F.rint(c) if whole else F.col(c)).cast(types[c]))
+    for c, table in model["tables"].items():
+        made = _values_at(made, c, table)
+    filled = [F.when(unit(digest(seed, F.lit(f"n{k}"), row_id)) >= model["nulls"][c], F.col(c)).alias(c) if model["nulls"][c] > 0
+              else F.col(c) for k, c in enumerate(used)]
+    return made.select(row_id, *filled, *[F.lit(None).cast(types[c]).alias(c) for c in model["empty"]])
+
+
 def sample_copula(model, ids, seed=42, row_id="row_id"):
-    """One row per id from a fitted copula; normals come from the id's digest, margins by lookup, NULLs by their share."""
-    used, root, types, grids = model["columns"], model["root"], model["types"], model["grids"]
+    """One row per id from a fitted copula; normals come from the id's digest."""
+    used, root = model["columns"], model["root"]
     if not used:
-        return ids.select(row_id, *[F.lit(None).cast(types[c]).alias(c) for c in model["empty"]])
+        return _from_shares(model, ids.select(row_id), seed, row_id)
     normals = F.array(*[F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - unit(digest(seed, F.lit(f"z{k}"), row_id))))
                         * F.cos(F.lit(2 * np.pi) * unit(digest(seed, F.lit(f"w{k}"), row_id))) for k in range(len(used))])
 
     def draw(batches):
         for batch in batches:
-            out = pd.DataFrame({row_id: batch[row_id]})
             z = np.stack(batch["_z"].to_numpy()) @ root.T if len(batch) else np.zeros((0, len(used)))
-            for k, c in enumerate(used):
-                u = _normal_share(z[:, k])
-                if c not in grids:
-                    out[c] = np.minimum(u, np.nextafter(1.0, 0.0))
-                    continue
-                x = np.interp(u, np.linspace(0, 1, len(grids[c])), grids[c])
-                out[c] = np.rint(x).astype("int64") if types[c] in ("tinyint", "smallint", "int", "bigint") else x
-            yield out
-
-    id_type = dict(ids.dtypes)[row_id]
-    schema = ", ".join([f"`{row_id}` {id_type}"] + [f"`{c}` {types[c] if c in grids else 'double'}" for c in used])
-    made = ids.select(row_id, normals.alias("_z")).mapInPandas(draw, schema)
-    for c, table in model["tables"].items():
-        made = _values_at(made, c, table)
-    filled = [F.when(unit(digest(seed, F.lit(f"n{k}"), row_id)) >= model["nulls"][c], F.col(c)).alias(c) if model["nulls"][c] > 0
-              else F.col(c) for k, c in enumerate(used)]
-    return made.select(row_id, *filled, *[F.lit(None).cast(types[c]).alias(c) for c in model["empty"]])
+            u = np.minimum(_normal_share(z), np.nextafter(1.0, 0.0))
+            yield pd.DataFrame({row_id: batch[row_id], **{c: u[:, k] for k, c in enumerate(used)}})
+
+    schema = ", ".join([f"`{row_id}` {dict(ids.dtypes)[row_id]}"] + [f"`{c}` double" for c in used])
+    return _from_shares(model, ids.select(row_id, normals.alias("_z")).mapInPandas(draw, schema), seed, row_id)
 
 
 def independent_margins(real, ids, seed=42, row_id="row_id", columns=None):
-    """The copula without dependence: every column is drawn from its own margin."""
-    model = fit_copula(real, columns)
-    return sample_copula({**model, "root": np.eye(len(model["columns"]))}, ids, seed, row_id)
+    """Every column drawn from its own margin, without dependence; the shares are the ids' digests."""
+    model = fit_margins(real, columns)
+    shares = [unit(digest(seed, F.lit(f"u{k}"), row_id)).alias(c) for k, c in enumerate(model["columns"])]
+    return _from_shares(model, ids.select(row_id, *shares), seed, row_id)
 
 
 def gaussian_copula(real, ids, seed=42, row_id="row_id", columns=None):

@@ -269,6 +269,33 @@ def _(spark, sf):
     return G.gaussian_copula(real, real.select("row_id"), columns=["acctbal", "nation", "segment"])
 
 
+def _margins_sql(numbers=("acctbal", "nation"), categories=("segment",)):
+    """Exact margins by running counts, shares by digest, NULLs by their share."""
+    def u(tag):
+        return f"(('0x' || substr(md5(concat_ws('|', '42', '{tag}', CAST(row_id AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0)"
+
+    ctes, joins, shown = ["r AS (SELECT * FROM micro WHERE source = 'real')"], [], []
+    for k, c in enumerate((*numbers, *categories)):
+        order = "v" if c in numbers else "n DESC, v"
+        ctes.append(f"""m{k} AS (SELECT v, CAST(sum(n) OVER (ORDER BY {order}) - n AS BIGINT) AS low, CAST(sum(n) OVER (ORDER BY {order}) AS BIGINT) AS high,
+ lead(v) OVER (ORDER BY {order}) AS nx, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT {c} AS v, count(*) AS n FROM r WHERE {c} IS NOT NULL GROUP BY 1) g)""")
+        at = f"{u(f'u{k}')} * CAST((SELECT {'any_value(total) - 1' if c in numbers else '1'} FROM m{k}{'' if c in numbers else ' LIMIT 1'}) AS DOUBLE)"
+        ctes.append(f"d{k} AS (SELECT row_id, {at} AS h, {u(f'n{k}')} >= 1.0 - (SELECT count({c})::DOUBLE / count(*) FROM r) AS kept FROM r)")
+        low = "m.low" if c in numbers else "m.low / m.total"
+        value = "round(CASE WHEN h - (high - 1) > 0 THEN v + (h - (high - 1)) * (nx - v) ELSE v END, 6)" if c in numbers else "v"
+        ctes.append(f"x{k} AS (SELECT row_id, CASE WHEN kept THEN {value} END AS {c} FROM d{k} d ASOF JOIN (SELECT *, {low} AS start FROM m{k} m) m ON d.h >= m.start)")
+        joins.append(f"x{k}")
+        shown.append(c)
+    return V.with_ctes(V.MICRO, *ctes) + f"SELECT row_id, {', '.join(shown)} FROM {joins[0]} " + " ".join(f"JOIN {x} USING (row_id)" for x in joins[1:])
+
+
+@query("g7_independent_margins", _margins_sql())
+def _(spark, sf):
+    real = _real(spark, sf)
+    made = G.independent_margins(real, real.select("row_id"), columns=["acctbal", "nation", "segment"])
+    return made.withColumns({c: F.round(c, 6) for c in ("acctbal", "nation")})
+
+
 @query("g7_all_methods")
 def _(spark, sf):
     return G.generate_all(_real(spark, sf))

@@ -431,3 +431,23 @@ def test_successes_fill_the_queue_of_their_own_run(spark):
     assert got == {"a": 13, "b": 15}
     with pytest.raises(ValueError):
         B.remaining_queue(Q.balanced_queue(targets.drop("provider")), B.completed_slots(log, 1))
+
+
+def test_numbers_at_gives_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([np.full(900, 3.5), rng.normal(size=1500).round(1), [-1e300, 1e300], np.exp(rng.normal(size=600) * 9)])
+    real = spark.createDataFrame(pd.DataFrame({"row_id": range(len(values)), "x": values}))
+    shares = np.concatenate([rng.random(2000), [0.0, 0.5, np.nextafter(1.0, 0.0)]])
+    drawn = spark.createDataFrame(pd.DataFrame({"row_id": range(len(shares)), "x": shares}))
+    got = G._numbers_at(drawn, "x", G._margin(real, "x"), len(values)).toPandas().set_index("row_id")["x"].sort_index()
+    assert len(got) == len(shares)
+    np.testing.assert_allclose(got, np.quantile(values, shares), rtol=1e-9)
+
+
+def test_copula_does_not_depend_on_partitions(spark):
+    rows = [(i, float((i * i) % 97) / 7, i % 11, f"c{i % 3}" if i % 4 else None) for i in range(600)]
+    real = spark.createDataFrame(rows, "row_id int, x double, k bigint, c string")
+    one, many = (G.gaussian_copula(real.repartition(n), real.select("row_id").repartition(n), columns=["x", "k", "c"]).toPandas()
+                 .sort_values("row_id", ignore_index=True) for n in (1, 7))
+    pd.testing.assert_frame_equal(one, many, rtol=1e-9)
+    assert one["k"].between(0, 10).all() and str(one["k"].dtype) == "int64"
