@@ -119,80 +119,52 @@ def average_ranks(df: DataFrame, keys, value):
         *keys, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
-BINS = 1024
-DIRECT_LIMIT = 5_000_000
+STEPS = 512       # bins per factor e of magnitude
+FARTHEST = 800    # beyond the logarithm of any double, the smallest included
 
 
-def quantiles(df: DataFrame, keys, value, probs, names, weight=None, direct_limit=DIRECT_LIMIT,
-              largest=None):
+def _magnitude(value):
+    """A whole number that never falls when the value rises: sign and logarithm, 0.2 % wide; zero has its own."""
+    size = F.floor(F.least(F.ln(F.abs(value)), F.lit(float(FARTHEST))) * STEPS) + STEPS * FARTHEST
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+
+
+def quantiles(df: DataFrame, keys, value, probs, names, weight=None):
     """Exact linearly interpolated quantiles per key, one row per key plus ``n``.
 
-    ``weight`` is a column of row multiplicities; ``largest`` an upper bound on
-    the size of a group, if known, which saves a pass over small tables.
+    ``weight`` is a column of row multiplicities. NULL and NaN have no rank; a NULL
+    key is a key like any other; a key without values gives no row.
 
-    While a bracket around the wanted ranks still holds more than
-    ``direct_limit`` rows, a 1,024-bin histogram (combined map-side) narrows it;
-    then only the distinct values left in the bracket are sorted.
+    The same two passes serve every size. The first counts values by magnitude, on
+    the map side, and finds the bins that hold the wanted ranks of all keys at once.
+    The second counts the distinct values of those bins; running totals over range
+    partitions place them, so that no bin, however full, is sorted in one task.
     """
     shown = list(keys)
-    df, keys = _keyed(df, keys)
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_m")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sizes = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    if largest is None or largest > direct_limit:
-        largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= direct_limit:
-        return _direct(rows, keys, probs, names).select(*shown, "n", *names)
-    targets = shared_table(
-        sizes.select(*keys, "n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-        .withColumn("_k", (F.col("n") - 1) * F.col("_p")).withColumn("_in", F.col("n")), "brackets")
-    rounds = 0
-    while largest > direct_limit and rounds < 12:
-        targets = shared_table(_narrow(rows, targets, keys), "brackets")
-        largest = targets.agg(F.max("_in")).first()[0] or 0
-        rounds += 1
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counted = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
-               .groupBy(*keys, "n", "_p", "_k", inside.alias("_v")).agg(F.sum("_m").alias("_c")))
-    upto = F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()))
-    ranked = counted.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-    picked = ranked.groupBy(*keys, "n", "_p", "_k").agg(
-        _value_at(F.floor("_k"), "_v").alias("_a"), _value_at(F.ceil("_k"), "_v").alias("_b"))
-    value_at_p = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_k") - F.floor("_k"))
-    return picked.withColumn("_q", value_at_p).groupBy(*keys).agg(F.first("n").alias("n"), *[
-        F.max(F.when(F.col("_p") == F.lit(float(p)), F.col("_q"))).alias(name)
-        for p, name in zip(probs, names)]).select(*shown, "n", *names)
-
-
-def _direct(rows, keys, probs, names):
-    """Quantiles of groups whose size is known to be below the limit: the built-in exact aggregate."""
-    values = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_m"))
-    picked = rows.groupBy(*keys).agg(F.sum("_m").alias("n"), values.alias("_q"))
-    return picked.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-
-
-def _value_at(rank, column):
-    return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col(column)))
-
-
-def _narrow(rows, targets, keys):
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(BINS))
-    place = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).otherwise(F.coalesce(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(BINS - 1)), F.lit(0)))
-    counts = (rows.join(targets, keys).filter(F.col("_v") <= F.col("_hi"))
-              .groupBy(*keys, "_p", place.alias("_bin")).agg(F.sum("_m").alias("_c")))
-    ranked = (counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys, "_p").orderBy("_bin")))
-              .withColumn("_from", F.col("_upto") - F.col("_c"))
-              .join(targets, [*keys, "_p"]).withColumn("_w", width))
-    bounds = ranked.groupBy(*keys, "_p").agg(
-        _value_at(F.floor("_k"), "_bin").alias("_first"), _value_at(F.ceil("_k"), "_bin").alias("_last"))
-    # one bin of slack on each side, so rounding at a bin edge cannot lose a row
-    kept = F.col("_bin").between(F.greatest(F.col("_first") - 1, F.lit(0)), F.col("_last") + 1)
-    return ranked.join(bounds, [*keys, "_p"]).groupBy(*keys, "n", "_p", "_k").agg(
-        F.first(F.greatest(F.col("_lo"), F.col("_lo") + (F.col("_first") - 1) * F.col("_w"))).alias("_lo"),
-        F.first(F.least(F.col("_hi"), F.col("_lo") + (F.col("_last") + 2) * F.col("_w"))).alias("_hi"),
-        F.sum(F.when(kept, F.col("_c"))).alias("_in"))
+    rows = df.select(F.struct(*[F.col(k) for k in shown], F.lit(1).alias("_all")).alias("_key"),  # a struct is never NULL
+                     F.col(value).cast("double").alias("_v"), times.alias("_m")) \
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.col("_m") > 0)).withColumn("_bin", _magnitude(F.col("_v")))
+    ordered = W.partitionBy("_key").orderBy("_bin")  # one row per magnitude: bounded by the number format
+    bins = (rows.groupBy("_key", "_bin").agg(F.sum("_m").alias("_c"))
+            .withColumn("n", F.sum("_c").over(W.partitionBy("_key"))).withColumn("_from", F.sum("_c").over(ordered) - F.col("_c")))
+    places = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"), at(k).cast("bigint").alias("_rank"))
+                      for i, k in enumerate(places) for side, at in enumerate((F.floor, F.ceil))])
+    here = F.filter(ranks, lambda r: (r["_rank"] >= F.col("_from")) & (r["_rank"] < F.col("_from") + F.col("_c")))
+    wanted = shared_table(bins.select("_key", "_bin", "n", "_from", F.explode(here).alias("_r")).select("_key", "_bin", "n", "_from", "_r.*"), "ranks")
+    inside = rows.join(wanted.select("_key", "_bin").distinct(), ["_key", "_bin"]).groupBy("_key", "_bin", "_v").agg(F.sum("_m").alias("_c"))
+    found = (wanted.join(prefix_sums(inside, ["_key", "_bin"], ["_v"], ["_c"]), ["_key", "_bin"])
+             .filter(F.col("_rank") - F.col("_from") < F.col("cum__c")).filter(F.col("_rank") - F.col("_from") >= F.col("cum__c") - F.col("_c")))
+    wide = found.groupBy("_key").agg(F.first("n").alias("n"), *[
+        F.max(F.when((F.col("_i") == i) & (F.col("_side") == side), F.col("_v"))).alias(f"_{end}{i}")
+        for i in range(len(places)) for side, end in enumerate("ab")])
+
+    def between(i, k):
+        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+        return F.when(low == high, low).otherwise(low + (high - low) * (k - F.floor(k)))
+
+    return wide.select(*[F.col("_key")[k].alias(k) for k in shown], "n", *[between(i, k).alias(name) for i, (k, name) in enumerate(zip(places, names, strict=True))])
 
 
 def digits_for(n_rows, rows_per_bucket=2048):

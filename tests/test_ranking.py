@@ -61,10 +61,9 @@ def test_prefix_sums_and_average_ranks(rows):
     assert np.allclose(merged.sort_index(), want.sort_index())
 
 
-@pytest.mark.parametrize("limit", [10 ** 9, 50])
-def test_quantiles_direct_and_narrowed(rows, limit):
+def test_quantiles_of_hot_keys(rows):
     probs, names = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0), ["a", "b", "c", "d", "e", "f"]
-    got = R.quantiles(rows, ["key"], "value", probs, names, direct_limit=limit).toPandas().set_index("key")
+    got = R.quantiles(rows, ["key"], "value", probs, names).toPandas().set_index("key")
     want = rows.toPandas().groupby("key")["value"].quantile(list(probs)).unstack()
     assert np.allclose(got.sort_index()[names].to_numpy(), want.sort_index().to_numpy())
 
@@ -72,13 +71,31 @@ def test_quantiles_direct_and_narrowed(rows, limit):
 def test_quantiles_of_heavy_tails_and_weights(spark):
     values = pd.DataFrame({"v": np.r_[np.exp(np.linspace(-20, 20, 3000)), [0.0] * 1500]})
     df = spark.createDataFrame(values)
-    got = R.quantiles(df, [], "v", [0.25, 0.5, 0.75], ["a", "b", "c"], direct_limit=40).first()
+    got = R.quantiles(df, [], "v", [0.25, 0.5, 0.75], ["a", "b", "c"]).first()
     want = values["v"].quantile([0.25, 0.5, 0.75]).to_numpy()
     assert np.allclose([got["a"], got["b"], got["c"]], want, rtol=1e-9)
     weighted = spark.createDataFrame([(1.0, 3), (2.0, 1), (10.0, 2)], "v double, w int")
     assert R.quantiles(weighted, [], "v", [0.5], ["m"], weight="w").first()["m"] == np.median([1, 1, 1, 2, 10, 10])
 
 
+def test_quantiles_of_all_magnitudes(spark):
+    """Signs, zeros, the smallest and largest doubles, infinities, one full bin, NULL and NaN, NULL keys."""
+    rng = np.random.default_rng(4)
+    wide = rng.choice([-1.0, 1.0], 2000) * np.exp(rng.uniform(-744, 709, 2000))
+    groups = {"wide": np.r_[wide, 0.0, -0.0, 5e-324, -5e-324, 1.7e308], "bin": 1.0 + np.arange(3000) * 1e-9,
+              None: np.r_[np.full(7, 2.0), 3.0], "ends": np.array([-np.inf, -1.0, 0.0, 1.0, np.inf]), "one": np.array([4.0])}
+    data = [(k, float(v)) for k, values in groups.items() for v in values] + [("wide", None), ("bin", float("nan")), ("none", None)]
+    probs, names = (0.0, 0.01, 0.25, 0.5, 0.75, 1.0), ["a", "b", "c", "d", "e", "f"]
+    got = {r["k"]: r for r in R.quantiles(spark.createDataFrame(data, "k string, v double").repartition(5), ["k"], "v", probs, names).collect()}
+    assert set(got) == set(groups)
+    for key, values in groups.items():
+        assert got[key]["n"] == len(values)
+        shown = probs if key != "ends" else (0.0, 0.25, 0.5, 0.75, 1.0)
+        want = np.quantile(values, shown) if key != "ends" else values  # whole ranks; numpy interpolates infinities to NaN
+        np.testing.assert_allclose([got[key][names[probs.index(p)]] for p in shown], want, rtol=1e-9)
+    assert R.quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", probs, names).count() == 0
+
+
 def test_draw_counts_equals_explicit_draws(rows):
     quota = rows.groupBy("key").agg((F.count("*") / 3).cast("int").alias("n_take"))
     tagged = rows.withColumn("even", F.col("id") % 2 == 0)
