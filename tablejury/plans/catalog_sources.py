@@ -7,7 +7,7 @@ from tablejury.operators import metrics as M, synth as G
 from tablejury.plans import views as V
 from tablejury.plans.catalog_trials import AP, T, approved, raw, rounded
 from tablejury.plans.registry import query
-from tablejury.schema import ANNOTATION, FORMAL_METHOD_NAMES, METHODS, TRIAL
+from tablejury.schema import ANNOTATION, FORMAL_METHOD_NAMES, TRIAL
 from tablejury.session import shared_folder
 from tablejury.sources import audit as A, readers as R, sinks as K
 from tablejury.streaming import progress as L
@@ -110,10 +110,13 @@ def _(spark, sf):
     return R.with_provenance(rows).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _micro_columns_of_methods(spark, sf):
+    return V.micro(spark, sf).filter("source <> 'real'").select(F.col("source").alias("method"), *MICRO_SCHEMA.names)
+
+
 def method_folders(spark, sf):
     root = shared_folder(spark, "synthetic")
-    for m in METHODS:
-        K.write_method_folder(_micro_columns(V.micro(spark, sf).filter(F.col("source") == m)), root, m)
+    K.write_methods(_micro_columns_of_methods(spark, sf), root)
     return root
 
 
@@ -186,8 +189,8 @@ def _(spark, sf):
 @query("s16_method_layout", MI + "SELECT source AS method, count(*) AS n_rows, round(sum(nation), 4) AS total FROM micro WHERE source <> 'real' GROUP BY 1")
 def _(spark, sf):
     root = shared_folder(spark, "layout")
-    K.write_methods(V.micro(spark, sf).filter("source <> 'real'").withColumnRenamed("source", "method"), root)
-    rows = spark.read.schema(StructType([*MICRO_SCHEMA.fields, StructField("method", StringType())])).option("header", True).csv(root)
+    K.write_methods(_micro_columns_of_methods(spark, sf), root)
+    rows = R.read_methods(spark, root, MICRO_SCHEMA)
     return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("nation"), 4).alias("total"))
 
 
@@ -263,6 +266,14 @@ def _real(spark, sf):
     return _micro_columns(V.micro(spark, sf).filter("source = 'real'"))
 
 
+@query("s3_generated_when_unreadable", _generator_sql())
+def _(spark, sf):
+    root = shared_folder(spark, "nothing-here")
+    ids = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"))
+    return R.first_readable(spark, [root + "/first.csv", root + "/second.csv"],
+                            lambda s, p: R.read_micro_csv(s, p, MICRO_SCHEMA), fallback=lambda: G.generate_rows(ids))
+
+
 @query("g6_gaussian_copula")
 def _(spark, sf):
     real = _real(spark, sf)

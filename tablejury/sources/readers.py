@@ -91,7 +91,7 @@ def read_methods(spark, root, schema, names=None, file_name="synthetic.csv"):
     """All ``{root}/{method}/synthetic.csv`` tables as one table with ``method`` and its display name."""
     rows = spark.read.schema(schema).option("header", True).csv(f"{root}/*/{file_name}")
     found = F.regexp_extract(_path(), r"/([^/]+)/" + file_name.replace(".", r"\."), 1)
-    rows = rows.withColumn("method", found)
+    rows = rows.withColumn("method", F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))))  # paths come encoded
     shown = F.col("method")
     for code, label in (names or {}).items():
         shown = F.when(F.col("method") == code, label).otherwise(shown)

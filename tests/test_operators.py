@@ -451,3 +451,19 @@ def test_copula_does_not_depend_on_partitions(spark):
                  .sort_values("row_id", ignore_index=True) for n in (1, 7))
     pd.testing.assert_frame_equal(one, many, rtol=1e-9)
     assert one["k"].between(0, 10).all() and str(one["k"].dtype) == "int64"
+
+
+def test_methods_are_written_whole_and_read_by_name(spark):
+    root = tempfile.mkdtemp(prefix="run-")
+    first = spark.createDataFrame([("a b", 1, "x"), ("ctgan", 2, None), ("ctgan", 3, "z, \"q\"")], "method string, row_id long, t string")
+    OUT.write_methods(first.repartition(3), root)
+    schema = first.drop("method").schema
+    read = lambda: sorted(tuple(r) for r in IN.read_methods(spark, root, schema).select("method", "row_id", "t").collect())
+    assert read() == [("a b", 1, "x"), ("ctgan", 2, None), ("ctgan", 3, "z, \"q\"")]
+    OUT.write_methods(first.filter("row_id = 3"), root)  # replaces its own method only
+    assert read() == [("a b", 1, "x"), ("ctgan", 3, "z, \"q\"")]
+    with pytest.raises(Exception, match="no method"):
+        OUT.write_methods(spark.createDataFrame([("ctgan", 9, "x"), (None, 8, "y")], first.schema), root)
+    assert read() == [("a b", 1, "x"), ("ctgan", 3, "z, \"q\"")]
+    OUT.write_methods(first.limit(0), root)
+    assert len(read()) == 2
