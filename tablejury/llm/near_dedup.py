@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, small, stored, text_buffer
+from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, stored, text_buffer
 
 TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 2
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
@@ -234,11 +234,11 @@ def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFr
                                                   pa.array([s.tobytes() for s in found], pa.binary())], names=["set_id", "shingles"])
 
     ids = wanted.select("doc_id").distinct()
-    texts = documents.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi").select("text")
+    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     if not wanted.where("doc_id IS NULL").isEmpty():  # sets of which no row has a doc_id
         texts = texts.unionByName(documents.where("doc_id IS NULL").select("text"))
     full = (texts
-            .mapInArrow(fetch, "set_id binary, shingles binary").join(small(wanted.select("set_id"), wanted.count()), "set_id", "left_semi")
+            .mapInArrow(fetch, "set_id binary, shingles binary").join(wanted.select("set_id"), "set_id", "left_semi")
             .dropDuplicates(["set_id"]))
     return stored(full, "dedup-sets")
 
@@ -325,7 +325,7 @@ def exact_candidates(sets: DataFrame, full: DataFrame) -> DataFrame:
     keys = stored(entries.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count_if("short").alias("shorts"))
                   .where((F.col("one") != F.col("other")) & (F.col("shorts") > 0))
                   .select("shingle", F.ceil(F.col("shorts") / BLOCK).cast("int").alias("blocks")), "dedup-keys")
-    entries = stored(entries.join(small(keys, keys.count()), "shingle"), "dedup-shared")
+    entries = stored(entries.join(keys, "shingle"), "dedup-shared")
     x = entries.where("short").select("shingle", F.expr("pmod(hash(set_id), blocks)").alias("block"), "place", "n", "set_id", "root")
     y = entries.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("place").alias("place_y"),
                        F.col("n").alias("m"), F.col("set_id").alias("set_y"), F.col("root").alias("root_y"))
@@ -397,14 +397,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if exact:
             break
         crowded = stored(crowded, "dedup-crowded")
-        n, near, best, exact = crowded.count(), near * WIDER, best * WIDER, nothing
-        linked = roots.count()
-        if not n:
+        near, best, exact = near * WIDER, best * WIDER, nothing
+        if crowded.isEmpty():
             break
         weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
-        active = (sets.join(small(crowded, n), "set_id", "left_semi")
-                  .join(small(roots.select(F.col("node").alias("set_id"), "root"), linked), "set_id", "left")
-                  .withColumn("root", F.coalesce("root", "set_id")).join(small(weights, linked), "root", "left")
+        active = (sets.join(crowded, "set_id", "left_semi")
+                  .join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
+                  .withColumn("root", F.coalesce("root", "set_id")).join(weights, "root", "left")
                   .withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long")))
     placed = sets.select("set_id", "doc_id", "rows").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     linked = placed.where(F.col("root").isNotNull())
@@ -423,4 +422,4 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of `documents`, all columns, without the doc_ids of which no row was kept."""
     seen = stored(near_duplicates(documents).groupBy("doc_id").agg(F.max("kept").alias("kept")), "dedup-kept")
     dropped = seen.where(~F.col("kept")).select("doc_id")
-    return documents.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
