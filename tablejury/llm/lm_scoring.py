@@ -1,120 +1,224 @@
 """Cross-entropy difference of a target and a background n-gram model over one shared vocabulary.
 
-The vocabulary is the most frequent bytes of all documents (letters without case),
-one symbol for the start of a text and one for all other bytes. Both models count
-n-grams of the same order and are smoothed alike (Witten-Bell, interpolated down to the
-uniform distribution). The target model sees the target documents, the
-background model all documents. With `symbols ** order` cells a model has a fixed
-size, so its loss table can be broadcast; the counts behind it come from every
-byte of the corpus.
+Tokens are subwords: runs of letters, of digits and of other signs (ASCII letters without
+case, the white space before a run as one leading space), cut into pieces of four bytes.
+The shared vocabulary is every piece of every document. Both models are bigram models with
+the same smoothing (Witten-Bell, interpolated down to the uniform distribution); the target
+model sees the target documents, the background model all documents.
+
+Vocabulary, bigrams and losses are Spark tables that grow with the corpus. A piece is a
+32-bit number, so a bigram is exactly one 64-bit key and nothing is hashed. Documents are
+cut once into slices of bounded size; a slice is written as one row per distinct bigram,
+with the places of the documents that hold it. These rows are counted, and met by the
+losses of their bigram; sums per document come back as whole numbers, so that they do not
+depend on the order of work.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablejury.llm.common import slices, small, text_buffer
+from tablejury.llm.common import join_groups, slices, stored, text_buffer
 
-SYMBOLS, ORDER = 40, 4
+PIECE = 4  # bytes
+SLICE = 8_000_000  # bytes of text whose bigrams are folded together
+MOST_PLACES = 1 << 16  # documents of a slice: places are 16-bit numbers
+HELD = 1 << 20  # documents whose sums a task holds before it passes them on
+UNIT = 1 << 24  # losses are whole multiples of 1 / UNIT bits
 
+_KIND = np.full(256, 3, np.uint8)  # 0 white space and control signs, 1 letters, 2 digits, 3 other signs
+_KIND[:33] = 0
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def vocabulary(documents: DataFrame, symbols=SYMBOLS) -> np.ndarray:
-    """The symbol of every byte: 1 to symbols - 2 by falling frequency, symbols - 1 for the rest (0 is the start)."""
-    def count(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            data, _ = text_buffer(batch.column(0))
-            total += np.bincount(_LOWER[data], minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-    rows = documents.select("text").mapInArrow(count, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    ranked = sorted((-r["n"], r["byte"]) for r in rows)  # 256 rows
-    out = np.full(256, symbols - 1, np.int64)
-    for symbol, (n, byte) in enumerate(ranked[:symbols - 2], 1):
-        if n:
-            out[byte] = symbol
-    return out[_LOWER]
-
-
-def cells(data, offsets, symbol_of, symbols=SYMBOLS, order=ORDER):
-    """The n-gram cell of every byte, with order - 1 start symbols before each document."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    padded = np.zeros(len(data) + (order - 1) * (len(offsets) - 1), np.int64)
-    at = np.arange(len(data)) + (order - 1) * (doc + 1)
-    padded[at] = symbol_of[data]
-    cell = np.zeros(len(data), np.int64)
-    for back in range(order - 1, -1, -1):
-        cell = cell * symbols + padded[at - back]
-    return cell
-
-
-def ngram_counts(documents: DataFrame, symbol_of, symbols=SYMBOLS, order=ORDER) -> np.ndarray:
-    """Counts of all n-grams of the documents, summed over partitions, as an array of `order` dimensions."""
-    size = symbols ** order
-
-    def count(batches):
-        total = np.zeros(size, np.int64)
+_LOWER[:33] = 32
+
+
+def pieces(data, offsets):
+    """(piece codes, bounds): the subwords of all documents; those of document d are bounds[d]:bounds[d + 1]."""
+    n, docs = len(data), len(offsets) - 1
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
+    kinds = _KIND[data]
+    change = np.empty(n, bool)
+    change[0] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=change[1:])
+    opens = np.zeros(n, bool)
+    opens[offsets[:-1][offsets[:-1] < n]] = True
+    edges = np.flatnonzero(change | opens)
+    ends = np.append(edges[1:], n)
+    word = kinds[edges] != 0
+    starts, ends = edges[word], ends[word]
+    starts = starts - ((kinds[np.maximum(starts - 1, 0)] == 0) & ~opens[starts])
+    count = (ends - starts + PIECE - 1) // PIECE
+    at = np.repeat(starts - PIECE * (np.cumsum(count) - count), count) + PIECE * np.arange(count.sum())
+    end = np.repeat(ends, count)
+    low = np.concatenate([_LOWER[data], np.zeros(PIECE, np.uint8)])
+    code = np.zeros(len(at), np.uint64)
+    for i in range(PIECE):
+        code <<= np.uint64(8)
+        code |= np.where(at + i < end, low[at + i], 0).astype(np.uint64)
+    return code, np.searchsorted(at, offsets)
+
+
+def bigrams(data, offsets):
+    """(keys, bounds): previous piece (0 at the start of a document) and piece of every token, as one 64-bit number."""
+    code, bounds = pieces(data, offsets)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[bounds[:-1][bounds[:-1] < len(code)]] = 0
+    return ((before << np.uint64(32)) | code).view(np.int64), bounds
+
+
+def _bounded(offsets):
+    """Slices of whole documents, by bytes and by number of documents."""
+    for lo, hi in slices(offsets, SLICE):
+        for start in range(lo, hi, MOST_PLACES):
+            yield start, min(hi, start + MOST_PLACES)
+
+
+def folded(documents: DataFrame) -> DataFrame:
+    """One row per (slice, bigram) with its counts and places, and one row per document (`places` NULL); written once.
+
+    `documents` has doc_id, text and target (whether it is a target document).
+    """
+    kind = documents.schema["doc_id"].dataType
+    schema = T.StructType([
+        T.StructField("slice", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("key", T.LongType()),
+        T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType()), T.StructField("places", T.BinaryType()),
+        T.StructField("place", T.IntegerType()), T.StructField("doc_id", kind)])
+
+    def fold(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for lo, hi in slices(offsets):
-                total += np.bincount(cells(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], symbol_of, symbols, order),
-                                     minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
-
-    rows = (documents.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-            .toPandas())  # at most symbols ** order rows
-    out = np.zeros(size, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out.reshape((symbols,) * order)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log2 P(last | the others) for every cell: Witten-Bell, shorter contexts mixed in by the number of distinct followers."""
-    symbols = counts.shape[0]
-    p = np.full(symbols, 1.0 / (symbols - 1))
-    for keep in range(1, counts.ndim + 1):
-        c = counts.sum(axis=tuple(range(counts.ndim - keep))).astype(np.float64)
-        total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        p = np.where(total > 0, (c + kinds * p) / np.maximum(total + kinds, 1), np.broadcast_to(p, c.shape))
-    return -np.log2(p)
-
-
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, symbols=SYMBOLS, order=ORDER) -> DataFrame:
+            ids = batch.column(0)
+            data, offsets = text_buffer(batch.column(1))
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in _bounded(offsets):
+                keys, bounds = bigrams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                size = hi - lo
+                place = np.repeat(np.arange(size, dtype=np.uint16), np.diff(bounds))
+                order = np.argsort(keys, kind="stable")
+                keys, place = keys[order], place[order]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                ends = np.append(first, len(keys))
+                hits = np.append(0, np.cumsum(target[lo:hi][place]))
+                rows = len(first)
+
+                def both(a, b, type_):
+                    return pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, type_),
+                                             b if isinstance(b, pa.Array) else pa.array(b, type_)])
+
+                places = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer((2 * ends).astype(np.int64)),
+                                                                         pa.py_buffer(place)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(rows + size, number)), pa.array(np.full(rows + size, size, np.int32)),
+                    both(keys[first], pa.nulls(size, pa.int64()), pa.int64()), both(np.diff(ends), np.diff(bounds), pa.int64()),
+                    both(np.diff(hits[ends]), np.zeros(size, np.int64), pa.int64()), both(places, pa.nulls(size, pa.binary()), None),
+                    both(pa.nulls(rows, pa.int32()), np.arange(size, dtype=np.int32), pa.int32()),
+                    both(pa.nulls(rows, ids.type), ids.slice(lo, size), None)], names=schema.names)
+                number += 1
+
+    return stored(documents.select("doc_id", "text", "target").mapInArrow(fold, schema), "lm-slices")
+
+
+def loss_table(counts: DataFrame) -> DataFrame:
+    """key, n, target_loss, background_loss (whole multiples of 1 / UNIT bits) of every bigram of the corpus.
+
+    `counts` has key, n, n_target and is a stored table. Bigrams of one context, and of one piece, are
+    distinct, so their joins hold at most the vocabulary per key; adaptive joins split what is uneven.
+    """
+    grams = counts.select("key", "n", "n_target", F.shiftrightunsigned("key", 32).alias("before"),
+                          F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("piece"))
+    contexts = grams.groupBy("before").agg(
+        F.sum("n").alias("c"), F.count("*").alias("k"), F.sum("n_target").alias("ct"), F.count_if(F.col("n_target") > 0).alias("kt"))
+    vocabulary = grams.groupBy("piece").agg(F.sum("n").alias("u"), F.sum("n_target").alias("ut"))
+    all_, size, targets, seen = vocabulary.agg(
+        F.sum("u"), F.count("*"), F.sum("ut"), F.count_if(F.col("ut") > 0)).first()  # four numbers
+
+    def mixed(n, total, kinds, rest):
+        return F.when(total > 0, (n + kinds * rest) / (total + kinds)).otherwise(rest)
+
+    uniform = F.lit(1.0 / max(size, 1))
+    single = mixed(F.col("u"), F.lit(all_ or 0), F.lit(size), uniform)
+    single_target = mixed(F.col("ut"), F.lit(targets or 0), F.lit(seen), uniform)
+    vocabulary = vocabulary.select("piece", single.alias("p"), single_target.alias("pt"))
+
+    def loss(probability):
+        return F.round(-F.log2(probability) * UNIT).cast("long")
+
+    return grams.join(contexts, "before").join(vocabulary, "piece").select(
+        "key", "n", loss(mixed(F.col("n_target"), F.col("ct"), F.col("kt"), F.col("pt"))).alias("target_loss"),
+        loss(mixed(F.col("n"), F.col("c"), F.col("k"), F.col("p"))).alias("background_loss"))
+
+
+def _sums(batches):
+    """Add the losses of bigrams to the documents at their places; sums are passed on when HELD documents are open."""
+    base, sums, filled = {}, np.zeros((2, 0), np.int64), 0
+
+    def flush():
+        number = np.repeat(np.array(list(base), np.int64), [w for _, w in base.values()])
+        place = np.concatenate([np.arange(w, dtype=np.int32) for _, w in base.values()])
+        used = np.flatnonzero(sums[:, :filled].any(0))
+        return pa.RecordBatch.from_arrays([pa.array(number[used]), pa.array(place[used]), pa.array(sums[0, used]), pa.array(sums[1, used])],
+                                          names=["slice", "place", "target_loss", "background_loss"])
+
+    for batch in batches:
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        numbers, which = np.unique(column["slice"].to_numpy(), return_inverse=True)
+        width = np.zeros(len(numbers), np.int64)
+        width[which] = column["width"].to_numpy()
+        new = [i for i, v in enumerate(numbers.tolist()) if v not in base]
+        if base and filled + width[new].sum() > HELD:
+            yield flush()
+            base, filled, new = {}, 0, range(len(numbers))
+            sums[:] = 0
+        for i in new:
+            base[int(numbers[i])] = (filled, int(width[i]))
+            filled += int(width[i])
+        if filled > sums.shape[1]:
+            sums = np.concatenate([sums, np.zeros((2, 2 * filled - sums.shape[1]), np.int64)], axis=1)
+        places = column["places"].cast(pa.large_binary())
+        ends = np.frombuffer(places.buffers()[1], np.int64)[places.offset:places.offset + len(places) + 1]
+        at = np.frombuffer(places.buffers()[2], np.uint16)[ends[0] // 2:ends[-1] // 2]
+        count = np.diff(ends) // 2
+        to = np.repeat(np.array([base[v][0] for v in numbers.tolist()], np.int64)[which], count) + at
+        for row, name in enumerate(("target_loss", "background_loss")):
+            np.add.at(sums[row], to, np.repeat(column[name].to_numpy(), count))
+    if base:
+        yield flush()
+
+
+def cross_entropy_difference(documents: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score for every row of `documents`.
 
     Losses are bits per token under the models; score is target_loss -
     background_loss, so lower means closer to the target. `target` holds the
     doc_ids of the target documents (NULLs and repetitions are ignored). NULL and
-    empty texts have no tokens and losses of 0. Without target documents the
-    target model is uniform. Rows with NULL or repeated doc_ids are scored one by
+    empty texts, and texts of white space, have no tokens and losses of 0. Without target
+    documents the target model is uniform. Rows with NULL or repeated doc_ids are scored one by
     one; other columns are ignored; an empty table gives no rows.
     """
-    kind = dict(documents.dtypes)["doc_id"]
-    symbol_of = vocabulary(documents, symbols)
-    ids = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    chosen = documents.select("doc_id", "text").join(small(ids, ids.count()), "doc_id", "left_semi")
-    tables = [losses(ngram_counts(d, symbol_of, symbols, order)).ravel().astype(np.float32) for d in (chosen, documents)]
-
-    def score(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            n = np.diff(offsets)
-            sums = np.zeros((2, len(n)))
-            for lo, hi in slices(offsets):
-                full = lo + np.flatnonzero(n[lo:hi])
-                if len(full):
-                    cell = cells(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], symbol_of, symbols, order)
-                    for which in (0, 1):
-                        sums[which, full] = np.add.reduceat(tables[which][cell].astype(np.float64), offsets[full] - offsets[lo])
-            mean = sums / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]),
-                                              pa.array(mean[0] - mean[1])],
-                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return documents.select("doc_id", "text").mapInArrow(
-        score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    ids = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
+    marked = documents.select("doc_id", "text").join(ids, "doc_id", "left") \
+        .select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = folded(marked)
+    grams = rows.where(F.col("places").isNotNull()).select("slice", "width", "key", "n", "n_target", "places")
+    counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "lm-bigrams")
+    losses = stored(loss_table(counts), "lm-losses")
+    met = join_groups(grams.select("slice", "width", "key", "places"), losses, "key", "n")
+    sums = met.select("slice", "width", "places", "target_loss", "background_loss").mapInArrow(
+        _sums, "slice long, place int, target_loss long, background_loss long")
+    sums = sums.groupBy("slice", "place").agg(F.sum("target_loss").alias("target"), F.sum("background_loss").alias("background"))
+    docs = rows.where(F.col("places").isNull()).select("slice", "place", "doc_id", F.col("n").alias("n_tokens"))
+
+    def mean(total):
+        return F.coalesce(F.col(total) / (F.col("n_tokens") * F.lit(float(UNIT))), F.lit(0.0))
+
+    scored = docs.join(sums, ["slice", "place"], "left")
+    return scored.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss")) \
+        .withColumn("score", F.col("target_loss") - F.col("background_loss"))
