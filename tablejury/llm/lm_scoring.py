@@ -8,10 +8,11 @@ model sees the target documents, the background model all documents.
 
 Vocabulary, bigrams and losses are Spark tables that grow with the corpus. A piece is a
 32-bit number, so a bigram is exactly one 64-bit key and nothing is hashed. Documents are
-cut once into slices of bounded size; a slice is written as one row per distinct bigram,
-with the places of the documents that hold it. These rows are counted, and met by the
-losses of their bigram; sums per document come back as whole numbers, so that they do not
-depend on the order of work.
+cut once into slices of bounded size. A slice is written as one row per distinct bigram, and
+apart from them the places of the documents that hold each. Only the rows of bigrams are
+counted and meet their losses: at most one per slice and bigram, however often it occurs, so no
+key is large. The losses return to their slice, where they are added up for each document, as
+whole numbers that do not depend on the order of work.
 """
 
 import numpy as np
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablejury.llm.common import join_groups, slices, stored, text_buffer
+from tablejury.llm.common import slices, stored, text_buffer
 
 PIECE = 4  # bytes
-SLICE = 8_000_000  # bytes of text whose bigrams are folded together
+STEP = 8_000_000  # bytes of text encoded at once
+SLICE = 64_000_000  # bytes of text whose bigrams are folded together
 MOST_PLACES = 1 << 16  # documents of a slice: places are 16-bit numbers
-HELD = 1 << 20  # documents whose sums a task holds before it passes them on
+RANKS = 1 << 16  # bigrams of a slice whose places are written as one row
 UNIT = 1 << 24  # losses are whole multiples of 1 / UNIT bits
 
 _KIND = np.full(256, 3, np.uint8)  # 0 white space and control signs, 1 letters, 2 digits, 3 other signs
@@ -74,60 +76,91 @@ def bigrams(data, offsets):
     return ((before << np.uint64(32)) | code).view(np.int64), bounds
 
 
-def _bounded(offsets):
-    """Slices of whole documents, by bytes and by number of documents."""
-    for lo, hi in slices(offsets, SLICE):
-        for start in range(lo, hi, MOST_PLACES):
-            yield start, min(hi, start + MOST_PLACES)
+class _Slice:
+    """Documents whose bigrams are folded together."""
+
+    def __init__(self, number):
+        self.number, self.size, self.bytes, self.parts, self.docs = number, 0, 0, [], []
+
+    def add(self, data, offsets, target, ids):
+        keys, bounds = bigrams(data, offsets)
+        place = np.repeat(np.arange(self.size, self.size + len(ids)).astype(np.uint16), np.diff(bounds))
+        hits = np.repeat(target, np.diff(bounds))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(first, len(keys))
+        total = np.append(0, np.cumsum(hits[order]))
+        self.parts.append((keys[first], np.diff(ends), np.diff(total[ends]), place[order]))
+        self.docs.append((ids, np.diff(bounds)))
+        self.size += len(ids)
+        self.bytes += len(data)
+
+    def tables(self):
+        """Columns by name: the bigrams, their places in rows of RANKS bigrams, and the documents."""
+        keys, counts, hits, places = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, hits = keys[order], hits[order]
+        runs = counts[order].astype(np.int32)
+        shift = (np.cumsum(counts) - counts)[order] - (np.cumsum(runs, dtype=np.int64) - runs)
+        at = np.repeat(shift.astype(np.int32), runs)
+        at += np.arange(len(places), dtype=np.int32)
+        places = places[at]
+        if len(keys):
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n, hits, keys = np.add.reduceat(runs, first, dtype=np.int64), np.add.reduceat(hits, first), keys[first]
+            ends = np.append(0, np.cumsum(n))
+            yield {"rank": pa.array(np.arange(len(keys), dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n),
+                   "n_target": pa.array(hits.astype(np.int64))}
+            for lo in range(0, len(keys), RANKS):
+                hi = min(lo + RANKS, len(keys))
+                yield {"rank": pa.array([lo], pa.int32()), "counts": pa.array([n[lo:hi].astype(np.int32).tobytes()], pa.binary()),
+                       "places": pa.array([places[ends[lo]:ends[hi]].tobytes()], pa.binary())}
+        yield {"place": pa.array(np.arange(self.size, dtype=np.int32)), "doc_id": pa.concat_arrays([i for i, _ in self.docs]),
+               "n": pa.array(np.concatenate([n for _, n in self.docs]).astype(np.int64))}
 
 
 def folded(documents: DataFrame) -> DataFrame:
-    """One row per (slice, bigram) with its counts and places, and one row per document (`places` NULL); written once.
+    """Slices, written once: rows with a `key` are bigrams, with `places` their places, with a `place` documents.
 
     `documents` has doc_id, text and target (whether it is a target document).
     """
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType([
-        T.StructField("slice", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("key", T.LongType()),
-        T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType()), T.StructField("places", T.BinaryType()),
-        T.StructField("place", T.IntegerType()), T.StructField("doc_id", kind)])
+        T.StructField("slice", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("key", T.LongType()),
+        T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("places", T.BinaryType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", kind)])
+
+    def rows(group, types):
+        for columns in group.tables():
+            size = len(next(iter(columns.values())))
+            columns["slice"] = pa.array(np.full(size, group.number))
+            yield pa.RecordBatch.from_arrays([columns.get(f, pa.nulls(size, types[f])) for f in schema.names], names=schema.names)
 
     def fold(batches):
-        number = TaskContext.get().partitionId() << 32
+        types = {"slice": pa.int64(), "rank": pa.int32(), "key": pa.int64(), "n": pa.int64(), "n_target": pa.int64(), "counts": pa.binary(),
+                 "places": pa.binary(), "place": pa.int32()}
+        group = _Slice(TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids = batch.column(0)
+            types["doc_id"] = ids.type
             data, offsets = text_buffer(batch.column(1))
             target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in _bounded(offsets):
-                keys, bounds = bigrams(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                size = hi - lo
-                place = np.repeat(np.arange(size, dtype=np.uint16), np.diff(bounds))
-                order = np.argsort(keys, kind="stable")
-                keys, place = keys[order], place[order]
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-                ends = np.append(first, len(keys))
-                hits = np.append(0, np.cumsum(target[lo:hi][place]))
-                rows = len(first)
-
-                def both(a, b, type_):
-                    return pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, type_),
-                                             b if isinstance(b, pa.Array) else pa.array(b, type_)])
-
-                places = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer((2 * ends).astype(np.int64)),
-                                                                         pa.py_buffer(place)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(rows + size, number)), pa.array(np.full(rows + size, size, np.int32)),
-                    both(keys[first], pa.nulls(size, pa.int64()), pa.int64()), both(np.diff(ends), np.diff(bounds), pa.int64()),
-                    both(np.diff(hits[ends]), np.zeros(size, np.int64), pa.int64()), both(places, pa.nulls(size, pa.binary()), None),
-                    both(pa.nulls(rows, pa.int32()), np.arange(size, dtype=np.int32), pa.int32()),
-                    both(pa.nulls(rows, ids.type), ids.slice(lo, size), None)], names=schema.names)
-                number += 1
+            for start, end in slices(offsets, STEP):
+                for lo in range(start, end, MOST_PLACES):
+                    hi = min(end, lo + MOST_PLACES)
+                    if group.size and (group.size + hi - lo > MOST_PLACES or group.bytes + offsets[hi] - offsets[lo] > SLICE):
+                        yield from rows(group, types)
+                        group = _Slice(group.number + 1)
+                    group.add(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], target[lo:hi], ids.slice(lo, hi - lo))
+        if group.size:
+            yield from rows(group, types)
 
     return stored(documents.select("doc_id", "text", "target").mapInArrow(fold, schema), "lm-slices")
 
 
 def loss_table(counts: DataFrame) -> DataFrame:
-    """key, n, target_loss, background_loss (whole multiples of 1 / UNIT bits) of every bigram of the corpus.
+    """key, target_loss, background_loss (whole multiples of 1 / UNIT bits) of every bigram of the corpus.
 
     `counts` has key, n, n_target and is a stored table. Bigrams of one context, and of one piece, are
     distinct, so their joins hold at most the vocabulary per key; adaptive joins split what is uneven.
@@ -152,45 +185,23 @@ def loss_table(counts: DataFrame) -> DataFrame:
         return F.round(-F.log2(probability) * UNIT).cast("long")
 
     return grams.join(contexts, "before").join(vocabulary, "piece").select(
-        "key", "n", loss(mixed(F.col("n_target"), F.col("ct"), F.col("kt"), F.col("pt"))).alias("target_loss"),
+        "key", loss(mixed(F.col("n_target"), F.col("ct"), F.col("kt"), F.col("pt"))).alias("target_loss"),
         loss(mixed(F.col("n"), F.col("c"), F.col("k"), F.col("p"))).alias("background_loss"))
 
 
-def _sums(batches):
-    """Add the losses of bigrams to the documents at their places; sums are passed on when HELD documents are open."""
-    base, sums, filled = {}, np.zeros((2, 0), np.int64), 0
-
-    def flush():
-        number = np.repeat(np.array(list(base), np.int64), [w for _, w in base.values()])
-        place = np.concatenate([np.arange(w, dtype=np.int32) for _, w in base.values()])
-        used = np.flatnonzero(sums[:, :filled].any(0))
-        return pa.RecordBatch.from_arrays([pa.array(number[used]), pa.array(place[used]), pa.array(sums[0, used]), pa.array(sums[1, used])],
-                                          names=["slice", "place", "target_loss", "background_loss"])
-
-    for batch in batches:
-        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        numbers, which = np.unique(column["slice"].to_numpy(), return_inverse=True)
-        width = np.zeros(len(numbers), np.int64)
-        width[which] = column["width"].to_numpy()
-        new = [i for i, v in enumerate(numbers.tolist()) if v not in base]
-        if base and filled + width[new].sum() > HELD:
-            yield flush()
-            base, filled, new = {}, 0, range(len(numbers))
-            sums[:] = 0
-        for i in new:
-            base[int(numbers[i])] = (filled, int(width[i]))
-            filled += int(width[i])
-        if filled > sums.shape[1]:
-            sums = np.concatenate([sums, np.zeros((2, 2 * filled - sums.shape[1]), np.int64)], axis=1)
-        places = column["places"].cast(pa.large_binary())
-        ends = np.frombuffer(places.buffers()[1], np.int64)[places.offset:places.offset + len(places) + 1]
-        at = np.frombuffer(places.buffers()[2], np.uint16)[ends[0] // 2:ends[-1] // 2]
-        count = np.diff(ends) // 2
-        to = np.repeat(np.array([base[v][0] for v in numbers.tolist()], np.int64)[which], count) + at
-        for row, name in enumerate(("target_loss", "background_loss")):
-            np.add.at(sums[row], to, np.repeat(column[name].to_numpy(), count))
-    if base:
-        yield flush()
+def _added(losses, places):
+    """The losses of a slice's bigrams, added up for each of its documents. A slice is bounded, whatever the corpus."""
+    rank = losses["rank"].to_numpy()
+    each = np.zeros((2, len(rank)), np.int64)
+    each[0, rank], each[1, rank] = losses["target_loss"].to_numpy(), losses["background_loss"].to_numpy()
+    sums = np.zeros((2, MOST_PLACES), np.int64)
+    for lo, counts, at in zip(places["first"].to_pylist(), places["counts"].to_pylist(), places["places"].to_pylist(), strict=True):
+        counts, at = np.frombuffer(counts, np.int32), np.frombuffer(at, np.uint16)
+        for row in (0, 1):
+            np.add.at(sums[row], at, np.repeat(each[row, lo:lo + len(counts)], counts))
+    used = np.flatnonzero(sums.any(0))
+    return pa.table({"slice": np.full(len(used), places["of"][0].as_py()), "place": used.astype(np.int32),
+                     "target": sums[0, used], "background": sums[1, used]})
 
 
 def cross_entropy_difference(documents: DataFrame, target: DataFrame) -> DataFrame:
@@ -203,18 +214,19 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame) -> DataFra
     documents the target model is uniform. Rows with NULL or repeated doc_ids are scored one by
     one; other columns are ignored; an empty table gives no rows.
     """
-    ids = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("target", F.lit(True))
+    ids = stored(target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "lm-target").withColumn("target", F.lit(True))
     marked = documents.select("doc_id", "text").join(ids, "doc_id", "left") \
         .select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     rows = folded(marked)
-    grams = rows.where(F.col("places").isNotNull()).select("slice", "width", "key", "n", "n_target", "places")
+    grams = rows.where(F.col("key").isNotNull())
     counts = stored(grams.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "lm-bigrams")
-    losses = stored(loss_table(counts), "lm-losses")
-    met = join_groups(grams.select("slice", "width", "key", "places"), losses, "key", "n")
-    sums = met.select("slice", "width", "places", "target_loss", "background_loss").mapInArrow(
-        _sums, "slice long, place int, target_loss long, background_loss long")
-    sums = sums.groupBy("slice", "place").agg(F.sum("target_loss").alias("target"), F.sum("background_loss").alias("background"))
-    docs = rows.where(F.col("places").isNull()).select("slice", "place", "doc_id", F.col("n").alias("n_tokens"))
+    met = grams.select("slice", "rank", "key").join(stored(loss_table(counts), "lm-losses"), "key") \
+        .select("slice", "rank", "target_loss", "background_loss")
+    places = rows.where(F.col("places").isNotNull()).select(
+        F.col("slice").alias("of"), F.col("rank").alias("first"), "counts", "places")
+    sums = met.groupBy("slice").cogroup(places.groupBy("of")).applyInArrow(
+        _added, "slice long, place int, target long, background long")
+    docs = rows.where(F.col("place").isNotNull()).select("slice", "place", "doc_id", F.col("n").alias("n_tokens"))
 
     def mean(total):
         return F.coalesce(F.col(total) / (F.col("n_tokens") * F.lit(float(UNIT))), F.lit(0.0))

@@ -51,10 +51,10 @@ TEXTS = [(1, "The cat sat on the mat."), (2, "ZZZZ!! qqq 999 12345"), (3, ""), (
          (6, "dogs run"), (7, " \n\t "), (8, "Кошка сидела на ковре"), (9, "abc123\n\n--x  y"), (10, "the cat sat" * 40)]
 
 
-@pytest.mark.parametrize("slice_bytes,places,held", [(8_000_000, 1 << 16, 1 << 20), (30, 2, 3)])
-def test_against_dictionaries(spark, monkeypatch, slice_bytes, places, held):
-    """With the slices of the operator, and with slices and sums small enough that every bound is met."""
-    for name, value in (("SLICE", slice_bytes), ("MOST_PLACES", places), ("HELD", held)):
+@pytest.mark.parametrize("step,size,places,ranks", [(8_000_000, 64_000_000, 1 << 16, 1 << 16), (30, 60, 3, 5), (30, 10_000, 100, 7)])
+def test_against_dictionaries(spark, monkeypatch, step, size, places, ranks):
+    """With the slices of the operator, and with slices and rows small enough that every bound is met."""
+    for name, value in (("STEP", step), ("SLICE", size), ("MOST_PLACES", places), ("RANKS", ranks)):
         monkeypatch.setattr(lm_scoring, name, value)
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
     target = spark.createDataFrame([(1,), (5,), (5,), (None,), (99,)], "doc_id long")
@@ -101,7 +101,7 @@ def test_scripts_and_digits_are_told_apart(spark):
 
 def test_tables_grow_with_the_corpus(spark):
     docs = spark.createDataFrame([(i, f"w{i * 7919 % 100003} common {i}") for i in range(2000)], "doc_id long, text string")
-    sizes = [lm_scoring.folded(docs.where(f"doc_id < {n}").selectExpr("*", "false AS target")).where("places IS NOT NULL")
+    sizes = [lm_scoring.folded(docs.where(f"doc_id < {n}").selectExpr("*", "false AS target")).where("key IS NOT NULL")
              .select("key").distinct().count() for n in (200, 2000)]
     assert sizes[1] > 4 * sizes[0]
 
