@@ -274,7 +274,45 @@ def _(spark, sf):
     return rounded(I.permutation_test(matched, n_perm=100, engine="digest"))
 
 
-@query("f4_permutation_test")
+def _hypergeometric_sql(step, source, good, bad, n):
+    """CTEs that draw by inverse distribution: column k{step} from the uniform number u{step}, for all groups and shuffles."""
+    same = "PARTITION BY good, bad, n"
+    return f""", asked{step} AS (SELECT *, {good} AS good, {bad} AS bad, {n} AS n FROM {source}),
+ law{step} AS (SELECT good, bad, n, k, sum(p) OVER ({same} ORDER BY k) / sum(p) OVER ({same}) AS share FROM (
+  SELECT good, bad, n, k, exp(l - max(l) OVER ({same})) AS p FROM (
+   SELECT *, lgamma(good + 1.0) - lgamma(k + 1.0) - lgamma(good - k + 1.0) + lgamma(bad + 1.0) - lgamma(n - k + 1.0) - lgamma(bad - n + k + 1.0) AS l FROM (
+    SELECT *, unnest(range(greatest(0, n - bad), least(n, good) + 1)) AS k FROM (SELECT DISTINCT good, bad, n FROM asked{step}) a) b) c) e),
+ drawn{step} AS (SELECT a.* EXCLUDE (good, bad, n), l.k AS k{step} FROM asked{step} a
+  ASOF JOIN (SELECT good, bad, n, share, min(k) AS k FROM law{step} GROUP BY ALL) l ON a.good = l.good AND a.bad = l.bad AND a.n = l.n AND a.u{step} < l.share)"""
+
+
+def _drs_of_counts(rc, rw, sc, sw):
+    return f"CASE WHEN {rc} + {rw} > 0 AND {sc} + {sw} > 0 THEN least(100.0*({rc})/({rc} + {rw}), 100.0*({sc})/({sc} + {sw})) END"
+
+
+_COUNTS = ", ".join(f"count(*) FILTER ({test}) AS {name}, count(*) FILTER ({test} AND condition = 'C1') AS {name}_1" for name, test in (
+    ("rc", "true_label = 'REAL' AND correct"), ("rw", "true_label = 'REAL' AND NOT correct"),
+    ("sc", "true_label = 'SYNTHETIC' AND correct"), ("sw", "true_label = 'SYNTHETIC' AND NOT correct")))
+_UNIFORM = ", ".join(f"('0x' || substr(md5(concat_ws('|', '20260531', 'u{i}', dataset, provider_label, method, CAST(perm AS VARCHAR))), 1, 13))::BIGINT / 4503599627370496.0 AS u{i}"
+                     for i in (1, 2, 3))
+
+
+@query("f4_permutation_test", W3.rstrip() + f""", counted AS (SELECT dataset, provider_label, method, count(*) FILTER (condition = 'C1') AS n_c1,
+ count(*) FILTER (condition = 'C2') AS n_c2, {_COUNTS} FROM matched WHERE condition IN ('C1', 'C2') GROUP BY 1, 2, 3),
+ obs AS (SELECT *, {_drs_of_counts("rc_1", "rw_1", "sc_1", "sw_1")} AS drs_c1,
+ {_drs_of_counts("(rc - rc_1)", "(rw - rw_1)", "(sc - sc_1)", "(sw - sw_1)")} AS drs_c2 FROM counted WHERE n_c1 > 0 AND n_c2 > 0),
+ shuffles AS (SELECT *, {_UNIFORM} FROM obs CROSS JOIN (SELECT unnest(range(0, 3000)) AS perm) p)"""
+       + _hypergeometric_sql(1, "shuffles", "rc", "rw + sc + sw", "n_c1")
+       + _hypergeometric_sql(2, "drawn1", "rw", "sc + sw", "n_c1 - k1")
+       + _hypergeometric_sql(3, "drawn2", "sc", "sw", "n_c1 - k1 - k2") + f""",
+ diffs AS (SELECT *, drs_c2 - drs_c1 AS delta, {_drs_of_counts("(rc - k1)", "(rw - k2)", "(sc - k3)", "(sw - n_c1 + k1 + k2 + k3)")}
+ - {_drs_of_counts("k1", "k2", "k3", "(n_c1 - k1 - k2 - k3)")} AS d FROM drawn3)
+ SELECT dataset, provider_label, method, n_c1, n_c2, round(drs_c1, 6) AS drs_c1, round(drs_c2, 6) AS drs_c2, round(delta, 6) AS delta, count(d) AS perm_effective_n,
+ round(quantile_cont(d, 0.025), 6) AS perm_null_q025, round(quantile_cont(d, 0.975), 6) AS perm_null_q975,
+ CASE WHEN delta IS NOT NULL THEN round((count(*) FILTER (d >= delta - 1e-9) + 1)*1.0/(count(d) + 1), 6) END AS p_one_sided_ge,
+ CASE WHEN delta IS NOT NULL THEN round((count(*) FILTER (abs(d) >= abs(delta) - 1e-9) + 1)*1.0/(count(d) + 1), 6) END AS p_two_sided,
+ CASE WHEN delta IS NOT NULL THEN (count(*) FILTER (abs(d) >= abs(delta) - 1e-9) + 1)*1.0/(count(d) + 1) < 0.05 END AS significant
+ FROM diffs WHERE d IS NOT NULL GROUP BY dataset, provider_label, method, n_c1, n_c2, diffs.drs_c1, diffs.drs_c2, diffs.delta""")
 def _(spark, sf):
     return rounded(I.permutation_test(I.matched_sample(approved(spark, sf), 2026)))
 
