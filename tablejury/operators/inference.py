@@ -17,7 +17,12 @@ KEYS = ["dataset", "method", "condition"]
 GROUP = ["dataset", "provider_label", "method"]
 
 
-def _row_digest(seed, *more, key=("trial_id",)):
+def trial_key(trials):
+    """What names a trial: its file and line where the log has them, then its number, which starts again in every file."""
+    return [c for c in ("source_path", "line_no") if c in trials.columns] + ["trial_id"]
+
+
+def _row_digest(seed, *more, key):
     """Seeded by the cell and the model as well: trial numbers start again in every run."""
     return digest(seed, *more, *KEYS, "provider_label", *key)
 
@@ -33,11 +38,12 @@ def fair_quota(trials, min_n=FAIR_MIN_N):
     return match_sizes(trials).filter(F.col("n_match") >= min_n).withColumnRenamed("n_match", "n_take")
 
 
-def matched_sample(trials, seed, min_n=FAIR_MIN_N, key=("trial_id",)):
+def matched_sample(trials, seed, min_n=FAIR_MIN_N, key=None):
     """Equal N per model in every fair cell: the rows with the smallest keyed digests.
 
-    ``key`` names a row within its cell; where trial numbers repeat, add the file and line order.
+    ``key`` names a row within its cell, by default ``trial_key``.
     """
+    key = key or trial_key(trials)
     keyed = trials.withColumn("_digest", _row_digest(seed, key=key))
     return bottom_n(keyed, M.CELL, fair_quota(trials, min_n), tie=list(key)).drop("_digest")
 
@@ -61,11 +67,12 @@ def _class_drs(counts, by, suffix=""):
         F.when(real.isNotNull() & syn.isNotNull(), F.least(real, syn)).alias(f"drs{suffix}"))
 
 
-def seed_sweep(trials, first_seed=1000, n_seeds=50, min_n=FAIR_MIN_N, key=("trial_id",)):
+def seed_sweep(trials, first_seed=1000, n_seeds=50, min_n=FAIR_MIN_N, key=None):
     """DRS of every cell over many matched samples: mean and central 95 % range.
 
     The quantiles run over one value per seed, so their input is bounded by n_seeds.
     """
+    key = key or trial_key(trials)
     counts = draw_counts(
         trials, M.CELL, F.sequence(F.lit(first_seed), F.lit(first_seed + n_seeds - 1)),
         lambda s: _row_digest(s, key=key), fair_quota(trials, min_n), ["true_label", "correct"],
@@ -175,7 +182,7 @@ def group_counts(trials, group=GROUP):
         .withColumn("delta", F.col("drs_c2") - F.col("drs_c1"))
 
 
-def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts", key=("trial_id",)):
+def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="counts", key=None):
     """Is the C2 - C1 change in DRS larger than under shuffled conditions?
 
     ``counts`` draws the shuffled C1 counts directly from each group's four
@@ -183,7 +190,7 @@ def permutation_test(trials, n_perm=3000, seed=20260531, group=GROUP, engine="co
     the trials themselves by keyed digest, which SQL can repeat. Shuffles that
     leave a class empty give no difference and are not counted.
     """
-    observed = group_counts(trials, group)
+    observed, key = group_counts(trials, group), key or trial_key(trials)
     names = [name for name, _, _ in _PARTS]
     if engine == "counts":
         perms = observed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))

@@ -222,6 +222,37 @@ def _(spark, sf):
     return rounded(I.seed_sweep(approved(spark, sf)))
 
 
+_RUNS = """restarted AS (SELECT * REPLACE (trial_id // 7 AS trial_id), 'run-' || (trial_id % 7) AS source_path FROM approved),
+ quota AS (SELECT dataset, method, condition, min(n) AS n_take FROM (SELECT dataset, method, condition, provider_label, count(*) AS n
+ FROM restarted GROUP BY ALL) c GROUP BY 1, 2, 3 HAVING count(*) = 2 AND min(n) >= 8)"""
+_RUN_ROW = "a.dataset, a.method, a.condition, provider_label, source_path, CAST(trial_id AS VARCHAR))), source_path, trial_id"
+
+
+def restarted(spark, sf):
+    """The log as seven result files, in each of which trial numbers start again."""
+    return approved(spark, sf).withColumn("source_path", F.concat(F.lit("run-"), F.col("trial_id") % 7)) \
+        .withColumn("trial_id", F.floor(F.col("trial_id") / 7))
+
+
+@query("w3_matched_over_runs", V.with_ctes(V.TRIALS, V.APPROVED, _RUNS) + f"""SELECT source_path, trial_id, dataset, method, condition, provider_label FROM (
+ SELECT a.*, n_take, row_number() OVER (PARTITION BY a.dataset, a.method, a.condition, provider_label ORDER BY md5(concat_ws('|', '2026', {_RUN_ROW}) AS rn
+ FROM restarted a JOIN quota USING (dataset, method, condition)) r WHERE rn <= n_take""")
+def _(spark, sf):
+    return I.matched_sample(restarted(spark, sf), 2026) \
+        .select("source_path", "trial_id", "dataset", "method", "condition", "provider_label")
+
+
+@query("f2_seed_sweep_over_runs", V.with_ctes(V.TRIALS, V.APPROVED, _RUNS) + f""", drawn AS (SELECT s.seed, a.*, n_take, row_number() OVER (
+ PARTITION BY a.dataset, a.method, a.condition, provider_label, seed ORDER BY md5(concat_ws('|', CAST(seed AS VARCHAR), {_RUN_ROW}) AS rn
+ FROM restarted a JOIN quota USING (dataset, method, condition) CROSS JOIN (SELECT unnest(range(1000, 1050)) AS seed) s),
+ cell AS (SELECT dataset, provider_label, method, condition, seed, least(100.0*avg(correct::INT) FILTER (true_label='REAL'),
+ 100.0*avg(correct::INT) FILTER (true_label='SYNTHETIC')) AS drs FROM drawn WHERE rn <= n_take GROUP BY ALL)
+ SELECT dataset, provider_label, method, condition, count(drs) AS n_seeds, round(avg(drs), 6) AS drs_mean,
+ round(quantile_cont(drs, 0.025), 6) AS q025, round(quantile_cont(drs, 0.975), 6) AS q975 FROM cell GROUP BY ALL""")
+def _(spark, sf):
+    return rounded(I.seed_sweep(restarted(spark, sf)))
+
+
 _TAIL = """round(least(1.0, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n*ln(2.0)))
  FROM (SELECT unnest(range(n_correct, n + 1)) AS i) r)), 8)"""
 

@@ -394,6 +394,20 @@ def test_matched_samples_of_cells_are_drawn_apart(spark):
     assert max(len(a & b) for i, a in enumerate(sets) for b in sets[:i]) < 20
 
 
+def test_trials_of_two_files_with_equal_numbers_are_drawn_apart(spark):
+    rows = [(f"run-{f}", i, "adult", p, "m", "C1", "REAL" if i % 2 else "SYNTHETIC", True)
+            for f in (1, 2) for p, n in (("a", 300), ("b", 20)) for i in range(n)]
+    t = spark.createDataFrame(rows, "source_path string, trial_id int, dataset string, provider_label string, method string, "
+                                    "condition string, true_label string, correct boolean")
+    got = I.matched_sample(t, 2026).filter("provider_label = 'a'").collect()
+    picked = {f: {r["trial_id"] for r in got if r["source_path"] == f} for f in ("run-1", "run-2")}
+    assert len(got) == 40 and picked["run-1"] != picked["run-2"] and all(picked.values())
+    lined = t.withColumn("line_no", F.struct(F.lit(0).alias("split"), F.col("trial_id").alias("row"))).withColumn("trial_id", F.lit(1))
+    assert I.matched_sample(lined, 2026).filter("provider_label = 'a'").select("source_path", "line_no").distinct().count() == 40
+    assert {r["n_seeds"] for r in I.seed_sweep(lined, n_seeds=3).collect()} == {3}
+    assert I.trial_key(t) == ["source_path", "trial_id"] and I.trial_key(t.drop("source_path")) == ["trial_id"]
+
+
 def test_copula_keeps_nulls_and_many_values(spark):
     rows = [(i, f"v{i}" if i % 4 else None, float(i % 50) if i % 5 else float("nan"), None) for i in range(2000)]
     real = spark.createDataFrame(rows, "row_id int, name string, x double, void string")
