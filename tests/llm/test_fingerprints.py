@@ -1,7 +1,9 @@
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tablejury.llm import fingerprints
 from tablejury.llm.common import text_buffer
@@ -25,6 +27,75 @@ def check(rows, texts):
         assert 0 <= r.near_edited <= 1
 
 
+ALL = 2 ** 64 - 1
+
+
+def scramble(x):
+    x ^= x >> 31
+    x = x * 0xBF58476D1CE4E5B9 & ALL
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB & ALL
+    return x ^ x >> 32
+
+
+def tossed(symbols):
+    out = []
+    for i, x in enumerate(symbols):
+        differ = x ^ symbols[i - 1] if i else 1
+        bit = (differ & -differ).bit_length() - 1
+        out.append(2 * bit + (x >> bit & 1))
+    return out
+
+
+def parsed(text):
+    """The minima of a text, one symbol after the other."""
+    symbols, level, bins = [b + 1 for b in text.encode()], 0, {}
+    weights = [scramble(i + 1) | 1 for i in range(200)]
+    while symbols:
+        x = [scramble(v + sum(1 for _ in run) * 0x9E3779B97F4A7C15 & ALL) for v, run in groupby(symbols)]
+        c = x
+        for _ in range(4):
+            c = tossed(c)
+        found = []
+        for i, v in enumerate(x):
+            if i == 0 or (i < len(x) - 1 and c[i] > c[i - 1] and c[i] >= c[i + 1]):
+                found.append([])
+            found[-1].append(v)
+        names = [scramble(sum(v * w for v, w in zip(phrase, weights)) & ALL) for phrase in found]
+        level += 1
+        if level >= fingerprints.LEVEL or len(names) == 1:
+            for name in names:
+                h = scramble(name + (level if level >= fingerprints.LEVEL else 0) & ALL)
+                bins[h >> 58] = min(bins.get(h >> 58, ALL), h >> 40 & 0xFFFF)
+        symbols = names if len(names) > 1 else []
+    return bins
+
+
+def shown(bins):
+    return "".join(f"{bins[i]:04x}" if i in bins else "----" for i in range(fingerprints.BINS))
+
+
+def alike(a, b):
+    used = set(a) | set(b)
+    return sum(a.get(i) == b.get(i) for i in used) / len(used) if used else 1.0
+
+
+def test_against_a_plain_parse(spark):
+    """Every fingerprint and likeness of all documents, their edited texts and some awkward ones."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = [(-1, ""), (-2, None), (-3, "a"), (-4, "aaaa" * 99), (-5, "ab" * 300), (-6, "é😀 " * 50), (-7, "\x00\x01"), (-8, "x")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(5)
+    texts = [r.text or "" for r in docs.orderBy(F.desc("doc_id")).collect()]
+    rows = fingerprints.fingerprints(docs).orderBy(F.desc("doc_id")).collect()
+    plain = [parsed(t) for t in texts]
+    for n, (r, t) in enumerate(zip(rows, texts, strict=True)):
+        after = (n + 1) % len(texts)
+        cut = len(t) // 3
+        changed = parsed(t[:len(t) - cut] + texts[after][:cut])
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(plain[n]), shown(changed))
+        assert (r.near_edited, r.near_next) == (alike(plain[n], changed), alike(plain[n], plain[after]))
+
+
 def pieces(r, s):
     a, b = ([x.fingerprint[i:i + 4] for i in range(0, 4 * fingerprints.BINS, 4)] for x in (r, s))
     return [(x, y) for x, y in zip(a, b, strict=True) if x != "----" or y != "----"]
