@@ -24,6 +24,7 @@ from pyspark.sql.window import Window as W
 from tablejury.llm.common import small, stored
 
 K, BLOCK, QUERY_BLOCK, SUB = 20, 4096, 512, 512
+EXACT, DENSE, PAIRS = 2.0 ** 52, 64, 20_000  # whole numbers of doubles, with room for rounded lengths; a matrix product costs less from one open pair in DENSE; pairs scored at once
 
 
 def quantised(vectors: DataFrame, id_column="vec_id", vector_column="embedding", scale=64) -> DataFrame:
@@ -105,6 +106,19 @@ def blocks(table: DataFrame, width, rows, sort) -> DataFrame:
         pack, "block long, ids binary, data binary, longest double, bounds binary, least long")
 
 
+def _scored(qf, vf, q_ids, v_ids, bound, live, lo, open_pairs, k):
+    """(query, vector, score) of open pairs, by one matrix product: of each query those among its k best here, with all ties."""
+    rows, columns = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
+    a, b = live[rows], columns + lo
+    score = qf[a] @ vf[b].T
+    score[~open_pairs[np.ix_(rows, columns)] | (q_ids[a][:, None] == v_ids[b][None, :])] = -np.inf
+    least = bound[a].astype(np.float64)  # a bound beyond EXACT is none: the smallest number of 64 bits
+    if len(b) > k:
+        least = np.maximum(least, np.partition(score, len(b) - k, axis=1)[:, len(b) - k])
+    i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    return a[i], b[j], score[i, j].astype(np.int64)
+
+
 def _search(width, k, basis):
     """Pairs of blocks to the up to k best (query_id, vec_id, score) of each query that reach its bound."""
     head = max(1, width // 4)
@@ -121,6 +135,7 @@ def _search(width, k, basis):
                 q_rest = np.sqrt(np.maximum((qr[:, head:] ** 2).sum(1), 0))
                 v_rest = np.sqrt(np.maximum((vr[:, head:] ** 2).sum(1), 0))
                 slack = 1e-9 * (1 + q_len * v_len.max(initial=0.0))
+                exact = q_len.max(initial=0.0) * v_len.max(initial=0.0) < EXACT  # every partial sum is then a whole number that a double holds
                 found_q, found_v, found_s = (np.zeros(0, np.int64) for _ in range(3))
                 for lo in range(0, len(v), SUB):
                     hi = min(lo + SUB, len(v))
@@ -128,10 +143,13 @@ def _search(width, k, basis):
                     if not len(live):
                         break  # lengths only fall from here on
                     upper = qr[live, :head] @ vr[lo:hi, :head].T + np.outer(q_rest[live], v_rest[lo:hi])
-                    a, b = np.nonzero(upper + slack[live, None] >= bound[live, None])
-                    a, b = live[a], b + lo
-                    score = np.einsum("ij,ij->i", q[a], v[b]) if len(a) < 200_000 else np.concatenate(
-                        [np.einsum("ij,ij->i", q[a[s:s + 200_000]], v[b[s:s + 200_000]]) for s in range(0, len(a), 200_000)])
+                    open_pairs = upper + slack[live, None] >= bound[live, None]
+                    if exact and open_pairs.sum() * DENSE > open_pairs.size:
+                        a, b, score = _scored(qf, vf, q_ids, v_ids, bound, live, lo, open_pairs, k)
+                    else:
+                        a, b = np.nonzero(open_pairs)
+                        a, b = live[a], b + lo
+                        score = np.concatenate([np.einsum("ij,ij->i", q[a[s:s + PAIRS]], v[b[s:s + PAIRS]]) for s in range(0, max(1, len(a)), PAIRS)])
                     take = (score >= bound[a]) & (q_ids[a] != v_ids[b])
                     found_q = np.concatenate([found_q, a[take]])
                     found_v = np.concatenate([found_v, v_ids[b[take]]])

@@ -44,3 +44,32 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0], 0), (1, [2.0], 0)]) == {(0, 1, 1, 64 * 128)}
     assert run(spark, []) == set()
     assert run(spark, [(0, [1.0], 0)]) == set()
+
+
+def _found(q, v, bound, width, k=20):
+    """Rows of one pair of blocks, searched in this process."""
+    import pyarrow as pa
+
+    order = np.argsort(-(v.astype(np.float64) ** 2).sum(1), kind="stable")
+    ids, v = np.arange(len(v))[order], v[order]
+    cell = [np.arange(0, 20 * len(q), 20), q, np.full(len(q), bound), ids, v]
+    batch = pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x, np.int64).tobytes()], pa.binary()) for x in cell], names=list("abcde"))
+    out = [r for b in topk._search(width, k, np.eye(width))([batch]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    best = {(20 * i, j, -s) for i, x in enumerate(q) for s, j in sorted((-int(x.astype(object) @ y.astype(object)), int(j)) for j, y in zip(ids, v, strict=True) if j != 20 * i)[:k]}
+    return set(out), best
+
+
+def test_open_pairs_are_scored_by_matrix_products(monkeypatch):
+    """Where most pairs are open, none is gathered and scored on its own."""
+    rng = np.random.default_rng(5)
+    q, v = rng.integers(-3, 4, (30, 8)), rng.integers(-3, 4, (900, 8))  # small numbers, many ties
+    monkeypatch.setattr(topk.np, "einsum", lambda *_: pytest.fail("pairs scored one by one"))
+    found, best = _found(q, v, np.iinfo(np.int64).min, 8)
+    assert found == best
+
+
+def test_numbers_beyond_doubles_are_scored_as_integers():
+    rng = np.random.default_rng(6)
+    q, v = rng.integers(2 ** 29, 2 ** 30, (4, 2)), rng.integers(2 ** 29, 2 ** 30, (700, 2))
+    found, best = _found(q, v, np.iinfo(np.int64).min, 2)
+    assert found == best
