@@ -8,11 +8,12 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tablejury.functions import scalar as S
 from tablejury.functions import stats
 from tablejury.functions.digests import digest
-from tablejury.functions.ranking import quantiles, top_k
+from tablejury.functions.ranking import HEX_DIGITS, quantiles, top_k
 from tablejury.functions.stats import shapiro_wilk
 from tablejury.schema import categorical_columns, numeric_columns
 from tablejury.session import literal_table, shared_table
@@ -215,12 +216,24 @@ def top_correlations(df, by=(), columns=None, k=15):
     return top_k(table, by, k, *order) if by else table.orderBy(*order).limit(k)
 
 
+def _first_buckets(values, keys, n, digest_column):
+    """The rows of each key's first digest buckets, as many buckets as hold its n smallest digests (all, if fewer).
+
+    Counts of buckets, combined on the map side, find them, so that no other row is sorted or shuffled.
+    """
+    keyed = values.withColumn("_key", F.struct(*keys)).withColumn("_bucket", F.substring(digest_column, 1, HEX_DIGITS))  # a struct is never NULL
+    upto = F.sum("_c").over(W.partitionBy("_key").orderBy("_bucket"))
+    counts = keyed.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto)
+    last = shared_table(counts.groupBy("_key").agg(F.min(F.when(F.col("_upto") >= n, F.col("_bucket"))).alias("_last")), "buckets")  # one row per key
+    return keyed.join(last, "_key").filter(F.col("_last").isNull() | (F.col("_bucket") <= F.col("_last"))).select(*values.columns)
+
+
 def shapiro(df, row_id, by=(), columns=None, seed=42, sample=500):
     """Shapiro-Wilk p of up to ``sample`` values per column (groups are bounded by ``sample``)."""
     keys = [*by, "column"]
-    values = numeric_long(df, by, columns, keep=row_id).filter(F.col("value").isNotNull()) \
-        .withColumn("_d", digest(seed, *row_id))
-    drawn = top_k(values, keys, sample, "_d", *row_id).select(*keys, "value")
+    values = numeric_long(df.withColumn("_d", digest(seed, *row_id)), by, columns or numeric_columns(df, {*by, *row_id}), keep=[*row_id, "_d"]) \
+        .filter(F.col("value").isNotNull())
+    drawn = top_k(_first_buckets(values, keys, sample, "_d"), keys, sample, "_d", *row_id).select(*keys, "value")
 
     def test(key, rows):
         n = len(rows)
