@@ -6,7 +6,7 @@ from pyspark.sql.window import Window as W
 from tablejury.functions.digests import digest, seed_int, unit
 from tablejury.functions.ranking import bottom_n, digest_rank, top_k
 from tablejury.schema import CONDITIONS, REAL, SYNTHETIC
-from tablejury.session import shared_table
+from tablejury.session import shared_table, spread
 
 TAKE_LIMIT = 10_000
 
@@ -81,9 +81,10 @@ class RowIndex:
         earlier = W.partitionBy(*key).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
         counts = counts.withColumn("_parent", F.substring("_prefix", 1, depth)).withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         blocks = counts.groupBy(*key).agg((SPAN * F.ceil(F.sum("_n") / F.count(F.lit(1)))).alias("_span"))
+        blocks = shared_table(blocks, "blocks")  # stored, so that their size is known and wanted rows need no shuffle to meet them
         last = F.col("_start") + F.col("_n") - 1
-        buckets = counts.join(blocks, key).select(
-            *key, "_prefix", "_start", last.alias("_last"), F.explode(F.sequence(F.expr("_start div _span"), F.expr("(_start + _n - 1) div _span"))).alias("_block"))
+        buckets = shared_table(counts.join(blocks, key).select(
+            *key, "_prefix", "_start", last.alias("_last"), F.explode(F.sequence(F.expr("_start div _span"), F.expr("(_start + _n - 1) div _span"))).alias("_block")), "starts")
         wanted = wanted.withColumnRenamed("_prefix", "_parent").join(blocks, key).withColumn("_block", F.expr("_place div _span")).drop("_span")
         found = wanted.join(buckets, [*key, "_block"]).where("_place BETWEEN _start AND _last")
         return shared_table(found.withColumn("_place", F.col("_place") - F.col("_start")).drop("_parent", "_block", "_start", "_last"), "wanted")
@@ -104,10 +105,21 @@ class RowIndex:
         rows = rows.withColumn("_prefix", F.substring("_digest", 1, depth)).withColumn("_place", place.cast("bigint")).drop("_digest")
         return wanted.join(rows, [*key, "_place"]).drop("_prefix", "_place")
 
+    def numbered(self, requests):
+        """Each distinct request with n_total, a number of its own (`_request`) and how often it is asked (`_times`); stored, as the numbers must stay."""
+        distinct = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_times"))
+        return shared_table(distinct.join(self.sizes, self.by).withColumn("_request", F.monotonically_increasing_id()), "requests")
+
+    def drawn(self, numbered, key, n, seed):
+        """n rows for every numbered request, drawn for its key alone: table, _request, pos and the row's columns, no other of the request's."""
+        requests = spread(numbered, "_request")  # a stored table of requests is a few small files, and draws are most of the work
+        return self.fetch(requests.select(self.by, "_request", F.explode(draw_positions(F.col("n_total"), n, seed, *key)).alias("pos")))
+
     def sample(self, requests, key, n, seed):
         """n rows for every request, drawn for its key alone: the request's columns, n_total, pos and the row's columns."""
-        drawn = requests.join(self.sizes, self.by).withColumn("pos", F.explode(draw_positions(F.col("n_total"), n, seed, *key)))
-        return self.fetch(drawn)
+        numbered = self.numbered(requests)
+        rows = numbered.join(self.drawn(numbered, key, n, seed).drop(self.by), "_request")
+        return rows.withColumn("_times", F.explode(F.expr("array_repeat(0, int(_times))"))).drop("_request", "_times")
 
 
 CHUNK = 65_536

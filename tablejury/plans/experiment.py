@@ -28,4 +28,4 @@ def run_experiment(tables, targets, columns, row_id, provider=None, model=None,
     def name(column, value):
         return F.col(column) if column in run else F.lit(value)
 
-    return R.trial_rows(R.judge_prompts(prompts, slot, judge), name("provider", provider), name("model", model))
+    return R.trial_rows(R.judge_prompts(prompts, judge=judge), name("provider", provider), name("model", model))

@@ -481,3 +481,26 @@ def test_methods_are_written_whole_and_read_by_name(spark):
     assert read() == [("a b", 1, "x"), ("ctgan", 3, "z, \"q\"")]
     OUT.write_methods(first.limit(0), root)
     assert len(read()) == 2
+
+
+def test_prompts_are_not_moved_on_their_way_to_the_judge(spark):
+    rows = spark.createDataFrame([("real", i, f"v{i}") for i in range(60)], "source string, row_id int, v string")
+    asked = spark.createDataFrame([(7, "C1", "real"), (7, "C1", "real"), (8, "C1", "real")], "trial_id int, condition string, source string")
+    prompts = R.build_prompts(asked, R.row_index(rows, 42, "row_id", ["v"]), ["trial_id"], ["v"], F.col("condition"))
+    judged = R.judge_prompts(prompts)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "prompt" in line for line in plan.splitlines())
+    shown = {r["trial_id"]: (r["n_shown"], sum(line.startswith("| v") for line in r["prompt"].splitlines()) - 1) for r in judged.collect()}
+    assert shown == {7: (40, 40), 8: (20, 20)}  # a repeated request shows its rows twice
+
+
+def test_shapiro_sorts_the_first_digests_only(spark, monkeypatch):
+    """All but the first buckets are left out before rows are ordered; NULL keys and small groups count as before."""
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 2 = 0, 'a', NULL) AS g", "CAST(id * 7919 % 10007 AS DOUBLE) AS v")
+    rows = rows.unionByName(spark.range(12).selectExpr("id", "'small' AS g", "CAST(id * id AS DOUBLE) AS v"))
+    seen, whole = [], P.top_k
+    monkeypatch.setattr(P, "top_k", lambda df, *args, **more: seen.append(df.count()) or whole(df, *args, **more))
+    got = {tuple(r) for r in P.shapiro(rows, ["id"], ["g"], ["v"], sample=50).collect()}
+    assert seen[0] < 200
+    monkeypatch.setattr(P, "_first_buckets", lambda values, *_: values)
+    assert got == {tuple(r) for r in P.shapiro(rows, ["id"], ["g"], ["v"], sample=50).collect()} and len(got) == 3

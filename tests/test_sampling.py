@@ -38,3 +38,14 @@ def test_requests_for_absent_and_empty_tables(spark):
     asked = spark.createDataFrame([("a", 1), ("gone", 2)], "source string, request int")
     assert [(r["source"], r["line"], r["n_total"]) for r in index.sample(asked, ["request"], 20, 1).collect()] == [("a", "x", 1)]
     assert index.sample(asked.where("false"), ["request"], 20, 1).count() == 0
+
+
+def test_draws_carry_the_number_of_a_request_only(spark):
+    """The request's own columns stay behind; a request asked twice is drawn once and given twice."""
+    index = Q.RowIndex(spark.createDataFrame([("a", i, f"a{i}") for i in range(50)], "source string, row int, line string"), "source", "row", ["line"], 5)
+    asked = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, None), (None, 3, "x")], "source string, request int, note string")
+    numbered = index.numbered(asked)
+    assert sorted((r["request"], r["_times"]) for r in numbered.collect()) == [(1, 2), (2, 1)]
+    drawn = index.drawn(numbered, ["request"], 20, 1)
+    assert sorted(drawn.columns) == ["_request", "line", "pos", "row", "source"] and drawn.count() == 40
+    assert index.sample(asked, ["request"], 20, 1).groupBy("request").count().orderBy("request").collect() == [(1, 40), (2, 20)]
