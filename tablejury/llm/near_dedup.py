@@ -277,9 +277,10 @@ def _commonness(full: DataFrame, bits: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    rows = full.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.uint32)  # at most 2 ** MOST_BITS buckets
-    out[rows["bucket"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), np.iinfo(np.uint32).max)
+    rows = full.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = rows.select(F.col("bucket").cast("int"), F.least("n", F.lit(np.iinfo(np.int32).max)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.uint32)  # at most 2 ** MOST_BITS buckets, gathered as columns: as rows they took hundreds of MB
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

@@ -1,8 +1,12 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tablejury.llm import near_dedup
 
@@ -138,3 +142,29 @@ def test_a_document_without_id_links_others(spark):
     like = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
     assert like(sets[0], sets[2]) and like(sets[1], sets[2]) and not like(sets[0], sets[1])
     assert got == {1: 1, 2: 1, None: 1}
+
+
+def test_commonness_reaches_the_driver_as_columns(spark):
+    """A full table of buckets takes a few bytes a bucket in the driver, also where Arrow is off by default."""
+    bits, n = 17, 1 << 17
+    full = spark.range(64).select(F.expr(f"id * {n // 64} AS low")).mapInArrow(_sets_of_buckets(bits, n // 64), "shingles binary")
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    tracemalloc.start()
+    try:
+        got, peak = near_dedup._commonness(full, bits), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+    assert got.dtype == np.uint32 and (got == 1 + (np.arange(n) % 2 == 0)).all()
+    assert peak < 40 * n
+
+
+def _sets_of_buckets(bits, size):
+    """Two sets a row: one shingle in every bucket of a stretch, and one in every second."""
+    def make(batches):
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                stretch = (low + np.arange(size, dtype=np.uint64)) << np.uint64(64 - bits)
+                yield pa.RecordBatch.from_arrays([pa.array([stretch.tobytes(), stretch[::2].tobytes()], pa.binary())], names=["shingles"])
+    return make
