@@ -23,6 +23,7 @@ from tablejury.llm.common import stored
 
 GENERALISE, REMOVE, SUPPORT, LEAST, EVIDENCE, MIN_TERM = 0.9, 0.99, 5, 2, 10, 4
 BLOCK = 256
+BUCKETS = 1 << 18  # of terms by hash: at most so many whole numbers are broadcast
 
 # The patterns find the same leftmost matches as the plain forms in the comments, without their backtracking.
 PATTERNS = {
@@ -139,6 +140,10 @@ def _words(text: Column, pattern=WORD) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
 
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).alias("bucket")
+
+
 def _evidence(texts, n_et, n_e, n_t, total):
     """Bits against chance: texts / x trials of which a share x meets an entity of probability p."""
     x, p = n_et / n_t, n_e / total
@@ -163,8 +168,11 @@ def revealing_terms(documents: DataFrame, share=GENERALISE, support=SUPPORT) ->
         F.sum("docs").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
         .where(F.col("texts") >= min(support, LEAST)))
     together = stored(together, "pii-together")
+    # A bounded filter first: however many terms there are, few words of other buckets than theirs are shuffled.
     terms = stored(together.select("term").distinct(), "pii-terms")
-    occurring = documents.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    buckets = F.broadcast(terms.select(_bucket("term")).distinct())
+    words = documents.select(F.explode(_words(text)).alias("term")).withColumn("bucket", _bucket("term"))
+    occurring = words.join(buckets, "bucket", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     occurring = occurring.join(terms, "term", "left_semi")
     total = documents.count()
     disclosed = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))

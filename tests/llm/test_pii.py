@@ -114,3 +114,25 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     plan = pii.digest(pii.detect(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_that_are_no_terms_are_left_out_before_the_shuffle(spark, monkeypatch):
+    """Also when the planner broadcasts no table: the words of a text meet the terms' buckets before they are counted and dealt out."""
+    made, keep = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, purpose: made.setdefault(purpose, df) and keep(df, purpose))
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = {(bytes(r.key), r.term, r.share) for r in pii.revealing_terms(docs).collect()}
+    assert {t for _, t, _ in want} == {"code", "zwiebelfisch", "corp", "example"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made.clear()
+        terms = pii.revealing_terms(docs)
+        plan = made["pii-strong"]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        monkeypatch.setattr(pii, "BUCKETS", 1)  # a filter that lets every word through
+        for got in (terms, pii.revealing_terms(docs)):
+            assert {(bytes(r.key), r.term, r.share) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    words = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert "LeftSemi" in next(line for line in reversed(plan[:words]) if "Aggregate" in line or "Join" in line)
