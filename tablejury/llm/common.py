@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from tablejury.session import shared_folder
 
 BROADCAST_ROWS = 1_000_000  # a table is broadcast only if it was counted and has no more rows than this
+BUCKETS = 1 << 18  # of keys by hash: at most so many whole numbers are broadcast
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -27,6 +28,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def likely(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """The rows whose key shares a hash bucket with one in `names`: few others are shuffled to the join that follows.
+
+    A bounded filter: with so many names that they fill the buckets, it leaves all rows.
+    """
+    def bucket():
+        return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")
+
+    buckets = F.broadcast(names.select(bucket()).distinct())
+    return rows.withColumn("bucket", bucket()).join(buckets, "bucket", "left_semi").drop("bucket")
+
+
 def parts(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

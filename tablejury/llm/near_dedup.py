@@ -6,13 +6,16 @@ prefixes stand side by side. A set's candidates stand within `NEAR` places and
 share a prefix at all: in a thin region that is everyone with one common minimum,
 in a crowded one those that agree deeper, so the depth adapts to the region. A
 sketch of two bits per minimum screens them (five standard deviations below what
-a link would show); in each tree the `BEST` on either side go on to be confirmed
+a link would show), and so does the parity of the set's size in each of `PARITY` hash
+buckets: two sets differ in no fewer shingles than parities, so no link is screened out.
+In each tree the `BEST` on either side go on to be confirmed
 on full sets. Sets for which that was not all (candidates left out, a region longer
 than the window) go through another round with a wider window and more of the best, where only
-candidates of different components count, until a round links nothing new: what a
+candidates of different components count, until a round links next to nothing (`FEW`) new: what a
 crowd hides from one round, the next finds once the crowd has become one component.
 Sets that are crowded even then are compared by an exact prefix-filter join on their
-rarest shingles, which leaves out no pair of different components.
+rarest shingles, which leaves out no pair of different components and costs no more
+than one more round.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tablejury.llm.common import join_groups, mix, parts, run_hashes, slices, stored, text_buffer
+from tablejury.llm.common import join_groups, likely, mix, parts, run_hashes, slices, stored, text_buffer
 
 TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 2
+CHUNK = 4 + 2 * (DEPTH - 1)  # bytes of a tree's chunk: its first minimum whole, of the others, which only order a region, the lower half
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
+PARITY, FEW = 256, 0.01  # bits; new links for each crowded set
 MOST_BITS, BLOCK = 20, 1000  # of the exact join: buckets of shingles by commonness, sets a block of a shingle
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,18 +85,54 @@ def minima(shingles):
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _chunks(minimum):
+    """The chunks of all trees one after the other."""
+    by_tree = minimum.reshape(TREES, DEPTH)
+    first, others = by_tree[:, :1].astype(">u4"), (by_tree[:, 1:] & 0xFFFF).astype(">u2")
+    return np.hstack([first.view(np.uint8), others.view(np.uint8)]).tobytes()
+
+
 def _sketch(minimum):
     """Two bits of every minimum, packed."""
     two = (minimum & 3).astype(np.uint8).reshape(-1, 4)
     return (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
 
 
+def _parity(shingles, bits=PARITY):
+    """Whether each of `bits` buckets, a power of two, holds an odd number of the shingles, packed."""
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _sized_parity(shingles):
+    """The size of a set, then parities of at least twice as many buckets: a sixteenth to a thirty-second of the set."""
+    n = len(shingles)
+    return np.uint64(n).tobytes() + _parity(shingles, max(PARITY, 1 << (2 * n - 1).bit_length()))
+
+
+def _may_link(x, y):
+    """Whether the parities of two sets leave it open that they overlap enough."""
+    n, m = (int.from_bytes(s[:8], "little") for s in (x, y))
+    x, y = (np.frombuffer(s, np.uint64, offset=8) for s in (x, y))
+    while len(x) != len(y):  # buckets of half as many: those of the second half join the first
+        if len(x) > len(y):
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        else:
+            y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return _reachable(np.bitwise_count(x ^ y).sum(dtype=np.int64), n + m)
+
+
+def _reachable(apart, both):
+    """Whether sets of `both` shingles together, of which `apart` or more are in one only, can overlap enough."""
+    return apart * (100 + SIMILARITY) <= both * (100 - SIMILARITY)
+
+
 _AGREE = SIMILARITY / 100 + (1 - SIMILARITY / 100) / 4
+_WORDS = len(_sketch(np.zeros(TREES * DEPTH, np.uint32))) // 8  # of 64 bits, before the parities
 _MOST_DIFFERENT = int(TREES * DEPTH * (1 - _AGREE) + 5 * np.sqrt(TREES * DEPTH * _AGREE * (1 - _AGREE)))
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature, sketch) of every row, stored; empty sets have NULLs."""
+    """(doc_id, n_shingles, set_id, signature, sketch) of every row, stored; empty sets have NULLs. The parities follow the sketch."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def sign(batches):
@@ -106,7 +147,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                     name = digest(s)
                     if name not in last:
                         m = minima(s)
-                        last[name] = (len(s), name, m.astype(">u4").tobytes(), _sketch(m))
+                        last[name] = (len(s), name, _chunks(m), _sketch(m) + _parity(s))
                     rows.append(last[name])
                 n, name, signature, sketch = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -121,11 +162,12 @@ def signatures(documents: DataFrame) -> DataFrame:
 def _near(frame, near, best, across=None):
     """Pairs at most `near` apart in the order that share a prefix, differ in root and pass size and sketch.
 
-    Of these, the `best` on either side in the view of the row whose component is not the larger one. Also the set
+    A sketch may have no parities behind it. Of these, the `best` on either side in the view of the row whose component is not the larger one. Also the set
     ids for which that was not all: candidates left out, or a region longer than the window. `across` marks the rows before the cut, when only pairs over it count.
     """
     first = np.frombuffer(b"".join(c[:4] for c in frame["chunk"]), ">u4")
     sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(len(frame), -1)
+    sketch, parity = sketch[:, :_WORDS], sketch[:, _WORDS:]
     tree, n, names = frame["tree"].to_numpy(), frame["n_shingles"].to_numpy(), frame["set_id"].to_numpy()
     root, weight = pd.factorize(frame["root"])[0], frame["weight"].to_numpy()
     found, live, crowded = [], np.arange(len(frame)), []
@@ -143,6 +185,8 @@ def _near(frame, near, best, across=None):
         x = sketch[i] ^ sketch[i + d]
         different = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
         take = different <= _MOST_DIFFERENT
+        i, different = i[take], different[take]
+        take = _reachable(np.bitwise_count(parity[i] ^ parity[i + d]).sum(1, dtype=np.int64), n[i] + n[i + d])
         found.append((i[take], i[take] + d, different[take]))
     pairs = set()
     if found:
@@ -165,7 +209,7 @@ def _rank(group, value):
 def candidates(sets: DataFrame, near=NEAR, best=BEST):
     """Distinct pairs (a, b), a < b, of set ids with different roots that are neighbours in some tree, and crowded set ids."""
     rows = sets.selectExpr("set_id", "n_shingles", "sketch", "root", "weight", f"""inline(transform(sequence(0, {TREES - 1}), t ->
-        struct(t AS tree, substring(signature, t * {4 * DEPTH} + 1, {4 * DEPTH}) AS chunk)))""")
+        struct(t AS tree, substring(signature, t * {CHUNK} + 1, {CHUNK}) AS chunk)))""")
     cuts = max(1, min(parts(sets), sets.count() * TREES // max(2000, 4 * near)))
     ordered = rows.repartitionByRange(cuts, "tree", "chunk", "set_id").sortWithinPartitions("tree", "chunk", "set_id")
     fields = {"tree": "int", "chunk": "binary", "n_shingles": "long", "sketch": "binary", "set_id": "binary", "root": "binary", "weight": "long"}
@@ -221,8 +265,8 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
     return pairs, crowded.distinct()
 
 
-def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(set_id, shingles) of the distinct set ids in `names`, stored: the sorted shingle hashes as bytes."""
+def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame, form=np.ndarray.tobytes) -> DataFrame:
+    """(set_id, shingles) of the distinct set ids in `names`, with its other columns, stored: the sorted shingle hashes as bytes, or their `form`."""
     wanted = stored(sets.select("set_id", "doc_id").join(names, "set_id"), "dedup-wanted")
 
     def fetch(batches):
@@ -231,38 +275,61 @@ def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame) -> DataFr
             for lo, hi in slices(offsets):
                 found = list(shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()),
-                                                  pa.array([s.tobytes() for s in found], pa.binary())], names=["set_id", "shingles"])
+                                                  pa.array([form(s) for s in found], pa.binary())], names=["set_id", "shingles"])
 
     ids = wanted.select("doc_id").distinct()
     texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     if not wanted.where("doc_id IS NULL").isEmpty():  # sets of which no row has a doc_id
         texts = texts.unionByName(documents.where("doc_id IS NULL").select("text"))
-    full = (texts
-            .mapInArrow(fetch, "set_id binary, shingles binary").join(wanted.select("set_id"), "set_id", "left_semi")
-            .dropDuplicates(["set_id"]))
-    return stored(full, "dedup-sets")
+    full = texts.mapInArrow(fetch, "set_id binary, shingles binary")
+    if names.columns == ["set_id"]:
+        full = stored(full, "dedup-sets")
+        if full.count() == wanted.count():  # every set wanted is there, so none comes twice and no other does
+            return full
+    return stored(full.join(wanted.drop("doc_id"), "set_id").dropDuplicates(["set_id"]), "dedup-sets")
+
+
+def _kept(pairs: DataFrame, full: DataFrame, keep) -> DataFrame:
+    """The pairs (a, b) for whose bytes in `full` keep(x, y) holds."""
+    def run(batches):
+        for batch in batches:
+            found = [keep(*(batch.column(c)[i].as_buffer() for c in (2, 3))) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    one = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    two = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _overlap(x, y):
+    """Whether two full sets overlap enough."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (x, y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
 
 
 def confirmed(documents: DataFrame, sets: DataFrame, pairs: DataFrame, full: DataFrame = None) -> DataFrame:
-    """The pairs whose full sets overlap enough."""
+    """The pairs whose full sets overlap enough; only those that parities leave open meet as full sets."""
     pairs = stored(pairs, "dedup-pairs")
     if full is None:
-        names = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        full = full_sets(documents, sets, names)
+        parities = full_sets(documents, sets, _names(pairs), _sized_parity)
+    else:
+        parities = full.select("set_id", "shingles").mapInArrow(_parities, "set_id binary, shingles binary")
+    pairs = stored(_kept(pairs, parities, _may_link), "dedup-open")
+    if pairs.isEmpty():
+        return pairs
+    full = full_sets(documents, sets, _names(pairs)) if full is None else full.join(_names(pairs), "set_id", "left_semi")
+    return stored(_kept(pairs, full, _overlap), "dedup-links")
 
-    def overlap(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    two = full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(overlap, "a binary, b binary"),
-                  "dedup-links")
+def _parities(batches):
+    for batch in batches:
+        sized = [_sized_parity(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sized, pa.binary())], names=["set_id", "shingles"])
 
 
 def _commonness(full: DataFrame, bits: int) -> np.ndarray:
@@ -285,7 +352,7 @@ def _commonness(full: DataFrame, bits: int) -> np.ndarray:
 
 
 def exact_candidates(sets: DataFrame, full: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of different roots that can reach SIMILARITY; none that does is left out.
+    """All pairs (a, b), a < b, of different roots in `full` that can reach SIMILARITY; none that does is left out.
 
     Sets of n and m shingles that are similar share `SIMILARITY (n + m) / (100 + SIMILARITY)` at
     least. In any order of all shingles, the first shared one then has that many
@@ -320,13 +387,14 @@ def exact_candidates(sets: DataFrame, full: DataFrame) -> DataFrame:
                                                   batch.column(2).take(rows)], names=["shingle", "place", "n", "set_id", "root"])
 
     shared = f"ceil({SIMILARITY} * (%s) / {100 + SIMILARITY})"
-    entries = stored(full.join(sets.select("set_id", "root"), "set_id").select("set_id", "shingles", "root").mapInArrow(
+    entries = stored(full.select("set_id", "shingles", "root").mapInArrow(
         prefixes, "shingle long, place long, n long, set_id binary, root binary")
         .withColumn("short", F.expr(f"place <= n - {shared % '2 * n'}")), "dedup-prefixes")
-    keys = stored(entries.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count_if("short").alias("shorts"))
+    root = F.xxhash64("root")
+    keys = stored(entries.groupBy("shingle").agg(F.min(root).alias("one"), F.max(root).alias("other"), F.count_if("short").alias("shorts"))
                   .where((F.col("one") != F.col("other")) & (F.col("shorts") > 0))
                   .select("shingle", F.ceil(F.col("shorts") / BLOCK).cast("int").alias("blocks")), "dedup-keys")
-    entries = stored(entries.join(keys, "shingle"), "dedup-shared")
+    entries = stored(likely(entries, keys, "shingle").join(keys, "shingle"), "dedup-shared")
     x = entries.where("short").select("shingle", F.expr("pmod(hash(set_id), blocks)").alias("block"), "place", "n", "set_id", "root")
     y = entries.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("place").alias("place_y"),
                        F.col("n").alias("m"), F.col("set_id").alias("set_y"), F.col("root").alias("root_y"))
@@ -386,23 +454,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     exact = False
     while True:
         if exact:
-            whole = full_sets(documents, sets, active.select("set_id"))
+            whole = full_sets(documents, sets, active.select("set_id", "root"))
             links = confirmed(documents, sets, exact_candidates(active, whole), whole)
         else:
             pairs, crowded = candidates(active, near, best)
             links = confirmed(documents, sets, pairs)
-        nothing = links.isEmpty()
-        if roots is None or not nothing:
+        new = links.count()
+        if roots is None or new:
             edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = stored(components(edges), "dedup-roots")
         if exact:
             break
         crowded = stored(crowded, "dedup-crowded")
-        near, best, exact = near * WIDER, best * WIDER, nothing
-        if crowded.isEmpty():
+        left = crowded.count()
+        near, best, exact = near * WIDER, best * WIDER, new <= FEW * left
+        if not left:
             break
         weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
-        active = (sets.join(crowded, "set_id", "left_semi")
+        active = (likely(sets, crowded, "set_id").join(crowded, "set_id", "left_semi")
                   .join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
                   .withColumn("root", F.coalesce("root", "set_id")).join(weights, "root", "left")
                   .withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long")))

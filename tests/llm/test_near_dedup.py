@@ -168,3 +168,48 @@ def _sets_of_buckets(bits, size):
                 stretch = (low + np.arange(size, dtype=np.uint64)) << np.uint64(64 - bits)
                 yield pa.RecordBatch.from_arrays([pa.array([stretch.tobytes(), stretch[::2].tobytes()], pa.binary())], names=["shingles"])
     return make
+
+
+def test_texts_around_one_passage_are_no_candidates(spark):
+    """Alike by six tenths: the sketches of two bits let many of these pairs through."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(25)])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.signatures(docs).selectExpr("set_id", "n_shingles", "signature", "sketch", "set_id AS root", "1L AS weight")
+    pairs, _ = near_dedup.candidates(sets)
+    assert pairs.isEmpty()
+    assert [r[2] for r in run(docs)] == [r[2] for r in brute(rows)]
+
+
+@pytest.mark.parametrize("size", [1, 5, 60, 129, 700, 5000])
+def test_parities_leave_every_link_open(size):
+    rng = np.random.default_rng(size)
+    closed = 0
+    for share in [*np.linspace(0.3, 1, 60), 0.8]:
+        both, only = int(size * share), size - int(size * share)
+        x, y = (np.unique(rng.integers(0, 2**64, both + only, np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([x[:both], y[:rng.integers(0, only + 1)]]))
+        links = near_dedup._overlap(x.tobytes(), y.tobytes())
+        may = near_dedup._may_link(*(near_dedup._sized_parity(s) for s in (x, y)))
+        assert may or not links
+        assert links == (100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)))
+        closed += not may
+    assert closed > 20 or size < 5
+
+
+def test_a_round_that_links_next_to_nothing_is_the_last_before_the_exact_one(spark, monkeypatch):
+    """One link in a crowd of many: a second round would cost as much as the exact comparison."""
+    rounds, crowd = [], near_dedup.candidates
+
+    def found(sets, near, best):
+        rounds.append(near)
+        pairs, _ = crowd(sets, near, best)
+        return pairs, sets.select("set_id")
+
+    monkeypatch.setattr(near_dedup, "candidates", found)
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(150)]
+    rows.append((900, rows[0][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(docs) == brute(rows) and rounds == [near_dedup.NEAR]
