@@ -11,11 +11,10 @@ buckets: two sets differ in no fewer shingles than parities, so no link is scree
 In each tree the `BEST` on either side go on to be confirmed
 on full sets. Sets for which that was not all (candidates left out, a region longer
 than the window) go through another round with a wider window and more of the best, where only
-candidates of different components count, until a round links next to nothing (`FEW`) new: what a
+candidates of different components count, until a round links nothing new: what a
 crowd hides from one round, the next finds once the crowd has become one component.
 Sets that are crowded even then are compared by an exact prefix-filter join on their
-rarest shingles, which leaves out no pair of different components and costs no more
-than one more round.
+rarest shingles, which leaves out no pair of different components.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
@@ -35,7 +34,7 @@ from tablejury.llm.common import join_groups, likely, mix, parts, run_hashes, sl
 TREES, DEPTH, NEAR, WIDER, BEST = 16, 8, 64, 4, 2
 CHUNK = 4 + 2 * (DEPTH - 1)  # bytes of a tree's chunk: its first minimum whole, of the others, which only order a region, the lower half
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
-PARITY, FEW = 256, 0.01  # bits; new links for each crowded set
+PARITY = 256  # bits
 MOST_BITS, BLOCK = 20, 1000  # of the exact join: buckets of shingles by commonness, sets a block of a shingle
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -466,9 +465,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if exact:
             break
         crowded = stored(crowded, "dedup-crowded")
-        left = crowded.count()
-        near, best, exact = near * WIDER, best * WIDER, new <= FEW * left
-        if not left:
+        near, best, exact = near * WIDER, best * WIDER, not new
+        if crowded.isEmpty():
             break
         weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
         active = (likely(sets, crowded, "set_id").join(crowded, "set_id", "left_semi")
