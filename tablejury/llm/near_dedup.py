@@ -9,18 +9,23 @@ sketch of two bits per minimum screens them (five standard deviations below what
 a link would show), and so does the parity of the set's size in each of `PARITY` hash
 buckets: two sets differ in no fewer shingles than parities, so no link is screened out.
 In each tree the `BEST` on either side go on to be confirmed
-on full sets. Sets for which that was not all (candidates left out, a region longer
-than the window) go through another round with a wider window and more of the best, where only
-candidates of different components count, until a round links nothing new: what a
+on full sets. A set for which that was not all in a tree (candidates left out, a region longer
+than the window) is marked there. Of two sets that meet in a tree, either both are compared or
+both are marked; sets marked in more than `spare` trees are crowded. They
+go through another round with a wider window and more of the best, where only
+candidates of different components count, until a round links next to nothing: what a
 crowd hides from one round, the next finds once the crowd has become one component.
 Sets that are crowded even then are compared by an exact prefix-filter join on their
-rarest shingles, which leaves out no pair of different components.
+rarest shingles, which leaves out no pair of different components. So a link is missed
+only if its sets meet in `spare` trees or fewer: at the bound by a chance below `MISS`.
 
 The sorted order is range-partitioned by the whole chunk, so that a region shared
 by a third of all rows is cut like any other; the first and last rows of each
 partition are compared across the cut in a second, small step.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +41,16 @@ CHUNK = 4 + 2 * (DEPTH - 1)  # bytes of a tree's chunk: its first minimum whole,
 SHINGLE, SIMILARITY = 4, 80  # words, per cent
 PARITY = 256  # bits
 MOST_BITS, BLOCK = 20, 1000  # of the exact join: buckets of shingles by commonness, sets a block of a shingle
+MISS = 1e-7
+LITTLE = 100  # a round that links fewer than one in so many of the sets still crowded is the last
+
+
+def spare(trees):
+    """The most trees that a set may be marked in without being crowded: of `trees` two sets at the bound meet in no more by a chance below MISS."""
+    p = SIMILARITY / 100
+    chances = np.cumsum([math.comb(trees, k) * p ** k * (1 - p) ** (trees - k) for k in range(trees + 1)])
+    return max(0, int((chances < MISS).sum()) - 1)
+
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -161,8 +176,8 @@ def signatures(documents: DataFrame) -> DataFrame:
 def _near(frame, near, best, across=None):
     """Pairs at most `near` apart in the order that share a prefix, differ in root and pass size and sketch.
 
-    A sketch may have no parities behind it. Of these, the `best` on either side in the view of the row whose component is not the larger one. Also the set
-    ids for which that was not all: candidates left out, or a region longer than the window. `across` marks the rows before the cut, when only pairs over it count.
+    A sketch may have no parities behind it. Of these, the `best` on either side in the view of the row whose component is not the larger one. Also the numbers
+    of the rows for which that was not all: candidates left out, or a region longer than the window. `across` marks the rows before the cut, when only pairs over it count.
     """
     first = np.frombuffer(b"".join(c[:4] for c in frame["chunk"]), ">u4")
     sketch = np.frombuffer(b"".join(frame["sketch"]), "<u8").reshape(len(frame), -1)
@@ -193,7 +208,7 @@ def _near(frame, near, best, across=None):
         keep = (_rank(i, different) < best) & (weight[i] <= weight[j]) | (_rank(j, different) < best) & (weight[j] <= weight[i])
         crowded += [i[~keep], j[~keep]]
         pairs.update((min(x, y), max(x, y)) for x, y in zip(names[i[keep]], names[j[keep]], strict=True))
-    return pairs, set(names[np.unique(np.concatenate(crowded))]) if crowded else set()
+    return pairs, np.unique(np.concatenate(crowded)) if crowded else np.zeros(0, np.int64)
 
 
 def _rank(group, value):
@@ -206,7 +221,7 @@ def _rank(group, value):
 
 
 def candidates(sets: DataFrame, near=NEAR, best=BEST):
-    """Distinct pairs (a, b), a < b, of set ids with different roots that are neighbours in some tree, and crowded set ids."""
+    """Distinct pairs (a, b), a < b, of set ids with different roots that are neighbours in some tree, and set ids marked in more than `spare` trees."""
     rows = sets.selectExpr("set_id", "n_shingles", "sketch", "root", "weight", f"""inline(transform(sequence(0, {TREES - 1}), t ->
         struct(t AS tree, substring(signature, t * {CHUNK} + 1, {CHUNK}) AS chunk)))""")
     cuts = max(1, min(parts(sets), sets.count() * TREES // max(2000, 4 * near)))
@@ -227,13 +242,14 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
             if first is None or len(first) < near:
                 first = pd.concat([first, frame]).head(near) if first is not None else frame.head(near)
             frame = pd.concat([held, frame], ignore_index=True) if held is not None else frame
-            pairs, crowded = _near(frame, near, best)
+            pairs, marked = _near(frame, near, best)
+            marked = frame.iloc[marked]
             held = frame.tail(near).reset_index(drop=True)
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield made(len(a), a=list(a), b=list(b))
-            if crowded:
-                yield made(len(crowded), side=[2] * len(crowded), set_id=list(crowded))
+            if len(marked):
+                yield made(len(marked), side=[2] * len(marked), tree=marked["tree"].tolist(), set_id=marked["set_id"].tolist())
         if held is not None:  # of the edges, only the region that touches the cut can meet the other side
             for side, edge, end in ((1, first, 0), (0, held, -1)):
                 mine = (edge["tree"] == edge["tree"].iloc[end]) & (edge["chunk"].str[:4] == edge["chunk"].iloc[end][:4])
@@ -250,18 +266,21 @@ def candidates(sets: DataFrame, near=NEAR, best=BEST):
         frame = frame.sort_values("side", kind="stable", ignore_index=True)
         frame = pd.concat([part.sort_values(["tree", "chunk", "set_id"]) for _, part in frame.groupby("side")], ignore_index=True)
         left = frame["side"].to_numpy() == 0
-        pairs, crowded = _near(frame, near, best, across=left)
+        pairs, marked = _near(frame, near, best, across=left)
         region = list(zip(frame["tree"], frame["chunk"].str[:4], strict=True))
         over_cut = 0 < left.sum() < len(frame) and region[0] == region[-1]  # one region on both sides
         if over_cut and (len(frame) > near or frame["whole"].any()):  # it goes on beyond the window, or may beyond a short partition
-            crowded |= set(frame["set_id"])
-        return pd.DataFrame([(a, b, None) for a, b in sorted(pairs)] + [(None, None, c) for c in sorted(crowded)], columns=["a", "b", "set_id"])
+            marked = np.arange(len(frame))
+        marked = frame.iloc[marked]
+        return pd.DataFrame([(a, b, None, None) for a, b in sorted(pairs)] + [(None, None, t, c) for t, c in zip(marked["tree"], marked["set_id"], strict=True)],
+                            columns=["a", "b", "tree", "set_id"])
 
-    joined = stored(cut.select("cut", "side", "whole", *names).groupBy("cut").applyInPandas(over, "a binary, b binary, set_id binary"),
+    joined = stored(cut.select("cut", "side", "whole", *names).groupBy("cut").applyInPandas(over, "a binary, b binary, tree int, set_id binary"),
                     "dedup-cuts")  # 2 * near rows a group
     pairs = found.where(F.col("side").isNull()).select("a", "b").unionByName(joined.where("a IS NOT NULL").select("a", "b")).distinct()
-    crowded = found.where(F.col("side") == 2).select("set_id").unionByName(joined.where("set_id IS NOT NULL").select("set_id"))
-    return pairs, crowded.distinct()
+    marked = found.where(F.col("side") == 2).select("set_id", "tree").unionByName(joined.where("set_id IS NOT NULL").select("set_id", "tree"))
+    trees = marked.groupBy("set_id").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, tree)"))).alias("trees"))
+    return pairs, trees.where(F.col("trees") > spare(TREES)).select("set_id")
 
 
 def full_sets(documents: DataFrame, sets: DataFrame, names: DataFrame, form=np.ndarray.tobytes) -> DataFrame:
@@ -421,17 +440,16 @@ def components(links: DataFrame) -> DataFrame:
         out = out.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         return stored(out.distinct(), "dedup-star")
 
-    def state(edges):
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def unsettled(edges):
+        """Nodes with two smaller neighbours, or with a smaller and a larger one; stars have none."""
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").count()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    before = None
     while True:
         edges = star(star(edges, True), False)
-        now = state(edges)
-        if now == before or now[0] == 0:
+        if not unsettled(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -461,12 +479,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         new = links.count()
         if roots is None or new:
             edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = stored(components(edges), "dedup-roots")
+            roots = components(edges)
         if exact:
             break
         crowded = stored(crowded, "dedup-crowded")
-        near, best, exact = near * WIDER, best * WIDER, not new
-        if crowded.isEmpty():
+        left = crowded.count()
+        near, best, exact = near * WIDER, best * WIDER, new * LITTLE < left
+        if not left:
             break
         weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
         active = (likely(sets, crowded, "set_id").join(crowded, "set_id", "left_semi")

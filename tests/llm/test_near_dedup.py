@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import tracemalloc
@@ -196,3 +197,42 @@ def test_parities_leave_every_link_open(size):
         assert links == (100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)))
         closed += not may
     assert closed > 20 or size < 5
+
+
+def test_the_marks_that_a_set_may_have():
+    """Two sets at the bound meet in so few trees by a chance below 1e-7; with few trees any mark counts."""
+    chance = lambda k: sum(math.comb(16, i) * 0.8 ** i * 0.2 ** (16 - i) for i in range(k + 1))
+    assert near_dedup.spare(16) == 2 and chance(2) < 1e-7 <= chance(3)
+    assert near_dedup.spare(1) == near_dedup.spare(4) == 0
+
+
+@pytest.mark.parametrize("marked", [0, 1, 2, 3, 16])
+def test_a_set_is_crowded_once_long_regions_hide_it_in_more_than_two_trees(spark, marked):
+    rng, rows, rest = random.Random(13), [], near_dedup.CHUNK - 4
+    for i in range(70):
+        own = [(t < marked) and b"same" or rng.randbytes(4) for t in range(near_dedup.TREES)]
+        key = i.to_bytes(16)
+        rows.append((key, 10, rng.randbytes(64), b"".join(first + i.to_bytes(rest) for first in own), key, 1))
+    sets = spark.createDataFrame(rows, "set_id binary, n_shingles long, sketch binary, signature binary, root binary, weight long")
+    pairs, crowded = near_dedup.candidates(sets, near=64, best=2)
+    left = sorted(int.from_bytes(r.set_id) for r in crowded.collect())
+    assert pairs.isEmpty() and left == ([*range(6), *range(64, 70)] if marked > 2 else [])
+
+
+def test_a_round_that_links_next_to_nothing_is_the_last(spark, monkeypatch):
+    """One link among hundreds of crowded sets: the exact comparison finds the others at once."""
+    calls = []
+
+    def crowd(sets, near, best):
+        calls.append(near)
+        rows = sets.select("set_id", "doc_id")
+        two = rows.where("doc_id IN (0, 1000)").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
+        return two, rows.select("set_id")
+
+    monkeypatch.setattr(near_dedup, "candidates", crowd)
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, text + " more") for i, text in rows[::30]]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and sum(not r[3] for r in got) == 10
+    assert calls == [near_dedup.NEAR]
