@@ -212,9 +212,8 @@ def _search_cell(x, best, leaves, low, high):
     return found, compared
 
 
-def _visit(asked, leaves, block):
-    """(id, d2, leaves) for every (query, cell) pair asked for."""
-    salts = shared_table(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_salts")), "salts")
+def _visit(asked, salts, leaves):
+    """(id, d2, leaves) for every (query, cell) pair asked for; `salts` has the salts of each cell."""
     salted = asked.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int")).drop("n_salts")
     offered = leaves.join(salts, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1))).drop("n_salts")
 
@@ -243,32 +242,49 @@ def search(queries, points, leaf_rows=LEAF_ROWS, cell_rows=None):
     leaves = shared_table(build_leaves(points, cells, leaf_rows), "leaves")
     nodes = np.array(sorted(cells.ends))
     low, high = (np.stack([cells.ends[n][k] for n in nodes.tolist()]) for k in (1, 2))
-    block = max(2048, limit // 8)
+    least, tasks = max(2048, limit // 8), 4 * points.sparkSession.sparkContext.defaultParallelism
 
-    def agenda(seen, take):
-        """The next `take` cells of every query in order of their distance, as far as they are nearer than its bound."""
+    def agenda(seen, take, count=False):
+        """The next `take` cells of every query in order of their distance, as far as they are nearer than its bound; or how often a task asks for each cell."""
         def run(batches):
+            total = np.zeros(len(nodes), np.int64)
             for batch in batches:
                 x, best = _matrix(batch.column(1)), batch.column(2).to_numpy()
                 for i in range(0, len(x), step := max(1, 4_000_000 // len(nodes))):
                     gaps = _gaps(x[i:i + step], low, high)
                     order = np.argsort(gaps, axis=1, kind="stable")[:, seen:seen + take]
                     row, rank = np.nonzero(np.take_along_axis(gaps, order, axis=1) < best[i:i + step, None])
+                    if count:
+                        total += np.bincount(order[row, rank], minlength=len(nodes))
+                        continue
                     where = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).take(where) for c in range(3)], pa.array(nodes[order[row, rank]])], names=["id", "vec", "best", "cell"])
+            if count:
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[used]), pa.array(total[used])], names=["cell", "n"])
         return run
 
     state = shared_table(spread(queries.select("vec").distinct(), "vec").withColumn("id", F.monotonically_increasing_id())
                          .select("id", "vec", F.lit(math.inf).alias("best"), F.lit(0).cast("long").alias("leaves")), "queries")
-    seen, take = 0, 1
+    seen, take, done = 0, 1, []
     while seen < len(nodes):
-        asked = shared_table(state.select("id", "vec", "best").mapInArrow(agenda(seen, take), "id long, vec array<double>, best double, cell long"), "asked")
-        if asked.isEmpty():
+        bounds = state.select("id", "vec", "best")  # pairs of query and cell are many: counted first, made again for the shuffle instead of written
+        counts = shared_table(bounds.mapInArrow(agenda(seen, take, count=True), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "counts")
+        total = counts.agg(F.sum("n")).first()[0]
+        if not total:
             break
-        got = _visit(asked, leaves, block).groupBy("id").agg(F.min("d2").alias("d2"), F.sum("leaves").alias("more"))
+        block = max(least, min(limit, total // tasks))  # every salt takes a copy of its cell: no more of them than keep all cores busy
+        salts = counts.select("cell", F.ceil(F.col("n") / block).cast("int").alias("n_salts"))
+        asked = bounds.mapInArrow(agenda(seen, take), "id long, vec array<double>, best double, cell long")
+        got = _visit(asked, salts, leaves).groupBy("id").agg(F.min("d2").alias("d2"), F.sum("leaves").alias("more"))
         state = shared_table(state.join(got, "id", "left").select(
-            "id", "vec", F.least("best", "d2").alias("best"), (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves")), "bounds")
+            "id", "vec", F.least("best", "d2").alias("best"), (F.col("leaves") + F.coalesce("more", F.lit(0))).alias("leaves"),
+            F.col("d2").isNotNull().alias("open")), "bounds")
+        done.append(state.where("NOT open").drop("open"))  # cells come in order of their distance: who asked for none asks for none later
+        state = state.where("open").drop("open")
         seen, take = seen + take, 2 * take
+    for part in done:
+        state = state.unionByName(part)
     return state.select("vec", F.sqrt("best").alias("distance"), "leaves")
 
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablejury.operators import privacy as P
+from tablejury.operators import neighbours, privacy as P
 from tablejury.operators.neighbours import build_cells, nearest_distances, search
 
 
@@ -131,3 +131,25 @@ def test_imputation_uses_the_real_means(spark):
     scale = P.real_scale(df, ["x"])
     assert scale["x"][0] == 2.0 and scale["x"][1] == pytest.approx(np.std([1, 3, 2]))
     assert [r["x"] for r in P.standardise(df, ["x"], scale).filter(F.col("source") == "s").collect()] == [0.0]
+
+
+def test_pairs_are_not_written_and_finished_queries_leave(spark, monkeypatch):
+    """Only queries with cells still to visit go into a further round; pairs of query and cell are never stored."""
+    written, store = [], neighbours.shared_table
+
+    def shared_table(df, purpose):
+        out = store(df, purpose)
+        written.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(neighbours, "shared_table", shared_table)
+    rng = np.random.default_rng(21)
+    p = rng.normal(size=(3000, 3))
+    q = np.vstack([p[:1500], rng.normal(size=(100, 3)) * 1.5])  # most are points themselves: nothing is nearer
+    got = nearest_distances(vectors(spark, q), vectors(spark, p), leaf_rows=40, cell_rows=200).toPandas()
+    want = {tuple(v): d for v, d in zip(q, brute(q, p))}
+    assert len(got) == len(want) and np.allclose([want[tuple(v)] for v in got["vec"]], got["distance"], atol=1e-12)
+    bounds = [n for purpose, n in written if purpose == "bounds"]
+    assert bounds[0] == len(q) and len(bounds) > 2 and bounds[2] < len(q) / 2
+    most = sum(n for purpose, n in written if purpose not in ("points", "leaves", "queries", "bounds"))
+    assert most < len(q)
