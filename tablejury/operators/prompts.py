@@ -104,12 +104,16 @@ def build_prompts(requests, index, key, columns, condition, profiles=None, n_row
 
     Every request draws its own rows without replacement, by its key; they are shown in table order.
     """
-    numbered = index.numbered(requests)
-    lines = spread(index.drawn(numbered, key, n_rows, seed).select("_request", "_row", "_line"), "_request")  # the last shuffle of lines and prompts
-    shown = lines.groupBy("_request").agg(F.array_sort(F.collect_list(F.struct(F.col("_row").alias("pos"), F.col("_line").alias("line")))).alias("_lines"))
-    repeated = F.flatten(F.transform("_lines", lambda x: F.array_repeat(x["line"], F.col("_times").cast("int"))))  # a request asked twice shows its rows twice
-    text = shown.join(numbered, "_request").select(
-        *requests.columns, "n_total", (F.size("_lines") * F.col("_times")).cast("int").alias("n_shown"),
+    return numbered_prompts(index.numbered(requests), index, key, columns, condition, profiles, n_rows, seed)
+
+
+def numbered_prompts(numbered, index, key, columns, condition, profiles=None, n_rows=ROWS_SHOWN, seed=42):
+    """The prompts of requests that the index has numbered, or of some of them."""
+    asked = [c for c in numbered.columns if c not in ("n_total", "_times", "_request")]
+    shown = index.shown(numbered, key, n_rows, seed).withColumn("_lines", F.sort_array("_rows"))
+    repeated = F.flatten(F.transform("_lines", lambda x: F.array_repeat(x["_line"], F.col("_times").cast("int"))))  # a request asked twice shows its rows twice
+    text = shown.select(
+        *asked, "n_total", (F.size("_lines") * F.col("_times")).cast("int").alias("n_shown"),
         F.concat(F.lit(markdown_head(columns) + "\n"), F.array_join(repeated, "\n")).alias("table_text"))
     if profiles is not None:
         text = text.join(shared_table(profiles, "profiles"), index.by, "left")  # one text per table, sized by its file
@@ -122,7 +126,7 @@ def build_prompts(requests, index, key, columns, condition, profiles=None, n_row
         F.when(condition == "C2", F.concat(F.lit("\n\nStatistics of the whole table:\n"),
                                            F.coalesce("profile_text", F.lit("")))).otherwise(F.lit("")),
         F.format_string(f"\n\nTotal rows: %d\nTotal columns: {len(columns)}\nColumns: {names}\n", "n_total"))
-    return text.select(*requests.columns, "n_shown", "n_total", prompt.alias("prompt"))
+    return text.select(*asked, "n_shown", "n_total", prompt.alias("prompt"))
 
 
 # ---- judging -----------------------------------------------------------------------

@@ -1,12 +1,17 @@
 """Reproducible samples and trial queues, ordered by keyed digests."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window as W
 
+from tablejury.functions import packs
 from tablejury.functions.digests import digest, seed_int, unit
 from tablejury.functions.ranking import bottom_n, digest_rank, top_k
 from tablejury.schema import CONDITIONS, REAL, SYNTHETIC
-from tablejury.session import shared_table, spread
+from tablejury.session import dropping_shuffles, shared_table, spread
 
 TAKE_LIMIT = 10_000
 
@@ -39,6 +44,10 @@ def fraction_samples(df, methods, fraction, seed, row_id):
 DIGITS = 4  # hex digits that a pass over the tables counts by
 SPAN = 8  # average buckets in a block of places
 BUCKET_ROWS = 4096  # buckets of more rows are counted by further digits before their rows are sorted
+BLOCK_ROWS = 32_768  # rows of one table, by leading digits, that meet their draws in one task
+MOST_BLOCKS = 65_536  # their counts go to the driver
+WAVE = 1 << 23  # requests whose draws are on disk at a time; every wave reads the tables
+WAVE_ROWS = 4  # rows of the tables a request of a wave, at most
 
 
 def draw_positions(n_total, n, seed, *key):
@@ -67,7 +76,7 @@ class RowIndex:
         self.by, self.tie = by, [row_id, *columns]
         self.rows = rows.select(by, row_id, *columns, digest(seed, by, row_id).alias("_digest"))
         self.counts = self._count(self.rows, DIGITS)
-        self.sizes = self.counts.groupBy(by).agg(F.sum("_n").alias("n_total"))
+        self.sizes = shared_table(self.counts.groupBy(by).agg(F.sum("_n").alias("n_total")), "sizes")  # one row a table: stored, so that requests need no shuffle to meet it
 
     def _count(self, rows, depth):
         return shared_table(rows.groupBy(self.by, F.substring("_digest", 1, depth).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
@@ -108,13 +117,66 @@ class RowIndex:
     def numbered(self, requests):
         """Each distinct request with n_total, a number of its own (`_request`) and how often it is asked (`_times`); stored, as the numbers must stay."""
         distinct = requests.groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_times"))
-        return shared_table(distinct.join(self.sizes, self.by).withColumn("_request", F.monotonically_increasing_id()), "requests")
+        with dropping_shuffles(requests.sparkSession):
+            return shared_table(distinct.join(self.sizes, self.by).select(*requests.columns, "n_total", "_times").withColumn("_request", F.monotonically_increasing_id()), "requests", packs.CHUNK)
+
+    def waves(self, numbered):
+        """Numbered requests in parts of about WAVE, or more where the tables are so large that each part should take a share of their rows."""
+        size = max(WAVE, (self.sizes.agg(F.sum("n_total")).first()[0] or 0) // WAVE_ROWS)
+        n = -(-numbered.count() // size)
+        wave = F.pmod(F.xxhash64(F.expr(f"_request div {packs.CHUNK}")), F.lit(n))
+        return [numbered.where(wave == i) for i in range(n)] if n > 1 else [numbered]
 
     def drawn(self, numbered, key, n, seed):
         """n rows for every numbered request, drawn for its key alone: table, _request, pos and the row's columns, no other of the request's."""
         requests = spread(numbered, "_request")  # a stored table of requests is a few small files, and draws are most of the work
         return self.fetch(requests.select(self.by, "_request", F.explode(draw_positions(F.col("n_total"), n, seed, *key)).alias("pos")))
 
+    def shown(self, numbered, key, n, seed):
+        """Every numbered request with `_rows`: the row ids and columns of the n rows drawn for it, in no order.
+
+        Many draws travel in packs, by blocks of rows with the same first digits and by chunks of requests.
+        Where most buckets are not asked for, or equal digests make a block too large, each draw is a row.
+        """
+        asked = numbered.count()
+        blocks = self.blocks if asked * n >= max(1, self.counts.count()) else []
+        if not blocks:
+            rows = spread(self.drawn(numbered, key, n, seed).select("_request", *self.tie), "_request")  # the last shuffle of rows and requests
+            return rows.groupBy("_request").agg(F.collect_list(F.struct(*self.tie)).alias("_rows")).join(numbered, "_request").select(*numbered.columns, "_rows")
+        spark, digits = numbered.sparkSession, len(blocks[0][1])
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        size = min(packs.CHUNK, max(256, 1 << (asked // (4 * parts)).bit_length()))  # a power of two: chunks enough to fill all partitions evenly, if there are the requests
+        salts = -(-parts // len(blocks))  # of the few blocks of small tables each part of the chunks has its own copy
+
+        def name(table, prefix):
+            return F.concat(prefix, F.lit("|"), table)
+
+        kinds = dict(self.rows.dtypes)
+        rows = self.rows.select(
+            name(F.col(self.by).cast("string"), F.substring("_digest", 1, digits)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+            F.lit(-1).cast("bigint").alias("_chunk"), F.unhex("_digest").alias("_digest"), *self.tie, F.lit(None).cast("binary").alias("_pack")).where("_block IS NOT NULL")
+        chunked = numbered.withColumn("_chunk", F.expr(f"_request div {size}"))
+        wanted = chunked.select("_chunk", "_request", F.col(self.by).cast("string").alias("_table"), F.concat_ws("||", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).alias("_key"), "n_total")
+        place, either = ["_block", "_salt", "_chunk"], StructType([StructField(f.name, f.dataType) for f in rows.schema])
+        drawn = wanted.mapInArrow(packs.draws(to_arrow_schema(either), [(t, f"{p}|{t}", c) for t, p, c in blocks], n, size, salts), either)
+        met = spread(rows.unionByName(drawn), *place[:2]).sortWithinPartitions(*place, "_digest", *self.tie)
+        halves = _parse_datatype_string("_chunk long, _found binary, _asked binary")
+        arrow = to_arrow_schema(halves)
+        found = met.mapInArrow(packs.found(arrow, self.tie), halves).unionByName(chunked.mapInArrow(packs.asked(arrow), halves))
+        out = numbered.withColumn("_rows", F.array(F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in self.tie]))).schema
+        return spread(found, "_chunk").sortWithinPartitions("_chunk").mapInArrow(packs.joined(to_arrow_schema(out), self.tie, size), out)
+
+    @cached_property
+    def blocks(self):
+        """(table as text, first digits, rows) of every block in order, by as few digits as keep blocks small; none if that takes too many."""
+        depths = F.explode(F.sequence(F.lit(1), F.lit(DIGITS))).alias("_depth")
+        levels = self.counts.select(F.col(self.by).cast("string").alias("_table"), "_prefix", "_n", depths).where("_table IS NOT NULL") \
+            .groupBy("_table", "_depth", F.expr("substring(_prefix, 1, _depth)").alias("_prefix")).agg(F.sum("_n").alias("_n"))
+        levels = shared_table(levels, "levels")
+        sizes = levels.groupBy("_depth").agg(F.count(F.lit(1)).alias("_blocks"), F.max("_n").alias("_most"))
+        depth = sizes.where((F.col("_most") <= BLOCK_ROWS) & (F.col("_blocks") <= MOST_BLOCKS)).agg(F.min("_depth")).first()[0]
+        return [] if depth is None else [tuple(r) for r in levels.where(F.col("_depth") == depth).select("_table", "_prefix", "_n").orderBy("_table", "_prefix").collect()]
+
     def sample(self, requests, key, n, seed):
         """n rows for every request, drawn for its key alone: the request's columns, n_total, pos and the row's columns."""
         numbered = self.numbered(requests)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +42,30 @@ def shared_folder(spark, purpose):
     return f"{base.rstrip('/')}/tablejury/{purpose}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back.
+@contextmanager
+def dropping_shuffles(spark):
+    """What is written inside leaves no shuffle files behind; else they stay until the driver happens to collect its garbage.
+
+    Only for writes: a frame made inside and collected twice would miss them.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shared_table(df: DataFrame, purpose: str, rows_per_file: int = 0) -> DataFrame:
+    """Write once to the shared folder and read back; files of at most so many rows, if given, let as many tasks read.
 
     The result has no lineage to recompute when executors are lost, and its
     true file size is known, so the planner broadcasts it only if it is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -504,3 +504,20 @@ def test_shapiro_sorts_the_first_digests_only(spark, monkeypatch):
     assert seen[0] < 200
     monkeypatch.setattr(P, "_first_buckets", lambda values, *_: values)
     assert got == {tuple(r) for r in P.shapiro(rows, ["id"], ["g"], ["v"], sample=50).collect()} and len(got) == 3
+
+
+def test_an_experiment_in_waves_judges_every_trial_once(spark, monkeypatch):
+    """Small waves are written one after the other; their trials are those of a single one."""
+    from tablejury.plans.experiment import run_experiment
+    tables = spark.range(120).selectExpr("IF(id % 2 = 0, 'real', 'ctgan') AS source", "id AS row_id", "CAST(id AS DOUBLE) / 7 AS x")
+    targets = spark.createDataFrame([("ctgan", 60)], "method string, n_trials long")
+
+    def trials():
+        return run_experiment(tables, targets, ["x"], "row_id", "offline", "rules").drop("timestamp")
+
+    whole = sorted(map(str, trials().collect()))
+    monkeypatch.setattr(Q, "WAVE", 25)
+    monkeypatch.setattr(Q.packs, "CHUNK", 8)
+    monkeypatch.setattr(Q, "WAVE_ROWS", 40)
+    waves = trials()
+    assert "trials-" in waves.inputFiles()[0] and sorted(map(str, waves.collect())) == whole and len(whole) == 120
