@@ -182,7 +182,8 @@ def _(spark, sf):
 @query("f6_agreement_points", L + """SELECT dataset, method, condition, model, human_drs, llm_drs,
  round((human_drs + llm_drs)/2.0, 6) AS mean_score, round(llm_drs - human_drs, 6) AS diff FROM long""")
 def _(spark, sf):
-    return rounded(A.bland_altman_points(long(spark, sf)))
+    points = A.bland_altman_points(long(spark, sf))  # the mean of two scores of six places is often a tie: rounded as SQL does, after scaling
+    return rounded(points.withColumn("mean_score", F.round(F.col("mean_score") * 1e6) / 1e6))
 
 
 # ---- matched samples and tests ---------------------------------------------------------
